@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,3 +48,8 @@ def ordered(docs: DataFrame, id_col: str, *keep: str) -> tuple[DataFrame, bool]:
     rest = [c for c in keep if c in docs.columns]
     ranged = docs.repartitionByRange(F.col(id_col).asc_nulls_first(), *rest).sortWithinPartitions(F.col(id_col).asc_nulls_first(), *rest)
     return written(ranged.withColumn("_ord", F.monotonically_increasing_id()), "ordered"), False
+
+
+def schema_of(fields: list[T.StructField], more: str) -> T.StructType:
+    """The fields with those of a DDL string after them."""
+    return T.StructType([*fields, *T.StructType.fromDDL(more).fields])

@@ -7,17 +7,58 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate, langid, pii, simhash, sketch
 from ._spark import table
 
 
-def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .simhash import near_duplicates
+def _crc(col: str) -> F.Column:
+    return F.crc32(F.col(col).cast("string").cast("binary"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_crc("doc_id") % 3 == 1, F.lit(False))
+    model = langid.learn(docs.filter(~held_out))
+    out = langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    out = decontaminate.find_passages(docs.select("doc_id", "text"), items, keep=["doc_id"])
+    return (
+        out.withColumn("n_hit", F.expr(decontaminate.N_HIT))
+        .select(
+            "doc_id",
+            F.col("_n_words").alias("n_words"),
+            "n_hit",
+            F.size("_items").cast("bigint").alias("n_items"),
+            F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
+            F.expr("n_hit > 0 AND 20 * n_hit >= _n_words").alias("contaminated"),
+        )
+    )
+
 
-    out = near_duplicates(table(spark, sf_dir, "documents"))
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    counts = [F.col("_counts")[i].alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    return out.select("doc_id", *counts, F.col("_base_sha256").alias("base_sha256"), F.col("_all").alias("spans"))
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_fingerprints": op4_fingerprints,
+    "op8_pii": op8_pii,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._spark import ordered, written
+from ._spark import ordered, schema_of, written
 from .components import components
 
 #: Fingerprints in a tile at most (about; tiles are cut by hash).
@@ -59,14 +59,13 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> D
     fingerprint zero.
     """
     rest = [f for f in docs.schema.fields if f.name != text_col]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "`_fp` bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = pa.array(fingerprint_rows(b.column(text_col), shingle).view(np.int64))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in rest), fp], names=[*(f.name for f in rest), "_fp"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema_of(rest, "_fp bigint"))
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
