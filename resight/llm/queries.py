@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, pii, simhash, sketch
+from . import decontaminate, langid, mixing, pii, simhash, sketch
 from ._spark import table
 
 
@@ -15,6 +15,10 @@ def _crc(col: str) -> F.Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(_crc("doc_id") % 3 == 1, F.lit(False))
@@ -55,6 +59,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op4_fingerprints": op4_fingerprints,
