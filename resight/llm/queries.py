@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, pii, simhash, sketch
+from . import decontaminate, langid, mixing, pii, repeats, simhash, sketch
 from ._spark import table
 
 
@@ -53,6 +53,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.col("_base_sha256").alias("base_sha256"), F.col("_all").alias("spans"))
 
 
+def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_fingerprints": op4_fingerprints,
     "op8_pii": op8_pii,
+    "op9_remove_repeats": op9_remove_repeats,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
