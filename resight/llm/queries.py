@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, pii, repeats, simhash, sketch
-from ._spark import table
+from . import decontaminate, langid, mixing, pii, repeats, simhash, sketch, warc
+from ._spark import new_path, table
 
 
 def _crc(col: str) -> F.Column:
@@ -47,6 +47,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     counts = [F.col("_counts")[i].alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op4_fingerprints": op4_fingerprints,
+    "op7_warc": op7_warc,
     "op8_pii": op8_pii,
     "op9_remove_repeats": op9_remove_repeats,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
