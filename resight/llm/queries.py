@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, pii, repeats, simhash, sketch, warc
+from . import decontaminate, langid, licenses, mixing, pii, repeats, simhash, sketch, warc
 from ._spark import new_path, table
 
 
@@ -47,6 +47,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op4_fingerprints": op4_fingerprints,
+    "op5_licenses": op5_licenses,
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
     "op9_remove_repeats": op9_remove_repeats,
