@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, pii, repeats, simhash, sketch, warc
+from . import decontaminate, langid, licenses, lm, mixing, pii, repeats, simhash, sketch, warc
 from ._spark import new_path, table
 
 
@@ -51,6 +51,12 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(_crc("doc_id") % 5 == 1, F.lit(False))
+    out = lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_fingerprints": op4_fingerprints,
     "op5_licenses": op5_licenses,
+    "op6_lm_score": op6_lm_score,
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
     "op9_remove_repeats": op9_remove_repeats,
