@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import market, scalar, state  # noqa: F401  they fill the registry
+from . import documents, market, scalar, state  # noqa: F401  they fill the registry
 from .base import ORACLES, QUERIES, Query
 
 
