@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, langid, licenses, lm, mixing, pii, repeats, simhash, sketch, warc
 from ._spark import new_path, table
+from .oracles import ORACLES  # noqa: F401
 
 
 def _crc(col: str) -> F.Column:
@@ -91,4 +92,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
