@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._spark import ordered, schema_of
+from ._spark import schema_of, written
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -162,7 +162,7 @@ def find_passages(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     passes = max(1, -(-int(total) // pass_bytes))
     base = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"))
     if passes > 1:
-        base, _ = ordered(base.withColumn("_at", F.monotonically_increasing_id()), "_at", "_row", "_text")
+        base = written(base.withColumn("_ord", F.monotonically_increasing_id()), "numbered")  # the same numbers in every pass
     named = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t"))
     fields = [f for f in base.schema.fields if f.name != "_text"]
     schema = schema_of(fields, "_n_words bigint, _spans array<struct<first:bigint,end:bigint>>, _items array<string>")

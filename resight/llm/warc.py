@@ -60,15 +60,19 @@ def dechunked(body: bytes) -> bytes | None:
     return b"".join(out)
 
 
-def page_records(page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, refers_to: tuple[int | None, int] | None, segment: int) -> list[bytes]:
-    """The records of one page: a response, in segments if it is long, or a revisit."""
-    name = lambda p, r: f"<urn:row:{'' if p is None else p}:{r}>"
-    me = name(page_id, row)
+def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment: int) -> list[bytes]:
+    """The records of one page: a response, in segments if it is long, or a revisit of the page refers_to with the same payload.
+
+    A record is named by page and payload.
+    """
+    row = int(digest[:15], 16)
+    name = lambda p: f"<urn:row:{'' if p is None else p}:{row}>"
+    me = name(page_id)
     uri = [] if url is None else [("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))]
     whole = [*uri, ("WARC-Date", _DATE), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()), ("Content-Type", "application/http; msgtype=response")]
     http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
-        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", me), *whole, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", name(*refers_to))]
+        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", me), *whole, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", name(refers_to))]
         return [_record(fields, f"{http}Content-Length: {len(payload)}\r\n\r\n".encode())]
     block = f"{http}Transfer-Encoding: chunked\r\n\r\n".encode() + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
@@ -86,8 +90,8 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields, with names in lower case, and block of each record of an archive file."""
     at = 0
     while at < len(data):
-        if data[at : at + 2] == _END:
-            at += 2
+        if data[at] in _END:
+            at += 1
             continue
         end = data.find(b"\r\n\r\n", at)
         if end < 0 or not data.startswith(b"WARC/", at):
@@ -114,23 +118,23 @@ def _unpacked(content: bytes) -> bytes:
 def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment: int = SEGMENT_BYTES, shortest: int = SHORTEST_REVISITED) -> None:
     """Writes gzipped WARC files to a folder, through Spark's text writer.
 
-    A null payload counts as empty, a null url leaves out the field, null ids come before others.  Of rows with equal ids and
-    payloads one is the response.  Empty tables give files without pages.
+    A null payload counts as empty, a null url leaves out the field, null ids come before others.  Rows with the id of the
+    response and its payload are responses as well.  Empty tables give files without pages.
     """
-    rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"), F.monotonically_increasing_id().alias("row"))
+    rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     long = rows.filter(F.octet_length("payload") >= shortest)
-    first = long.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("to"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "to")
+    first = long.groupBy("digest").agg(F.max("id").alias("to"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "to")
     rows = rows.join(first.hint("shuffle_hash"), "digest", "left")
-    rows = rows.withColumn("to", F.expr("CASE WHEN to.row <> row THEN to END")).select("id", "row", "url", "payload", "digest", "to")
+    rows = rows.withColumn("to", F.expr("CASE WHEN NOT id <=> to THEN to END")).select("id", "url", "payload", "digest", "to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:row:info>"), ("WARC-Date", _DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
         out = [info]
         for b in batches:
             for i in range(b.num_rows):
-                p, r, u, body, d, to = (b.column(c)[i].as_py() for c in ("id", "row", "url", "payload", "digest", "to"))
-                out += page_records(p, r, u, body, d, (to["id"], to["row"]) if to else None, segment)
+                p, u, body, d, to = (b.column(c)[i].as_py() for c in ("id", "url", "payload", "digest", "to"))
+                out += page_records(p, u, body, d, to, segment)
                 if len(out) >= 200:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                     out = []
@@ -196,9 +200,10 @@ def _assemble(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for page, kind, refers, size, digest, parts in zip(*(b.column(c) for c in ("page", "type", "refers", "bytes", "digest", "parts")), strict=True):
-                page, kind, refers, size, digest = (x.as_py() for x in (page, kind, refers, size, digest))
-                problem, body, parts = None, None, sorted(parts.as_py(), key=lambda x: x["segment"])
+            for page, kind, refers, size, digest, copies, parts in zip(*(b.column(c) for c in ("page", "type", "refers", "bytes", "digest", "copies", "parts")), strict=True):
+                page, kind, refers, size, digest, copies = (x.as_py() for x in (page, kind, refers, size, digest, copies))
+                # records of one name are copies of each other
+                problem, body, parts = None, None, [p for _, p in sorted({x["segment"]: x for x in parts.as_py()}.items())]
                 if parts:
                     total = next((x["total"] for x in parts if x["total"] is not None), None)
                     block = b"".join(x["block"] for x in parts)
@@ -211,7 +216,7 @@ def _assemble(with_payload: bool):
                     size = None if problem else len(body)
                 elif kind == "response" and (size is None or digest is None):
                     problem = "framing" if size is None else "digest"
-                rows.append((page, size, digest if not problem else None, kind, refers, problem, body if with_payload and not problem else None))
+                rows += [(page, size, digest if not problem else None, kind, refers, problem, body if with_payload and not problem else None)] * copies
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=[x.split()[0] for x in _PAGE.split(", ")])
 
@@ -233,6 +238,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
         F.max("refers").alias("refers"),
         F.max("bytes").alias("bytes"),
         F.max("digest").alias("digest"),
+        F.greatest(F.lit(1), F.count("type")).alias("copies"),
         F.collect_list(F.when(F.col("segment").isNotNull(), F.struct("segment", "total", "block"))).alias("parts"),
     )
     return pages.drop("record").mapInArrow(_assemble(with_payload), _PAGE)
