@@ -10,7 +10,7 @@ def to_utc(text: Column, zone: str = "Europe/Berlin") -> Column:
     """Any date-time text as an instant: with an offset as it says, without one as wall-clock time of the zone; bad text is null."""
     t = F.trim(text)
     zoned = t.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$") & t.contains(":")
-    local = F.try_to_timestamp(F.when(~zoned, F.concat(t, F.lit("Z"))))
+    local = F.try_to_timestamp(F.when(~zoned, F.concat(t, F.when(t.contains(":"), "Z").otherwise(" 00:00:00Z"))))
     return F.when(zoned, F.try_to_timestamp(t)).otherwise(F.to_utc_timestamp(local, zone))
 
 
