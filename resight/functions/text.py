@@ -52,7 +52,8 @@ def clean_identity(c: Column) -> Column:
 def folded(c: Column) -> Column:
     """ASCII lower case without accents: dashes as hyphens, other characters dropped, white space squeezed."""
     t = F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), BLANKS, " "), DASHES, "-" * len(DASHES))
-    t = F.regexp_replace(F.translate(t, _ACCENTED, _PLAIN), "[^\\x00-\\x7F]", "")
+    plain = F.regexp_replace(F.translate(t, _ACCENTED, _PLAIN), "[^\\x00-\\x7F]", "")
+    t = F.when(t.rlike("[^\\x00-\\x7F]"), plain).otherwise(t)
     return F.trim(F.regexp_replace(F.lower(t), " +", " "))
 
 
