@@ -41,4 +41,13 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN s
 OP7 = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT h, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY h)
 SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to FROM p LEFT JOIN f USING (h)"""
 
-ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op5_licenses": OP5, "op7_warc": OP7}
+OP9 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+ s AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 200)) AS g FROM d, unnest(range(n - 99)) t(i)),
+ again AS (SELECT doc_id, i, true AS hit FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM s) WHERE r > 1),
+ bytes AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b FROM d, unnest(range(n)) t(i)),
+ gone AS (SELECT doc_id, i, b, coalesce(bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), false) AS gone FROM bytes LEFT JOIN again USING (doc_id, i)),
+ runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM gone),
+ sums AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM runs GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op5_licenses": OP5, "op7_warc": OP7, "op9_remove_repeats": OP9}
