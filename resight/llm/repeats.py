@@ -77,11 +77,27 @@ def _pieces(off: np.ndarray, lo: int, hi: int, length: int) -> Iterator[tuple[in
             yield r, o, min(n - o, _ROW_BYTES + length - 1)
 
 
+def _settled_early(a: np.ndarray) -> np.ndarray:
+    """Stretches (key, whole, _ord, at) of a batch, those that repeat one of the batch marked by whole = 0.
+
+    Marked ones get a key of their own: they are spread evenly, and a stretch that very many documents share doesn't meet in one
+    task as often as it occurs.
+    """
+    a = a[:, np.lexsort((a[3], a[2]))]
+    _, first = np.unique(B.mixed(a[0].view(B.U64)) ^ a[1].view(B.U64), return_index=True)
+    again = np.ones(a.shape[1], bool)
+    again[first] = False
+    a[0, again] = B.mixed(a[2, again].view(B.U64) ^ B.mixed(a[3, again].view(B.U64))).view(np.int64)
+    a[1, again] = 0
+    return a
+
+
 def _find_stretches(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = B.text_bytes(b.column("_text"))
             order = b.column("_ord").to_numpy()
+            found = []
             for lo, hi in B.row_slices(b.column("_text")):
                 todo = list(_pieces(off, lo, hi, length))
                 while todo:
@@ -95,9 +111,10 @@ def _find_stretches(length: int, k: int):
                     first, count, key, whole, twice = _stretches(text, begin, length, k)
                     piece = np.searchsorted(begin, first, side="right") - 1
                     place = first - begin[piece] + start[piece]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(order[row[piece]]), pa.array((place << 8) | (count << 1) | twice)], names=["key", "whole", "_ord", "at"]
-                    )
+                    found.append(np.stack([key.view(np.int64), whole.view(np.int64), order[row[piece]], (place << 8) | (count << 1) | twice]))
+            if found:
+                a = _settled_early(np.concatenate(found, axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in a], names=["key", "whole", "_ord", "at"])
 
     return run
 
@@ -126,6 +143,9 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros((4, 0), np.int64)
     for b in batches:
         a = np.stack([b.column(c).to_numpy() for c in ("key", "whole", "_ord", "at")])
+        if (known := a[1] == 0).any():
+            yield rows(a[:, known], False)
+            a = a[:, ~known]
         a = np.concatenate([held, a], axis=1)
         if not a.shape[1]:
             continue
