@@ -148,7 +148,7 @@ _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
 def find_passages(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None, size: int = 13, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """The columns `keep` of docs (all by default) with `_n_words`, `_spans` and `_items`.
+    """The columns `keep` of docs (all by default, but those named as a result) with `_n_words`, `_spans` and `_items`.
 
     `_spans` are the maximal ranges [first, end) of words inside an occurrence of a window of `size` words of an item (an
     item of fewer words, but not none, is one window); `_items` the sorted ids, as strings, of items with occurring windows.
@@ -156,7 +156,7 @@ def find_passages(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     items nothing is hit.  The items go out in blocks of about `pass_bytes` (the bound of what is broadcast), each searched
     for in one pass over all documents.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in docs.columns if c not in ("_n_words", "_spans", "_items")] if keep is None else keep
     spark = docs.sparkSession
     total = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     passes = max(1, -(-int(total) // pass_bytes))
@@ -195,7 +195,8 @@ def find_passages(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
 N_HIT = "aggregate(_spans, 0L, (a, x) -> a + x.end - x.first)"
 
 
-def clean_only(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """docs without the contaminated ones (some word hit, and one word in twenty or more)."""
-    found = find_passages(docs, items, **how)
-    return found.filter(f"NOT ({N_HIT} > 0 AND 20 * {N_HIT} >= _n_words)").select(*docs.columns)
+def clean_only(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
+    """docs without the contaminated ones (some word hit, and one word in twenty or more); all columns stay, whatever their names."""
+    packed = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))
+    found = find_passages(packed, items, keep=["doc"], **how)
+    return found.filter(f"NOT ({N_HIT} > 0 AND 20 * {N_HIT} >= _n_words)").select("doc.*")

@@ -170,14 +170,14 @@ _FOUND = "_counts array<bigint>, _base_sha256 string, _base string, _all string,
 
 
 def find(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, mask: bool = False) -> DataFrame:
-    """The columns `keep` of docs (all by default) with the personal data of the whole text.
+    """The columns `keep` of docs (all by default, but those named as a result) with the personal data of the whole text.
 
     `_counts` of base spans by kind (email, ip, card, phone), `_base` and `_all` spans as kind:start:end (code points, end
     exclusive) by start, then kind, comma-joined; `_base_sha256` of `_base`; `_masked`, where asked for, the text with all
     spans replaced (null for null).  A null text counts as empty.  A disguised identifier is added where no base one of
     its kind overlaps it.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in docs.columns if c not in ("_counts", "_base_sha256", "_base", "_all", "_masked")] if keep is None else keep
     base = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,5 +215,6 @@ def find(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
 
 def mask_text(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs with all personal data in text_col replaced; all columns and rows stay."""
-    found = find(docs, text_col=text_col, mask=True)
-    return found.select(*(F.col("_masked").alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    packed = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))
+    found = find(packed, keep=["doc"], mask=True)
+    return found.select(*(F.col("_masked").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns))

@@ -3,7 +3,7 @@
 import random
 import re
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, target string, _fp string, at int, h string, n bigint"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, target string, _fp string, at int, h string, n bigint, _lang string, _n_words string, _masked int, _row string, _text string, _ord int, doc string"
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -27,7 +27,7 @@ def rows(unique=True):
     t = texts()
     ids = list(range(100, 100 + 3 * len(t), 3)) if unique else [None if i == 4 else 7 * (i // 2) for i in range(len(t))]
     random.Random(5).shuffle(ids)
-    return [(d, x, [None, "en", "fr"][i % 3], [None, "a", "b", "B", "ä"][i % 5], len(x or ""), 1, "t", "f", 2, "h", 3) for i, (d, x) in enumerate(zip(ids, t, strict=True))]
+    return [(d, x, [None, "en", "fr"][i % 3], [None, "a", "b", "B", "ä"][i % 5], len(x or ""), 1, "t", "f", 2, "h", 3, "l", "n", 4, "r", "x", 5, "d") for i, (d, x) in enumerate(zip(ids, t, strict=True))]
 
 
 def frame(spark, unique=True):
