@@ -156,7 +156,7 @@ def links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
 
     prints (_fp, id) holds every fingerprint once.  Every pair within the radius is found; of the links of a pair
     of tiles a spanning forest is returned, which connects the same ids.  A tile goes to the tiles whose word
-    counts are near enough.  There are at most 17^4 combinations of word counts: tables with a row for each are
+    counts are near enough.  There are at most 17^4 combinations of word counts: a table of two numbers for each is
     broadcast.
     """
     spark = prints.sparkSession
@@ -179,7 +179,7 @@ def links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
 
     homes = tiles.select(F.col("cell"), F.col("nth"), F.lit(False).alias("guest"), "fps", "ids")
     guests = (
-        tiles.join(F.broadcast(near), "cell")
+        tiles.join(near.hint("merge"), "cell")
         .withColumn("goal", F.explode("goals"))
         .withColumn("to", F.explode(F.expr("sequence(0L, goal.tiles - 1)")))
         .filter("goal.other <> cell OR to > nth")
