@@ -123,9 +123,10 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             langs = np.array([number[x] for x in b.column("lang").to_pylist()], np.int64)
             for lo, hi, texts in _slices(b.column("text")):
                 key, row, _ = grams(texts)
-                pair = np.stack([langs[lo:hi][row], key.view(np.int64)])
-                u, n = np.unique(pair, axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1]), pa.array(n)], names=["l", "g", "n"])
+                own = langs[lo:hi][row]
+                for lang in np.unique(own):
+                    u, n = np.unique(key[own == lang], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), lang)), pa.array(u.view(np.int64)), pa.array(n)], names=["l", "g", "n"])
 
     counted = chosen.select("lang", "text").mapInArrow(count, "l bigint, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n"))
     rank = F.expr("row_number() OVER (PARTITION BY l ORDER BY n DESC, g)")
