@@ -142,12 +142,12 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all by default) with `_lang`, a learned language or `und`, and `_lang_score` from 0 to 1.
+    """The columns `keep` of docs (all by default, but those named as a result) with `_lang`, a learned language or `und`, and `_lang_score` from 0 to 1.
 
     `und` is for texts that are null or without a letter, and for all where nothing was learned; ties go to the first
     language by name.  The score is the share of the text's n-grams that the language contains.  Whole texts are read.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in docs.columns if c not in ("_lang", "_lang_score")] if keep is None else keep
     sent = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"))
 
@@ -157,3 +157,9 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", ke
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(lang, pa.string()), pa.array(score)], names=["_row", "_lang", "_lang_score"])
 
     return base.mapInArrow(run, schema_of([base.schema["_row"]], "_lang string, _lang_score double")).select("_row.*", "_lang", "_lang_score")
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", least: float = 0.1) -> DataFrame:
+    """docs without those in no language: und, or with a score below `least`; all columns stay, whatever their names."""
+    packed = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))
+    return predict(packed, model, keep=["doc"]).filter((F.col("_lang") != "und") & (F.col("_lang_score") >= least)).select("doc.*")
