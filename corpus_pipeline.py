@@ -18,9 +18,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are null, have no letter, or of whose n-grams no language has a quarter."""
-    model = langid.learn(docs)
-    return langid.predict(docs, model).filter("_lang <> 'und' AND _lang_score >= 0.25").select(*docs.columns)
+    """Rejects documents that are null, have no letter, or of whose n-grams no language has a tenth."""
+    return langid.keep_known(docs, langid.learn(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +34,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data in the texts; n_chars follows."""
-    return pii.mask_text(docs).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    hidden = pii.mask_text(docs)
+    return hidden.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else hidden
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
