@@ -24,6 +24,8 @@ from ._spark import ordered, schema_of, written
 KGRAM = 24
 #: Starts in a stretch at most; the number of starts is packed beside the place of the first.
 _STARTS = 127
+#: Different stretches of one key that one task compares at most; more are dealt out string by string.
+STRETCHES_OF_KEY = 20_000
 _ROW_BYTES = 1 << 20
 _SORT_BYTES = 2 << 20
 
@@ -120,14 +122,19 @@ def _find_stretches(length: int, k: int):
 
 
 _STRETCH = "key bigint, whole bigint, _ord bigint, at bigint"
-_FOUND = "key bigint, _ord bigint, at bigint, differs boolean"
+#: What is known of a stretch: it repeats another one, its bytes must be compared, or its strings one by one.
+_REPEAT, _COMPARE, _SPLIT = 0, 1, 2
+_FOUND = "key bigint, _ord bigint, at bigint, kind int"
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by key, then in document order.  Repeats of whole stretches, and stretches whose bytes must be compared."""
+def _settle(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows come by key, then in document order.  Repeats of whole stretches, and stretches whose bytes must be compared.
 
-    def rows(a: np.ndarray, differs: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(a[2]), pa.array(a[3]), pa.array(np.full(a.shape[1], differs))], names=["key", "_ord", "at", "differs"])
+    Where more than `most` different stretches have one key, they are to be split.
+    """
+
+    def rows(a: np.ndarray, kind: np.ndarray | int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(a[2]), pa.array(a[3]), pa.array(np.broadcast_to(np.asarray(kind, np.int32), a.shape[1:]))], names=["key", "_ord", "at", "kind"])
 
     def firsts(a: np.ndarray) -> np.ndarray:
         _, at = np.unique(B.mixed(a[0].view(B.U64)) ^ a[1].view(B.U64), return_index=True)
@@ -135,30 +142,30 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask[at] = True
         return mask
 
-    def compared(a: np.ndarray) -> np.ndarray:
+    def compared(a: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Of first stretches of complete keys: those with others of the key, or periodic ones."""
         _, of, n = np.unique(a[0], return_inverse=True, return_counts=True)
-        return a[:, (n[of] > 1) | (a[3] & 1 > 0)]
+        todo = (n[of] > 1) | (a[3] & 1 > 0)
+        if todo.any():
+            yield rows(a[:, todo], np.where(n[of] > most, _SPLIT, _COMPARE)[todo])
 
     held = np.zeros((4, 0), np.int64)
     for b in batches:
         a = np.stack([b.column(c).to_numpy() for c in ("key", "whole", "_ord", "at")])
         if (known := a[1] == 0).any():
-            yield rows(a[:, known], False)
+            yield rows(a[:, known], _REPEAT)
             a = a[:, ~known]
         a = np.concatenate([held, a], axis=1)
         if not a.shape[1]:
             continue
         first = firsts(a)
         if not first.all():
-            yield rows(a[:, ~first], False)
+            yield rows(a[:, ~first], _REPEAT)
         a = a[:, first]
         last = a[0] == a[0, -1]  # the key may go on in the next batch
         held, a = a[:, last], a[:, ~last]
-        if a.shape[1] and (out := compared(a)).shape[1]:
-            yield rows(out, True)
-    if held.shape[1] and (out := compared(held)).shape[1]:
-        yield rows(out, True)
+        yield from compared(a)
+    yield from compared(held)
 
 
 def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -321,10 +328,18 @@ def _cut_out(length: int):
             for i, need in enumerate(lists):
                 for x in need:
                     place, count = x["at"] >> 8, (x["at"] >> 1) & 127
-                    keys.append(x["key"])
-                    ords.append(order[i])
-                    places.append(place)
-                    parts.append(buf[off[i] + place : off[i] + place + count + length - 1].tobytes())
+                    whole = buf[off[i] + place : off[i] + place + count + length - 1]
+                    if x["kind"] == _COMPARE:
+                        keys.append(x["key"])
+                        ords.append(order[i])
+                        places.append(place)
+                        parts.append(whole.tobytes())
+                        continue
+                    # equal strings have equal hashes: each goes where its hash says
+                    keys += B.RollingHash(whole).windows(length).view(np.int64).tolist()
+                    ords += [order[i]] * count
+                    places += range(place, place + count)
+                    parts += [whole[k : k + length].tobytes() for k in range(count)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ords, pa.int64()), pa.array(places, pa.int64()), pa.array(parts, pa.binary())], names=["key", "_ord", "place", "bytes"])
 
     return run
@@ -358,18 +373,18 @@ def _remove(names: list[str], length: int):
     return run
 
 
-def marks_of(rows: DataFrame, length: int = 100, k: int = KGRAM) -> DataFrame:
+def marks_of(rows: DataFrame, length: int = 100, k: int = KGRAM, most: int = STRETCHES_OF_KEY) -> DataFrame:
     """(_ord, at) for rows (_ord, _text): ranges of starts of strings that occur earlier, packed as place << 8 | starts << 1."""
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     stretches = rows.mapInArrow(_find_stretches(length, k), _STRETCH)
-    found = written(stretches.repartition(n, "key").sortWithinPartitions("key", "_ord", "at").mapInArrow(_settle, _FOUND), "stretches")
-    need = found.filter("differs").groupBy("_ord").agg(F.collect_list(F.struct("key", "at")).alias("need"))
+    found = written(stretches.repartition(n, "key").sortWithinPartitions("key", "_ord", "at").mapInArrow(lambda batches: _settle(batches, most), _FOUND), "stretches")
+    need = found.filter(F.col("kind") != _REPEAT).groupBy("_ord").agg(F.collect_list(F.struct("key", "at", "kind")).alias("need"))
     bytes_ = rows.join(need.hint("shuffle_hash"), "_ord").mapInArrow(_cut_out(length), "key bigint, _ord bigint, place bigint, bytes binary")
     compared = bytes_.repartition(n, "key").sortWithinPartitions("key", "_ord", "place").mapInArrow(_compare(length), "_ord bigint, at bigint")
-    return found.filter("NOT differs").select("_ord", "at").unionByName(compared)
+    return found.filter(F.col("kind") == _REPEAT).select("_ord", "at").unionByName(compared)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, most: int = STRETCHES_OF_KEY) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256) of every document, as UTF-8 bytes.
 
     A byte is removed if it lies in a string of `length` bytes that also starts earlier: in a document with a smaller id, or in
@@ -379,7 +394,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     rows, _ = ordered(docs, id_col, text_col)
     rows = rows.select(F.col(id_col), "_ord", F.col(text_col).alias("_text"))
-    marks = written(marks_of(rows.select("_ord", "_text"), length), "marks")
+    marks = written(marks_of(rows.select("_ord", "_text"), length, most=most), "marks")
     lists = marks.groupBy("_ord").agg(F.collect_list("at").alias("marks"))
     joined = rows.join(lists.hint("shuffle_hash"), "_ord", "left").withColumn("marks", F.coalesce("marks", F.expr("cast(array() AS array<bigint>)"))).select(id_col, "_text", "marks")
     return joined.mapInArrow(_remove([id_col], length), schema_of([rows.schema[id_col]], "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"))

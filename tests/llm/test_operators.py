@@ -290,10 +290,10 @@ def test_pii_disguises(text, found):
     assert found in [text[s:e] for s, _, e in spans]
 
 
-@both
-def test_repeats(spark, unique):
+@pytest.mark.parametrize(("unique", "most"), [(True, 20_000), (True, 1), (False, 20_000)])
+def test_repeats(spark, unique, most):
     rows = cases.rows(unique)
-    got = repeats.remove_repeats(cases.frame(spark, unique)).collect()
+    got = repeats.remove_repeats(cases.frame(spark, unique), most=most).collect()
     assert key((r.doc_id, r.n_bytes) for r in got) == key((d, len((t or "").encode())) for d, t, *_ in rows)
     if unique:
         seen = set()
