@@ -17,17 +17,17 @@ from resight.operators import rules as U
 from resight.operators import sightings as S
 from resight.operators import worklist as W
 
-LINKS = I.UrlRules("linkedin", "linkedin\\.com", ("/jobs/view/([0-9]+)/?$", "/jobs/view/[^/]*-([0-9]{6,})/?$"), ("currentjobid", "jobid"))
+LINKS = I.UrlRules("jobsite", "jobsite\\.com", ("/jobs/view/([0-9]+)/?$", "/jobs/view/[^/]*-([0-9]{6,})/?$"), ("currentjobid", "jobid"))
 
 
 @pytest.mark.parametrize(
     ("url", "found"),
     [
-        ("LinkedIn:42", "linkedin:42"),
-        ("https://www.linkedin.com/jobs/view/123/?trk=x", "linkedin:123"),
-        ("https://de.linkedin.com/jobs/view/data-scientist-at-x-1234567", "linkedin:1234567"),
-        ("https://linkedin.com/jobs/search?CurrentJobId=77&x=1", "linkedin:77"),
-        ("https://linkedin.com/jobs/search?jobId=abc", "linkedin.com/jobs/search"),
+        ("JobSite:42", "jobsite:42"),
+        ("https://www.jobsite.com/jobs/view/123/?trk=x", "jobsite:123"),
+        ("https://de.jobsite.com/jobs/view/data-scientist-at-x-1234567", "jobsite:1234567"),
+        ("https://jobsite.com/jobs/search?CurrentJobId=77&x=1", "jobsite:77"),
+        ("https://jobsite.com/jobs/search?jobId=abc", "jobsite.com/jobs/search"),
         ("Example.org/a%20b+c/?q#f", "example.org/a b+c"),
         ("http://EXAMPLE.org/a%20b+c", "example.org/a b+c"),
         (" NaN ", ""),
