@@ -233,3 +233,30 @@ def test_versions_may_not_change_content(spark):
     assert save_versions(old, old, ["id", "version"]).count() == 0
     with pytest.raises(Exception, match="content changed"):
         save_versions(old.withColumn("sha256", F.lit("y")), old, ["id", "version"]).collect()
+
+
+@pytest.mark.parametrize(
+    ("title", "outcome", "family"),
+    [
+        ("Werkstudent Data Science", "excluded", None),
+        ("Bachelor of Science Data Science", "excluded", None),
+        ("Bachelor-Absolvent als Data Analyst", "target", "analytics_bi"),
+        ("Pflichtpraktikum Analytics", "excluded", None),
+        ("(Senior) Data-Scientist:in", "target", "data_science"),
+        ("Biostatistikerin", "target", "data_science"),
+        ("Power BI Developer", "target", "analytics_bi"),
+        ("Data / Business Analyst", "target", "analytics_bi"),
+        ("Datenanalyst", "target", "analytics_bi"),
+        ("Data Platform Engineer", "unmatched", "data_engineering"),
+        ("AI Solutions Engineer", "unmatched", "ai_engineering"),
+        ("Analytics Engineer", "target", "analytics_bi"),
+        ("Doktorandin Mathematik", "excluded", None),
+        ("Gärtner", "unmatched", None),
+    ],
+)
+def test_job_rules(spark, title, outcome, family):
+    from resight.operators import job_rules as J
+
+    sets = U.RuleSets(target=J.TARGET, adjacent=J.ADJACENT, study=J.STUDY)
+    r = U.classify(spark.createDataFrame([(title, "A")], "title string, company string"), sets).first()
+    assert (r.outcome, r.role_family) == (outcome, family)
