@@ -24,11 +24,12 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
+        # written, so that both sides of the join are dealt by an exchange of their own and Spark can split a hot root
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m"), "least")
         large = edges.selectExpr("b AS a", "a AS v").join(least.hint("merge"), "a").selectExpr("v AS a", "m AS b").distinct()
         # every remaining link of a points downwards; its targets are linked to the smallest of them
         large = written(large, "links")
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        down = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(down.hint("merge"), "a").filter("b <> m").selectExpr("b AS a", "m AS b").unionByName(down.selectExpr("a", "m AS b")).distinct()
         edges = written(small, "links")
         before, state = state, _state(edges)
