@@ -54,11 +54,11 @@ def sample():
 def test_groups_equal_brute_force(spark, unique):
     rows = [(7 * i + 3 if unique else (7 * i) % 50, t) for i, t in enumerate(sample())]
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
-    got = near_duplicates(df).select("doc_id", "_fp", "component").collect()
-    assert sorted((d, f & (2**64 - 1), c) for d, f, c in got) == groups(rows)
+    got = near_duplicates(df).select("doc_id", "_fp", "component", "_root").collect()
+    assert sorted((d, f & (2**64 - 1), c) for d, f, c, _ in got) == groups(rows)
     kept = keep_one(df)
     assert kept.columns == df.columns
-    assert kept.count() == near_duplicates(df).select("_root").distinct().count()
+    assert kept.count() == len({r for *_, r in got})
 
 
 def test_empty_and_null_ids(spark):
@@ -69,6 +69,6 @@ def test_empty_and_null_ids(spark):
 
 
 def test_components_of_chains_and_stars(spark):
-    edges = [(i, i + 1) for i in range(10, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (200, 199), (199, 200)]
+    edges = [(i, i + 1) for i in range(10, 22)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (200, 199), (199, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {**{i: 10 for i in range(11, 61)}, **{i: 100 for i in range(101, 140)}, 200: 199}
+    assert got == {**{i: 10 for i in range(11, 23)}, **{i: 100 for i in range(101, 140)}, 200: 199}
