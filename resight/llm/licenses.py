@@ -4,6 +4,9 @@ A block meets a template if it holds at least a share `threshold` of the templat
 number of documents that hold them, rare ones first.  A block that meets a template holds one of its first words in that order (the
 prefix); enough words of the vocabulary (length); and enough of them on either side of the shared one (position).  Blocks that
 pass are compared exactly.  All of it is DataFrame and SQL functions.
+
+Blocks are lines, sentences in them, and across line ends all runs of as many words as the template has, so that wrapped
+notices are met too.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ TEMPLATES = [
 ]
 _W = "0-9a-z\\x{80}-\\x{10FFFF}"
 WORD = f"[{_W}]+"
-#: Blocks end at line ends, and after a sentence.
+#: Blocks of one line end at line ends, and after a sentence.
 BLOCK_END = "\\n|(?<=[.!?])[ \\t]+"
 
 
@@ -62,19 +65,35 @@ def _bases(phrases: dict[str, str], vocabulary: list[str]) -> str:
     return f"named_struct('n', cast(size(w) AS bigint), 'places', CASE WHEN hit THEN array({', '.join(places)}) ELSE array() END, 'known', array_intersect(w, array({listed})))"
 
 
+def _wrapped(rows: DataFrame, index: list[tuple], known: Column, first: str) -> DataFrame:
+    """(_ord, label, both, size) of the runs of words over a line end that meet a template, around each of its prefix words."""
+    table = rows.sparkSession.createDataFrame([(rank, width, label, need, own) for rank, _, label, need, own, width in index], "rank int, width int, label string, need int, own array<int>")
+    most, prefix = max(r[5] for r in index), ", ".join(map(str, sorted({r[0] for r in index})))
+    line = F.transform(F.split("t", "\n"), lambda b, k: F.transform(_words(b), lambda v: F.struct(F.coalesce(F.try_element_at(known, v), F.lit(-1)).alias("rank"), k.alias("line"))))
+    found = rows.filter(F.col("t").contains("\n") & F.col("t").rlike(first)).select("_ord", F.flatten(line).alias("w"))
+    # of the words, only those that a run with the prefix word can hold go on; a one-element array binds w
+    near = f"slice(w, greatest(i - {most - 1}, 0) + 1, least(i, {most - 1}) + {most})"
+    found = found.select("_ord", F.expr(f"inline(flatten(transform(array(w), w -> transform(filter(sequence(0, size(w) - 1), i -> w[i].rank IN ({prefix})), i -> struct(w[i].rank AS rank, least(i, {most - 1}) AS at, {near} AS near)))))"))
+    found = found.filter("near[0].line < near[size(near) - 1].line").select("_ord", "rank", "at", F.col("near.rank").alias("ranks"), F.col("near.line").alias("lines"))
+    pairs = found.join(F.broadcast(table), "rank").filter("size(array_intersect(own, slice(ranks, greatest(at - width + 1, 0) + 1, 2 * width - 1))) >= need")
+    run = "CASE WHEN lines[i] < lines[least(i + width, size(lines)) - 1] THEN size(array_intersect(own, slice(ranks, i + 1, width))) END"
+    best = F.expr(f"array_max(transform(sequence(greatest(at - width + 1, 0), at), i -> {run}))")
+    return pairs.select("_ord", "label", "need", best.alias("both"), F.size("own").alias("size")).filter("both >= need").drop("need")
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
     """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score) of every document.
 
     Base: all places where the words of a phrase stand one after the other, words lower-cased (A-Z) and counted from 0; first_word
-    and last_word are null where there is none.  labels also holds the labels of templates that some block (a line, or a sentence of
-    it) meets; score is 1 where there is a base place, else the largest share of a template's words found in a block that
+    and last_word are null where there is none.  labels also holds the labels of templates that some block (a line, a sentence of
+    it, or a run over a line end of as many words as the template has) meets; score is 1 where there is a base place, else the largest share of a template's words found in a block that
     meets it, else 0.  Labels are sorted, different and comma-joined.  A null text counts as empty; rows of equal ids are rows of
     their own.  The templates are a fixed list: tables made from them have a row for each of their words.
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     spark = docs.sparkSession
-    sets = [(label, set(words_of(t))) for label, t in templates if words_of(t)]
-    vocabulary = sorted(set().union(*(s for _, s in sets))) if sets else []
+    sets = [(label, set(words_of(t)), len(words_of(t))) for label, t in templates if words_of(t)]
+    vocabulary = sorted(set().union(*(s for _, s, _ in sets))) if sets else []
     rows, _ = ordered(docs, id_col, text_col)
     rows = rows.select(F.col(id_col).alias("_id"), "_ord", F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
 
@@ -102,11 +121,11 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     counts = {r.v: r.n for r in figures.select(F.explode("known").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = {v: i for i, v in enumerate(sorted(vocabulary, key=lambda v: (counts.get(v, 0), v)))}
     index, prefix = [], set()
-    for label, words in sets:
+    for label, words, width in sets:
         ranks = sorted(order[v] for v in words)
         need = max(1, math.ceil(threshold * len(ranks) - 1e-9))
         for i in range(len(ranks) - need + 1):
-            index.append((ranks[i], i, label, need, ranks))
+            index.append((ranks[i], i, label, need, ranks, width))
             prefix.add(ranks[i])
     if not index:
         met = spark.createDataFrame([], "_ord bigint, found array<string>, share double")
@@ -117,9 +136,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
         blocks = rows.filter(F.col("t").rlike(first)).select("_ord", F.explode(F.filter(F.split("t", BLOCK_END), lambda b: b.rlike(first))).alias("b"))
         blocks = blocks.select("_ord", F.array_sort(F.filter(F.transform(F.array_distinct(_words(F.col("b"))), lambda v: F.try_element_at(known, v)), lambda r: r.isNotNull())).alias("ranks"))
         tokens = blocks.filter(F.size("ranks") >= least).select("_ord", "ranks", F.posexplode("ranks").alias("at", "rank"))
-        table = spark.createDataFrame(index, "rank int, place int, label string, need int, own array<int>")
+        table = spark.createDataFrame([x[:5] for x in index], "rank int, place int, label string, need int, own array<int>")
         pairs = tokens.join(F.broadcast(table), "rank").filter("size(ranks) >= need AND least(at, place) + 1 + least(size(ranks) - at, size(own) - place) - 1 >= need")
         pairs = pairs.select("_ord", "label", "need", F.expr("size(array_intersect(ranks, own))").alias("both"), F.size("own").alias("size")).filter("both >= need")
+        pairs = pairs.drop("need").unionByName(_wrapped(rows, index, known, first))
         met = pairs.groupBy("_ord").agg(F.collect_set("label").alias("found"), F.max(F.col("both") / F.col("size")).alias("share"))
     out = figures.join(met.hint("shuffle_hash"), "_ord", "left")
     return out.select(

@@ -179,6 +179,20 @@ def test_licenses_prefix_join_equals_brute_force(spark):
         assert got[i] == ",".join(sorted(found))
 
 
+def test_licenses_wrapped(spark):
+    import textwrap
+
+    marks = ["", " * ", "# ", "dnl "]
+    docs = [(i, f"{i} words before\n" + textwrap.indent(textwrap.fill(t, [72, 30][i % 2]), marks[i % 4]) + "\nand words after", label) for i, (label, t) in enumerate(licenses.TEMPLATES)]
+    docs += [(100 + i, "\r\n\r\n".join(t.split()), label) for i, (label, t) in enumerate(licenses.TEMPLATES)]
+    docs += [(200, "all of it\nby rights of\nreserved seats", ""), (201, "Permission is hereby granted, free of charge,\nto any person " + "x " * 40 + "obtaining a copy\nof this software and associated documentation files", "")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([x[:2] for x in docs], "doc_id bigint, text string")).collect()}
+    for i, t, label in docs:
+        assert label in got[i].labels.split(","), t
+        assert got[i].score == 0 if i in (200, 201) else got[i].score >= 0.8
+    assert all(got[i].score == 1 for i in got if 100 <= i < 200)
+
+
 @both
 def test_lm(spark, unique):
     rows = cases.rows(unique)
