@@ -24,7 +24,7 @@ from ._spark import ordered, schema_of, written
 KGRAM = 24
 #: Starts in a stretch at most; the number of starts is packed beside the place of the first.
 _STARTS = 127
-#: Different stretches of one key that one task compares at most; more are dealt out string by string.
+#: Different stretches of one key that one task compares at most; more are dealt out string by string, equal strings held once.
 STRETCHES_OF_KEY = 20_000
 _ROW_BYTES = 1 << 20
 _SORT_BYTES = 2 << 20
@@ -130,7 +130,8 @@ _FOUND = "key bigint, _ord bigint, at bigint, kind int"
 def _settle(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Rows come by key, then in document order.  Repeats of whole stretches, and stretches whose bytes must be compared.
 
-    Where more than `most` different stretches have one key, they are to be split.
+    Where more than `most` different stretches have one key, they are to be split.  From then on none of the key is held: of
+    later ones only those that repeat one of their batch are settled, the others are split too.
     """
 
     def rows(a: np.ndarray, kind: np.ndarray | int) -> pa.RecordBatch:
@@ -149,7 +150,7 @@ def _settle(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         if todo.any():
             yield rows(a[:, todo], np.where(n[of] > most, _SPLIT, _COMPARE)[todo])
 
-    held = np.zeros((4, 0), np.int64)
+    held, hot = np.zeros((4, 0), np.int64), None
     for b in batches:
         a = np.stack([b.column(c).to_numpy() for c in ("key", "whole", "_ord", "at")])
         if (known := a[1] == 0).any():
@@ -162,7 +163,15 @@ def _settle(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         if not first.all():
             yield rows(a[:, ~first], _REPEAT)
         a = a[:, first]
+        if hot is not None and (more := a[0] == hot).any():
+            yield rows(a[:, more], _SPLIT)
+            a = a[:, ~more]
+            if not a.shape[1]:
+                held = a
+                continue
         last = a[0] == a[0, -1]  # the key may go on in the next batch
+        if last.sum() > most:
+            hot, last = a[0, -1], np.zeros(a.shape[1], bool)
         held, a = a[:, last], a[:, ~last]
         yield from compared(a)
     yield from compared(held)
@@ -286,6 +295,9 @@ def _repeats(parts: list[np.ndarray], starts: np.ndarray, length: int) -> np.nda
 def _compare(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, np.ndarray]] = []
+        # strings of the key that are rows of their own: later copies are repeats at once, and not held
+        seen: set[bytes] = set()
+        current = None
 
         def settle(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch | None:
             starts = np.array([len(r[3]) - length + 1 for r in rows], np.int64)
@@ -306,13 +318,26 @@ def _compare(length: int):
         for b in batches:
             key, order, place = (b.column(c).to_numpy() for c in ("key", "_ord", "place"))
             buf, off = B.text_bytes(b.column("bytes"))
+            again = []
             for i in range(b.num_rows):
-                if size >= _SORT_BYTES and held[-1][0] != key[i]:
-                    if (out := settle(held)) is not None:
-                        yield out
-                    held, size = [], 0
+                if off[i] == off[i + 1]:
+                    again.append(i)
+                    continue
+                if current != key[i]:
+                    current, seen = key[i], set()
+                    if size >= _SORT_BYTES:
+                        if (out := settle(held)) is not None:
+                            yield out
+                        held, size = [], 0
+                if off[i + 1] - off[i] == length:
+                    if (string := buf[off[i] : off[i + 1]].tobytes()) in seen:
+                        again.append(i)
+                        continue
+                    seen.add(string)
                 held.append((key[i], order[i], place[i], buf[off[i] : off[i + 1]].copy()))
                 size += int(off[i + 1] - off[i])
+            if again:
+                yield pa.RecordBatch.from_arrays([pa.array(order[again]), pa.array((place[again] << 8) | (1 << 1))], names=["_ord", "at"])
         if held and (out := settle(held)) is not None:
             yield out
 
@@ -320,11 +345,18 @@ def _compare(length: int):
 
 
 def _cut_out(length: int):
+    """The bytes of stretches, and of the strings of those that are split.
+
+    A string that another one of its batch equals and precedes is a repeat, whatever other batches hold: it goes on without
+    bytes, by a key of its own, so that a hot string doesn't meet in one task as often as it occurs.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = B.text_bytes(b.column("_text"))
             order, lists = b.column("_ord").to_numpy(), b.column("need").to_pylist()
             keys, ords, places, parts = [], [], [], []
+            alone, least = [], {}
             for i, need in enumerate(lists):
                 for x in need:
                     place, count = x["at"] >> 8, (x["at"] >> 1) & 127
@@ -336,10 +368,19 @@ def _cut_out(length: int):
                         parts.append(whole.tobytes())
                         continue
                     # equal strings have equal hashes: each goes where its hash says
+                    alone += range(len(keys), len(keys) + count)
                     keys += B.RollingHash(whole).windows(length).view(np.int64).tolist()
                     ords += [order[i]] * count
                     places += range(place, place + count)
                     parts += [whole[k : k + length].tobytes() for k in range(count)]
+            for j in alone:
+                at = (ords[j], places[j])
+                if at < least.get(parts[j], (np.inf,)):
+                    least[parts[j]] = at
+            if again := [j for j in alone if least[parts[j]] != (ords[j], places[j])]:
+                own = B.mixed(np.array([ords[j] for j in again], np.int64).view(B.U64) ^ B.mixed(np.array([places[j] for j in again], np.int64).view(B.U64)))
+                for j, k in zip(again, own.view(np.int64).tolist(), strict=True):
+                    keys[j], parts[j] = k, b""
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ords, pa.int64()), pa.array(places, pa.int64()), pa.array(parts, pa.binary())], names=["key", "_ord", "place", "bytes"])
 
     return run

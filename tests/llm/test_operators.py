@@ -339,3 +339,54 @@ def test_suffix_order_is_sorted():
         raw = text.tobytes() + bytes(300)
         strings = [raw[i : i + 100] for i in order.tolist()]
         assert strings == sorted(strings) and set(wanted.tolist()) <= set(order.tolist())
+
+
+def test_repeats_of_a_hot_line_in_different_contexts(spark):
+    line = "a line that very many documents hold between words of their own, and that is longer than a hundred bytes, by some"
+    docs = [(i, f"{i * 7919 % 1009} begins {i} " * 4 + line + f" {i * 31 % 997} ends {i}" * 4) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {m: {r.doc_id: tuple(r) for r in repeats.remove_repeats(df, most=m).collect()} for m in (20_000, 20)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    seen = set()
+    for d, t in docs:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(b[i : i + 100])
+        kept = hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()
+        for m in got:
+            assert (got[m][d][2], got[m][d][4]) == (sum(gone), kept), (m, d)
+
+
+def test_repeats_hold_a_hot_string_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    # equal strings: one is held
+    sizes, real = [], repeats._repeats
+    monkeypatch.setattr(repeats, "_repeats", lambda parts, *a: (sizes.append(len(parts)), real(parts, *a))[1])
+    batch = lambda n: pa.RecordBatch.from_arrays([pa.array([5] * 100), pa.array(range(100 * n, 100 * n + 100)), pa.array([3] * 100), pa.array([bytes(range(100))] * 100)], names=["key", "_ord", "place", "bytes"])
+    out = [x for b in repeats._compare(100)(batch(n) for n in range(50)) for x in b.column("_ord").to_pylist()]
+    assert sorted(out) == list(range(1, 5000)) and max(sizes) == 1
+    # of a batch, one goes on with its bytes
+    text = "x" * 20 + "".join(map(chr, range(33, 126))) + "y" * 20
+    need = [[{"key": 1, "at": (20 << 8) | (1 << 1), "kind": repeats._SPLIT}]] * 50
+    cut = next(repeats._cut_out(93)(iter([pa.RecordBatch.from_arrays([pa.array(range(50, 0, -1)), pa.array([text] * 50), pa.array(need)], names=["_ord", "_text", "need"])])))
+    assert [o for o, x in zip(cut.column("_ord").to_pylist(), cut.column("bytes").to_pylist(), strict=True) if x] == [1]
+    assert len(set(cut.column("key").to_pylist())) == 50
+    # stretches of a hot key go on before the key ends
+    taken = []
+    def batches():
+        for n in range(20):
+            taken.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(100, 9)), pa.array(np.arange(100) % 60 + 100 * n + 1), pa.array(np.arange(100) + 100 * n), pa.array(np.full(100, 2))], names=["key", "whole", "_ord", "at"])
+    settled = [(len(taken), b) for b in repeats._settle(batches(), 150)]
+    kinds = [k for _, b in settled for k in b.column("kind").to_pylist()]
+    assert kinds.count(repeats._SPLIT) == 1200 and kinds.count(repeats._REPEAT) == 800
+    assert next(n for n, b in settled if repeats._SPLIT in b.column("kind").to_pylist()) == 3
