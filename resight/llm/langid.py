@@ -1,6 +1,6 @@
 """Language identification with language-bitmask n-gram filters.
 
-A learned table has, for a slot of a Bloom filter, a bit for each language.  The conjunction of an n-gram's slots gives the
+A learned table has, for a slot of a Bloom filter, a bit for each language, in as many 64-bit words as they need.  The conjunction of an n-gram's slots gives the
 languages that contain it, all at once.  Per-language counts over a text's n-grams, less the expected false positives, decide.
 """
 
@@ -22,8 +22,8 @@ from ._spark import schema_of
 DOCS_PER_LANGUAGE = 2000
 #: N-grams kept for each language at most.
 GRAMS_PER_LANGUAGE = 20_000
-#: Languages at most: the width of the bit masks.
-LANGUAGES = 64
+#: Of languages with so few documents, n-grams that occur once are kept too.
+FEW_DOCS = 20
 SLOT_BITS = 18
 PROBES = 3
 
@@ -73,12 +73,12 @@ class LanguageModel:
     false_rate: np.ndarray
 
     @classmethod
-    def build(cls, languages: list[str], key: np.ndarray, mask: np.ndarray) -> LanguageModel:
-        slots = np.zeros(1 << SLOT_BITS, B.U64)
+    def build(cls, languages: list[str], key: np.ndarray, lang: np.ndarray) -> LanguageModel:
+        """From n-grams and the number of a language that contains each; a row of slots for 64 languages each."""
+        slots = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), B.U64)
         for i in cls.places(key):
-            np.bitwise_or.at(slots, i, mask)
-        bits = np.arange(len(languages), dtype=B.U64)
-        fill = np.array([((slots >> b) & B.U64(1)).mean() for b in bits])
+            np.bitwise_or.at(slots, (lang >> 6, i), B.U64(1) << (lang & 63).astype(B.U64))
+        fill = np.array([((slots[b >> 6] >> B.U64(b & 63)) & B.U64(1)).mean() for b in range(len(languages))])
         return cls(languages, slots, fill**PROBES)
 
     @staticmethod
@@ -91,10 +91,13 @@ class LanguageModel:
         for lo, hi, texts in _slices(column):
             key, row, some = grams(texts)
             n = np.bincount(row, minlength=hi - lo)
-            mask = np.full(len(key), ~B.U64(0))
-            for i in self.places(key):
-                mask &= self.slots[i]
-            hits = np.stack([np.bincount(row, ((mask >> B.U64(b)) & B.U64(1)).astype(np.float64), hi - lo) for b in range(len(self.languages))], axis=1) if self.languages else np.zeros((hi - lo, 0))
+            hits, places = np.zeros((hi - lo, len(self.languages))), self.places(key)
+            for w, slots in enumerate(self.slots):
+                mask = np.full(len(key), ~B.U64(0))
+                for i in places:
+                    mask &= slots[i]
+                for b in range(64 * w, min(64 * w + 64, len(self.languages))):
+                    hits[:, b] = np.bincount(row, ((mask >> B.U64(b & 63)) & B.U64(1)).astype(np.float64), hi - lo)
             if hits.shape[1]:
                 true = np.clip((hits - n[:, None] * self.false_rate) / (1 - self.false_rate), 0, None)
                 best[lo:hi] = np.where(some, true.argmax(axis=1), -1)
@@ -106,16 +109,16 @@ class LanguageModel:
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> LanguageModel:
     """A model from labelled documents: about `docs_per_language` of each language, chosen by a hash of the id.
 
-    Rows without a label or a text are left out.  The counting is Spark's; at most GRAMS_PER_LANGUAGE rows for each of
-    at most LANGUAGES languages come to the driver.
+    Rows without a label or a text are left out; every label is learned.  The counting is Spark's; a count and at most
+    GRAMS_PER_LANGUAGE rows for each language come to the driver.
     """
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).filter("lang IS NOT NULL")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
-        return LanguageModel.build([], np.zeros(0, B.U64), np.zeros(0, B.U64))
-    share = F.create_map(*(F.lit(x) for l in languages for x in (l, min(1.0, docs_per_language / counts[l]))))
-    chosen = labelled.filter(F.col("lang").isin(languages)).filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+        return LanguageModel.build([], np.zeros(0, B.U64), np.zeros(0, np.int64))
+    shares = docs.sparkSession.createDataFrame([(l, min(1.0, docs_per_language / counts[l])) for l in languages], "lang string, share double")
+    chosen = labelled.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     number = {l: i for i, l in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,15 +133,16 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     counted = chosen.select("lang", "text").mapInArrow(count, "l bigint, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n"))
     rank = F.expr("row_number() OVER (PARTITION BY l ORDER BY n DESC, g)")
-    rows = counted.filter("n > 1").withColumn("r", rank).filter(F.col("r") <= GRAMS_PER_LANGUAGE).select("l", "g", "n").toPandas()
-    total = np.maximum(np.bincount(rows.l, rows.n, len(languages)), 1)
+    few = [i for l, i in number.items() if counts[l] <= FEW_DOCS]
+    rows = counted.filter((F.col("n") > 1) | F.col("l").isin(few)).withColumn("r", rank).filter(F.col("r") <= GRAMS_PER_LANGUAGE).select("l", "g", "n").toPandas()
+    lang = rows.l.to_numpy()
+    total = np.maximum(np.bincount(lang, rows.n, len(languages)), 1)
     key, of = np.unique(rows.g.to_numpy().view(B.U64), return_inverse=True)
-    rate = np.zeros((len(key), len(languages)))
-    rate[of, rows.l.to_numpy()] = rows.n.to_numpy() / total[rows.l.to_numpy()]
+    rate, most = rows.n.to_numpy() / total[lang], np.zeros(len(key))
+    np.maximum.at(most, of, rate)
     # a language contains an n-gram that it uses often enough, also beside the language that uses it most
-    has = (rate > 1e-5) & (rate >= rate.max(axis=1, keepdims=True, initial=0) / 20)
-    mask = (has.astype(B.U64) << np.arange(len(languages), dtype=B.U64)).sum(axis=1, dtype=B.U64)
-    return LanguageModel.build(languages, key, mask)
+    has = (rate > 1e-5) & (rate >= most[of] / 20)
+    return LanguageModel.build(languages, key[of[has]], lang[has])
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -160,6 +164,11 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", ke
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", least: float = 0.1) -> DataFrame:
-    """docs without those in no language: und, or with a score below `least`; all columns stay, whatever their names."""
+    """docs without those in no language: und, or with a score below `least`; all columns stay, whatever their names.
+
+    Where nothing was learned, all documents with a letter stay.
+    """
+    if not model.languages:
+        return docs.filter(F.col(text_col).rlike("\\p{L}"))
     packed = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))
     return predict(packed, model, keep=["doc"]).filter((F.col("_lang") != "und") & (F.col("_lang_score") >= least)).select("doc.*")

@@ -79,6 +79,22 @@ def test_langid(spark):
     assert {r._lang for r in langid.predict(cases.frame(spark), nothing).collect()} == {"und"}
 
 
+def test_langid_learns_every_label(spark):
+    # 70 languages with scripts of their own, the last with one document
+    rows = [(100 * i + j, "".join(chr(0x4E00 + 64 * i + (j + 7 * k) % 60) + " " * (k % 5 == 0) for k in range(80)), f"l{i:02}") for i in range(70) for j in range(1 if i == 69 else 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.learn(df)
+    assert len(model.languages) == 70
+    assert all(r._lang == r.lang and r._lang_score > 0.5 for r in langid.predict(df, model).collect())
+    assert langid.keep_known(df, model).count() == len(rows)
+
+
+def test_langid_keeps_letters_where_nothing_is_learned(spark):
+    df = cases.frame(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = [r.doc_id for r in langid.keep_known(df, langid.learn(df)).collect()]
+    assert sorted(kept) == sorted(d for d, t, *_ in cases.rows() if any(c.isalpha() for c in t or ""))
+
+
 @both
 @pytest.mark.parametrize("pass_bytes", [1 << 20, 200])
 def test_decontaminate(spark, unique, pass_bytes):
