@@ -39,7 +39,11 @@ def normalized(text: str) -> tuple[str, list[int], list[int]]:
 
 
 def _span(quote: str, source: str) -> tuple[int, int] | None:
-    folded, start, end = normalized(source)
+    return _span_in(quote, normalized(source))
+
+
+def _span_in(quote: str, source: tuple[str, list[int], list[int]]) -> tuple[int, int] | None:
+    folded, start, end = source
     q = normalized(quote)[0].strip()
     for v in (q, q.lstrip("•*- ").strip(), q.rstrip(".")):
         if v and (at := folded.find(v)) >= 0:
@@ -70,11 +74,38 @@ def _typo_span(quote: str, source: str) -> tuple[int, int] | None:
     return found[0] if len(found) == 1 else None
 
 
+def _elsewhere(misses: DataFrame, sources: DataFrame) -> DataFrame:
+    """(doc, ref, quote, found) of misses (doc, ref, quote) that exactly one other source of the document and family holds.
+
+    The family is the ref before its first dot.  The sources of a document are folded once for all its quotes.
+    """
+    family = F.substring_index("ref", ".", 1).alias("family")
+    asked = misses.distinct().groupBy("doc", family).agg(F.collect_list(F.struct("ref", "quote")).alias("asked"))
+    held = sources.groupBy("doc", family).agg(F.collect_list(F.struct("ref", "text")).alias("held"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for d, asked, held in zip(b["doc"], b["asked"], b["held"], strict=True):
+                folded = [(x["ref"], normalized(x["text"])) for x in held if x["text"] is not None]
+                hits: dict[str, list] = {}
+                for a in asked:
+                    if (q := a["quote"]) not in hits:
+                        hits[q] = [(ref, span) for ref, f in folded if (span := _span_in(q, f))]
+                    if len(others := [h for h in hits[q] if h[0] != a["ref"]]) == 1:
+                        rows.append((d, a["ref"], q, {"ref": others[0][0], "start": others[0][1][0], "end": others[0][1][1]}))
+            yield pd.DataFrame(rows, columns=["doc", "ref", "quote", "found"])
+
+    doc, ref = (misses.schema[c].dataType.simpleString() for c in ("doc", "ref"))
+    return asked.join(held, ["doc", "family"]).mapInPandas(run, f"doc {doc}, ref {ref}, quote string, found struct<ref:{ref},start:bigint,end:bigint>")
+
+
 def resolve(quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """quotes (doc, ref, quote) with start, end (code points), method and error, against sources (doc, ref, text).
+    """quotes (doc, ref, quote) with start, end (code points), method, error and source_ref, against sources (doc, ref, text).
 
-    Exact hits are native; only the others go to Arrow batches, each with its own source: typography variants, then one typo
-    in a long word that is no qualifier, between unchanged words and in one place only.
+    Exact hits are native; only the others go to Arrow batches, each with its own source: typography variants, then the only
+    other source of the document and family that holds the quote (method source_reference; source_ref tells which), then one
+    typo in a long word that is no qualifier, between unchanged words and in one place only.
     """
     both = quotes.join(sources, ["doc", "ref"], "left").withColumn("at", F.expr("instr(text, quote)"))
     exact = both.filter("at > 0").select("doc", "ref", "quote", (F.col("at") - 1).cast("bigint").alias("start"), (F.col("at") - 1 + F.length("quote")).cast("bigint").alias("end"), F.lit("exact").alias("method"), F.lit(None).cast("string").alias("error"))
@@ -99,7 +130,13 @@ def resolve(quotes: DataFrame, sources: DataFrame) -> DataFrame:
 
     rest = both.filter("at IS NULL OR at = 0").select("doc", "ref", "quote", "text")
     kinds = f"doc {both.schema['doc'].dataType.simpleString()}, ref {both.schema['ref'].dataType.simpleString()}"
-    return exact.unionByName(rest.mapInPandas(run, f"{kinds}, quote string, start bigint, end bigint, method string, error string"))
+    tried = rest.mapInPandas(run, f"{kinds}, quote string, start bigint, end bigint, method string, error string")
+    missed = (F.col("method").isNull() | (F.col("method") == "typo")) & (F.coalesce("quote", F.lit("")) != "")
+    own = tried.join(_elsewhere(tried.filter(missed).select("doc", "ref", "quote"), sources), ["doc", "ref", "quote"], "left")
+    moved = F.col("found").isNotNull()
+    put = {"start": F.col("found.start"), "end": F.col("found.end"), "method": F.lit("source_reference"), "error": F.lit(None).cast("string")}
+    own = own.select("doc", "ref", "quote", *(F.when(moved, x).otherwise(F.col(c)).alias(c) for c, x in put.items()), F.coalesce("found.ref", F.when(F.col("method").isNotNull(), F.col("ref"))).alias("source_ref"))
+    return exact.withColumn("source_ref", F.col("ref")).unionByName(own)
 
 
 def sources_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shortest: int = 80, longest: int = 500_000) -> DataFrame:

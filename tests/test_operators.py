@@ -206,6 +206,15 @@ def test_evidence(spark, quote, text, method, span):
     assert (r.method, (r.start, r.end) if r.method else None) == (method, span)
 
 
+def test_evidence_in_the_only_other_line_of_the_family(spark):
+    lines = [(1, "d.0", "first of all"), (1, "d.1", "The  Quick fox"), (1, "d.2", "twice said"), (1, "d.3", "twice said too"), (1, "e.0", "other kind"), (2, "d.0", "second document")]
+    asked = [("d.0", "the quick", ("source_reference", 0, 10, "d.1")), ("d.9", "of all", ("source_reference", 6, 12, "d.0")), ("d.0", "twice said", (None, None, None, None)), ("d.0", "other kind", (None, None, None, None)), ("d.0", "second document", (None, None, None, None)), ("d.2", "twice", ("exact", 0, 5, "d.2"))]
+    got = E.resolve(spark.createDataFrame([(1, r, q) for r, q, _ in asked] * 2, "doc int, ref string, quote string"), spark.createDataFrame(lines, "doc int, ref string, text string")).collect()
+    assert len(got) == 12
+    assert {(r.ref, r.quote): (r.method, r.start, r.end, r.source_ref) for r in got} == {(r, q): x for r, q, x in asked}
+    assert {r.error for r in got if r.method is None} == {"not found"}
+
+
 def test_corrections_apply_all_or_nothing_and_once(spark):
     import hashlib
 
