@@ -15,9 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is named: a temporary one if driver and executors are one process (tests), else an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -37,13 +42,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def ordered(docs: DataFrame, id_col: str, *keep: str) -> tuple[DataFrame, bool]:
     """docs with a unique bigint `_ord` that sorts as id_col does (null first; equal ids in any fixed order).
 
-    Where the ids are unique already, they are the order, and nothing is shuffled but the ids; the second
-    result tells whether that is so.
+    Where the ids are unique whole numbers, they are the order, and nothing is shuffled but the ids; the second
+    result tells whether that is so.  Ids of other types are put in their own order, by ranges.
     """
     docs = docs.select(id_col, *keep)
+    whole = isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     n = docs.agg(F.count(F.lit(1)).alias("n"), F.count(id_col).alias("ids")).first()
-    twice = docs.groupBy(id_col).count().filter("count > 1").limit(1).count() if n["n"] == n["ids"] else 1
-    if not twice:
+    if whole and n["n"] == n["ids"] and not docs.groupBy(id_col).count().filter("count > 1").limit(1).count():
         return docs.withColumn("_ord", F.col(id_col).cast("bigint")), True
     rest = [c for c in keep if c in docs.columns]
     ranged = docs.repartitionByRange(F.col(id_col).asc_nulls_first(), *rest).sortWithinPartitions(F.col(id_col).asc_nulls_first(), *rest)
