@@ -16,15 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._spark import schema_of
+from ._spark import schema_of, written
 
 #: Labelled documents of each language to learn from, about.
 DOCS_PER_LANGUAGE = 2000
-#: N-grams kept for each language at most.
-GRAMS_PER_LANGUAGE = 20_000
+#: A language contains an n-gram that makes up more than this share of its n-grams, so 1 / share n-grams at most.
+LEAST_SHARE = 1e-5
 #: Of languages with so few documents, n-grams that occur once are kept too.
 FEW_DOCS = 20
-SLOT_BITS = 18
+#: Slots of the filter for each n-gram of the language that contains most, a power of two in all.
+SLOTS_PER_GRAM = 8
 PROBES = 3
 
 
@@ -75,23 +76,24 @@ class LanguageModel:
     @classmethod
     def build(cls, languages: list[str], key: np.ndarray, lang: np.ndarray) -> LanguageModel:
         """From n-grams and the number of a language that contains each; a row of slots for 64 languages each."""
-        slots = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), B.U64)
-        for i in cls.places(key):
+        most = int(np.bincount(lang, minlength=1).max()) if len(lang) else 1
+        slots = np.zeros((-(-len(languages) // 64), 1 << max(12, (SLOTS_PER_GRAM * most - 1).bit_length())), B.U64)
+        for i in cls.places(key, slots.shape[1]):
             np.bitwise_or.at(slots, (lang >> 6, i), B.U64(1) << (lang & 63).astype(B.U64))
         fill = np.array([((slots[b >> 6] >> B.U64(b & 63)) & B.U64(1)).mean() for b in range(len(languages))])
         return cls(languages, slots, fill**PROBES)
 
     @staticmethod
-    def places(key: np.ndarray) -> list[np.ndarray]:
-        h = B.mixed(key)
-        return [((h >> B.U64(i * SLOT_BITS)) & B.U64((1 << SLOT_BITS) - 1)).astype(np.int64) for i in range(PROBES)]
+    def places(key: np.ndarray, slots: int) -> list[np.ndarray]:
+        h, width = B.mixed(key), slots.bit_length() - 1
+        return [((h >> B.U64(i * width)) & B.U64(slots - 1)).astype(np.int64) for i in range(PROBES)]
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         best, score = np.full(len(column), -1), np.zeros(len(column))
         for lo, hi, texts in _slices(column):
             key, row, some = grams(texts)
             n = np.bincount(row, minlength=hi - lo)
-            hits, places = np.zeros((hi - lo, len(self.languages))), self.places(key)
+            hits, places = np.zeros((hi - lo, len(self.languages))), self.places(key, self.slots.shape[1])
             for w, slots in enumerate(self.slots):
                 mask = np.full(len(key), ~B.U64(0))
                 for i in places:
@@ -109,8 +111,8 @@ class LanguageModel:
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> LanguageModel:
     """A model from labelled documents: about `docs_per_language` of each language, chosen by a hash of the id.
 
-    Rows without a label or a text are left out; every label is learned.  The counting is Spark's; a count and at most
-    GRAMS_PER_LANGUAGE rows for each language come to the driver.
+    Rows without a label or a text are left out; every label is learned, from all n-grams of the chosen documents.  The counting
+    is Spark's; what comes to the driver are two counts and, of each language, the n-grams above LEAST_SHARE, fewer than 1 / LEAST_SHARE.
     """
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).filter("lang IS NOT NULL")
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -132,16 +134,19 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), lang)), pa.array(u.view(np.int64)), pa.array(n)], names=["l", "g", "n"])
 
     counted = chosen.select("lang", "text").mapInArrow(count, "l bigint, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    rank = F.expr("row_number() OVER (PARTITION BY l ORDER BY n DESC, g)")
+    counted = written(counted, "ngrams")
+    total = np.ones(len(languages))
+    for r in counted.groupBy("l").agg(F.sum("n").alias("n")).collect():
+        total[r.l] = r.n
     few = [i for l, i in number.items() if counts[l] <= FEW_DOCS]
-    rows = counted.filter((F.col("n") > 1) | F.col("l").isin(few)).withColumn("r", rank).filter(F.col("r") <= GRAMS_PER_LANGUAGE).select("l", "g", "n").toPandas()
-    lang = rows.l.to_numpy()
-    total = np.maximum(np.bincount(lang, rows.n, len(languages)), 1)
-    key, of = np.unique(rows.g.to_numpy().view(B.U64), return_inverse=True)
+    least = docs.sparkSession.createDataFrame([(i, LEAST_SHARE * t, i in few) for i, t in enumerate(total.tolist())], "l bigint, least double, few boolean")
+    rows = counted.join(F.broadcast(least), "l").filter("n > least AND (n > 1 OR few)").select("l", "g", "n").toPandas()
+    lang = rows.l.to_numpy().astype(np.int64)
+    key, of = np.unique(rows.g.to_numpy().astype(np.int64).view(B.U64), return_inverse=True)
     rate, most = rows.n.to_numpy() / total[lang], np.zeros(len(key))
     np.maximum.at(most, of, rate)
-    # a language contains an n-gram that it uses often enough, also beside the language that uses it most
-    has = (rate > 1e-5) & (rate >= most[of] / 20)
+    # not where another language uses the n-gram far more often
+    has = rate >= most[of] / 20
     return LanguageModel.build(languages, key[of[has]], lang[has])
 
 
