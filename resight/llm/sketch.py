@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,11 +104,11 @@ class Cells:
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each row, how many digests only the first and only the second version has, and whether the peeling got to the end.
 
-        The cells are used up.
+        The cells are used up.  Cells of false checks can undo each other for ever: there are as many rounds as cells at most.
         """
         n = len(self.count) // self.cells
         one, two = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        while True:
+        for _ in range(self.cells):
             at = np.flatnonzero(np.abs(self.count) == 1)
             sign = self.count[at]
             digest = self.digest[at] * sign.astype(B.U64)
@@ -173,58 +174,80 @@ def _fingerprint_batch(texts: list[str], own: np.ndarray, edited: list[str]) ->
 
 
 _FOUND = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Rows, and bytes of text, of a range of ids, about.
+RANGE_ROWS, RANGE_BYTES = 20_000, 64 << 20
 
 
-def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_part: int = 20_000, parts_at_most: int = 4096) -> DataFrame:
+def _fingerprints(line: list[tuple], own: np.ndarray, kind: pa.DataType) -> list[pa.Array]:
+    """Result columns of the rows (id, text) of line numbered in own, each followed by its next."""
+    text = [line[k][1] for k in own]
+    edited = [t[: len(t) - len(t) // 2] + line[k + 1][1][: len(t) // 2] for t, k in zip(text, own, strict=True)]
+    out = _fingerprint_batch([x[1] for x in line], own, edited)
+    return [pa.array([line[k][0] for k in own], kind), pa.array([len(t) for t in text], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), *(pa.array(x) for x in out)]
+
+
+def _in_ranges(names: list[str]):
+    """Of a sorted range: the results of all rows but the last, and as rows without results the first and the last text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, kind = TaskContext.get().partitionId(), [], None
+        edge = lambda end, x: pa.RecordBatch.from_arrays([pa.array([x[0]], kind), pa.array([1], pa.int64()), *(pa.nulls(1, t) for t in types), pa.array([part], pa.int64()), pa.array([end]), pa.array([x[1]], pa.string())], names=names)
+        types = [pa.string()] * 3 + [pa.float64()] * 2
+        for b in batches:
+            first, kind = kind is None, b.column(0).type
+            for lo, hi in B.row_slices(b.column(1)):
+                ids, texts = (b.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 1))
+                line = held + [(i, t or "") for i, t in zip(ids, texts, strict=True)]
+                if first:
+                    yield edge("first", line[0])
+                    first = False
+                held, own = line[-1:], np.arange(len(line) - 1)
+                if len(own):
+                    cols = _fingerprints(line, own, kind)
+                    yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(own), t) for t in (pa.int64(), pa.string(), pa.string()))], names=names)
+        if held:
+            yield edge("last", held[0])
+
+    return run
+
+
+def _over_edges(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts, after = (b.column(c).to_pylist() for c in range(3))
+            for i, t, a in zip(ids, texts, after, strict=True):
+                yield pa.RecordBatch.from_arrays(_fingerprints([(i, t), (None, a)], np.arange(1), b.column(0).type), names=names)
+
+    return run
+
+
+def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_at_once: int = RANGE_ROWS) -> DataFrame:
     """(id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
 
     The next document is that with the next smaller id, after the last one the first.  The edited text has its last half
     (rounded down) replaced by as many first code points of the next text, or all it has.  A null text counts as empty; rows
     of equal ids follow each other in a fixed order, null ids come last; a single row is its own next.  Texts without a word
-    have an empty fingerprint, and two of them are alike (1.0).
+    have an empty fingerprint, and two of them are alike (1.0).  An empty table gives an empty result.  Whole texts are read; a
+    task holds one slice of texts, or one text that is longer.
 
-    Rows are dealt by ranges of ids, and only texts move: the first row of each range goes along with the range before it.
+    Rows are dealt by ranges of ids, as many as rows and bytes ask for, and only there do texts move.  The last text of each range meets
+    the first of the next one afterwards: two texts a range.
     """
     rows, _ = ordered(docs, id_col, text_col)
-    ids = written(rows.select("_ord"), "ids")
-    n = ids.count()
-    fields = [rows.schema[id_col]]
-    schema = schema_of(fields, _FOUND)
-    if not n:
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
+    kind = rows.schema[id_col]
+    schema = schema_of([kind], _FOUND)
+    if not size["n"]:
         return docs.sparkSession.createDataFrame([], schema)
-    spark = docs.sparkSession
-    parts = min(parts_at_most, max(1, -(-n // per_part), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 50)))
-    edges = sorted(set(ids.approxQuantile("_ord", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    # descending ids: part 0 has the largest
-    part = F.lit(len(edges)).cast("int")
-    if edges:
-        part = F.lit(len(edges)) - F.expr(f"size(filter(array({', '.join(f'{int(e)}L' for e in edges)}), x -> x <= _ord))")
-    parted = rows.withColumn("_part", part.cast("int"))
-    tops = ids.withColumn("_part", part.cast("int")).groupBy("_part").agg(F.max("_ord").alias("top")).orderBy("_part").collect()
-    goes = {tops[i]["top"]: tops[i - 1]["_part"] for i in range(len(tops))}  # the first follows the last
-    extra = F.create_map(*(F.lit(x) for t, p in goes.items() for x in (t, p)))[F.col("_ord")]
-    sent = parted.select(id_col, text_col, "_ord", F.explode(F.filter(F.array(F.struct(F.col("_part").alias("to"), F.lit(0).alias("guest")), F.struct(extra.alias("to"), F.lit(1).alias("guest"))), lambda x: x["to"].isNotNull())).alias("_to"))
-    sent = sent.select(id_col, text_col, "_ord", "_to.to", "_to.guest")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # id, text, part of rows that wait for the next
-
-        for b in batches:
-            kind = b.column(id_col).type
-            for lo, hi in B.row_slices(b.column(text_col)):
-                part_of, guest = (b.column(c).slice(lo, hi - lo).to_pylist() for c in ("to", "guest"))
-                new = list(zip(b.column(id_col).slice(lo, hi - lo).to_pylist(), b.column(text_col).slice(lo, hi - lo).to_pylist(), part_of, guest, strict=True))
-                line = held + [(i, t or "", p, g) for i, t, p, g in new]
-                # within a part each row is followed by its next; a guest closes the part
-                own = np.array([k for k, x in enumerate(line[:-1]) if not x[3]], np.int64)
-                held = line[-1:]
-                if not len(own):
-                    continue
-                text = [line[k][1] for k in own]
-                edited = [t[: len(t) - len(t) // 2] + line[k + 1][1][: len(t) // 2] for t, k in zip(text, own, strict=True)]
-                out = _fingerprint_batch([x[1] for x in line], own, edited)
-                cols = [pa.array([line[k][0] for k in own], kind), pa.array([len(t) for t in text], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited])]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x) for x in out)], names=schema.names)
-
-    dealt = sent.repartition(max(parts, 1), "to").sortWithinPartitions("to", "guest", F.desc("_ord"))
-    return dealt.mapInArrow(run, schema)
+    n, ready = size["n"], int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-n // rows_at_once), -(-(size["bytes"] or 0) // RANGE_BYTES), min(ready, n // 50))
+    dealt = rows.select(id_col, text_col, "_ord").repartitionByRange(parts, F.desc("_ord")).sortWithinPartitions(F.desc("_ord")).select(id_col, text_col)
+    inner = schema_of([kind], _FOUND + ", _part bigint, _end string, _text string")
+    found = written(dealt.mapInArrow(_in_ranges(inner.names), inner), "ranges")
+
+    edges = found.filter("_end IS NOT NULL").select(id_col, "_part", "_end", "_text")
+    used = [r["_part"] for r in edges.filter("_end = 'first'").select("_part").orderBy("_part").collect()]  # numbers of tasks
+    after = docs.sparkSession.createDataFrame(list(zip(used, used[1:] + used[:1], strict=True)), "_part bigint, _next bigint")
+    last = edges.filter("_end = 'last'").join(after.hint("shuffle_hash"), "_part").select(id_col, "_text", "_next")
+    pairs = last.join(edges.filter("_end = 'first'").select(F.col("_part").alias("_next"), F.col("_text").alias("_after")).hint("shuffle_hash"), "_next").select(id_col, "_text", "_after")
+    return found.filter("_end IS NULL").select(*schema.names).unionByName(pairs.mapInArrow(_over_edges(schema.names), schema))

@@ -4,6 +4,7 @@ import hashlib
 import math
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,18 @@ def test_langid_learns_every_label(spark):
     assert langid.keep_known(df, model).count() == len(rows)
 
 
+def test_langid_contains_all_ngrams_above_the_least_share(spark):
+    # 30,000 n-grams of one language, more than the smallest filter is made for
+    import random
+
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(12000)]
+    long = "".join(rng.choices(letters, k=30000))
+    model = langid.learn(spark.createDataFrame([(1, long, "zz"), (2, long, "zz"), (3, "the and of the", "en")], "doc_id bigint, text string, lang string"))
+    assert model.slots.shape[1] >= 8 * 29000 and model.false_rate.max() < 0.1
+    assert model.predict(pa.array([long[5000:5100]]))[0] == ["zz"] and model.predict(pa.array([long[5000:5100]]))[1][0] > 0.9
+
+
 def test_langid_keeps_letters_where_nothing_is_learned(spark):
     df = cases.frame(spark).withColumn("lang", F.lit(None).cast("string"))
     kept = [r.doc_id for r in langid.keep_known(df, langid.learn(df)).collect()]
@@ -125,7 +138,7 @@ def test_decontaminate(spark, unique, pass_bytes):
 @both
 def test_sketch(spark, unique):
     rows = cases.rows(unique)
-    got = sketch.compare_with_next(cases.frame(spark, unique), per_part=7).collect()
+    got = sketch.compare_with_next(cases.frame(spark, unique), rows_at_once=7).collect()
     assert key((r.doc_id, r.n_chars) for r in got) == key((d, len(t or "")) for d, t, *_ in rows)
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     if unique:
@@ -138,12 +151,32 @@ def test_sketch(spark, unique):
             assert of[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
             assert of[d].near_next == 1.0 or t != after
             prints[t].add(of[d].fingerprint)
+            sets = [set(sketch.paragraphs([x.encode()])[1].tolist()) for x in (t, edited, after)]
+            for near, other in ((of[d].near_edited, sets[1]), (of[d].near_next, sets[2])):
+                assert near == pytest.approx(2 * len(sets[0] & other) / (len(sets[0]) + len(other)) if sets[0] or other else 1)
         assert all(len(x) == 1 for x in prints.values())
     assert sketch.compare_with_next(cases.empty(spark)).count() == 0
     one = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     assert sketch.compare_with_next(one).first().near_next == 1.0
 
 
+def test_ids_of_other_types_keep_their_order(spark):
+    from resight.llm._spark import ordered
+
+    for ids, kind in ((["a1", "10", "9", None, "b"], "string"), ([1.7, 1.2, -3.5, None, 1.25], "double"), (["10", "9", "9", "100", "-1"], "string")):
+        rows, direct = ordered(spark.createDataFrame([(i,) for i in ids], f"id {kind}"), "id")
+        got = [r.id for r in rows.orderBy("_ord").collect()]
+        assert not direct and got == sorted(ids, key=lambda i: (i is not None, i))
+    for kind in ("tinyint", "smallint", "int", "bigint"):
+        assert ordered(spark.createDataFrame([(3,), (1,)], "id int").selectExpr(f"cast(id AS {kind}) AS id"), "id")[1]
+    texts = [("10", "a b c"), ("9", "a b c"), ("x", "d e f g")]
+    from resight.llm.simhash import near_duplicates
+
+    assert sorted((r.doc_id, r.component) for r in near_duplicates(spark.createDataFrame(texts, "doc_id string, text string")).collect()) == [("10", "10"), ("9", "10"), ("x", "x")]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([(1.2, "all rights reserved"), (1.7, "x")], "doc_id double, text string")).collect()}
+    assert got == {1.2: "reserved", 1.7: ""}
+
+
 def test_sketch_peeling_recovers_all_differences():
     import numpy as np
 
