@@ -8,11 +8,12 @@ selects a bucket of windows, and direct comparison confirms.  Many stretches of
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from ._spark import schema_of, written
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
-#: Benchmark bytes searched for in one pass over the documents.
+#: Benchmark bytes searched for in one pass over the documents, of about 8 times as many broadcast.
 PASS_BYTES = 8 << 20
 _STRETCH = 2048
 
@@ -32,25 +33,20 @@ def words_of(text: str | None) -> list[str]:
 
 
 class WuManber:
-    """Shift table and buckets for patterns of at least `shortest` bytes."""
+    """Shift table and buckets for patterns of at least `shortest` bytes, which are ranges [start, end) of one byte string."""
 
-    def __init__(self, patterns: list[bytes], bits: int = 18):
-        self.patterns = patterns
-        self.shortest = m = min(map(len, patterns))
+    def __init__(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, bits: int = 18):
+        self.text, self.start, self.end = text, start, end
+        self.shortest = m = int((end - start).min())
         self.block = min(8, max(1, m // 2))
         self.bits = bits
-        heads = np.frombuffer(b"".join(p[:m] for p in patterns), np.uint8).reshape(len(patterns), m)
-        self.shift = np.full(1 << bits, m - self.block + 1, np.int64)
-        for end in range(self.block, m + 1):
-            part = np.zeros((len(patterns), 8), np.uint8)
-            part[:, : self.block] = heads[:, end - self.block : end]
-            code = part.view("<u8").ravel()
-            np.minimum.at(self.shift, self._slot(code), m - end)
-        self.order = np.argsort(code, kind="stable")
+        eight, mask = _eight(text), _mask(self.block)
+        self.shift = np.full(1 << bits, m - self.block + 1, np.int32)
+        for last in range(self.block, m + 1):
+            code = eight[start + last - self.block] & mask
+            np.minimum.at(self.shift, self._slot(code), m - last)
+        self.order = np.argsort(code, kind="stable").astype(np.int32)
         self.codes = code[self.order]  # of the last block of each head
-        first = np.zeros((len(patterns), 8), np.uint8)
-        first[:, : min(8, m)] = heads[:, :8]
-        self.first = first.view("<u8").ravel()
 
     def _slot(self, code: np.ndarray) -> np.ndarray:
         return (code * B.U64(0x9E3779B97F4A7C15)) >> B.U64(64 - self.bits)
@@ -58,11 +54,10 @@ class WuManber:
     def search(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start in text and number of the pattern, for each occurrence."""
         m, w = self.shortest, self.block
+        none = np.zeros(0, np.int64)
         if len(text) < m:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        padded = np.concatenate([text, np.zeros(8, np.uint8)])
-        eight = np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))
-        mask, mask_first = (B.U64((1 << 8 * min(8, k)) - 1) for k in (w, m))
+            return none, none
+        eight, mask = _eight(text), _mask(w)
         at = np.arange(m - 1, len(text), _STRETCH)
         stop = np.minimum(at + _STRETCH, len(text))
         found = []
@@ -74,36 +69,93 @@ class WuManber:
             live = at < stop
             at, stop = at[live], stop[live]
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none, none
         end = np.concatenate(found)
         code = eight[end - w + 1] & mask
         lo, hi = np.searchsorted(self.codes, code, "left"), np.searchsorted(self.codes, code, "right")
         n = hi - lo
-        start = np.repeat(end - m + 1, n)
-        which = self.order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        likely = (eight[start] & mask_first) == self.first[which]
-        start, which = start[likely], which[likely]
-        raw, pats = text.tobytes(), self.patterns
-        sure = np.fromiter((raw.startswith(pats[k], s) for s, k in zip(start.tolist(), which.tolist(), strict=True)), bool, len(start))
-        return start[sure], which[sure]
+        out = []
+        # buckets of common suffixes are compared a part at a time
+        for some in np.array_split(np.arange(len(n)), max(1, int(n.sum()) >> 20)):
+            k = n[some]
+            start = np.repeat(end[some] - m + 1, k)
+            which = self.order[np.repeat(lo[some] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))].astype(np.int64)
+            out.append(self._confirmed(text, eight, start, which))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    def _confirmed(self, text: np.ndarray, eight: np.ndarray, start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those whose bytes are the pattern's, compared eight at a time."""
+        begin, size = self.start[which].astype(np.int64), (self.end[which] - self.start[which]).astype(np.int64)
+        fits = start + size <= len(text)
+        start, which, begin, size = start[fits], which[fits], begin[fits], size[fits]
+        own, live, d = _eight(self.text), np.arange(len(start)), 0
+        equal = np.zeros(len(start), bool)
+        while len(live):
+            left = size[live] - d
+            same = ((eight[start[live] + d] ^ own[begin[live] + d]) & _MASKS[np.minimum(left, 8)]) == 0
+            equal[live[same & (left <= 8)]] = True
+            live, d = live[same & (left > 8)], d + 8
+        return start[equal], which[equal]
 
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], B.U64)
+
+
+def _mask(n: int) -> np.uint64:
+    return _MASKS[n]
+
+
+def _eight(text: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on, zeros after the end."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    return np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))
+
+
+@dataclass
 class Windows:
-    """The windows of some benchmark items, ready to be searched for."""
+    """The windows of some benchmark items, ready to be searched for: items in canonical form, places in it, and numbers of items."""
+
+    parts: list[tuple[WuManber, np.ndarray, np.ndarray, np.ndarray]]  # search, words, and the window's owners[first[i] : first[i + 1]]
+    items: list[str]
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = 13):
-        of: dict[bytes, set[str]] = defaultdict(set)
-        count: dict[bytes, int] = {}
+    @classmethod
+    def of(cls, items: list[tuple[str, str | None]], size: int = 13) -> Windows:
+        names = sorted({i for i, _ in items})
+        number = {x: i for i, x in enumerate(names)}
+        texts, start, end, count, owner = [], [], [], [], []
+        done = 0
         for item, text in items:
             w = words_of(text)
-            for i in range(max(1, len(w) - size + 1) if w else 0):
-                key = f" {' '.join(w[i : i + size])} ".encode()
-                of[key].add(item)
-                count[key] = len(w[i : i + size])
-        self.parts = []
+            if not w:
+                continue
+            line = f" {' '.join(w)} ".encode()
+            gap = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)  # before each word, and at the end
+            n = max(1, len(w) - size + 1)
+            start.append(gap[:n] + done)
+            end.append(gap[min(size, len(w)) :][:n] + 1 + done)
+            count.append(np.full(n, min(size, len(w))))
+            owner.append(np.full(n, number[item]))
+            texts.append(line)
+            done += len(line)
+        if not texts:
+            return cls([], names)
+        text = np.frombuffer(b"".join(texts), np.uint8)
+        start, end, count, owner = (np.concatenate(x).astype(np.int32) for x in (start, end, count, owner))
+        # equal windows are one pattern with all their items
+        h = B.RollingHash(text).ranges(start, end)
+        h, first, of = np.unique(h, return_index=True, return_inverse=True)
+        pair = np.unique(of.astype(np.int64) << 32 | owner)
+        of, owner = pair >> 32, (pair & 0xFFFFFFFF).astype(np.int32)
+        start, end, count = start[first], end[first], count[first]
+        out = []
         for low, high in ((1, 7), (8, 23), (24, 1 << 60)):  # short windows don't shorten the steps of long ones
-            if some := sorted(k for k in of if low <= len(k) <= high):
-                self.parts.append((WuManber(some), np.array([count[k] for k in some]), [sorted(of[k]) for k in some]))
+            some = np.flatnonzero((end - start >= low) & (end - start <= high))
+            if len(some):
+                lo, hi = np.searchsorted(of, some, "left"), np.searchsorted(of, some, "right")
+                n = hi - lo
+                owners = owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                out.append((WuManber(text, start[some], end[some]), count[some], np.concatenate([[0], np.cumsum(n)]).astype(np.int32), owners))
+        return cls(out, names)
 
     def scan(self, column: pa.Array) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
         """Of each text: number of words, hit ranges of words, items with occurring windows."""
@@ -124,23 +176,26 @@ class Windows:
             n_words[lo:hi] = np.bincount(row, minlength=hi - lo)
             begin = np.cumsum(n_words[lo:hi]) - n_words[lo:hi]
             cover = np.zeros(len(first) + 1, np.int64)
-            seen: dict[int, set[str]] = defaultdict(set)
-            for search, count, owners in self.parts:
+            seen = []
+            for search, count, own, owners in self.parts:
                 at, which = search.search(text)
                 if len(at):
                     word = np.searchsorted(first, at + 1)
                     np.add.at(cover, word, 1)
                     np.add.at(cover, word + count[which], -1)
-                    for r, k in set(zip(row[word].tolist(), which.tolist(), strict=True)):
-                        seen[r].update(owners[k])
+                    once = np.unique(row[word].astype(np.int64) << 32 | which)
+                    r, which = once >> 32, once & 0xFFFFFFFF
+                    n = own[which + 1] - own[which]
+                    seen.append(np.repeat(r, n) << 32 | owners[np.repeat(own[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
             if seen:
                 # a run may not go on into the next text
-                hit = np.cumsum(cover[:-1]) > 0
-                for r in seen:
-                    b = int(begin[r])
-                    s, e = B.tokens(hit[b : b + int(n_words[lo + r])])
-                    spans[lo + r] = list(zip(s.tolist(), e.tolist(), strict=True))
-                    items[lo + r] = sorted(seen[r])
+                hit, seen = np.cumsum(cover[:-1]) > 0, np.unique(np.concatenate(seen))
+                r, at = np.unique(seen >> 32, return_index=True)
+                for k, own in zip(r.tolist(), np.split(seen & 0xFFFFFFFF, at[1:]), strict=True):
+                    b = int(begin[k])
+                    s, e = B.tokens(hit[b : b + int(n_words[lo + k])])
+                    spans[lo + k] = list(zip(s.tolist(), e.tolist(), strict=True))
+                    items[lo + k] = sorted(self.items[i] for i in own.tolist())
         return n_words.tolist(), spans, items
 
 
@@ -153,8 +208,9 @@ def find_passages(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     `_spans` are the maximal ranges [first, end) of words inside an occurrence of a window of `size` words of an item (an
     item of fewer words, but not none, is one window); `_items` the sorted ids, as strings, of items with occurring windows.
     Null texts have no words, on either side; a null item id counts as "null"; rows of equal ids are rows of their own.  Without
-    items nothing is hit.  The items go out in blocks of about `pass_bytes` (the bound of what is broadcast), each searched
-    for in one pass over all documents.
+    items nothing is hit, and an empty table gives an empty result.  Whole texts are read, of any length.  The items go out in
+    blocks of about `pass_bytes` (or one longer item), each searched for in a pass of its own over all documents: about 8 bytes an
+    item byte are broadcast, and released before the next block's.
     """
     keep = [c for c in docs.columns if c not in ("_n_words", "_spans", "_items")] if keep is None else keep
     spark = docs.sparkSession
@@ -164,27 +220,30 @@ def find_passages(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     if passes > 1:
         base = written(base.withColumn("_ord", F.monotonically_increasing_id()), "numbered")  # the same numbers in every pass
     named = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t"))
-    fields = [f for f in base.schema.fields if f.name != "_text"]
-    schema = schema_of(fields, "_n_words bigint, _spans array<struct<first:bigint,end:bigint>>, _items array<string>")
+    more = "_n_words bigint, _spans array<struct<first:bigint,end:bigint>>, _items array<string>"
 
-    def one_pass(rows: list[Row]) -> DataFrame:
-        windows = spark.sparkContext.broadcast(Windows([(r.i, r.t) for r in rows], size))
+    def one_pass(rows: list[Row], kept: str, hits_only: bool) -> tuple[DataFrame, Broadcast]:
+        windows = spark.sparkContext.broadcast(Windows.of([(r.i, r.t) for r in rows], size))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 n, spans, found = windows.value.scan(b.column("_text"))
-                more = [pa.array(n, pa.int64()), pa.array([[{"first": s, "end": e} for s, e in x] for x in spans], _SPANS), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), *more], names=[*(f.name for f in fields), "_n_words", "_spans", "_items"])
+                cols = [b.column(kept), pa.array(n, pa.int64()), pa.array([[{"first": s, "end": e} for s, e in x] for x in spans], _SPANS), pa.array(found, pa.list_(pa.string()))]
+                out = pa.RecordBatch.from_arrays(cols, names=[kept, "_n_words", "_spans", "_items"])
+                yield out.filter(pa.array([bool(x) for x in found])) if hits_only else out
 
-        return base.mapInArrow(run, schema)
+        return base.select(kept, "_text").mapInArrow(run, schema_of([base.schema[kept]], more)), windows
 
     if passes == 1:
-        return one_pass(named.collect()).select("_row.*", "_n_words", "_spans", "_items")
-    parts = [one_pass(named.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).collect()) for k in range(passes)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.groupBy("_ord").agg(F.first("_row").alias("_row"), F.max("_n_words").alias("_n_words"), F.flatten(F.collect_list("_spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
+        return one_pass(named.collect(), "_row", False)[0].select("_row.*", "_n_words", "_spans", "_items")
+    out = None
+    for k in range(passes):
+        hits, sent = one_pass(named.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).collect(), "_ord", k > 0)
+        hits = written(hits, "hits")
+        sent.unpersist()
+        out = hits if out is None else out.unionByName(hits)
+    out = out.groupBy("_ord").agg(F.max("_n_words").alias("_n_words"), F.flatten(F.collect_list("_spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
+    out = base.select("_ord", "_row").join(out.hint("shuffle_hash"), "_ord")
     merge = """aggregate(array_sort(s), cast(array() AS array<struct<first:bigint,end:bigint>>), (a, x) ->
         CASE WHEN size(a) > 0 AND x.first <= element_at(a, -1).end
         THEN concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'end', greatest(x.end, element_at(a, -1).end))))
