@@ -19,8 +19,11 @@ from . import _bytes as B
 from ._spark import ordered, schema_of, written
 from .components import components
 
-#: Fingerprints in a tile at most (about; tiles are cut by hash).
-TILE = 2048
+#: Fingerprints of a tile that is at home in a task, about (they are dealt by hash), and of a piece of a tile.
+HOME, PIECE = 1 << 18, 1 << 13
+#: Pairs that one task compares, about.
+PAIRS = 1 << 37
+_BLOCK = 512
 
 
 def fingerprint_rows(column: pa.Array, shingle: int) -> np.ndarray:
@@ -84,109 +87,98 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _links_of(home: tuple[np.ndarray, np.ndarray], guest: tuple[np.ndarray, np.ndarray] | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between a tile and guests (or inside the tile): pairs of ids."""
-    fp, ids = home
-    if guest is None:
-        near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
-        a, b = np.nonzero(np.triu(near, 1))
-    else:
-        near = np.bitwise_count(fp[:, None] ^ guest[0][None, :]) <= radius
-        a, b = np.nonzero(near)
-        b = b + len(fp)
-        ids = np.concatenate([ids, guest[1]])
-    if not len(a):
-        return ids[:0], ids[:0]
-    order = np.argsort(ids, kind="stable")
-    place = np.empty(len(ids), np.int64)
-    place[order] = np.arange(len(ids))
-    root = local_roots(len(ids), place[a], place[b])
-    moved = np.flatnonzero(root != np.arange(len(ids)))
-    return ids[order[moved]], ids[order[root[moved]]]
-
-
-def _compare(radius: int, pairs_at_once: int = 1 << 22):
+def _near(home: np.ndarray, guest: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in home and guest of pairs within the radius, a block of pairs at a time."""
+    a, b = [], []
+    for i in range(0, len(home), _BLOCK):
+        part = home[i : i + _BLOCK, None]
+        for j in range(0, len(guest), _BLOCK):
+            x, y = np.nonzero(np.bitwise_count(part ^ guest[None, j : j + _BLOCK]) <= radius)
+            if len(x):
+                a.append(x + i)
+                b.append(y + j)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the links a-b of fingerprints connect, fewer of them than fingerprints."""
+    prints, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = local_roots(len(prints), place[: len(a)], place[len(a) :])
+    moved = np.flatnonzero(root != np.arange(len(prints)))
+    return prints[moved], prints[root[moved]]
+
+
+def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, home = None, None
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        names = ["a", "b"]
-
-        def settle() -> None:
-            if home is not None and waiting:
-                fp, ids = (np.concatenate(x) for x in zip(*waiting, strict=True))
-                step = max(1, pairs_at_once // max(1, len(home[0])))
-                for i in range(0, len(fp), step):
-                    out.append(_links_of(home, (fp[i : i + step], ids[i : i + step]), radius))
-            waiting.clear()
+        key, home = None, []  # the home tile of the key, which may come in pieces
 
         for batch in batches:
             keys, guests = batch.column("key").to_numpy(), batch.column("guest").to_numpy(zero_copy_only=False)
-            lists = [batch.column(c) for c in ("fps", "ids")]
-            flat = [x.flatten().to_numpy() for x in lists]
-            end = np.cumsum(lists[0].value_lengths().to_numpy())
-            begin = np.concatenate([[0], end[:-1]])
+            flat, size = batch.column("fps").flatten().to_numpy().view(B.U64), batch.column("fps").value_lengths().to_numpy()
+            end = np.cumsum(size)
+            found = []
             for i in range(batch.num_rows):
-                part = flat[0][begin[i] : end[i]].view(B.U64), flat[1][begin[i] : end[i]]
+                part = flat[end[i] - size[i] : end[i]]
                 if keys[i] != key:
-                    settle()
-                    key, home = keys[i], None
+                    key, home = keys[i], []
+                for own in home:
+                    x, y = _near(own, part, radius)
+                    found.append((own[x], part[y]))
                 if not guests[i]:
-                    home = part
-                    step = max(1, pairs_at_once // max(1, len(part[0])))
-                    out.append(_links_of(part, None, radius))
-                elif home is not None:
-                    waiting.append(part)
-                    if sum(len(x[0]) for x in waiting[-1:]) and sum(len(x[0]) for x in waiting) * len(home[0]) > pairs_at_once:
-                        settle()
-            if out:
-                a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-                out.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=names)
-        settle()
-        if out:
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=names)
+                    x, y = _near(part, part, radius)
+                    found.append((part[x[x < y]], part[y[x < y]]))
+                    home.append(part.copy())
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, B.U64),) * 2
+            if len(a):
+                a, b = _forest(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return run
 
 
-def links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between ids of different fingerprints at `radius` or fewer differing bits.
+def links(prints: DataFrame, radius: int = 3, home: int = HOME, piece: int = PIECE, pairs: int = PAIRS) -> DataFrame:
+    """Links (a, b) between different fingerprints at `radius` or fewer differing bits.
 
-    prints (_fp, id) holds every fingerprint once.  Every pair within the radius is found; of the links of a pair
-    of tiles a spanning forest is returned, which connects the same ids.  A tile goes to the tiles whose word
-    counts are near enough.  There are at most 17^4 combinations of word counts: a table of two numbers for each is
-    broadcast.
+    prints (_fp) holds every fingerprint once.  Every pair within the radius is found; of the links of some pieces of
+    tiles a spanning forest is returned, which connects the same ones.
+
+    A cell is a combination of word counts, at most 17^4 of them: tables of a few numbers for each are broadcast.  Its fingerprints
+    are dealt to tiles of about `home`.  A tile is at home in one task, or in several if it has more than `pairs` pairs to compare, and all cells that
+    are near enough come to it as guests, in pieces; so a fingerprint is sent to about 65 tasks times its cell's number of tiles.
     """
     spark = prints.sparkSession
     counts = [F.bit_count(F.shiftrightunsigned("_fp", 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)]
     code = sum(c.cast("bigint") * 17**i for i, c in enumerate(counts))
-    coded = written(prints.withColumn("cell", code), "prints")
-    cells = written(coded.groupBy("cell").agg(F.expr(f"cast(ceil(count(1) / {tile}) AS bigint)").alias("tiles")), "cells")
-    coded = coded.join(F.broadcast(cells), "cell").withColumn("nth", F.pmod(F.xxhash64("_fp"), "tiles"))
-    tiles = written(coded.groupBy("cell", "nth").agg(F.collect_list(F.struct("_fp", "id")).alias("x")).selectExpr("cell", "nth", "x._fp AS fps", "x.id AS ids"), "tiles")
+    coded = prints.select("_fp", code.alias("cell"))
+    cells = written(coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("tiles", F.expr(f"cast(ceil(n / {home}) AS bigint)")), "cells")
 
     reach = range(-radius, radius + 1)
     steps = [(d0, d1, d2, d3) for d0 in reach for d1 in reach for d2 in reach for d3 in reach if abs(d0) + abs(d1) + abs(d2) + abs(d3) <= radius]
     steps = [s for s in steps if sum(d * 17**i for i, d in enumerate(s)) >= 0]
     word = lambda i: F.expr(f"cell div {17**i} % 17")
     inside = [(word(i) + F.col(f"d{i}")).between(0, 16) for i in range(4)]
-    near = cells.select("cell").withColumn("s", F.explode(F.array(*(F.struct(*(F.lit(d).alias(f"d{i}") for i, d in enumerate(s))) for s in steps))))
-    near = near.select("cell", "s.*").filter(inside[0] & inside[1] & inside[2] & inside[3])
+    near = cells.select("cell", "n").withColumn("s", F.explode(F.array(*(F.struct(*(F.lit(d).alias(f"d{i}") for i, d in enumerate(s))) for s in steps))))
+    near = near.select("cell", "n", "s.*").filter(inside[0] & inside[1] & inside[2] & inside[3])
     near = near.withColumn("other", F.expr("cell + d0 + 17L * d1 + 289L * d2 + 4913L * d3"))
-    near = near.join(F.broadcast(cells.selectExpr("cell AS other", "tiles")), "other").groupBy("cell").agg(F.collect_list(F.struct("other", "tiles")).alias("goals"))
+    near = written(near.join(F.broadcast(cells.selectExpr("cell AS other", "tiles", "n AS own")), "other"), "near")  # cell comes to other
+    turns = near.groupBy("other", "tiles").agg(F.expr(f"cast(ceil(sum(n) * max(own) / tiles / {pairs}) AS bigint)").alias("turns"))
+    near = near.join(F.broadcast(turns), ["other", "tiles"]).groupBy("cell").agg(F.collect_list(F.struct("other", "tiles", "turns")).alias("goals"))
 
-    homes = tiles.select(F.col("cell"), F.col("nth"), F.lit(False).alias("guest"), "fps", "ids")
+    coded = coded.join(F.broadcast(cells), "cell").withColumn("nth", F.pmod(F.xxhash64("_fp"), "tiles"))
+    coded = coded.withColumn("bit", F.pmod(F.xxhash64("_fp", F.lit(1)), F.expr(f"cast(ceil(n / tiles / {piece}) AS bigint)")))
+    pieces = written(coded.groupBy("cell", "nth", "bit").agg(F.collect_list("_fp").alias("fps")).join(F.broadcast(turns.selectExpr("other AS cell", "turns")), "cell"), "pieces")
+    # pieces of a home tile meet each other there; of others only those of later tiles of the cell
+    homes = pieces.withColumn("turn", F.explode(F.expr("sequence(0L, turns - 1)"))).select("cell", "nth", "turn", F.lit(False).alias("guest"), "fps")
     guests = (
-        tiles.join(near.hint("merge"), "cell")
+        pieces.join(near.hint("merge"), "cell")
         .withColumn("goal", F.explode("goals"))
         .withColumn("to", F.explode(F.expr("sequence(0L, goal.tiles - 1)")))
         .filter("goal.other <> cell OR to > nth")
-        .select(F.col("goal.other").alias("cell"), F.col("to").alias("nth"), F.lit(True).alias("guest"), "fps", "ids")
+        .select(F.col("goal.other").alias("cell"), F.col("to").alias("nth"), F.expr("pmod(xxhash64(cell, nth, bit), goal.turns)").alias("turn"), F.lit(True).alias("guest"), "fps")
     )
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
-    dealt = homes.unionByName(guests).withColumn("key", F.expr("cell * 4294967296L + nth")).select("key", "guest", "fps", "ids")
+    dealt = homes.unionByName(guests).withColumn("key", F.xxhash64("cell", "nth", "turn")).select("key", "guest", "fps")
     return dealt.repartition(n, "key").sortWithinPartitions("key", "guest").mapInArrow(_compare(radius), "a bigint, b bigint")
 
 
@@ -205,7 +197,9 @@ def _groups(rows: DataFrame, direct: bool, id_col: str, text_col: str, shingle:
     prints = written(fingerprints(rows.select(id_col, "_ord", text_col), text_col, shingle), "fingerprints")
     distinct = written(prints.groupBy("_fp").agg(F.min("_ord").alias("id")), "distinct")
     found = components(links(distinct, radius))
-    of = distinct.join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("_fp", F.coalesce("root", "id").alias("_root"))
+    of = distinct.join(found.hint("merge"), F.col("_fp") == F.col("node"), "left").select("_fp", "id", F.coalesce("root", "_fp").alias("group"))
+    first = of.groupBy("group").agg(F.min("id").alias("_root"))
+    of = of.join(first.hint("merge"), "group").select("_fp", "_root")
     out = prints.join(of.hint("merge"), "_fp").select(id_col, "_ord", "_fp", "_root")
     if direct:
         return out.withColumn("component", F.col("_root"))

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from resight.llm.components import components
-from resight.llm.simhash import keep_one, near_duplicates
+from resight.llm.simhash import keep_one, links, near_duplicates
 
 SCHEMA = "doc_id bigint, text string, _fp string, size int"
 
@@ -69,6 +69,33 @@ def test_empty_and_null_ids(spark):
 
 
 def test_components_of_chains_and_stars(spark):
-    edges = [(i, i + 1) for i in range(10, 22)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (200, 199), (199, 200)]
+    edges = [(i, i + 1) for i in range(10, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (200, 199), (199, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {**{i: 10 for i in range(11, 23)}, **{i: 100 for i in range(101, 140)}, 200: 199}
+    assert got == {**{i: 10 for i in range(11, 61)}, **{i: 100 for i in range(101, 140)}, 200: 199}
+
+
+@pytest.mark.parametrize("how", [{}, {"home": 8, "piece": 3, "pairs": 200}])
+def test_links_connect_what_brute_force_connects(spark, how):
+    rng = random.Random(8)
+    prints = {rng.getrandbits(64) for _ in range(60)} | {0, 2**64 - 1}
+    for f in sorted(prints):
+        for _ in range(rng.randrange(6)):
+            f ^= sum(1 << rng.randrange(64) for _ in range(rng.randrange(1, 4)))
+            prints.add(f & (2**64 - 1))
+    signed = sorted(p - 2**64 if p >> 63 else p for p in prints)
+    got = links(spark.createDataFrame([(p,) for p in signed], "_fp bigint"), **how).collect()
+
+    def classes(pairs):
+        root = {p: p for p in signed}
+
+        def find(p):
+            while root[p] != p:
+                p = root[p]
+            return p
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {p: find(p) for p in signed}
+
+    near = [(a, b) for a, b in combinations(signed, 2) if bin((a ^ b) & (2**64 - 1)).count("1") <= 3]
+    assert len(near) > 60 and classes((r.a, r.b) for r in got) == classes(near)
