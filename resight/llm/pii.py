@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -82,12 +84,15 @@ UNSEEN = "\u200B\u200C\u200D\u2060\uFEFF\u00AD"
 SPELLED = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _DIGIT_WORD = "|".join(SPELLED)
-_AT = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*"
-_DOT = r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*"
+_OPEN, _CLOSE = r"[\[({<]\s*+", r"\s*+[\])}>]"
+_DOMAIN_WORD = "[A-Za-z0-9-]++"
+_ANY_AT = rf"(?:@|\s*+{_OPEN}(?:at|@){_CLOSE}\s*+|\s++at\s++)"
+_HIDDEN_DOT = rf"(?:\s*+{_OPEN}(?:dot|\.){_CLOSE}\s*+|\s++dot\s++)"
+# blanks before a bracket are tried once, from the first of them on; an address in words has one disguised dot at least
 _RULES = re.compile(
-    rf"""(?P<at>{_AT})|(?P<dot>{_DOT})
-    |(?P<wordy>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\s+at\s+[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+(?![A-Za-z0-9]))
-    |(?P<digits>(?<![A-Za-z0-9])(?:plus[\s-]+)?(?:{_DIGIT_WORD})(?:[\s,-]+(?:{_DIGIT_WORD}|dot|[0-9]+))*(?:[\s,-]+(?:{_DIGIT_WORD}|[0-9]+))(?![A-Za-z0-9]))""",
+    rf"""(?P<wordy>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_ANY_AT}{_DOMAIN_WORD}(?:\.{_DOMAIN_WORD})*+{_HIDDEN_DOT}{_DOMAIN_WORD}(?:(?:\.|{_HIDDEN_DOT}){_DOMAIN_WORD})*+)
+    |(?P<at>(?<!\s)\s*+{_OPEN}(?:at|@){_CLOSE}\s*+)|(?P<dot>(?<!\s)\s*+{_OPEN}(?:dot|\.){_CLOSE}\s*+)
+    |(?P<digits>(?<![A-Za-z0-9])(?:plus[\s-]++)?(?:{_DIGIT_WORD})(?:[\s,-]++(?:{_DIGIT_WORD}|dot|[0-9]++))*(?:[\s,-]++(?:{_DIGIT_WORD}|[0-9]++))(?![A-Za-z0-9]))""",
     re.IGNORECASE | re.VERBOSE,
 )
 #: Whether the transducers can change anything: RE2 syntax, for Arrow.
@@ -95,60 +100,89 @@ DISGUISED = (
     r"(?i)[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\sdot\s|\b(?:" + _DIGIT_WORD + r")[\s,-]+(?:" + _DIGIT_WORD + r"|dot|[0-9])|[" + "".join(re.escape(c) if c.isascii() else c for c in LOOKALIKES if not c.isascii()) + UNSEEN + "]"
 )
 _INNER = re.compile(rf"(?P<word>{_DIGIT_WORD})|(?P<dot>dot)|(?P<plus>plus)|(?P<plain>[0-9]+)|(?P<gap>[\s,-]+)", re.IGNORECASE)
-_WORDY = re.compile(r"(?P<at>\s+at\s+)|(?P<dot>\s+dot\s+)|(?P<plain>[A-Za-z0-9._%+-])", re.IGNORECASE)
-
-
-def normal_form(text: str) -> tuple[str, list[int], list[int]]:
-    """The text with disguises undone, and the source start and end of each of its characters."""
-    one = [(LOOKALIKES.get(c, c), i) for i, c in enumerate(text) if c not in UNSEEN]
-    seen = "".join(c for c, _ in one)
-    place = [i for _, i in one]
-    out: list[str] = []
-    start: list[int] = []
-    end: list[int] = []
-
-    def put(chars: str, lo: int, hi: int) -> None:
-        """chars stand for seen[lo:hi]"""
-        for c in chars:
-            out.append(c)
-            start.append(place[lo])
-            end.append(place[hi - 1] + 1)
-
-    def keep(lo: int, hi: int) -> None:
-        out.extend(seen[lo:hi])
-        start.extend(place[lo:hi])
-        end.extend(i + 1 for i in place[lo:hi])
-
-    done = 0
-    for m in _RULES.finditer(seen):
-        keep(done, m.start())
+_WORDY = re.compile(rf"(?P<at>{_ANY_AT})|(?P<dot>{_HIDDEN_DOT})|(?P<plain>[A-Za-z0-9._%+-]++)", re.IGNORECASE)
+_SEEN_AS = np.arange(0x110000, dtype="<u4")
+_SEEN_AS[[ord(c) for c in LOOKALIKES]] = [ord(c) for c in LOOKALIKES.values()]
+_UNSEEN_RUN = re.compile(f"[{UNSEEN}]+")
+
+
+class Tape:
+    """A text that is written piece by piece, and the source range of each piece.
+
+    A copied piece stands for its source character by character, a written one for its range as a whole.
+    """
+
+    def __init__(self) -> None:
+        self.text: list[str] = []
+        self.at: list[int] = []  # where the pieces begin
+        self.source: list[tuple[int, int, bool]] = []
+        self.size = 0
+
+    def put(self, text: str, lo: int, hi: int, copied: bool) -> None:
+        if text:
+            self.text.append(text)
+            self.at.append(self.size)
+            self.source.append((lo, hi, copied))
+            self.size += len(text)
+
+    def start(self, i: int) -> int:
+        """Source place where character i begins."""
+        k = bisect_right(self.at, i) - 1
+        lo, _, copied = self.source[k]
+        return lo + i - self.at[k] if copied else lo
+
+    def end(self, i: int) -> int:
+        """Source place where character i ends."""
+        k = bisect_right(self.at, i) - 1
+        lo, hi, copied = self.source[k]
+        return lo + i - self.at[k] + 1 if copied else hi
+
+
+def normal_form(text: str) -> tuple[str, Tape, Tape]:
+    """The text with disguises undone, its tape over the text as it is seen, and that one's tape over the source."""
+    seen, done = Tape(), 0
+    same = _SEEN_AS[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].tobytes().decode("utf-32-le", "surrogatepass")
+    for m in _UNSEEN_RUN.finditer(same):
+        seen.put(same[done : m.start()], done, m.start(), True)
+        done = m.end()
+    seen.put(same[done:], done, len(same), True)
+    shown = "".join(seen.text)
+    out, done = Tape(), 0
+    for m in _RULES.finditer(shown):
+        out.put(shown[done : m.start()], done, m.start(), True)
         done = m.end()
         if m["at"]:
-            put("@", m.start(), m.end())
+            out.put("@", m.start(), m.end(), False)
         elif m["dot"]:
-            put(".", m.start(), m.end())
+            out.put(".", m.start(), m.end(), False)
         elif m["wordy"]:
-            for x in _WORDY.finditer(seen, m.start(), m.end()):
-                put("@" if x["at"] else "." if x["dot"] else x[0], x.start(), x.end())
+            for x in _WORDY.finditer(shown, m.start(), m.end()):
+                out.put("@" if x["at"] else "." if x["dot"] else x[0], x.start(), x.end(), bool(x["plain"]))
         else:
-            for x in _INNER.finditer(seen, m.start(), m.end()):
-                put(SPELLED[x[0].lower()] if x["word"] else "." if x["dot"] else "+" if x["plus"] else x[0] if x["plain"] else "", x.start(), x.end())
-    keep(done, len(seen))
-    return "".join(out), start, end
+            for x in _INNER.finditer(shown, m.start(), m.end()):
+                out.put(SPELLED[x[0].lower()] if x["word"] else "." if x["dot"] else "+" if x["plus"] else x[0] if x["plain"] else "", x.start(), x.end(), bool(x["plain"]))
+    out.put(shown[done:], done, len(shown), True)
+    return "".join(out.text), out, seen
 
 
 def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     """Identifiers of the normal form, as source ranges, where no plain one of the kind lies."""
-    normal, start, end = normal_form(text)
+    normal, out, seen = normal_form(text)
     if normal == text:
         return []
-    taken = {k: [(s, e) for s, kind, e in plain if kind == k] for k in range(4)}
-    out = []
+    # plain ones of a kind don't overlap, so that the last one that begins before an end is the one to look at
+    starts: list[list[int]] = [[], [], [], []]
+    ends: list[list[int]] = [[], [], [], []]
+    for s, kind, e in plain:
+        starts[kind].append(s)
+        ends[kind].append(e)
+    found = []
     for s, kind, e in plain_spans(normal):
-        lo, hi = start[s], end[e - 1]
-        if not any(a < hi and lo < b for a, b in taken[kind]):
-            out.append((lo, kind, hi))
-    return out
+        lo, hi = seen.start(out.start(s)), seen.end(out.end(e - 1) - 1)
+        k = bisect_left(starts[kind], hi)
+        if not k or ends[kind][k - 1] <= lo:
+            found.append((lo, kind, hi))
+    return found
 
 
 def render(spans: list[Span]) -> str:
@@ -174,8 +208,9 @@ def find(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
 
     `_counts` of base spans by kind (email, ip, card, phone), `_base` and `_all` spans as kind:start:end (code points, end
     exclusive) by start, then kind, comma-joined; `_base_sha256` of `_base`; `_masked`, where asked for, the text with all
-    spans replaced (null for null).  A null text counts as empty.  A disguised identifier is added where no base one of
-    its kind overlaps it.
+    spans replaced (null for null).  A null text counts as empty, an empty table gives an empty result, repeated rows and ids are
+    rows of their own.  A disguised identifier is added where no base one of its kind overlaps it.  Whole texts are read, of any
+    length: the work grows with the text.
     """
     keep = [c for c in docs.columns if c not in ("_counts", "_base_sha256", "_base", "_all", "_masked")] if keep is None else keep
     base = docs.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"))

@@ -346,6 +346,12 @@ def test_pii_base(spark, unique):
         ("host one nine two dot one six eight dot zero dot one", "one nine two dot one six eight dot zero dot one"),
         ("call plus one five five five two three four five six seven", "plus one five five five two three four five six seven"),
         ("card ４１１１ １１１１ １１１１ １１１１", "４１１１ １１１１ １１１１ １１１１"),
+        ("ask jo@example dot com now", "jo@example dot com"),
+        ("ask jo (at) mail dot com now", "jo (at) mail dot com"),
+        ("ask jo at mail (dot) com now", "jo at mail (dot) com"),
+        ("ask jo at mail.example dot com now", "jo at mail.example dot com"),
+        ("ask jo [at] mail.example.com now", "jo [at] mail.example.com"),
+        ("j\u200bo \u200b(at) mai\u200bl dot co\u200bm", "j\u200bo \u200b(at) mai\u200bl dot co\u200bm"),
     ],
 )
 def test_pii_disguises(text, found):
@@ -353,6 +359,42 @@ def test_pii_disguises(text, found):
     assert found in [text[s:e] for s, _, e in spans]
 
 
+@pytest.mark.parametrize("text", ["we arrived at node.js", "look at example.com", "sit at a dot", "at (at) at", "one dot", "1 (dot)", "Слово и дело"])
+def test_pii_leaves_plain_prose(text):
+    assert pii.disguised_spans(text, pii.plain_spans(text)) == []
+
+
+def test_pii_takes_long_runs_and_many_identifiers():
+    import time
+
+    blank = " " * 1_000_000
+    many = " ".join(f"user{i}@mail{i}.example.com" for i in range(100_000))
+    odd = [blank + "\u00a0" + blank, many + "\u00a0", "(" * 300_000 + "\u00a0", "[ " * 300_000 + "\u00a0", "one " * 100_000 + "\u00a0", "a at " * 100_000 + "\u00a0", "a" * 500_000 + "\u00a0", "я" * 1_000_000, "1 - " * 200_000 + "\u00a0"]
+    for text in odd:
+        began = time.process_time()
+        plain = pii.plain_spans(text)
+        more = pii.disguised_spans(text, plain)
+        assert time.process_time() - began < 6, text[:20]  # a quadratic step takes minutes
+        assert len(plain) == (100_000 if text.startswith("user") else 0) and not more
+
+
+def test_pii_normal_form_maps_back(spark):
+    import random
+
+    rng = random.Random(6)
+    bits = ["bob", " ", "(at)", " [dot] ", "com", "\u200b", "а", "４", "one two", " at ", " dot ", "@", ".", "plus one", "7", "\u00a0", "é", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randrange(1, 14)))
+        normal, out, seen = pii.normal_form(text)
+        last = 0
+        for i in range(len(normal)):
+            lo, hi = seen.start(out.start(i)), seen.end(out.end(i) - 1)
+            assert last <= lo < hi <= len(text) or lo < hi  # a written piece stands for all of its range
+            if text[lo:hi] == normal[i]:
+                assert hi == lo + 1
+            last = lo
+
+
 @pytest.mark.parametrize(("unique", "most"), [(True, 20_000), (True, 1), (False, 20_000)])
 def test_repeats(spark, unique, most):
     rows = cases.rows(unique)
