@@ -24,6 +24,7 @@ RECORDS_PER_FILE = 1000
 #: Payloads shorter than that are written again each time.
 SHORTEST_REVISITED = 1000
 _CHUNK = 8 << 10
+_GZIP_STEP = 1 << 16
 _DATE = "2020-01-01T00:00:00Z"
 _END = b"\r\n"
 _ID = re.compile(r"<urn:row:(-?[0-9]*):([0-9]+)>")
@@ -86,33 +87,52 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, digest: s
     return out
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields, with names in lower case, and block of each record of an archive file."""
+_NEXT = re.compile(rb"(?:^|\n)(?=WARC/[0-9])")
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str] | None, bytes | int]]:
+    """Header fields, with names in lower case, and block of each record of an archive file.
+
+    Where there is no record, or one without a valid length, or one that is cut short: None and the place in the file; the
+    reading goes on at the next line that begins a record.
+    """
     at = 0
     while at < len(data):
         if data[at] in _END:
             at += 1
             continue
         end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]))
-        size = int(fields["content-length"])
-        if end + 4 + size > len(data):
-            raise ValueError(f"record at byte {at} is cut short")
+        fields: dict[str, str] = {}
+        if end >= 0 and data.startswith(b"WARC/", at):
+            fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]))
+        size = _number(fields.get("content-length"))
+        if size is None or size < 0 or end + 4 + size > len(data):
+            yield None, at
+            following = _NEXT.search(data, at + 1)
+            at = following.end() if following else len(data)
+            continue
         yield fields, data[end + 4 : end + 4 + size]
         at = end + 4 + size
 
 
-def _unpacked(content: bytes) -> bytes:
+def _unpacked(content: bytes) -> tuple[bytes, bool]:
+    """The bytes of a file, gzipped (one member or many) or not, and whether it is whole."""
     if content[:2] != b"\x1f\x8b":
-        return content
+        return content, True
     out = []
-    while content:  # one gzip member or many
+    while content[:2] == b"\x1f\x8b":
         d = zlib.decompressobj(31)
-        out.append(d.decompress(content))
-        content = d.unused_data
-    return b"".join(out)
+        try:
+            for i in range(0, len(content), _GZIP_STEP):
+                out.append(d.decompress(content[i : i + _GZIP_STEP]))
+                if d.eof:
+                    break
+        except zlib.error:
+            return b"".join(out), False
+        if not d.eof:
+            return b"".join(out), False
+        content = d.unused_data + content[i + _GZIP_STEP :]
+    return b"".join(out), not content.strip(b"\0\r\n")
 
 
 def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment: int = SEGMENT_BYTES, shortest: int = SHORTEST_REVISITED) -> None:
@@ -146,8 +166,8 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-_PART = "record string, page bigint, type string, refers bigint, bytes bigint, digest string, segment bigint, total bigint, block binary"
-_PAGE = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, problem string, payload binary"
+_PART = "record string, page bigint, type string, refers bigint, bytes bigint, digest string, declared string, segment bigint, total bigint, block binary, problem string"
+_PAGE = "page_id bigint, record_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, problem string, payload binary"
 
 
 def _http(block: bytes) -> tuple[dict[str, str], bytes]:
@@ -160,85 +180,136 @@ def _payload(block: bytes) -> bytes | None:
     return dechunked(body) if fields.get("transfer-encoding", "").lower() == "chunked" else body
 
 
-def _hex(field: str | None) -> str | None:
-    return base64.b32decode(field.removeprefix("sha1:")).hex() if field else None
+def _declared(field: str | None) -> str | None:
+    """A digest field as algorithm:hex; null without one, or where it is none of sha1, sha256 and md5 in hex or base32."""
+    kind, _, value = (field or "").partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    size = {"sha1": 20, "sha256": 32, "md5": 16}.get(kind)
+    if size is None:
+        return None
+    value = value.strip()
+    try:
+        raw = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return f"{kind}:?"  # meets no payload
+    return f"{kind}:{raw.hex()}"
+
+
+def _verified(body: bytes, declared: str | None) -> bool:
+    """Whether the payload has its declared digest; one without a known digest passes."""
+    if declared is None:
+        return True
+    kind, _, value = declared.partition(":")
+    return hashlib.new(kind, body).hexdigest() == value
 
 
 def _number(text: str | None) -> int | None:
-    return int(text) if text else None
+    """A whole number of a header field, null where it is none."""
+    try:
+        return int(text) if text else None
+    except ValueError:
+        return None
+
+
+def _part(**known) -> tuple:
+    return tuple(known.get(x.split()[0]) for x in _PART.split(", "))
+
+
+def _parts_of(path: str, content: bytes, with_payload: bool) -> Iterator[tuple]:
+    data, whole = _unpacked(content)
+    if not whole:
+        yield _part(record=f"{path}#gzip", problem="gzip")
+    for i, (f, block) in enumerate(parse(data)):
+        if f is None:
+            yield _part(record=f"{path}#{block}", problem="record")
+            continue
+        kind, me, number = f.get("warc-type"), f.get("warc-record-id") or f"{path}#{i}", f.get("warc-segment-number")
+        segment, declared = _number(number), _declared(f.get("warc-payload-digest"))
+        page = _number(m[1]) if (m := _ID.fullmatch(me)) else None
+        if number and segment is None:
+            yield _part(record=f"{path}#{i}", problem="record")
+        elif kind == "revisit":
+            to = _ID.fullmatch(f.get("warc-refers-to", ""))
+            digest = declared.partition(":")[2] if declared and declared.startswith("sha1:") else None
+            yield _part(record=me, page=page, type=kind, refers=_number(to[1]) if to else None, bytes=_number(_http(block)[0].get("content-length")), digest=digest)
+        elif kind == "continuation":
+            if (origin := f.get("warc-segment-origin-id")) and segment:
+                yield _part(record=origin, segment=segment, total=_number(f.get("warc-segment-total-length")), block=block)
+            else:
+                yield _part(record=me, problem="record")
+        elif kind == "response" and (segment or with_payload):
+            yield _part(record=me, page=page, type=kind, declared=declared, segment=segment or 1, total=None if segment else len(block), block=block)
+        elif kind == "response":  # whole: only its figures go on
+            body = _payload(block)
+            if body is None or not _verified(body, declared):
+                yield _part(record=me, page=page, type=kind, problem="framing" if body is None else "digest")
+            else:
+                yield _part(record=me, page=page, type=kind, bytes=len(body), digest=hashlib.sha1(body).hexdigest())
+
+
+def _columns(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in fields.split(", ")), strict=True)
+    of = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], of[k]) for i, k in enumerate(kinds)], names=list(names))
 
 
 def _parts(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _PART.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
-            for content in b.column("content"):
+            for path, content in zip(b.column("path"), b.column("content"), strict=True):
                 rows = []
-                for f, block in parse(_unpacked(content.as_py())):
-                    kind, me = f.get("warc-type"), f.get("warc-record-id", "")
-                    segment, digest = _number(f.get("warc-segment-number")), _hex(f.get("warc-payload-digest"))
-                    m = _ID.fullmatch(me)
-                    page = _number(m[1]) if m else None
-                    if kind == "revisit":
-                        to = _ID.fullmatch(f.get("warc-refers-to", ""))
-                        rows.append((me, page, kind, _number(to[1]) if to else None, _number(_http(block)[0].get("content-length")), digest, None, None, None))
-                    elif kind == "continuation":
-                        rows.append((f.get("warc-segment-origin-id"), None, None, None, None, None, segment, _number(f.get("warc-segment-total-length")), block))
-                    elif kind == "response" and (segment or with_payload):
-                        rows.append((me, page, kind, None, None, digest, segment or 1, None if segment else len(block), block))
-                    elif kind == "response":  # whole: only its figures go on
-                        body = _payload(block)
-                        sha = None if body is None else hashlib.sha1(body).hexdigest()
-                        rows.append((me, page, kind, None, None if body is None else len(body), sha if sha == digest else None, None, None, None))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
+                for row in _parts_of(path.as_py(), content.as_py(), with_payload):
+                    rows.append(row)
+                    if len(rows) >= RECORDS_PER_FILE:
+                        yield _columns(rows, _PART)
+                        rows = []
+                yield _columns(rows, _PART)
 
     return run
 
 
 def _assemble(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("page", "record", "type", "refers", "bytes", "digest", "declared", "problem", "copies", "parts")
         for b in batches:
             rows = []
-            for page, kind, refers, size, digest, copies, parts in zip(*(b.column(c) for c in ("page", "type", "refers", "bytes", "digest", "copies", "parts")), strict=True):
-                page, kind, refers, size, digest, copies = (x.as_py() for x in (page, kind, refers, size, digest, copies))
+            for one in zip(*(b.column(c) for c in names), strict=True):
+                page, record, kind, refers, size, digest, declared, problem, copies = (x.as_py() for x in one[:-1])
                 # records of one name are copies of each other
-                problem, body, parts = None, None, [p for _, p in sorted({x["segment"]: x for x in parts.as_py()}.items())]
-                if parts:
+                body, parts = None, [p for _, p in sorted({x["segment"]: x for x in one[-1].as_py()}.items())]
+                if parts and not problem:
                     total = next((x["total"] for x in parts if x["total"] is not None), None)
                     block = b"".join(x["block"] for x in parts)
                     if [x["segment"] for x in parts] != list(range(1, len(parts) + 1)) or total != len(block):
                         problem = "segments"
                     elif (body := _payload(block)) is None:
                         problem = "framing"
-                    elif hashlib.sha1(body).hexdigest() != digest:
+                    elif not _verified(body, declared):
                         problem = "digest"
-                    size = None if problem else len(body)
-                elif kind == "response" and (size is None or digest is None):
-                    problem = "framing" if size is None else "digest"
-                rows += [(page, size, digest if not problem else None, kind, refers, problem, body if with_payload and not problem else None)] * copies
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=[x.split()[0] for x in _PAGE.split(", ")])
+                    else:
+                        size, digest = len(body), hashlib.sha1(body).hexdigest()
+                if problem:
+                    size = digest = body = None
+                rows += [(page, record, size, digest, kind, refers, problem, body if with_payload else None)] * copies
+            yield _columns(rows, _PAGE)
 
     return run
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, problem, payload) of the pages in a folder of archives.
+    """(page_id, record_id, payload_bytes, payload_digest, record_type, refers_to, problem, payload) of the pages in a folder of archives.
 
-    Segments are brought together whatever files they are in.  A page whose segments are not all there, whose framing is broken or
-    whose digest differs from the record's has no figures but a problem: segments, framing or digest.  payload is filled on request,
-    and never for revisits.
+    Segments are brought together whatever files they are in.  Foreign archives are read too: a record without one of our names has
+    no page_id; one without a payload digest of a known kind (sha1, sha256, md5) isn't verified.  Errors are rows with a problem and
+    no figures: segments (not all there), framing (broken chunks), digest (differs from the record's), record (no record, no valid length
+    or cut short; the reading goes on at the next one), gzip (a damaged file; what can be unpacked is read).  Records of other types
+    are passed over.  payload is filled on request, and never for revisits.  A file is read whole (2 GB at most, Spark's limit).
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     parts = files.mapInArrow(_parts(with_payload), _PART)
     pages = parts.groupBy("record").agg(
-        F.max("page").alias("page"),
-        F.max("type").alias("type"),
-        F.max("refers").alias("refers"),
-        F.max("bytes").alias("bytes"),
-        F.max("digest").alias("digest"),
+        *(F.max(c).alias(c) for c in ("page", "type", "refers", "bytes", "digest", "declared", "problem")),
         F.greatest(F.lit(1), F.count("type")).alias("copies"),
         F.collect_list(F.when(F.col("segment").isNotNull(), F.struct("segment", "total", "block"))).alias("parts"),
     )
-    return pages.drop("record").mapInArrow(_assemble(with_payload), _PAGE)
+    return pages.mapInArrow(_assemble(with_payload), _PAGE)

@@ -312,6 +312,55 @@ def test_warc_damage_and_empty(spark):
     assert warc.dechunked(b"5;x=1\r\nhello\r\n0\r\n\r\n") == b"hello" and warc.dechunked(b"5\r\nhell") is None and warc.dechunked(b"zz\r\n") is None
 
 
+def test_warc_reads_foreign_and_damaged_archives(spark):
+    import base64
+    import gzip
+
+    def record(kind, name, block, *fields, length=None):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", *fields, f"Content-Length: {len(block) if length is None else length}"]
+        return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    body = b"<p>hello</p>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    sha1, sha256, md5 = (hashlib.new(k, body) for k in ("sha1", "sha256", "md5"))
+    good = [
+        record("response", "<urn:uuid:1>", http),
+        record("response", "<urn:uuid:2>", http, "WARC-Payload-Digest: sha1:" + base64.b32encode(sha1.digest()).decode()),
+        record("response", "<urn:uuid:3>", http, "WARC-Payload-Digest: sha256:" + sha256.hexdigest()),
+        record("response", "<urn:uuid:4>", http, "WARC-Payload-Digest: md5:" + md5.hexdigest()),
+        record("response", "<urn:uuid:5>", http, "WARC-Payload-Digest: crc:77"),
+        record("request", "<urn:uuid:6>", b"GET / HTTP/1.1\r\n\r\n"),
+        record("revisit", "<urn:uuid:7>", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Refers-To: <urn:uuid:1>", "WARC-Payload-Digest: md5:xyz"),
+    ]
+    bad = [
+        b"this line is no record\r\n\r\n",
+        record("response", "<urn:uuid:10>", http, "WARC-Payload-Digest: sha1:no-base32!"),
+        record("response", "<urn:uuid:11>", http, length="many"),
+        record("response", "<urn:uuid:12>", http, length=-5),
+        record("response", "<urn:uuid:13>", http, "WARC-Segment-Number: one"),
+        record("continuation", "<urn:uuid:14>", http, "WARC-Segment-Number: 2"),
+        record("response", "<urn:uuid:15>", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\n"),
+        b"WARC/1.0\r\nWARC-Type: response\r\n\r\n",
+        record("response", "<urn:uuid:16>", http),
+        record("response", "<urn:uuid:17>", http, length=10**9),
+    ]
+    import os
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="spark-")  # local mode: the files stand for another tool's archives
+    zipped = b"".join(gzip.compress(x) for x in good)
+    for name, data in {"a.warc": b"".join(good[:4] + bad), "b.warc.gz": zipped, "c.warc.gz": zipped[:-30], "d.warc": b"", "e.warc": b"\x1f\x8bno gzip"}.items():
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(data)
+    got = warc.read_archives(spark, f"file://{folder}").collect()
+    fine = {r.record_id: r for r in got if r.problem is None}
+    assert {r.record_id for r in got if r.problem is None} == {f"<urn:uuid:{i}>" for i in (1, 2, 3, 4, 5, 7, 16)}
+    assert all((r.payload_bytes, r.payload_digest) == (len(body), sha1.hexdigest()) for r in fine.values() if r.record_type == "response")
+    assert {r.page_id for r in got} == {None}
+    problems = Counter(r.problem for r in got if r.problem)
+    assert problems == {"record": 8, "digest": 1, "framing": 1, "gzip": 2}
+
+
 @both
 def test_pii_base(spark, unique):
     import re
