@@ -262,19 +262,74 @@ def test_lm_learns_context(spark):
     assert sum(x.score for x in r) > sum(x.base_score for x in r)
 
 
-def test_lm_probabilities_of_classes_sum_to_one():
+@pytest.mark.parametrize("share", [1e-6, 0.02])
+def test_lm_score_equals_the_plain_model(spark, monkeypatch, share):
+    import numpy as np
+
+    monkeypatch.setattr(lm, "SENT_SHARE", share)  # all tokens looked up in place, or most of them by the join
+    rows = cases.frame(spark).select("doc_id", F.col("doc_id").alias("_ord"), F.col("text").alias("_text"))
+    train = F.col("doc_id") % 5 != 1
+    learned = model, *_ = lm.learn(rows.filter(train).select("_ord", "_text"), 1)
+    assert len(set(model.classes.tolist())) > 4
+    got = {r.doc_id: r.score for r in lm.scores(rows, "doc_id", *learned).collect()}
+
+    def tokens(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        t = lm.Tokens.of(raw, np.array([0, len(raw)]), 0, 1, model.classes)
+        return [*cases.BLANK.findall(cases.lower(text)), None], t.cls.tolist(), t
+
+    count, pairs, types, seen = Counter(), Counter(), defaultdict(set), Counter()
+    docs = {d: tokens(t) for d, t, *_ in cases.rows()}
+    for d, (words, cls, _) in docs.items():
+        if d % 5 != 1:
+            for i, (w, c) in enumerate(zip(words, cls, strict=True)):
+                x = cls[i - 1] if i else None
+                count[w] += 1
+                pairs[w, x] += 1
+                types[c, x].add(w)
+                seen[c, x] += 1
+    kind = {w: c for words, cls, _ in docs.values() for w, c in zip(words, cls, strict=True)}
+    whole = {c: sum(n for w, n in count.items() if kind[w] == c) + 0.5 * (sum(kind[w] == c for w in count) + 1) for c in range(lm.CLASSES)}
+    for d, (words, cls, t) in docs.items():
+        total = 0.0
+        for i, (w, c) in enumerate(zip(words, cls, strict=True)):
+            x = cls[i - 1] if i else None
+            z = sum(model.weights[f].astype(float) for f in t.features(len(model.weights))[i])
+            total += (z[c] - math.log(sum(math.exp(v) for v in z))) / math.log(10)
+            a = 1 + lm.SMOOTHING * len(types[c, x])
+            total += math.log10((pairs[w, x] + a * (count[w] + 0.5) / whole[c]) / (seen[c, x] + a))
+        assert got[d] == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
+def test_lm_gains_on_held_out_documents(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    from resight.llm.queries import op6_lm_score
+
+    held = op6_lm_score(spark, folder).filter("held_out").agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()
+    assert (held.score - held.base) / held.n > 0.3  # log10 a token
+
+
+def test_lm_probabilities_sum_to_one():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    w = rng.normal(size=(lm.FEATURES, lm.CLASSES)).astype(np.float32)
+    w = rng.normal(size=(1 << lm.LEAST_FEATURES, lm.CLASSES)).astype(np.float32)
     text = b"one two three four"
-    t = lm.Tokens.of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 0, 1)
+    t = lm.Tokens.of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 0, 1, np.arange(lm.ENDINGS) % lm.CLASSES)
     total = 0
     for c in range(lm.CLASSES):
-        t2 = lm.Tokens(t.hash, t.cls.copy(), t.row, t.place)
-        t2.cls[-1] = c
-        total += math.exp(lm.class_scores(w, t2)[-1])
+        t.cls[-1] = c
+        total += math.exp(lm.class_scores(w, t)[-1])
     assert total == pytest.approx(1, abs=1e-4)
+    # a class of three tokens and the unknown one, after some class
+    one = np.ones((1, 1))
+    m = lm.Model(None, w, None, None, None, np.array([10 + 0.5 * 4]), 6.0 * one, 9.0 * one)
+    zero = np.zeros(4, np.int64)
+    assert m.in_class(np.array([5, 3, 2, 0]), np.array([4, 2, 0, 0]), zero, zero).sum() == pytest.approx(1)
 
 
 @pytest.mark.parametrize("segment", [16 << 10, 300])
