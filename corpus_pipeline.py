@@ -39,8 +39,8 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixing.taken(docs)
+    """The documents with their texts, how many words of each the mix takes, and which ones go to which shard and place in it."""
+    return mixing.with_pieces(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import ordered, written
 
 #: Blocks of the whole corpus, about; a block has MIN_BLOCK to MAX_BLOCK words.
 BLOCKS = 1 << 16
@@ -20,8 +20,10 @@ MIN_BLOCK, MAX_BLOCK = 16, 1 << 22
 SHARD_BLOCKS = 4096
 #: Sources up to which their table is broadcast (a row each); beyond it is joined by sorting.
 BROADCAST_SOURCES = 100_000
-#: Documents that one task orders at once, about.
-ORDER_ROWS = 2000
+#: Documents that are put in order at once, about.
+ORDER_ROWS = 20_000
+#: Sources whose quotas are in one row of the tree.
+CHUNK = 256
 _PRIME = 2654435761
 
 
@@ -52,44 +54,64 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     return stats.withColumn("target", F.expr(f"least({most}D * source_size, max(level) OVER () * w)")).select("k", "source", "docs", "source_size", "target")
 
 
-def _halved(level: int, seed: int) -> str:
-    """SQL for the numbers, by source, of the node's blocks that go left: each block in turn is taken with probability
+def _halved(level: int, seed: int, free: str) -> str:
+    """SQL for the numbers, by entry of counts, of the node's blocks that go left, `free` in all: each block in turn is taken with probability
     (places left to fill) / (blocks left), which is drawing without replacement."""
-    chance = f"pmod(xxhash64({seed}L, {level}, node, s.j, i), 9007199254740992L) / 9007199254740992D"
+    chance = f"pmod(xxhash64({seed}L, {level}, chunk, node, s.j, i), 9007199254740992L) / 9007199254740992D"
     inner = f"""aggregate(CASE WHEN c > 0 THEN sequence(1L, c) ELSE cast(array() AS array<bigint>) END,
         named_struct('n', s.n, 'free', s.free, 'x', 0L),
         (t, i) -> CASE WHEN {chance} * t.n < t.free THEN named_struct('n', t.n - 1L, 'free', t.free - 1L, 'x', t.x + 1L) ELSE named_struct('n', t.n - 1L, 'free', t.free, 'x', t.x) END,
         t -> named_struct('n', t.n, 'free', t.free, 'j', s.j + 1L, 'left', concat(s.left, array(t.x))))"""
-    return f"aggregate(counts, named_struct('n', n, 'free', n div 2L, 'j', 0L, 'left', cast(array() AS array<bigint>)), (s, c) -> {inner}, s -> s.left)"
+    start = f"named_struct('n', aggregate(counts, 0L, (a, c) -> a + c), 'free', {free}, 'j', 0L, 'left', cast(array() AS array<bigint>))"
+    return f"aggregate(counts, {start}, (s, c) -> {inner}, s -> s.left)"
+
+
+def _tree(nodes: DataFrame, depth: int, seed: int) -> DataFrame:
+    """(chunk, node, counts) at the leaves, from (chunk, node, counts, leaves): leaves are the sums that the 2^depth nodes below must have."""
+    for level in range(depth):
+        half = 1 << (depth - level - 1)
+        nodes = nodes.withColumn("left", F.expr(_halved(level, seed, f"aggregate(slice(leaves, 1, {half}), 0L, (a, c) -> a + c)")))
+        both = f"""array(named_struct('node', node * 2L, 'counts', left, 'leaves', slice(leaves, 1, {half})),
+            named_struct('node', node * 2L + 1L, 'counts', zip_with(counts, left, (c, l) -> c - l), 'leaves', slice(leaves, {half + 1}, {half})))"""
+        nodes = nodes.select("chunk", F.explode(F.expr(both)).alias("x")).select("chunk", "x.*")
+    return nodes.select("chunk", "node", "counts")
 
 
 def split(quotas: DataFrame, depth: int, seed: int = 1) -> DataFrame:
     """(shard, k, drawn, before) from quotas (k, quota), k = 1, 2, ...: how many of a source's draws each of 2^depth shards has,
-    and how many the shards before it.  Shards have equally many draws, give or take one for each level."""
-    nodes = quotas.agg(F.array_sort(F.collect_list(F.struct("k", "quota"))).alias("x")).selectExpr("0L AS node", "transform(x, y -> y.quota) AS counts")
-    nodes = nodes.withColumn("n", F.expr("aggregate(counts, 0L, (a, c) -> a + c)"))
-    for level in range(depth):
-        nodes = nodes.withColumn("left", F.expr(_halved(level, seed)))
-        both = F.expr("array(named_struct('node', node * 2L, 'counts', left, 'n', n div 2L), named_struct('node', node * 2L + 1L, 'counts', zip_with(counts, left, (c, l) -> c - l), 'n', n - n div 2L))")
-        nodes = nodes.select(F.explode(both).alias("x")).select("x.*")
-    out = nodes.select(F.col("node").alias("shard"), F.posexplode("counts").alias("k", "drawn")).withColumn("k", F.col("k").cast("bigint") + 1)
+    and how many the shards before it.  Shards have equally many draws, give or take one for each level.
+
+    A tree splits the draws of CHUNK sources at a time as one; then each chunk has a tree of its own, in which as many go left at a
+    node as the first tree says.  That is the same draw, in rows that don't grow with the number of sources.
+    """
+    listed = quotas.withColumn("chunk", F.expr(f"(k - 1) div {CHUNK}"))
+    chunks = listed.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "quota"))), lambda y: y["quota"]).alias("counts"))
+    chunks = chunks.withColumn("n", F.expr("aggregate(counts, 0L, (a, c) -> a + c)"))
+    top = chunks.agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "n"))), lambda y: y["n"]).alias("counts"))
+    top = top.select(F.lit(-1).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("node"), "counts", F.expr("array(aggregate(counts, 0L, (a, c) -> a + c))").alias("leaves"))
+    for _ in range(depth):
+        top = top.withColumn("leaves", F.expr("flatten(transform(leaves, x -> array(x div 2L, x - x div 2L)))"))
+    leaves = _tree(top, depth, seed).select("node", F.posexplode("counts").alias("chunk", "n")).groupBy(F.col("chunk").cast("bigint").alias("chunk"))
+    leaves = leaves.agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "n"))), lambda y: y["n"]).alias("leaves"))
+    nodes = chunks.join(leaves.hint("shuffle_hash"), "chunk").select("chunk", F.lit(0).cast("bigint").alias("node"), "counts", "leaves")
+    out = _tree(nodes, depth, seed).select(F.col("node").alias("shard"), "chunk", F.posexplode("counts").alias("j", "drawn")).select("shard", F.expr(f"chunk * {CHUNK}L + j + 1L").alias("k"), "drawn")
     return out.withColumn("before", F.expr("coalesce(sum(drawn) OVER (PARTITION BY k ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """The documents with their targets, and the mix.
 
-    Documents: (_row, id_col, source_col, size, source_size, target), one for each row of docs.  The mix: (shard, slot, _row,
-    id_col, first_word, n_words, place), the pieces of documents it takes, a document's pieces at most `most` times over:
-    sorted by slot and place, a shard's pieces are in their shuffled order.
+    Documents: (_row, id_col, source_col, size, source_size, target), one for each row of docs; _row is its place in the order of
+    ids.  The mix: (shard, slot, _row, id_col, first_word, n_words, place), the pieces of documents it takes, a document's
+    pieces at most `most` times over: sorted by slot and place, a shard's pieces are in their shuffled order.
 
     Sizes are counts of [^\\x20\\x09-\\x0D]+; a null text has none, and a text without words is in no piece.  A null source is
     a source of its own, after the others.  Rows of equal ids are rows of their own.  An empty table gives empty results.
     Words taken from a source are its target, rounded.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    rows = written(rows, "sizes")
+    rows, _ = ordered(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "id", "source", "text")
+    rows = written(rows.select(F.col("_ord").alias("_row"), "id", "source", size_of(F.col("text")).alias("size")), "sizes")
     goal = written(targets(rows, weights, share, most), "targets")
     seen = goal.agg(F.count(F.lit(1)).alias("n"), F.sum("source_size").alias("size"), F.sum("target").alias("target")).first()
     w = min(MAX_BLOCK, max(MIN_BLOCK, (seen["size"] or 0) // BLOCKS))
@@ -127,8 +149,37 @@ def shuffled(pieces: DataFrame, shards: int) -> DataFrame:
     return pieces.repartition(shards, "shard").sortWithinPartitions("shard", "slot", "place", "_row")
 
 
+def with_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """(id_col, source_col, size, source_size, target, taken, pieces, text_col) for each row of docs, in the order of ids.
+
+    pieces is an array of (shard, slot, place, first_word, n_words), sorted: which words of the text each shard takes, and where they
+    stand in the shard's shuffled order.  taken is their sum, 0 for a text that the mix doesn't take.
+    """
+    rows, pieces = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    took = pieces.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("shard", "slot", "place", "first_word", "n_words"))).alias("pieces"))
+    texts, _ = ordered(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "id", "source", "text")
+    out = rows.join(took.hint("shuffle_hash"), "_row", "left").withColumn("pieces", F.coalesce("pieces", F.expr("cast(array() AS array<struct<shard:bigint,slot:bigint,place:bigint,first_word:bigint,n_words:bigint>>)")))
+    out = out.withColumn("taken", F.expr("aggregate(pieces, 0L, (a, x) -> a + x.n_words)"))
+    joined = texts.select(F.col("_ord").alias("_row"), F.col("text").alias(text_col)).join(out.hint("shuffle_hash"), "_row")
+    return joined.select(id_col, source_col, "size", "source_size", "target", "taken", "pieces", text_col)
+
+
+def written_mix(mixed: DataFrame, path: str, shards: int, *, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the result of with_pieces() as Parquet files of (shard, slot, place, id_col, text_col), a row for each piece, with the words and
+    blanks of the text that it takes: each shard is together and in its shuffled order."""
+    one = mixed.select(id_col, F.col(text_col).alias("_text"), "size", F.explode("pieces").alias("_p"))
+    words = F.split("_text", "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])")
+    lead = F.when(F.col("_text").rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0)  # blanks before the first word
+    part = F.array_join(F.slice(words, (F.col("_p.first_word") + lead + 1).cast("int"), F.col("_p.n_words").cast("int")), "")
+    text = F.when(F.col("_p.n_words") == F.col("size"), F.col("_text")).otherwise(part)
+    out = one.select("_p.shard", "_p.slot", "_p.place", id_col, text.alias(text_col))
+    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot", "place").write.parquet(path)
+
+
 def taken(docs: DataFrame, **how) -> DataFrame:
-    """(id_col, source_col, size, source_size, target, taken) for each row of docs: the words that the mix takes of it, repeats counted."""
+    """(id_col, source_col, size, source_size, target, taken, pieces, shards) for each row of docs: the words that the mix takes of it, repeats counted, and
+    in how many pieces and different shards."""
     rows, pieces = mix(docs, **how)
-    took = pieces.groupBy("_row").agg(F.sum("n_words").alias("taken"))
-    return rows.join(took.hint("shuffle_hash"), "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("bigint"))).drop("_row")
+    took = pieces.groupBy("_row").agg(F.sum("n_words").alias("taken"), F.count(F.lit(1)).alias("pieces"), F.size(F.collect_set("shard")).cast("bigint").alias("shards"))
+    out = rows.join(took.hint("shuffle_hash"), "_row", "left")
+    return out.select(*rows.columns, *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("taken", "pieces", "shards"))).drop("_row")

@@ -17,7 +17,7 @@ def _crc(col: str) -> F.Column:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "pieces", "shards")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,43 @@ def test_mixing_shards_are_disjoint_and_even(spark):
     assert max(size.values()) - min(size.values()) <= 3
 
 
+def test_mixing_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 4)  # several chunks of sources
+    want = {k: (k * 37) % 90 for k in range(1, 31)}
+    s = mixing.split(spark.createDataFrame(list(want.items()), "k bigint, quota bigint"), 3).collect()
+    drawn, size = Counter(), Counter()
+    for r in s:
+        drawn[r.k] += r.drawn
+        size[r.shard] += r.drawn
+        assert r.drawn >= 0 and r.before == sum(x.drawn for x in s if x.k == r.k and x.shard < r.shard)
+    assert len(s) == 240 and all(drawn[k] == n for k, n in want.items())
+    assert len(size) == 8 and max(size.values()) - min(size.values()) <= 3
+    # each shard has about an eighth of a large source
+    assert all(abs(r.drawn - want[r.k] / 8) < 14 for r in s)
+
+
+def test_mixed_texts(spark):
+    df = cases.frame(spark)
+    mixed = mixing.with_pieces(df)
+    path = new_path(spark, "mix")
+    mixing.written_mix(mixed, path, 3)
+    rows = {r.doc_id: r for r in mixed.collect()}
+    assert {d: t for d, t, *_ in cases.rows()} == {d: r.text for d, r in rows.items()}
+    want = Counter()
+    for d, r in rows.items():
+        assert r.taken == sum(p.n_words for p in r.pieces) <= 2 * r["size"]
+        w = cases.BLANK.findall(r.text or "")
+        for p in r.pieces:
+            want[p.shard, p.slot, p.place, d, tuple(w[p.first_word : p.first_word + p.n_words])] += 1
+    got = spark.read.parquet(path).withColumn("file", F.input_file_name()).withColumn("nth", F.monotonically_increasing_id()).collect()
+    assert Counter((r.shard, r.slot, r.place, r.doc_id, tuple(cases.BLANK.findall(r.text))) for r in got) == want
+    for shard in {r.shard for r in got}:
+        mine = [r for r in got if r.shard == shard]
+        assert len({r.file for r in mine}) == 1
+        order = [(r.slot, r.place) for r in sorted(mine, key=lambda r: r.nth)]
+        assert order == sorted(order)
+
+
 def test_langid(spark):
     words = {"en": "the with and that house", "de": "der mit und dass haus", "fr": "le avec et que maison"}
     rows = [(i, " ".join(w.split()[(i + k * 3) % 5] for k in range(9)), lang) for i in range(60) for lang, w in words.items()]
