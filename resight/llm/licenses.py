@@ -6,7 +6,7 @@ prefix); enough words of the vocabulary (length); and enough of them on either s
 pass are compared exactly.  All of it is DataFrame and SQL functions.
 
 Blocks are lines, sentences in them, and across line ends all runs of as many words as the template has, so that wrapped
-notices are met too.
+notices are met too; for templates of several sentences also across the ends of sentences.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ._spark import ordered, written
 
 # Phrases whose consecutive words make a base label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Sentences of public license notices, and their labels.
+# Sentences of public license notices and whole notices, with their labels.
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
@@ -35,11 +35,32 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("reserved", "All rights reserved."),
+    # whole notices
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("gpl-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
 ]
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _W = "0-9a-z\\x{80}-\\x{10FFFF}"
 WORD = f"[{_W}]+"
 #: Blocks of one line end at line ends, and after a sentence.
-BLOCK_END = "\\n|(?<=[.!?])[ \\t]+"
+SENTENCE_END = "(?<=[.!?])[ \\t]+"
+BLOCK_END = "\\n|" + SENTENCE_END
 
 
 def words_of(text: str) -> list[str]:
@@ -66,17 +87,21 @@ def _bases(phrases: dict[str, str], vocabulary: list[str]) -> str:
 
 
 def _wrapped(rows: DataFrame, index: list[tuple], known: Column, first: str) -> DataFrame:
-    """(_ord, label, both, size) of the runs of words over a line end that meet a template, around each of its prefix words."""
-    table = rows.sparkSession.createDataFrame([(rank, width, label, need, own) for rank, _, label, need, own, width in index], "rank int, width int, label string, need int, own array<int>")
-    most, prefix = max(r[5] for r in index), ", ".join(map(str, sorted({r[0] for r in index})))
-    line = F.transform(F.split("t", "\n"), lambda b, k: F.transform(_words(b), lambda v: F.struct(F.coalesce(F.try_element_at(known, v), F.lit(-1)).alias("rank"), k.alias("line"))))
-    found = rows.filter(F.col("t").contains("\n") & F.col("t").rlike(first)).select("_ord", F.flatten(line).alias("w"))
+    """(_ord, label, both, size) of the runs of words over the end of a line (or of any block, for templates of several) that meet a template,
+    around each of its prefix words."""
+    table = rows.sparkSession.createDataFrame([(rank, width, several, label, need, own) for rank, _, label, need, own, width, several in index], "rank int, width int, several boolean, label string, need int, own array<int>")
+    most = {r: max(x[5] for x in index if x[0] == r) for r in {x[0] for x in index}}
+    prefix, reach = ", ".join(map(str, sorted(most))), f"element_at(map({', '.join(f'{r}, {w}' for r, w in sorted(most.items()))}), w[i].rank)"
+    word = lambda k, j: lambda v: F.struct(F.coalesce(F.try_element_at(known, v), F.lit(-1)).alias("rank"), k.alias("line"), (k * 1000000 + j).alias("block"))
+    line = F.transform(F.split("t", "\n"), lambda b, k: F.flatten(F.transform(F.split(b, SENTENCE_END), lambda c, j: F.transform(_words(c), word(k, j)))))
+    found = rows.filter(F.col("t").rlike(BLOCK_END) & F.col("t").rlike(first)).select("_ord", F.flatten(line).alias("w"))
     # of the words, only those that a run with the prefix word can hold go on; a one-element array binds w
-    near = f"slice(w, greatest(i - {most - 1}, 0) + 1, least(i, {most - 1}) + {most})"
-    found = found.select("_ord", F.expr(f"inline(flatten(transform(array(w), w -> transform(filter(sequence(0, size(w) - 1), i -> w[i].rank IN ({prefix})), i -> struct(w[i].rank AS rank, least(i, {most - 1}) AS at, {near} AS near)))))"))
-    found = found.filter("near[0].line < near[size(near) - 1].line").select("_ord", "rank", "at", F.col("near.rank").alias("ranks"), F.col("near.line").alias("lines"))
+    near = f"slice(w, greatest(i - {reach} + 1, 0) + 1, least(i, {reach} - 1) + {reach})"
+    found = found.select("_ord", F.expr(f"inline(flatten(transform(array(w), w -> transform(filter(sequence(0, size(w) - 1), i -> w[i].rank IN ({prefix})), i -> struct(w[i].rank AS rank, least(i, {reach} - 1) AS at, {near} AS near)))))"))
+    found = found.filter("near[0].block < near[size(near) - 1].block").select("_ord", "rank", "at", F.col("near.rank").alias("ranks"), F.col("near.line").alias("lines"), F.col("near.block").alias("blocks"))
     pairs = found.join(F.broadcast(table), "rank").filter("size(array_intersect(own, slice(ranks, greatest(at - width + 1, 0) + 1, 2 * width - 1))) >= need")
-    run = "CASE WHEN lines[i] < lines[least(i + width, size(lines)) - 1] THEN size(array_intersect(own, slice(ranks, i + 1, width))) END"
+    last = "least(i + width, size(lines)) - 1"
+    run = f"CASE WHEN CASE WHEN several THEN blocks[i] < blocks[{last}] ELSE lines[i] < lines[{last}] END THEN size(array_intersect(own, slice(ranks, i + 1, width))) END"
     best = F.expr(f"array_max(transform(sequence(greatest(at - width + 1, 0), at), i -> {run}))")
     return pairs.select("_ord", "label", "need", best.alias("both"), F.size("own").alias("size")).filter("both >= need").drop("need")
 
@@ -85,17 +110,18 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score) of every document.
 
     Base: all places where the words of a phrase stand one after the other, words lower-cased (A-Z) and counted from 0; first_word
-    and last_word are null where there is none.  labels also holds the labels of templates that some block (a line, a sentence of
-    it, or a run over a line end of as many words as the template has) meets; score is 1 where there is a base place, else the largest share of a template's words found in a block that
+    and last_word are null where there is none.  labels also holds the labels of templates that some block (a line, a sentence of it, or a run of as many words as
+    the template has over a line end, for templates of several sentences over any block's end) meets; score is 1 where there is a base place, else the largest share of a template's words found in a block that
     meets it, else 0.  Labels are sorted, different and comma-joined.  A null text counts as empty; rows of equal ids are rows of
-    their own.  The templates are a fixed list: tables made from them have a row for each of their words.
+    their own; an empty table gives an empty result.  Whole texts are read.  The templates are a fixed list: tables made from them have a
+    row for each of their words.
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     spark = docs.sparkSession
-    sets = [(label, set(words_of(t)), len(words_of(t))) for label, t in templates if words_of(t)]
-    vocabulary = sorted(set().union(*(s for _, s, _ in sets))) if sets else []
+    sets = [(label, set(words_of(t)), len(words_of(t)), re.search(BLOCK_END, t) is not None) for label, t in templates if words_of(t)]
+    vocabulary = sorted(set().union(*(x[1] for x in sets))) if sets else []
     rows, _ = ordered(docs, id_col, text_col)
-    rows = rows.select(F.col(id_col).alias("_id"), "_ord", F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    rows = rows.select(F.col(id_col).alias("_id"), "_ord", F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _UPPER.lower()).alias("t"))
 
     hit = F.lit(False)
     for p in phrases:
@@ -121,11 +147,11 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     counts = {r.v: r.n for r in figures.select(F.explode("known").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = {v: i for i, v in enumerate(sorted(vocabulary, key=lambda v: (counts.get(v, 0), v)))}
     index, prefix = [], set()
-    for label, words, width in sets:
+    for label, words, width, several in sets:
         ranks = sorted(order[v] for v in words)
         need = max(1, math.ceil(threshold * len(ranks) - 1e-9))
         for i in range(len(ranks) - need + 1):
-            index.append((ranks[i], i, label, need, ranks, width))
+            index.append((ranks[i], i, label, need, ranks, width, several))
             prefix.add(ranks[i])
     if not index:
         met = spark.createDataFrame([], "_ord bigint, found array<string>, share double")

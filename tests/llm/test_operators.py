@@ -262,6 +262,14 @@ def test_licenses_prefix_join_equals_brute_force(spark):
         for b in re.split(r"\n|(?<=[.!?])[ \t]+", low):
             own = set(licenses.words_of(b))
             found |= {label for label, x in licenses.TEMPLATES if len(own & set(licenses.words_of(x))) >= math.ceil(0.8 * len(set(licenses.words_of(x))) - 1e-9)}
+        placed = [(w, n, (n, m)) for n, b in enumerate(low.split("\n")) for m, c in enumerate(re.split(r"(?<=[.!?])[ \t]+", b)) for w in licenses.words_of(c)]
+        for label, x in licenses.TEMPLATES:
+            n, place = len(licenses.words_of(x)), 2 if re.search(licenses.BLOCK_END, x) else 1
+            for k in range(max(1, len(placed) - n + 1)):
+                run = placed[k : k + n]
+                own = {w for w, *_ in run} & set(licenses.words_of(x))
+                if run[0][place] < run[-1][place] and len(own) >= math.ceil(0.8 * len(set(licenses.words_of(x))) - 1e-9):
+                    found.add(label)
         assert got[i] == ",".join(sorted(found))
 
 
@@ -279,6 +287,31 @@ def test_licenses_wrapped(spark):
     assert all(got[i].score == 1 for i in got if 100 <= i < 200)
 
 
+def test_licenses_as_whole_texts(spark):
+    import random
+    import textwrap
+
+    rng = random.Random(3)
+    whole = [(label, t) for label, t in licenses.TEMPLATES if "\n" in t]
+    assert len(whole) >= 6
+    docs = []
+    for i, (_, t) in enumerate(whole):
+        docs.append((10 * i, "Before it. " + t.replace("\n", " ") + " After it."))  # on one line
+        docs.append((10 * i + 1, "/*\n" + textwrap.indent(textwrap.fill(t, 60), " * ") + "\n */"))
+        docs.append((10 * i + 2, " ".join(w for w in t.split() if rng.random() < 0.93)))
+        docs.append((10 * i + 3, t[: len(t) // 2].replace("\n", " ")))  # half of it is not met as a whole
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(docs, "doc_id bigint, text string"), templates=whole).collect()}
+    for i, (label, _) in enumerate(whole):
+        assert all(label in got[10 * i + k] for k in (0, 1, 2)), label
+        assert label not in got[10 * i + 3]
+
+
+def test_licenses_fold_ascii_only(spark):
+    docs = [(1, "All rights re\u017ferved"), (2, "\u212aEY OF All rights reserved"), (3, "ALL RIGHTS RESERVED")]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(docs, "doc_id bigint, text string"), templates=[("key", "key")]).collect()}
+    assert got == {1: "", 2: "reserved", 3: "reserved"}
+
+
 @both
 def test_lm(spark, unique):
     rows = cases.rows(unique)
