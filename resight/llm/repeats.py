@@ -25,7 +25,7 @@ KGRAM = 24
 #: Starts in a stretch at most; the number of starts is packed beside the place of the first.
 _STARTS = 127
 #: Different stretches of one key that one task compares at most; more are dealt out string by string, equal strings held once.
-STRETCHES_OF_KEY = 20_000
+STRETCHES_OF_KEY = 2_000
 _ROW_BYTES = 1 << 20
 _SORT_BYTES = 2 << 20
 
