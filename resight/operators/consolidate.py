@@ -65,6 +65,26 @@ def inherited(changed: DataFrame, members: DataFrame, overrides: DataFrame, log:
     return out.filter("_own IS NULL OR _own <> d.intent").select(id_col, F.col("d.intent").alias("decision_action"), F.col("d.decided_at").alias("decided_at"), F.col("d.from_id").alias("inherited_from"))
 
 
+def role_groups(postings: DataFrame, membership: DataFrame, *, id_col: str = "job_id") -> DataFrame:
+    """(canonical_job_id, n, first_seen, last_seen, locations, is_favorite, notes, flagged_at, active, members) of each role.
+
+    postings: (id, location, first_seen, last_seen, is_favorite, flag_reason, flagged_at, archived_at).  locations and notes are different and
+    sorted; members are all ids with whether they are active, sorted.
+    """
+    active = F.col("archived_at").isNull()
+    return postings.join(membership, id_col).groupBy("canonical_job_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.array_sort(F.collect_set("location")).alias("locations"),
+        F.bool_or("is_favorite").alias("is_favorite"),
+        F.array_sort(F.collect_set(F.when(F.trim("flag_reason") != "", F.col("flag_reason")))).alias("notes"),
+        F.max("flagged_at").alias("flagged_at"),
+        F.count_if(active).alias("active"),
+        F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), active.alias("active")))).alias("members"),
+    )
+
+
 def review(postings: DataFrame, membership: DataFrame, seen: DataFrame, *, id_col: str = "job_id") -> DataFrame:
     """One row for each group: aggregates over its members, and the member that is shown.
 

@@ -1,4 +1,6 @@
-"""Rule values for titles of job postings, for use with rules.RuleSets; larger sets come as a table (rules.rule_table)."""
+"""Rule values for titles of job postings, for use with rules.RuleSets; larger sets come as a table (rules.rule_tables)."""
+
+from .rules import RuleSets
 
 # Title patterns of student and trainee posts, in order.
 STUDY = [
@@ -106,3 +108,23 @@ ADJACENT = [
         ],
     ),
 ]
+
+# Titles of consulting, and of tools and platforms that it implements; employers whose postings are never wanted; and
+# employers at which one kind of title belongs to retail.
+CONSULTING = r"(?:\bconsult(?:ant|ants|ing|ancy)\w*\b|\b\w*berater(?:(?::|/)?in)?\w*\b|\b\w*beratung\w*\b|\badvisory\b)"
+IMPLEMENTATION = (
+    r"(?:\b(?:sap|sac|workday|prism|qlik|cognos|cubeware|databricks|snowflake|denodo|salesforce|servicenow|azure|aws|gcp)\b|"
+    r"\b(?:power[\s/-]+platform|data[\s/-]+warehous\w*|data[\s/-]+lake|data[\s/-]+platform\w*|data[\s/-]+model(?:ing|ling)|process[\s/-]+mining|e[\s/-]*discovery|digital[\s/-]+forensics?)\b|"
+    r"\b(?:olap|etl|sql|pl[\s/-]*sql)\b|\btechnical[\s/-]+consult\w*\b|\bsolutions?[\s/-]+consult\w*\b|\bconsult\w*[\s/-]+solutions?\b|\bforensic\w*\b|\bcloud\b)"
+)
+EMPLOYERS = ["university positions"]
+AT_EMPLOYERS = [(["bucherer", "bucherer ag", "prada group"], ("retail_client_advisor", "retail_hospitality", [r"\bclient[\s/-]+advis(?:or|er)\w*\b"]))]
+
+
+def job_rules(more: RuleSets | None = None) -> RuleSets:
+    """The rule sets of this file, with the personal, scope and unrelated ones of another (rules.rule_tables)."""
+    more = more or RuleSets()
+    return RuleSets(
+        target=TARGET, adjacent=ADJACENT, personal=more.personal, scope=more.scope, unrelated=more.unrelated, study=STUDY, keywords=more.keywords, stems=more.stems,
+        employers=EMPLOYERS, at_employers=AT_EMPLOYERS, consulting=CONSULTING, implementation=IMPLEMENTATION, version=more.version,
+    )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import folded
+from ..functions.values import counter
 
 # Why a search can stop without a concern.
 GOOD_STOPS = ["page_limit", "short_page", "empty_page"]
@@ -25,9 +26,37 @@ def collected(matches: DataFrame, id_col: str = "job_id") -> DataFrame:
     return one.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("query_group", "query_text", "location"))).alias("provenance"))
 
 
-def detail(matches: DataFrame, id_col: str = "job_id") -> DataFrame:
-    """For each id and search: smallest page offset, newest sighting, runs."""
-    return matches.groupBy(id_col, "query_group", "query_text", "location").agg(F.min("page_offset").alias("page_offset"), F.max("observed_at").alias("last_observed"), F.count_distinct("run_id").alias("runs"))
+def detail(matches: DataFrame, id_col: str = "job_id", n: int | None = None) -> DataFrame:
+    """For each id and search: smallest page offset, newest sighting, runs; nth is its place, newest first.  With n only the first n of an id."""
+    out = matches.groupBy(id_col, "query_group", "query_text", "location").agg(F.min("page_offset").alias("page_offset"), F.max("observed_at").alias("last_observed"), F.count_distinct("run_id").alias("runs"))
+    newest = Window.partitionBy(id_col).orderBy(F.desc("last_observed"), "query_text", "location", "query_group")
+    out = out.withColumn("nth", F.row_number().over(newest).cast("bigint"))
+    return out if n is None else out.filter(F.col("nth") <= n)
+
+
+def record_queries(known: DataFrame, reports: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """known searches (query_id, run_id, query_text, location, columns) after a run's reports: the last report of a search replaces what
+    is known of it, blank searches are passed over, new ones get an id that follows from run, text and location."""
+    keys = ["run_id", "query_text", "location"]
+    some = reports.filter((F.trim("query_text") != "") & F.col("run_id").isNotNull())
+    last = some.groupBy("run_id", F.trim("query_text").alias("query_text"), F.trim(F.coalesce("location", F.lit(""))).alias("location")).agg(F.max_by(F.struct(*columns), order).alias("_new"))
+    out = known.join(last, keys, "full_outer")
+    return out.select(F.coalesce("query_id", F.xxhash64(*keys)).alias("query_id"), *keys, *(F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c) for c in columns))
+
+
+def record_matches(bridge: DataFrame, matches: DataFrame, resolved: DataFrame, queries: DataFrame, id_col: str = "job_id") -> DataFrame:
+    """Rows (id, query_id) to append to the bridge: matches (name, run_id, query_text, location) whose name resolves to an id and whose search is known,
+    each once and not there yet."""
+    found = matches.join(resolved.select("name", id_col), "name").join(queries.select("run_id", "query_text", "location", "query_id"), ["run_id", "query_text", "location"])
+    return found.select(id_col, "query_id").distinct().join(bridge.select(id_col, "query_id"), [id_col, "query_id"], "left_anti")
+
+
+def query_coverage(reports: DataFrame, order: str) -> DataFrame:
+    """Normalised diagnostics of a run's searches in query order: offsets from JSON, counts never negative, why it stopped."""
+    counts = [c for c in ("pages_attempted", "pages_completed", "raw_cards", "valid_jobs", "duplicate_cards", "request_attempts") if c in reports.columns]
+    offsets = F.array_sort(F.coalesce(F.from_json("page_offsets", "array<bigint>"), F.expr("cast(array() AS array<bigint>)")))
+    rest = [c for c in reports.columns if c not in (*counts, "page_offsets", "stop_reason")]
+    return reports.select(*rest, *(counter(F.col(c)).alias(c) for c in counts), offsets.alias("page_offsets"), F.coalesce(F.nullif(F.trim("stop_reason"), F.lit("")), F.lit("unknown")).alias("stop_reason")).orderBy(order)
 
 
 def coverage(reports: DataFrame, failures: list[str]) -> DataFrame:
@@ -53,9 +82,31 @@ def overlap(matches: DataFrame, id_col: str = "job_id", scope_col: str = "scope"
     return out.filter("first_ids > 0 AND second_ids > 0").withColumn("second_covered", F.bround(100.0 * F.col("shared") / F.col("second_ids"), 1))
 
 
+def comparison(queries: DataFrame, matches: DataFrame, *, id_col: str = "job_id", first: str = "countrywide", second: str = "cities") -> DataFrame:
+    """(section, name, value) of how two search scopes compare.
+
+    For each scope its queries, pages attempted and completed, failed queries, completion in percent and different ids; in section overlap
+    what overlap() tells; for each city of the second scope its ids, those shared with the first, and those only there.
+    queries: (scope, pages_attempted, pages_completed, failures); matches: (id, scope, location).  No row unless both scopes found something.
+    """
+    value = lambda section, name, c: F.struct(F.lit(section).cast("string").alias("section") if isinstance(section, str) else section.alias("section"), F.lit(name).alias("name"), c.cast("double").alias("value"))
+    rows = lambda df, *items: df.select(F.explode(F.array(*items)).alias("x")).select("x.*")
+    scopes = [first, second]
+    q = queries.filter(F.col("scope").isin(scopes)).groupBy("scope").agg(F.count(F.lit(1)).alias("queries"), F.sum("pages_attempted").alias("pages"), F.sum("pages_completed").alias("done"), F.count_if(F.col("failures") > 0).alias("failed"))
+    s = F.col("scope")
+    searched = rows(q, value(s, "queries", F.col("queries")), value(s, "pages", F.col("pages")), value(s, "completed", F.col("done")), value(s, "failures", F.col("failed")), value(s, "completion", F.bround(100.0 * F.col("done") / F.greatest(F.lit(1), F.col("pages")), 1)))
+    m = matches.filter(F.col("scope").isin(scopes))
+    both = overlap(m, id_col, "scope", first, second)
+    names = ["shared", "first_only", "second_only", "second_covered"]
+    over = rows(both, value(first, "ids", F.col("first_ids")), value(second, "ids", F.col("second_ids")), *(value("overlap", n, F.col(n)) for n in names))
+    at = m.filter(s == second).select(id_col, "location").distinct().join(m.filter(s == first).select(id_col).distinct().withColumn("_first", F.lit(True)), id_col, "left")
+    city = at.groupBy("location").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_first")).alias("both"))
+    place = F.concat(F.lit("city "), F.col("location"))
+    cities = rows(city, value(place, "ids", F.col("n")), value(place, "shared", F.col("both")), value(place, "only", F.col("n") - F.col("both")))
+    return searched.unionByName(over).unionByName(cities).join(F.broadcast(both.select(F.lit(1).alias("_ran"))), how="left_semi", on=F.lit(True))
+
+
 def capped(rows: DataFrame, per_query: int, overall: int) -> DataFrame:
     """At most per_query rows of each query, and of them at most overall, in query order."""
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("query_pos").orderBy("seq"))
     return rows.withColumn("_n", nth).filter(F.col("_n") <= per_query).drop("_n").orderBy("query_pos", "seq").limit(overall)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_contains, primary_location
+from ..functions.values import active_days
+from .provenance import detail
 
 
 def predicates(*, archived: str = "exclude", favorite: bool | None = None, search: str | None = None, source: str | None = None, company: str | None = None, company_exact: bool = False, family: str | None = None, seen_since=None, repeated: bool | None = None, outcome: str | None = None, location: str | None = None) -> Column:
@@ -58,6 +60,97 @@ def page(df: DataFrame, order: str = "newest", limit: int = 50, offset: int = 0,
     return df.orderBy(*orders.get(order, orders["newest"])).offset(max(0, offset)).limit(min(max(limit, 1), 200))
 
 
+def page_with_total(df: DataFrame, order: str = "newest", limit: int = 50, offset: int = 0, id_col: str = "job_id") -> DataFrame:
+    """page(), with `total`, the number of all rows."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return page(df, order, limit, offset, id_col).crossJoin(F.broadcast(total))  # one row
+
+
+def observation() -> Column:
+    """How long and how often a record was seen."""
+    days = active_days(F.col("first_seen"), F.col("last_seen")).cast("bigint")
+    return F.struct("first_seen", "last_seen", "seen_count", days.alias("active_days")).alias("observation")
+
+
+def job_list(roles: DataFrame, matches: DataFrame, *, order: str = "newest", limit: int = 50, offset: int = 0, id_col: str = "job_id", **filters) -> DataFrame:
+    """A page of the rows that meet the named filters, with total, query_groups (sorted) and observation."""
+    top = page_with_total(roles.filter(predicates(**filters)), order, limit, offset, id_col)
+    groups = matches.join(F.broadcast(top.select(id_col)), id_col, "left_semi").groupBy(id_col).agg(F.array_sort(F.collect_set("query_group")).alias("query_groups"))  # 200 ids at most
+    orders = sort_orders(id_col)
+    out = top.join(groups, id_col, "left").withColumn("query_groups", F.coalesce("query_groups", F.expr("cast(array() AS array<string>)")))
+    return out.select("*", observation()).orderBy(*orders.get(order, orders["newest"]))
+
+
+def job_details(ids: DataFrame, roles: DataFrame, membership: DataFrame, matches: DataFrame, *, id_col: str = "job_id", n: int = 50) -> DataFrame:
+    """(id, role columns, observation, provenance) of the roles that ids belong to, by any member: provenance has the newest n searches of all members."""
+    root = "canonical_job_id"
+    asked = ids.select(id_col).join(membership, id_col).select(F.col(id_col).alias("asked"), root)
+    found = matches.join(membership, id_col).drop(id_col).withColumnRenamed(root, id_col)
+    top = detail(found, id_col, n).groupBy(F.col(id_col).alias(root)).agg(F.array_sort(F.collect_list(F.struct("nth", "query_group", "query_text", "location", "page_offset", "last_observed", "runs"))).alias("provenance"))
+    rest = [c for c in roles.columns if c != root]
+    out = asked.join(roles.select(root, *rest), root).join(top, root, "left")
+    return out.select(F.col("asked").alias(id_col), root, *(c for c in rest if c != id_col), observation(), "provenance")
+
+
+def description_details(membership: DataFrame, texts: DataFrame, attempts: DataFrame, snapshots: DataFrame, *, id_col: str = "job_id", n: int = 8) -> DataFrame:
+    """(canonical_job_id, text_sha256, saved_at, versions, attempts, reparsable) of each role, over all its members: the newest saved text, how
+    many different ones, the newest n attempts, and whether a page is stored to parse again.
+
+    texts: (id, text, saved_at); attempts: (id, attempt_id, status); snapshots: (id).
+    """
+    root, of = "canonical_job_id", lambda df: df.join(membership, id_col)
+    newest = of(texts).groupBy(root).agg(F.max_by(F.sha2("text", 256), F.struct("saved_at", id_col)).alias("text_sha256"), F.max("saved_at").alias("saved_at"), F.count_distinct(F.sha2("text", 256)).alias("versions"))
+    nth = F.row_number().over(Window.partitionBy(root).orderBy(F.desc("attempt_id"), id_col))
+    tried = of(attempts).withColumn("_n", nth).filter(F.col("_n") <= n).groupBy(root).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "attempt_id", "status"))), lambda x: F.struct(x["attempt_id"].alias("attempt_id"), x["status"].alias("status"))).alias("attempts"))
+    stored = of(snapshots).select(root).distinct().withColumn("reparsable", F.lit(True))
+    out = membership.select(root).distinct().join(newest, root, "left").join(tried, root, "left").join(stored, root, "left")
+    none = F.expr("cast(array() AS array<struct<attempt_id:bigint,status:string>>)")
+    return out.select(root, "text_sha256", "saved_at", F.coalesce("versions", F.lit(0)).alias("versions"), F.coalesce("attempts", none).alias("attempts"), F.coalesce("reparsable", F.lit(False)).alias("reparsable"))
+
+
+def key_sums(df: DataFrame, by: str, json_col: str) -> DataFrame:
+    """(by, key, total): sums of JSON objects of numbers, key by key; bad JSON counts for nothing."""
+    return df.select(by, F.explode(F.from_json(json_col, "map<string,bigint>")).alias("key", "value")).groupBy(by, "key").agg(F.sum("value").alias("total"))
+
+
+def coverage_sums(df: DataFrame, by: str, json_col: str, fields: list[str]) -> DataFrame:
+    """(by, entries, fields): sums over JSON arrays of objects; no row where an array has no entry."""
+    kind = "array<struct<" + ", ".join(f"{f}: bigint" for f in fields) + ">>"
+    return df.select(by, F.explode(F.from_json(json_col, kind)).alias("x")).groupBy(by).agg(F.count(F.lit(1)).alias("entries"), *(F.sum(f"x.{f}").alias(f) for f in fields))
+
+
+def run_list(runs: DataFrame, metrics: DataFrame, reports: DataFrame, n: int = 20, failures: list[str] | None = None) -> DataFrame:
+    """The newest n runs (run_id, ...) with their metrics as a map and the coverage of their searches; null where a run has none.
+
+    metrics: (run_id, key, total); reports: (run_id, pages_attempted, pages_completed, valid_jobs, stop_reason).
+    """
+    top = runs.orderBy(F.desc("run_id")).limit(n)
+    m = metrics.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "total")))).alias("metrics"))
+    sums = [F.sum(c).alias(c) for c in ("pages_attempted", "pages_completed", "valid_jobs")]
+    c = reports.groupBy("run_id").agg(F.count(F.lit(1)).alias("queries"), *sums, F.count_if(F.col("stop_reason").isin(failures or [])).alias("incomplete"))
+    c = c.select("run_id", F.struct(*(x for x in c.columns if x != "run_id")).alias("coverage"))
+    return top.join(m, "run_id", "left").join(c, "run_id", "left").orderBy(F.desc("run_id"))
+
+
+def options(roles: DataFrame, matches: DataFrame, n: int = 200) -> DataFrame:
+    """(kind, value): what a list can be filtered by: the first n companies by name, all families and query groups."""
+    kind = lambda df, k, c: df.select(F.lit(k).alias("kind"), F.col(c).alias("value")).filter("value IS NOT NULL").distinct()
+    return kind(roles, "company", "company").orderBy(F.lower("value"), "value").limit(n).unionByName(kind(roles, "family", "role_family")).unionByName(kind(matches, "query_group", "query_group"))
+
+
+def public_report(report: Column, dropped: list[str], listed: str = "conflicts", n: int = 10) -> Column:
+    """A report (struct) as JSON without its bulky fields; of the listed field only the first n entries, and their number as <listed>_total."""
+    out = report.dropFields(*dropped) if dropped else report
+    return F.to_json(out.withField(f"{listed}_total", F.size(report[listed])).withField(listed, F.slice(report[listed], 1, n)))
+
+
+def role_mix(roles: DataFrame, family: str = "role_family") -> DataFrame:
+    """(role_family, n, share, recognised): rows of each family, their share in percent of all rows with one, and how many those are."""
+    groups = roles.filter(F.col(family).isNotNull()).groupBy(F.col(family).alias("role_family")).agg(F.count(F.lit(1)).alias("n"))
+    total = roles.agg(F.count(family).alias("recognised"))
+    return groups.crossJoin(F.broadcast(total)).select("role_family", "n", F.bround(100.0 * F.col("n") / F.col("recognised"), 1).alias("share"), "recognised")
+
+
 def top_counts(df: DataFrame, name: str, n: int = 8) -> DataFrame:
     """The n largest groups with their share of all rows in percent."""
     groups = df.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("count"))
@@ -97,3 +190,29 @@ def status_counts(work: DataFrame, id_col: str = "job_id") -> DataFrame:
 def skill_distribution(claims: DataFrame, membership: DataFrame, id_col: str = "job_id") -> DataFrame:
     """(category, term, roles): each role counts once for a term, whatever its members repeat."""
     return claims.join(membership, id_col).groupBy("category", "term").agg(F.count_distinct("canonical_job_id").alias("roles"))
+
+
+WINDOWS = {"all": None, "7d": 7, "30d": 30}
+
+
+def summaries(roles: DataFrame, matches: DataFrame, as_of: Column, windows: dict[str, int | None] | None = None, *, id_col: str = "job_id") -> DataFrame:
+    """(window, section, name, count) of each window: what summary() tells, roles by query group, the five seen most often, and review counts
+    (active and archived rows, favourites, rows by outcome) of the roles in it; freshness is the age in days of the newest one."""
+    out = None
+    for name, days in (WINDOWS if windows is None else windows).items():
+        r = roles if days is None else roles.filter(F.col("last_seen") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
+        active = r.filter("NOT is_archived")
+        parts = [summary(active, as_of)]
+        found = matches.select(id_col, "query_group").distinct().join(active.select(id_col), id_col, "left_semi")
+        parts.append(found.groupBy(F.col("query_group").alias("name")).agg(F.count(F.lit(1)).alias("count")).select(F.lit("query_group").alias("section"), "name", "count"))
+        parts.append(recurring(active, 5, id_col).select(F.lit("recurring").alias("section"), F.col(id_col).cast("string").alias("name"), F.col("seen_count").alias("count")))
+        review = [F.when(~F.col("is_archived"), "active").otherwise("archived"), F.when(F.col("is_favorite"), "favorite"), F.concat(F.lit("outcome "), "outcome")]
+        parts.append(r.select(F.explode(F.array(*review)).alias("name")).filter("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("count")).select(F.lit("review").alias("section"), "name", "count"))
+        age = freshness(active, as_of, time_col="last_seen")
+        parts.append(age.select(F.lit("freshness").alias("section"), F.col("status").alias("name"), F.col("age_days").alias("count")))
+        one = parts[0]
+        for p in parts[1:]:
+            one = one.unionByName(p)
+        one = one.select(F.lit(name).alias("window"), "section", "name", "count")
+        out = one if out is None else out.unionByName(one)
+    return out

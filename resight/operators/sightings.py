@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_value
+
 
 def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the order."""
@@ -31,29 +33,46 @@ def backfilled(postings: DataFrame, sightings: DataFrame, id_col: str = "job_id"
 def resolve(batch: DataFrame, stored: DataFrame, *, row: str = "arrival", stored_id: str = "job_id") -> DataFrame:
     """(row, job_id) of the stored record that shares the batch row's first alias that any shares; `names` is the array of aliases on both sides.
 
-    Both sides are dealt by alias; the smallest (place of the alias, stored id) of a row is kept by a pre-aggregated minimum.
+    The stored side is brought to one id an alias, the smallest, so that no alias meets itself many times; Spark splits a hot one
+    of the batch.  The smallest (place of the alias, stored id) of a row is kept by a pre-aggregated minimum.
     """
     left = batch.select(row, F.posexplode("names").alias("at", "name"))
-    right = stored.select(stored_id, F.explode("names").alias("name"))
-    best = left.join(right, "name").groupBy(row).agg(F.min(F.struct("at", stored_id)).alias("m"))
+    right = stored.select(stored_id, F.explode("names").alias("name")).groupBy("name").agg(F.min(stored_id).alias(stored_id))
+    best = left.join(right.hint("merge"), "name").groupBy(row).agg(F.min(F.struct("at", stored_id)).alias("m"))
     return best.select(row, F.col(f"m.{stored_id}").alias(stored_id))
 
 
-def upsert(state: DataFrame, seen: DataFrame, batch: DataFrame, attributes: list[str], *, id_col: str = "job_id") -> tuple[DataFrame, DataFrame]:
+# Salaries that say nothing.
+UNSPECIFIED = ["", "not specified", "not available", "n/a", "na", "unknown"]
+
+
+def valid_records(cards: DataFrame, *, default_salary: str = "Not specified") -> tuple[DataFrame, DataFrame]:
+    """cards (title, source, company, salary, ...) that have a title, a source and a company, values cleaned and the salary filled in; and the others
+    with a reason: which of the three is missing first."""
+    clean = {c: clean_value(F.col(c)) for c in ("title", "source", "company")}
+    reason = F.coalesce(*(F.when(v == "", F.lit(f"missing {c}")) for c, v in clean.items()))
+    out = cards.withColumn("_why", reason)
+    good = out.filter("_why IS NULL").select(*(clean_value(F.col(c), default_salary).alias(c) if c == "salary" else clean[c].alias(c) if c in clean else F.col(c) for c in cards.columns))
+    return good, out.filter("_why IS NOT NULL").withColumnRenamed("_why", "reason")
+
+
+def upsert(state: DataFrame, seen: DataFrame, batch: DataFrame, attributes: list[str], *, id_col: str = "job_id", keep_old: tuple[str, ...] = ("salary",)) -> tuple[DataFrame, DataFrame]:
     """New state and new sightings after a batch (id, run_id, observed_at, arrival, attributes).
 
     A row of the batch counts unless its (id, run) or (id, time) was seen, before or earlier in the batch.  Attributes are those of the
     last arrival; first and last seen are minimum and maximum, the count grows by the sightings that count.  Applying a batch twice
-    changes nothing more.
+    changes nothing more.  Of the attributes in keep_old the stored one stays where the incoming one says nothing (UNSPECIFIED).
     """
     by_run = keep_first(keep_first(batch, [id_col, "run_id"], "arrival"), [id_col, "observed_at"], "arrival")
     fresh = by_run.join(seen.select(id_col, "run_id"), [id_col, "run_id"], "left_anti").join(seen.select(id_col, "observed_at"), [id_col, "observed_at"], "left_anti")
     last = batch.groupBy(id_col).agg(F.max_by(F.struct(*attributes), "arrival").alias("_new"), F.min("observed_at").alias("_low"))
     delta = fresh.groupBy(id_col).agg(F.max("observed_at").alias("_high"), F.count(F.lit(1)).alias("_n"))
     change = last.join(delta, id_col, "left")
+    blank = lambda c: F.lower(F.trim(c.cast("string"))).isin(UNSPECIFIED)
+    says = lambda a: F.when(~blank(F.col(f"_new.{a}")), F.col(f"_new.{a}")) if a in keep_old else F.col(f"_new.{a}")
     out = state.join(change, id_col, "full_outer").select(
         id_col,
-        *(F.coalesce(F.col(f"_new.{a}"), F.col(a)).alias(a) for a in attributes),
+        *(F.coalesce(says(a), F.col(a), F.col(f"_new.{a}")).alias(a) for a in attributes),
         F.least("first_seen", "_low").alias("first_seen"),
         F.greatest("last_seen", "_high").alias("last_seen"),
         (F.coalesce("seen_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("bigint").alias("seen_count"),
@@ -71,3 +90,31 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
 def not_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with their counts."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def readiness(tables: dict[str, DataFrame | None], required: dict[str, Column]) -> DataFrame:
+    """(name, present, total, active) of each required table: its rows, and those that its condition calls active.  Nothing is written."""
+    spark = next(df for df in tables.values() if df is not None).sparkSession
+    out = spark.createDataFrame([], "name string, present boolean, total bigint, active bigint")
+    for name, active in required.items():
+        df = tables.get(name)
+        if df is None:
+            row = spark.createDataFrame([(name, False, None, None)], out.schema)
+        else:
+            row = df.agg(F.lit(name).alias("name"), F.lit(True).alias("present"), F.count(F.lit(1)).alias("total"), F.count_if(active).alias("active"))
+        out = out.unionByName(row)
+    return out
+
+
+def label_agreement(labels: DataFrame, outcomes: DataFrame, *, id_col: str = "job_id") -> DataFrame:
+    """(label, outcome, n): how often a stored label (id, label) meets an outcome (id, outcome); unlabelled ids are left out, and labels without
+    an outcome count under none."""
+    j = labels.select(id_col, "label").join(outcomes.select(id_col, "outcome"), id_col, "left")
+    return j.groupBy("label", F.coalesce("outcome", F.lit("none")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def active_new(first: DataFrame, active: DataFrame, *, id_col: str = "job_id", worthwhile: int = 5) -> DataFrame:
+    """(run_id, active_new, worthwhile) from the run in which each id came first (id, run_id): how many of them are active, and whether that pays."""
+    a = active.select(id_col).withColumn("_a", F.lit(True))
+    out = first.join(a, id_col, "left").groupBy("run_id").agg(F.count_if("_a").alias("active_new"))
+    return out.withColumn("worthwhile", F.col("active_new") >= worthwhile)

@@ -6,6 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Outcomes of records that are not worked on.
+SETTLED = ["excluded", "unrelated", "manual_archive", "auto_archived"]
+
+
+def processable(records: DataFrame, membership: DataFrame, id_col: str = "job_id") -> DataFrame:
+    """records (id, archived_at, outcome) of roles that are active, with an outcome that is not settled."""
+    of = records.join(membership.select(id_col, "canonical_job_id"), id_col)
+    active = of.filter("archived_at IS NULL").select("canonical_job_id").distinct()
+    open_ = of.filter(~F.coalesce("outcome", F.lit("")).isin(SETTLED)).join(active, "canonical_job_id", "left_semi")
+    return open_.select(*records.columns)
+
+
+def newest_work(work: DataFrame, postings: DataFrame, n: int = 20, id_col: str = "job_id") -> DataFrame:
+    """The newest n rows of work with the title of their record."""
+    top = work.orderBy(F.desc("work_id")).limit(n)
+    return postings.select(id_col, "title").join(F.broadcast(top), id_col).orderBy(F.desc("work_id"))  # n rows
+
+
 def latest_attempt(attempts: DataFrame, id_col: str = "job_id") -> DataFrame:
     a = attempts.groupBy(id_col).agg(F.max_by(F.struct("status", "refresh", "attempt_id"), "attempt_id").alias("a"))
     return a.select(id_col, "a.*")

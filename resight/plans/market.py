@@ -26,14 +26,21 @@ PART_RULES = U.RuleSets(
     employers=["brand#7"],
     version="parts-1",
 )
-_CLASS = r"""cls AS (SELECT p_partkey AS job_id, p_name AS title, p_brand AS company,
-  CASE WHEN p_brand = 'Brand#7' THEN 'excluded' WHEN regexp_matches(p_name, 'red widget|blu') THEN 'excluded' WHEN p_name = 'old rod' THEN 'excluded' WHEN regexp_matches(p_name, '\bhot\b') THEN 'excluded'
-    WHEN p_name = 'cold ring' THEN 'excluded' WHEN p_name = 'new gear' THEN 'excluded' WHEN regexp_matches(p_name, 'bolt|rod|gizmo|gear') THEN 'target' WHEN regexp_matches(p_name, 'plate|small') THEN 'unmatched'
-    WHEN regexp_matches(p_name, 'anvil|ring') THEN 'unrelated' ELSE 'unmatched' END AS outcome,
-  CASE WHEN p_brand = 'Brand#7' OR regexp_matches(p_name, 'red widget|blu') OR p_name = 'old rod' THEN NULL WHEN regexp_matches(p_name, '\bhot\b') THEN 'heat' WHEN p_name = 'cold ring' THEN 'ice'
-    WHEN p_name = 'new gear' THEN 'engineering' WHEN regexp_matches(p_name, 'bolt|rod') THEN 'fasteners' WHEN regexp_matches(p_name, 'gizmo|gear') THEN 'machines'
-    WHEN regexp_matches(p_name, 'plate|small') THEN 'sheet' WHEN regexp_matches(p_name, 'anvil') THEN 'smithy' WHEN regexp_matches(p_name, 'ring') THEN 'jewels' END AS role_family,
-  (regexp_matches(p_name, 'bolt|rod|gizmo|gear') OR regexp_matches(p_name, 'plate|small')) AND (regexp_matches(p_name, '\bhot\b|anvil|ring') OR p_name IN ('new gear', 'new plate')) AS conflict FROM part)"""
+_CLASS = r"""cls0 AS (SELECT p_partkey AS job_id, p_name AS title, p_brand AS company,
+  CASE WHEN p_brand = 'Brand#7' THEN 'employer' WHEN regexp_matches(p_name, 'red widget|blu') THEN 'keyword' WHEN p_name = 'old rod' THEN 'study' WHEN regexp_matches(p_name, '\bhot\b') THEN 'personal'
+    WHEN p_name = 'cold ring' THEN 'scope' WHEN p_name = 'new gear' THEN 'engineering' WHEN regexp_matches(p_name, 'bolt|rod|gizmo|gear') THEN 'target' WHEN regexp_matches(p_name, 'plate|small') THEN 'adjacent'
+    WHEN regexp_matches(p_name, 'anvil|ring') THEN 'unrelated' ELSE 'none' END AS step,
+  CASE WHEN regexp_matches(p_name, 'bolt') THEN 'bolt' WHEN regexp_matches(p_name, 'rod') THEN 'rod' WHEN regexp_matches(p_name, 'gizmo') THEN 'gizmo' WHEN regexp_matches(p_name, 'gear') THEN 'gear' END AS found FROM part),
+ cls AS (SELECT job_id, title, company, CASE WHEN step IN ('employer', 'keyword', 'study', 'personal', 'scope', 'engineering') THEN 'excluded' WHEN step IN ('target', 'unrelated') THEN step ELSE 'unmatched' END AS outcome,
+  CASE WHEN step = 'target' THEN CASE WHEN found IN ('bolt', 'rod') THEN 'fasteners' ELSE 'machines' END END AS role_family,
+  CASE step WHEN 'employer' THEN company WHEN 'keyword' THEN CASE WHEN title LIKE '%red widget%' THEN 'red widget' ELSE 'blu' END WHEN 'study' THEN '\bold rod\b' WHEN 'personal' THEN 'hot' WHEN 'scope' THEN title WHEN 'engineering' THEN title
+    WHEN 'target' THEN found WHEN 'adjacent' THEN CASE WHEN title LIKE '%plate%' THEN 'plate' ELSE 'small' END WHEN 'unrelated' THEN CASE WHEN title LIKE '%anvil%' THEN 'smithy' ELSE 'jewels' END END AS matched_value,
+  (step = 'personal' AND found IS NOT NULL) OR (step = 'target' AND regexp_matches(title, 'anvil|ring')) AS conflict FROM cls0)"""
+# Of stored rows, those with an even id are archived, every third of them as a duplicate; the archive is reconciled.
+_DECIDED = _CLASS + """, dec AS (SELECT *, job_id % 2 = 0 AS archived, CASE WHEN outcome = 'excluded' THEN 'archive' WHEN job_id % 2 = 0 AND job_id % 6 = 0 THEN 'shadow' WHEN job_id % 2 = 0 AND outcome IN ('target', 'unmatched') THEN 'restore'
+  WHEN outcome = 'unrelated' THEN 'archive' WHEN outcome = 'target' THEN 'keep' ELSE 'shadow' END AS action,
+  CASE WHEN outcome = 'excluded' THEN 'scope_exclusion' WHEN job_id % 2 = 0 AND job_id % 6 = 0 THEN 'system_archive_preserved' WHEN job_id % 2 = 0 AND outcome IN ('target', 'unmatched') THEN 'relevance_reconcile'
+  WHEN outcome = 'unrelated' THEN 'unrelated_role' WHEN outcome = 'target' THEN 'target_role' ELSE 'no_target_role' END AS filter_name FROM cls)"""
 
 
 def titles(spark, d):
@@ -44,51 +51,75 @@ def classified(spark, d):
     return U.classify(titles(spark, d), PART_RULES)
 
 
+def _stored(spark, d):
+    """Classified rows with what is stored of them, and the decisions that a reconciling preview makes."""
+    even = F.col("job_id") % 2 == 0
+    t = titles(spark, d).withColumn("archived", even).withColumn("archived_reason", F.when(F.col("job_id") % 6 == 0, "Duplicate of 1").when(even, "rule"))
+    c = U.classify(t, PART_RULES)
+    return c, U.preview_decisions(c, reconcile_archive=True, batch_id="b1")
+
+
+# A rule table that Spark derives from part names: their last words, each a rule.
+def _word_rules(spark, d):
+    words = table(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("word")).distinct()
+    return words.select(F.lit("unrelated").alias("set"), F.ascii("word").alias("rule_pos"), F.col("word").alias("rule"), F.concat(F.lit("family "), "word").alias("family"), F.lit(0).alias("pat_pos"), F.concat(F.lit("\\b"), "word", F.lit("\\b")).alias("pattern"))
+
+
 @query("flt_keyword", "SELECT p_partkey AS job_id, CASE WHEN regexp_matches(p_name, '\\bred widget\\b') THEN 'red widget' WHEN contains(p_name, 'blu') THEN 'blu' WHEN regexp_matches(p_name, '\\bgear\\b') THEN 'gear' END AS keyword FROM part")
 def _(spark, d):
-    return titles(spark, d).select("job_id", U.keyword_match(F.col("title"), ["red widget", "blu", "gear"], ("blu",)).alias("keyword"))
+    return titles(spark, d).select("job_id", U.keyword_match(F.col("title"), ["", "red widget ", " ", "blu", "gear"], ("blu",)).alias("keyword"))
 
 
 @query("flt_company", "SELECT p_partkey AS job_id, CASE WHEN contains(p_brand, '#1') THEN 'brand#1' WHEN contains(p_brand, '2') THEN '2' END AS token FROM part")
 def _(spark, d):
-    return titles(spark, d).select("job_id", U.company_match(F.col("company"), ["brand#1", "2"]).alias("token"))
+    return titles(spark, d).select("job_id", U.company_match(F.col("company"), ["", "brand#1", " ", "2"]).alias("token"))
 
 
-@query("flt_study_title", "SELECT p_partkey AS job_id, CASE WHEN p_name LIKE 'old %' THEN '\\bold \\w+' END AS pattern FROM part")
+@query(
+    "flt_study_title",
+    """SELECT p_partkey AS job_id, CASE p_partkey % 6 WHEN 0 THEN '\\bintern(?:ship)?\\b' WHEN 1 THEN '\\bpraktik(?:ant|um)?\\b' WHEN 2 THEN '\\bwerks?student\\w*\\b' WHEN 3 THEN '^bachelor(?![\\s-]*absolvent)\\s*[-:]\\s*' END AS pattern FROM part""",
+)
 def _(spark, d):
-    return titles(spark, d).select("job_id", U.first_pattern(U.folded(F.col("title")), ["\\bold \\w+", "\\bold\\b"]).alias("pattern"))
+    from ..operators.job_rules import STUDY
 
+    k = F.col("p_partkey") % 6
+    title = F.when(k == 0, F.concat("p_name", F.lit(" Internship"))).when(k == 1, F.concat(F.lit("Praktikum – "), "p_name")).when(k == 2, F.lit("Werkstudentin (m/w/d)")).when(k == 3, F.lit("Bachelor - Data")).when(k == 4, F.lit("Bachelor-Absolvent - Data")).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("job_id"), U.first_pattern(U.folded(title), STUDY).alias("pattern"))
 
-@query("flt_academic_title", "SELECT p_partkey AS job_id, CASE WHEN p_partkey % 3 = 0 THEN '\\bprofessor(?:in)?\\b' WHEN p_partkey % 3 = 1 AND p_size % 2 = 0 THEN '\\bresearch (?:assistant|associate)\\b' END AS pattern FROM part")
+
+@query(
+    "flt_academic_title",
+    """SELECT p_partkey AS job_id, CASE p_partkey % 6 WHEN 0 THEN '\\bprofessor(?:in)?\\b' WHEN 1 THEN CASE WHEN p_size % 4 <> 3 THEN 'academic_company:research_assistant' END WHEN 2 THEN CASE WHEN p_size % 4 <> 3 THEN 'academic_company:research_assistant' END
+    WHEN 3 THEN '\\bpost[\\s-]?doc(?:toral)?\\b' END AS pattern FROM part""",
+)
 def _(spark, d):
-    k = F.col("p_partkey") % 3
-    title = F.when(k == 0, F.lit("Professorin für Maß")).when(k == 1, F.lit("Research Associate (m/w)")).otherwise(F.col("p_name"))
-    company = F.when(F.col("p_size") % 2 == 0, F.lit("Universität X")).otherwise("Company")
+    k, n = F.col("p_partkey") % 6, F.col("p_size") % 4
+    title = F.when(k == 0, F.lit("Professorin für Maß")).when(k == 1, F.lit("Research-Associate (m/w)")).when(k == 2, F.lit("research / assistant")).when(k == 3, F.lit("Post-Doc")).when(k == 4, F.lit("Research Lead")).otherwise(F.col("p_name"))
+    company = F.when(n == 0, F.lit("Humboldt-Universität zu X")).when(n == 1, F.lit("Leibniz Institute")).when(n == 2, F.lit("Humboldtuniversität")).otherwise("An Institute of Technology")
     return table(spark, d, "part").select(F.col("p_partkey").alias("job_id"), U.academic_match(title, company, U.ACADEMIC).alias("pattern"))
 
 
-@query("cls_rule_tables", "SELECT 'part' AS \"set\", substr(p_type, 1, 1) AS rule, min(p_name) AS pattern FROM part GROUP BY p_type")
+@query("cls_rule_tables", "SELECT p_partkey AS job_id, split_part(p_name, ' ', 2) AS rule, 'family ' || split_part(p_name, ' ', 2) AS matched_value, 'unrelated' AS outcome FROM part")
 def _(spark, d):
-    rows = table(spark, d, "part").groupBy("p_type").agg(F.min("p_name").alias("pattern"))
-    rows = rows.select(F.lit("part").alias("set"), F.ascii("p_type").alias("rule_pos"), F.substring("p_type", 1, 1).alias("rule"), F.col("p_type").alias("family"), F.lit(0).alias("pat_pos"), "pattern")
-    sets = U.rule_table(rows)
-    return spark.createDataFrame([("part", r, p[0]) for r, _, p in sets["part"]], "set string, rule string, pattern string")
+    c = U.classify(titles(spark, d), U.rule_tables(_word_rules(spark, d)))
+    return c.select("job_id", F.get("matches", F.lit(0)).alias("rule"), "matched_value", "outcome")
 
 
-@query("cls_all_matches", "SELECT p_partkey AS job_id, concat_ws('|', CASE WHEN regexp_matches(p_name, 'bolt') THEN 'fasteners:bolt' WHEN regexp_matches(p_name, 'rod') THEN 'fasteners:rod' END, CASE WHEN regexp_matches(p_name, 'plate') THEN 'sheet:plate' WHEN regexp_matches(p_name, 'small') THEN 'sheet:small' END) AS found FROM part")
+@query("cls_all_matches", "SELECT p_partkey AS job_id, concat_ws('|', CASE WHEN regexp_matches(p_name, 'bolt') THEN 'fasteners:bolt' WHEN regexp_matches(p_name, 'rod') THEN 'fasteners:rod' END, CASE WHEN regexp_matches(p_name, 'plate') THEN 'sheet:plate' WHEN regexp_matches(p_name, 'small') THEN 'sheet:' || p_name END) AS found FROM part")
 def _(spark, d):
-    m = U.all_matches(U.folded(F.col("title")), [("fasteners", "f", ["\\bbolt\\b", "\\brod\\b"]), ("sheet", "s", ["\\bplate\\b", "\\bsmall\\b"])])
-    return titles(spark, d).select("job_id", F.array_join(F.transform(m, lambda x: F.concat(x["rule"], F.lit(":"), F.replace(x["pattern"], F.lit("\\b"), F.lit("")))), "|").alias("found"))
+    m = U.all_matches(U.folded(F.col("title")), [("fasteners", "f", ["\\bbolt\\b", "\\brod\\b"]), ("sheet", "s", ["\\bplate\\b", "\\bsmall \\w+"])])
+    return titles(spark, d).select("job_id", F.array_join(F.transform(m, lambda x: F.concat(x["rule"], F.lit(":"), x["text"])), "|").alias("found"))
 
 
-@query("cls_classify", f"WITH {_CLASS} SELECT job_id, outcome, role_family FROM cls")
+@query("cls_classify", f"WITH {_CLASS} SELECT job_id, outcome, role_family, matched_value, conflict FROM cls")
 def _(spark, d):
-    return classified(spark, d).select("job_id", "outcome", "role_family")
+    c = classified(spark, d)
+    return c.select("job_id", "outcome", "role_family", "matched_value", ((F.size("positive") > 0) & (F.size("negative") > 0)).alias("conflict"))
 
 
-@query("cls_decision", f"WITH {_CLASS} SELECT job_id, CASE WHEN outcome IN ('excluded', 'unrelated') THEN 'archive' WHEN outcome = 'target' THEN 'keep' ELSE 'shadow' END AS action FROM cls")
+@query("cls_decision", f"WITH {_CLASS} SELECT job_id, CASE WHEN outcome IN ('excluded', 'unrelated') THEN 'archive' WHEN outcome = 'target' THEN 'keep' ELSE 'shadow' END AS action, CASE outcome WHEN 'excluded' THEN 'scope_exclusion' WHEN 'target' THEN 'target_role' WHEN 'unrelated' THEN 'unrelated_role' ELSE 'no_target_role' END AS filter_name FROM cls")
 def _(spark, d):
-    return U.decide(classified(spark, d)).select("job_id", "action")
+    return U.decide(classified(spark, d)).select("job_id", "action", "filter_name")
 
 
 @query(
@@ -110,32 +141,63 @@ def _(spark, d):
 @query("flt_not_archived_batch", "SELECT p_partkey AS job_id FROM part WHERE NOT (regexp_matches(p_name, 'red widget|blu') OR contains(p_brand, '#2') OR p_name = 'old rod')")
 def _(spark, d):
     t = titles(spark, d)
-    return t.join(U.prefilter_decisions(t, t.limit(0), PART_RULES, ["brand#2"]).select("job_id").distinct(), "job_id", "left_anti").select("job_id")
+    return t.join(U.prefilter_decisions(t, t.limit(0), PART_RULES, ["brand#2"]).select("job_id").distinct().hint("shuffle_hash"), "job_id", "left_anti").select("job_id")
 
 
 @query(
     "cls_collection_decisions",
-    f"WITH {_CLASS} SELECT job_id, CASE WHEN outcome IN ('excluded', 'unrelated') THEN 'archive' WHEN outcome = 'target' THEN 'keep' ELSE 'shadow' END AS action, 'run-1' AS run_id, (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_partkey = job_id) AS searches FROM cls WHERE NOT contains(company, '#2') AND NOT regexp_matches(title, 'red widget|blu') AND title <> 'old rod'",
+    f"""WITH {_CLASS}, {MATCHES_SQL}, o AS (SELECT job_id, job_id % 10 = 0 AS kept, job_id % 10 = 5 AS archived FROM cls), pre AS (SELECT job_id, f.filter_name FROM cls JOIN o USING (job_id),
+      (VALUES ('title_keyword'), ('company'), ('study_title')) f(filter_name) WHERE NOT kept AND NOT archived AND CASE f.filter_name WHEN 'title_keyword' THEN regexp_matches(title, 'red widget|blu') WHEN 'company' THEN contains(company, '#2') ELSE title = 'old rod' END),
+    d AS (SELECT job_id, filter_name, 'archive' AS action FROM pre UNION ALL SELECT job_id, 'manual_archive_enforced', 'archive' FROM o WHERE archived
+      UNION ALL SELECT job_id, CASE outcome WHEN 'excluded' THEN 'scope_exclusion' WHEN 'target' THEN 'target_role' WHEN 'unrelated' THEN 'unrelated_role' ELSE 'no_target_role' END,
+        CASE WHEN outcome IN ('excluded', 'unrelated') THEN 'archive' WHEN outcome = 'target' THEN 'keep' ELSE 'shadow' END FROM cls JOIN o USING (job_id) WHERE NOT kept AND NOT archived AND job_id NOT IN (SELECT job_id FROM pre))
+    SELECT d.*, m.run_id, searches FROM d JOIN (SELECT job_id, max(run_id) AS run_id, count(DISTINCT query_id) AS searches FROM matches GROUP BY job_id) m USING (job_id)""",
 )
 def _(spark, d):
+    m = matches(spark, d).groupBy("job_id").agg(F.max("run_id").alias("run_id"))
     t = titles(spark, d)
-    pre = U.prefilter_decisions(t, t.limit(0), PART_RULES, ["brand#2"]).select("job_id").distinct()
-    rule = U.decide(classified(spark, d)).join(pre, "job_id", "left_anti")
-    prov = P.collected(matches(spark, d))
-    return rule.join(prov, "job_id", "left").select("job_id", "action", F.lit("run-1").alias("run_id"), F.coalesce(F.size("provenance"), F.lit(0)).cast("bigint").alias("searches"))
+    hand = t.filter("job_id % 5 = 0").select("job_id", F.when(F.col("job_id") % 10 == 0, "keep").otherwise("archive").alias("action"))
+    found = U.collection_decisions(t, hand, PART_RULES, ["brand#2"], F.lit(None).cast("string")).drop("run_id")
+    prov = P.collected(matches(spark, d)).select("job_id", F.size("provenance").cast("bigint").alias("searches"))
+    return found.hint("shuffle_hash").join(m, "job_id").join(prov, "job_id").select("job_id", "filter_name", "action", "run_id", "searches")
 
 
 @query(
     "cls_run_metrics",
-    f"WITH {_CLASS} SELECT count(*) AS total, count(*) FILTER (outcome = 'target') AS target, count(*) FILTER (outcome = 'excluded') AS excluded, count(*) FILTER (outcome = 'unrelated') AS unrelated, count(*) FILTER (outcome = 'unmatched') AS unmatched, count(*) FILTER (conflict) AS conflicts FROM cls",
+    f"""WITH {_CLASS} SELECT count(*) AS total, count(*) FILTER (outcome = 'target') AS target, count(*) FILTER (outcome = 'excluded') AS excluded, count(*) FILTER (outcome = 'unrelated') AS unrelated, count(*) FILTER (outcome = 'unmatched') AS unmatched,
+    count(*) FILTER (conflict) AS conflicts, round_even(100.0 * count(*) FILTER (outcome = 'target') / count(*), 1)::DOUBLE AS target_yield, round_even(100.0 * count(*) FILTER (outcome IN ('excluded', 'unrelated')) / count(*), 1)::DOUBLE AS contamination FROM cls""",
+)
+def _(spark, d):
+    return U.run_metrics(classified(spark, d))
+
+
+@query("cls_archives_by_filter", f"WITH {_CLASS} SELECT CASE outcome WHEN 'excluded' THEN 'scope_exclusion' ELSE 'unrelated_role' END AS filter_name, count(*) AS archives FROM cls WHERE outcome IN ('excluded', 'unrelated') GROUP BY 1")
+def _(spark, d):
+    return U.archives_by_filter(U.decide(classified(spark, d)))
+
+
+@query(
+    "cls_preview",
+    f"""WITH {_DECIDED}, t AS (SELECT count(*) AS total, count(*) FILTER (NOT archived) AS active, count(*) FILTER (archived) AS archived, count(*) FILTER (NOT archived AND action = 'archive') AS a, count(*) FILTER (archived AND action = 'restore') AS r FROM dec)
+    SELECT 'outcome' AS section, outcome AS name, count(*) AS n FROM dec GROUP BY 2 UNION ALL SELECT 'family', role_family, count(*) FROM dec WHERE role_family IS NOT NULL GROUP BY 2 UNION ALL SELECT 'unrelated', matched_value, count(*) FROM dec WHERE outcome = 'unrelated' GROUP BY 2
+    UNION ALL SELECT 'totals', x.name, x.n FROM t, unnest([{{name: 'total', n: total}}, {{name: 'active', n: active}}, {{name: 'archived', n: archived}}, {{name: 'would_archive', n: a}}, {{name: 'would_restore', n: r}}, {{name: 'final_active', n: active - a + r}}, {{name: 'final_archived', n: archived + a - r}}]) u(x)""",
 )
 def _(spark, d):
-    return U.run_metrics(classified(spark, d)).drop("target_yield", "contamination")
+    p = U.preview(*_stored(spark, d), F.col("job_id"))
+    names = ["total", "active", "archived", "would_archive", "would_restore", "final_active", "final_archived"]
+    totals = p["totals"].select(F.explode(F.array(*(F.struct(F.lit("totals").alias("section"), F.lit(n).alias("name"), F.col(n).alias("n")) for n in names))).alias("x")).select("x.*")
+    return p["counts"].unionByName(totals)
+
+
+@query("cls_preview_conflicts", f"WITH {_DECIDED} SELECT job_id, title, outcome AS resolved_as FROM dec WHERE conflict")
+def _(spark, d):
+    return U.preview(*_stored(spark, d), F.col("job_id"))["conflicts"].select("job_id", "title", "resolved_as")
 
 
-@query("cls_preview", f"WITH {_CLASS} SELECT outcome, coalesce(role_family, 'none') AS family, count(*) AS n FROM cls GROUP BY 1, 2")
+@query("cls_preview_examples", f"WITH {_DECIDED} SELECT outcome, nth, title, company FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY job_id DESC) AS nth FROM dec) WHERE nth <= 8")
 def _(spark, d):
-    return classified(spark, d).groupBy("outcome", F.coalesce("role_family", F.lit("none")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+    e = U.preview(*_stored(spark, d), F.desc("job_id"))["examples"]
+    return e.withColumn("nth", F.col("nth").cast("bigint"))
 
 
 @query("win_examples_per_group", f"WITH {_CLASS} SELECT job_id, outcome, nth FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY title, job_id) AS nth FROM cls) WHERE nth <= 8")
@@ -143,21 +205,26 @@ def _(spark, d):
     return U.examples(classified(spark, d), "outcome", 8, F.col("title"), F.col("job_id")).select("job_id", "outcome", F.col("nth").cast("bigint").alias("nth"))
 
 
-@query("cls_reconcile", f"WITH {_CLASS} SELECT job_id, CASE WHEN outcome = 'excluded' THEN 'archive' WHEN job_id % 2 = 0 AND job_id % 6 = 0 THEN 'shadow' WHEN job_id % 2 = 0 AND outcome IN ('target', 'unmatched') THEN 'restore' WHEN outcome = 'unrelated' THEN 'archive' ELSE 'shadow' END AS action FROM cls")
+@query("cls_reconcile", f"WITH {_DECIDED} SELECT job_id, action, filter_name FROM dec")
 def _(spark, d):
-    a = F.col("job_id") % 2 == 0
-    c = classified(spark, d).withColumn("archived", a).withColumn("archived_reason", F.when(F.col("job_id") % 6 == 0, "Duplicate of 1").when(a, "rule"))
-    return U.reconcile(c).select("job_id", "action")
+    return _stored(spark, d)[1].select("job_id", F.col("decision_action").alias("action"), "filter_name")
+
 
+def _applied(spark, d):
+    c, decisions = _stored(spark, d)
+    none = F.lit(None).cast("string")
+    state = c.select("job_id", F.when(F.col("archived"), F.lit("2020-01-01").cast("timestamp_ntz")).alias("archived_at"), "archived_reason", none.alias("outcome"), none.alias("role_family"))
+    return U.apply(state, decisions.filter("job_id % 4 = 0"), c, decisions, F.lit("2024-01-01").cast("timestamp_ntz"))
 
-@query("cls_apply", f"WITH {_CLASS} SELECT job_id, outcome IN ('excluded', 'unrelated') AS archived FROM cls")
+
+@query("cls_apply", f"WITH {_DECIDED} SELECT job_id, outcome, role_family, CASE WHEN NOT archived AND action = 'archive' THEN '2024-01-01 00:00:00' WHEN archived AND action <> 'restore' THEN '2020-01-01 00:00:00' END AS archived_at FROM dec")
 def _(spark, d):
-    from ..operators.decisions import archived
+    return _applied(spark, d)["state"].select("job_id", "outcome", "role_family", moment("archived_at").alias("archived_at"))
 
-    c = classified(spark, d)
-    state = c.select("job_id", F.lit(None).cast("timestamp_ntz").alias("archived_at"), F.lit(None).cast("string").alias("archived_reason"), "outcome")
-    chosen = U.decide(c).filter("action = 'archive'").select("job_id", F.col("filter_name").alias("reason"), F.lit("2024-01-01").cast("timestamp_ntz").alias("at"), F.lit(False).alias("manual"))
-    return archived(state, chosen).select("job_id", F.col("archived_at").isNotNull().alias("archived"))
+
+@query("cls_apply_counts", f"WITH {_DECIDED} SELECT count(*) AS evaluated, count(*) FILTER (NOT archived AND action = 'archive') AS archived, count(*) FILTER (archived AND action = 'restore') AS restored, count(*) FILTER (job_id % 4 <> 0) AS recorded FROM dec")
+def _(spark, d):
+    return _applied(spark, d)["counts"]
 
 
 # --- provenance
@@ -185,12 +252,12 @@ def _(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("join_membership_expand", "SELECT a.doc_id, b.doc_id AS member FROM documents a JOIN documents b ON a.text = b.text WHERE a.doc_id % 50 = 0")
+@query("join_membership_expand", "WITH c AS (SELECT c_custkey AS job_id, c_custkey - c_custkey % 3 AS root FROM customer) SELECT a.job_id, b.job_id AS member, (SELECT count(*) FROM c x WHERE x.root = a.root) AS members FROM c a JOIN c b ON a.root = b.root")
 def _(spark, d):
-    m = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    roots = m.groupBy("h").agg(F.min("doc_id").alias("canonical"))
-    m = m.join(roots, "h").select("doc_id", "canonical")
-    return m.filter("doc_id % 50 = 0").join(m.select(F.col("doc_id").alias("member"), "canonical"), "canonical").select("doc_id", "member")
+    # groups of three at most: groups without a bound are given as membership (set_union_all_membership)
+    m = table(spark, d, "customer").select(F.col("c_custkey").alias("job_id"), (F.col("c_custkey") - F.col("c_custkey") % 3).alias("canonical_job_id"))
+    size = m.groupBy("canonical_job_id").agg(F.count(F.lit(1)).alias("members"))
+    return m.join(m.select(F.col("job_id").alias("member"), "canonical_job_id"), "canonical_job_id").join(size, "canonical_job_id").select("job_id", "member", "members")
 
 
 @query("join_theta_semi_anti", "SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events n WHERE n.user_id = e.user_id AND n.event_id > e.event_id)")
@@ -207,9 +274,9 @@ def _(spark, d):
     return p.select("job_id", F.size("provenance").cast("bigint").alias("n"), F.concat_ws("/", f["query_group"], f["query_text"], f["location"]).alias("first"))
 
 
-@query("agg_provenance_detail", f"WITH {MATCHES_SQL} SELECT job_id, query_text, min(page_offset)::BIGINT AS page_offset, strftime(max(observed_at), '%Y-%m-%d') AS last_observed, count(DISTINCT run_id) AS runs FROM matches WHERE job_id < 100 GROUP BY job_id, query_text")
+@query("agg_provenance_detail", f"WITH {MATCHES_SQL}, g AS (SELECT job_id, query_text, location, query_group, min(page_offset)::BIGINT AS page_offset, max(observed_at) AS last, count(DISTINCT run_id) AS runs FROM matches GROUP BY ALL) SELECT job_id, query_text, page_offset, strftime(last, '%Y-%m-%d') AS last_observed, runs, nth FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY last DESC, query_text, location, query_group) AS nth FROM g) WHERE nth <= 50")
 def _(spark, d):
-    return P.detail(matches(spark, d).filter("job_id < 100")).select("job_id", "query_text", F.col("page_offset").cast("bigint").alias("page_offset"), F.date_format("last_observed", "yyyy-MM-dd").alias("last_observed"), "runs")
+    return P.detail(matches(spark, d), n=50).select("job_id", "query_text", F.col("page_offset").cast("bigint").alias("page_offset"), F.date_format("last_observed", "yyyy-MM-dd").alias("last_observed"), "runs", "nth")
 
 
 def _reports(spark, d):
@@ -234,16 +301,24 @@ def _(spark, d):
     return P.concerns(_reports(spark, d)).filter("concern").select("o_orderkey")
 
 
-@query("agg_run_metrics", "SELECT user_id, count(*) AS runs, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY user_id")
+@query("agg_run_metrics", "SELECT user_id AS run_id, key, sum(json_extract_string(props, '$.' || key)::BIGINT)::BIGINT AS total FROM events, (SELECT unnest(['k']) AS key) WHERE json_valid(props) GROUP BY 1, 2")
+def _(spark, d):
+    return R.key_sums(table(spark, d, "events").withColumnRenamed("user_id", "run_id"), "run_id", "props")
+
+
+@query("agg_run_coverage_sums", "SELECT o_custkey AS run_id, count(*) AS entries, sum(l_linenumber)::BIGINT AS pages, sum(l_quantity)::BIGINT AS cards FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def _(spark, d):
-    e = table(spark, d, "events").withColumn("m", F.from_json("props", "map<string,bigint>"))
-    per_key = e.select("user_id", F.explode("m").alias("key", "value")).groupBy("user_id", "key").agg(F.sum("value").alias("k")).filter("key = 'k'")
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("runs")).join(per_key.drop("key"), "user_id", "left")
+    entry = F.struct(F.col("l_linenumber").cast("bigint").alias("pages"), F.col("l_quantity").cast("bigint").alias("cards"), F.lit("x").alias("stop"))
+    saved = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.collect_list(entry)).alias("coverage"))
+    runs = table(spark, d, "orders").join(saved, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("run_id"), "coverage")
+    return R.coverage_sums(runs, "run_id", "coverage", ["pages", "cards"])
 
 
-@query("agg_query_coverage", f"WITH {_REPORTS} SELECT o_orderkey, pages_attempted, CASE st WHEN 'F' THEN 'page_limit' WHEN 'O' THEN 'blocked' ELSE 'short_page' END AS stop_reason FROM reports")
+@query("agg_query_coverage", f"WITH {_REPORTS} SELECT o_orderkey, pages_attempted, pages_completed, raw_cards, CASE st WHEN 'F' THEN 'page_limit' WHEN 'O' THEN 'blocked' ELSE 'unknown' END AS stop_reason, (SELECT string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey) AS offsets FROM reports")
 def _(spark, d):
-    return _reports(spark, d).select("o_orderkey", "pages_attempted", "stop_reason")
+    saved = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_json(F.collect_list(F.col("l_linenumber"))).alias("page_offsets"))
+    r = _reports(spark, d).withColumn("stop_reason", F.when(F.col("stop_reason") == "short_page", " ").otherwise(F.col("stop_reason"))).join(saved, "o_orderkey")
+    return P.query_coverage(r, "o_orderkey").select("o_orderkey", "pages_attempted", "pages_completed", "raw_cards", "stop_reason", F.array_join("page_offsets", ",").alias("offsets"))
 
 
 @query("agg_string_list", "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY o_custkey")
@@ -251,15 +326,27 @@ def _(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("priorities"))
 
 
+def _scoped(df, group):
+    return df.withColumn("scope", F.when(F.col(group) == "ASIA", "countrywide").when(F.col(group).isin("EUROPE", "AFRICA"), "cities"))
+
+
 @query(
     "agg_scope_overlap",
-    f"""WITH {MATCHES_SQL}, f AS (SELECT job_id, bool_or(query_group = 'ASIA') AS a, bool_or(query_group IN ('EUROPE', 'AFRICA')) AS b FROM matches WHERE job_id % 3 = 0 AND query_id % 10 = 0 GROUP BY job_id)
-    SELECT count(*) FILTER (a) AS first_ids, count(*) FILTER (b) AS second_ids, count(*) FILTER (a AND b) AS shared, count(*) FILTER (a AND NOT b) AS first_only, count(*) FILTER (b AND NOT a) AS second_only FROM f HAVING count(*) FILTER (a) > 0 AND count(*) FILTER (b) > 0""",
+    f"""WITH {MATCHES_SQL}, m AS (SELECT *, CASE WHEN query_group = 'ASIA' THEN 'countrywide' WHEN query_group IN ('EUROPE', 'AFRICA') THEN 'cities' END AS scope FROM matches),
+    q AS (SELECT CASE WHEN r_name = 'ASIA' THEN 'countrywide' ELSE 'cities' END AS scope, count(*) AS n, sum(s_suppkey % 5 + 1) AS pages, sum(s_suppkey % 5 + 1 - CASE WHEN s_suppkey % 7 = 0 THEN 1 ELSE 0 END) AS done, count(*) FILTER (s_suppkey % 7 = 0) AS failed
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE', 'AFRICA') GROUP BY 1),
+    f AS (SELECT job_id, bool_or(coalesce(scope = 'countrywide', false)) AS a, bool_or(coalesce(scope = 'cities', false)) AS b FROM m GROUP BY job_id),
+    o AS (SELECT count(*) FILTER (a) AS fi, count(*) FILTER (b) AS si, count(*) FILTER (a AND b) AS sh, count(*) FILTER (a AND NOT b) AS fo, count(*) FILTER (b AND NOT a) AS so FROM f),
+    c AS (SELECT location, count(DISTINCT job_id) AS n, count(DISTINCT CASE WHEN a THEN job_id END) AS sh FROM m JOIN f USING (job_id) WHERE scope = 'cities' GROUP BY location)
+    SELECT scope AS section, x.name, x.v::DOUBLE AS value FROM q, unnest([{{name: 'queries', v: n::DOUBLE}}, {{name: 'pages', v: pages}}, {{name: 'completed', v: done}}, {{name: 'failures', v: failed}}, {{name: 'completion', v: round_even(100.0 * done / pages, 1)}}]) u(x)
+    UNION ALL SELECT x.s, x.name, x.v::DOUBLE FROM o, unnest([{{s: 'countrywide', name: 'ids', v: fi::DOUBLE}}, {{s: 'cities', name: 'ids', v: si}}, {{s: 'overlap', name: 'shared', v: sh}}, {{s: 'overlap', name: 'first_only', v: fo}}, {{s: 'overlap', name: 'second_only', v: so}}, {{s: 'overlap', name: 'second_covered', v: round_even(100.0 * sh / si, 1)}}]) u(x) WHERE fi > 0 AND si > 0
+    UNION ALL SELECT 'city ' || location, x.name, x.v::DOUBLE FROM c, unnest([{{name: 'ids', v: n::DOUBLE}}, {{name: 'shared', v: sh}}, {{name: 'only', v: n - sh}}]) u(x)""",
 )
 def _(spark, d):
-    m = matches(spark, d).filter("job_id % 3 = 0 AND query_id % 10 = 0")
-    m = m.withColumn("scope", F.when(F.col("query_group") == "ASIA", "countrywide").when(F.col("query_group").isin("EUROPE", "AFRICA"), "cities"))
-    return P.overlap(m).drop("second_covered")
+    q = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("s_suppkey")
+    q = _scoped(q, "r_name").select("scope", (k % 5 + 1).alias("pages_attempted"), (k % 5 + 1 - (k % 7 == 0).cast("int")).alias("pages_completed"), (k % 7 == 0).cast("int").alias("failures"))
+    return P.comparison(q, _scoped(matches(spark, d), "query_group"))
 
 
 @query("top_cap_per_query", "WITH a AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS n FROM lineitem) SELECT l_suppkey, l_orderkey FROM (SELECT * FROM a WHERE n <= 5 ORDER BY l_suppkey, l_orderkey * 10 + l_linenumber LIMIT 100)")
@@ -268,16 +355,28 @@ def _(spark, d):
     return P.capped(rows, 5, 100).select("l_suppkey", "l_orderkey")
 
 
-@query("dml_record_queries", f"WITH {MATCHES_SQL} SELECT DISTINCT run_id, query_text, location FROM matches")
+@query(
+    "dml_record_queries",
+    f"""WITH {MATCHES_SQL}, old AS (SELECT run_id, query_text, location, min(query_id) AS query_id, 0::BIGINT AS cards FROM matches WHERE query_id % 2 = 0 GROUP BY ALL),
+    new AS (SELECT run_id, query_text, location, arg_max(page_offset, job_id * 10 + page_offset)::BIGINT AS cards FROM matches WHERE query_id % 3 <> 0 GROUP BY ALL)
+    SELECT run_id, query_text, location, coalesce(new.cards, old.cards) AS cards, old.query_id FROM old FULL JOIN new USING (run_id, query_text, location)""",
+)
 def _(spark, d):
-    return matches(spark, d).select("run_id", "query_text", "location").distinct()
+    m = matches(spark, d)
+    keys = ["run_id", "query_text", "location"]
+    known = m.filter("query_id % 2 = 0").groupBy(*keys).agg(F.min("query_id").alias("query_id"), F.lit(0).cast("bigint").alias("cards"))
+    text = F.when(F.col("query_id") % 3 == 0, " ").otherwise(F.concat(F.lit(" "), "query_text"))
+    reports = m.select("run_id", text.alias("query_text"), "location", F.col("page_offset").cast("bigint").alias("cards"), (F.col("job_id") * 10 + F.col("page_offset")).alias("seq"))
+    out = P.record_queries(known, reports, ["cards"], "seq")
+    return out.select(*keys, "cards", F.when(F.col("query_id") != F.xxhash64(*keys), F.col("query_id")).alias("query_id"))
 
 
-@query("dml_record_matches", f"WITH {MATCHES_SQL} SELECT DISTINCT job_id, query_id FROM matches WHERE page_offset > 3 AND (job_id, query_id) NOT IN (SELECT (job_id, query_id) FROM matches WHERE page_offset <= 3)")
+@query("dml_record_matches", f"WITH {MATCHES_SQL} SELECT DISTINCT job_id, query_id FROM matches WHERE page_offset > 3 AND job_id % 5 <> 0 AND query_id % 4 <> 0 AND (job_id, query_id) NOT IN (SELECT (job_id, query_id) FROM matches WHERE page_offset <= 3)")
 def _(spark, d):
-    m = matches(spark, d)
-    keys = ["job_id", "query_id"]
-    return m.filter("page_offset > 3").select(*keys).distinct().join(m.filter("page_offset <= 3").select(*keys), keys, "left_anti")
+    m = matches(spark, d).withColumn("name", F.concat(F.lit("key"), "job_id"))
+    queries = m.filter("query_id % 4 <> 0").select("run_id", "query_text", "location", "query_id").distinct()
+    resolved = m.filter("job_id % 5 <> 0").select("name", "job_id").distinct()
+    return P.record_matches(m.filter("page_offset <= 3"), m.filter("page_offset > 3").drop("job_id", "query_id"), resolved, queries)
 
 
 # --- consolidation: documents as postings
@@ -373,10 +472,17 @@ def _(spark, d):
     return v.select(F.col("canonical_job_id").alias("root"), "members", "active_members", moment("last_seen").alias("last_seen"), "seen_count", "shown_id")
 
 
-@query("agg_role_group", f"WITH {_RECORDS} SELECT job_id - job_id % 2 AS root, count(*) AS n, bool_or(is_favorite) AS is_favorite, string_agg(DISTINCT location, '|' ORDER BY location) AS locations FROM records GROUP BY 1")
+@query(
+    "agg_role_group",
+    f"""WITH {_RECORDS}, f AS (SELECT *, CASE WHEN job_id % 4 = 1 THEN 'note ' || (job_id % 3)::VARCHAR END AS note, CASE WHEN job_id % 4 = 1 THEN first_seen END AS flagged FROM records)
+    SELECT job_id - job_id % 6 AS root, count(*) AS n, bool_or(is_favorite) AS is_favorite, string_agg(DISTINCT location, '|' ORDER BY location) AS locations, coalesce(string_agg(DISTINCT note, '|' ORDER BY note), '') AS notes,
+    strftime(max(flagged), {_T}) AS flagged_at, count(*) FILTER (NOT is_archived) AS active, string_agg(job_id::VARCHAR, ',' ORDER BY job_id) AS members FROM f GROUP BY 1""",
+)
 def _(spark, d):
-    r = records(spark, d).groupBy((F.col("job_id") - F.col("job_id") % 2).alias("root"))
-    return r.agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_favorite").alias("is_favorite"), F.array_join(F.array_sort(F.collect_set("location")), "|").alias("locations"))
+    flag = F.col("job_id") % 4 == 1
+    r = records(spark, d).withColumn("flag_reason", F.when(flag, F.concat(F.lit("note "), F.col("job_id") % 3))).withColumn("flagged_at", F.when(flag, F.col("first_seen")))
+    g = C.role_groups(r, r.select("job_id", (F.col("job_id") - F.col("job_id") % 6).alias("canonical_job_id")))
+    return g.select(F.col("canonical_job_id").alias("root"), "n", "is_favorite", F.array_join("locations", "|").alias("locations"), F.array_join("notes", "|").alias("notes"), moment("flagged_at").alias("flagged_at"), "active", F.array_join(F.transform("members", lambda x: x["id"].cast("string")), ",").alias("members"))
 
 
 @query("agg_distinct_sightings", f"WITH {SIGHTINGS_SQL} SELECT job_id, count(DISTINCT CASE WHEN arrival % 2 = 0 THEN 'run:' || run_id ELSE 'time:' || strftime(observed_at, {_T}) END) AS n FROM sightings GROUP BY job_id")
@@ -398,10 +504,11 @@ def _(spark, d):
     return roles(spark, d).filter(R.predicates(source="Board")).select("job_id")
 
 
-@query("flt_processable", f"WITH {_RECORDS} SELECT job_id FROM records r WHERE (job_id - job_id % 2) IN (SELECT job_id - job_id % 2 FROM records WHERE NOT is_archived)")
+@query("flt_processable", f"WITH {_RECORDS} SELECT job_id FROM records r WHERE (job_id - job_id % 2) IN (SELECT job_id - job_id % 2 FROM records WHERE NOT is_archived) AND job_id % 5 NOT IN (1, 2, 3)")
 def _(spark, d):
-    r = roles(spark, d).withColumn("root", F.col("job_id") - F.col("job_id") % 2)
-    return r.join(r.filter("NOT is_archived").select("root").distinct(), "root", "left_semi").select("job_id")
+    outcome = F.get(F.array(*map(F.lit, ("target", "excluded", "unrelated", "manual_archive", "unmatched"))), F.col("job_id") % 5)
+    r = records(spark, d).withColumn("outcome", outcome)
+    return W.processable(r, r.select("job_id", (F.col("job_id") - F.col("job_id") % 2).alias("canonical_job_id"))).select("job_id")
 
 
 @query("flt_list_predicates", f"WITH {_RECORDS} SELECT job_id FROM records WHERE NOT is_archived AND (contains(lower(title), 'mach') OR contains(lower(company), 'mach') OR contains(lower(location), 'mach')) AND seen_count > 1 AND last_seen >= TIMESTAMP '1999-01-01' AND role_family = 'machinery'")
@@ -409,9 +516,27 @@ def _(spark, d):
     return roles(spark, d).filter(R.predicates(search="MACH", repeated=True, seen_since="1999-01-01 00:00:00", family="machinery")).select("job_id")
 
 
-@query("flt_record_valid", "SELECT event_id, coalesce(nullif(event_type, 'error'), 'none') AS kind FROM events WHERE event_type <> 'view'")
+_CARDS_SQL = "cards AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '  ' ELSE c_mktsegment END AS title, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'feed' END AS source, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS company, CASE WHEN c_custkey % 2 = 0 THEN ' ' ELSE c_acctbal::BIGINT::VARCHAR END AS salary FROM customer)"
+
+
+def _cards(spark, d):
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "c_mktsegment")).alias("title"), F.when(k % 7 != 0, "feed").alias("source"), F.when(k % 3 == 0, "").otherwise(F.col("c_name")).alias("company"), F.when(k % 2 == 0, " ").otherwise(F.bround("c_acctbal").cast("bigint").cast("string")).alias("salary"))
+
+
+@query("flt_record_valid", f"WITH {_CARDS_SQL} SELECT c_custkey, title, source, company, CASE WHEN c_custkey % 2 = 0 THEN 'Not specified' ELSE salary END AS salary FROM cards WHERE trim(title) <> '' AND source IS NOT NULL AND company <> ''")
+def _(spark, d):
+    from ..operators.sightings import valid_records
+
+    return valid_records(_cards(spark, d))[0]
+
+
+@query("flt_record_rejects", f"WITH {_CARDS_SQL} SELECT c_custkey, CASE WHEN trim(title) = '' THEN 'missing title' WHEN source IS NULL THEN 'missing source' ELSE 'missing company' END AS reason FROM cards WHERE trim(title) = '' OR source IS NULL OR company = ''")
 def _(spark, d):
-    return table(spark, d, "events").filter("event_type <> 'view'").select("event_id", F.coalesce(F.nullif("event_type", F.lit("error")), F.lit("none")).alias("kind"))
+    from ..operators.sightings import valid_records
+
+    return valid_records(_cards(spark, d))[1].select("c_custkey", "reason")
 
 
 @query("flt_identity_complete", "SELECT page_id FROM pages WHERE url <> '' AND length(html) > 0 AND page_id % 10 <> 3")
@@ -430,37 +555,69 @@ def _(spark, d):
     return top.withColumn("nth", F.row_number().over(Window.orderBy(*R.sort_orders()["company"])).cast("bigint")).select("job_id", "nth")
 
 
-@query("page_list", f"WITH {_RECORDS} SELECT job_id FROM records WHERE NOT is_archived ORDER BY seen_count DESC, last_seen DESC NULLS LAST, job_id LIMIT 50 OFFSET 100")
+@query("page_list", f"WITH {_RECORDS} SELECT job_id, (SELECT count(*) FROM records WHERE NOT is_archived) AS total FROM records WHERE NOT is_archived ORDER BY seen_count DESC, last_seen DESC NULLS LAST, job_id LIMIT 50 OFFSET 100")
 def _(spark, d):
-    return R.page(roles(spark, d).filter(R.predicates()), "seen", 50, 100).select("job_id")
+    return R.page_with_total(roles(spark, d).filter(R.predicates()), "seen", 50, 100).select("job_id", "total")
 
 
-@query("list_query", f"WITH {_RECORDS} SELECT job_id, title, company, date_diff('day', first_seen, last_seen) + 1 AS active_days FROM records WHERE NOT is_archived AND is_favorite ORDER BY last_seen DESC NULLS LAST, job_id LIMIT 50")
+@query(
+    "list_query",
+    f"""WITH {_RECORDS}, {MATCHES_SQL}, g AS (SELECT job_id, string_agg(DISTINCT query_group, ',' ORDER BY query_group) AS query_groups FROM matches GROUP BY job_id)
+    SELECT job_id, title, company, coalesce(query_groups, '') AS query_groups, seen_count, date_diff('day', first_seen, last_seen) + 1 AS active_days, (SELECT count(*) FROM records WHERE NOT is_archived AND is_favorite) AS total
+    FROM records LEFT JOIN g USING (job_id) WHERE NOT is_archived AND is_favorite ORDER BY last_seen DESC NULLS LAST, job_id LIMIT 50""",
+)
 def _(spark, d):
-    from ..functions.values import active_days
-
-    return R.page(roles(spark, d).filter(R.predicates(favorite=True)), "newest", 50).select("job_id", "title", "company", active_days(F.col("first_seen"), F.col("last_seen")).cast("bigint").alias("active_days"))
+    top = R.job_list(roles(spark, d), matches(spark, d), favorite=True)
+    return top.select("job_id", "title", "company", F.array_join("query_groups", ",").alias("query_groups"), "observation.seen_count", "observation.active_days", "total")
 
 
-@query("detail_query", f"WITH {MATCHES_SQL} SELECT query_text, count(DISTINCT run_id) AS runs, strftime(max(observed_at), '%Y-%m-%d') AS last_observed FROM matches WHERE job_id IN (16, 17) GROUP BY query_text ORDER BY max(observed_at) DESC, query_text LIMIT 50")
+@query(
+    "detail_query",
+    f"""WITH {_RECORDS}, {MATCHES_SQL}, m AS (SELECT job_id - job_id % 2 AS root, query_text, location, query_group, max(observed_at) AS last FROM matches GROUP BY ALL),
+    top AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY last DESC, query_text, location, query_group) AS nth FROM m),
+    p AS (SELECT root, count(*) AS searches, max(CASE WHEN nth = 1 THEN query_text END) AS newest FROM top WHERE nth <= 50 GROUP BY root)
+    SELECT r.job_id, s.title, s.seen_count, date_diff('day', s.first_seen, s.last_seen) + 1 AS active_days, searches, newest FROM records r JOIN records s ON s.job_id = r.job_id - r.job_id % 2 LEFT JOIN p ON p.root = s.job_id""",
+)
 def _(spark, d):
-    m = matches(spark, d).filter((F.col("job_id") - F.col("job_id") % 2) == 16).withColumn("job_id", F.lit(16))
-    return P.detail(m).orderBy(F.desc("last_observed"), "query_text").limit(50).select("query_text", "runs", F.date_format("last_observed", "yyyy-MM-dd").alias("last_observed"))
+    r = roles(spark, d)
+    member = matches(spark, d).select("job_id").union(r.select("job_id")).distinct().select("job_id", (F.col("job_id") - F.col("job_id") % 2).alias("canonical_job_id"))
+    shown = r.filter("job_id % 2 = 0").withColumnRenamed("job_id", "canonical_job_id")
+    out = R.job_details(r, shown, member, matches(spark, d))
+    return out.select("job_id", "title", "observation.seen_count", "observation.active_days", F.when(F.col("provenance").isNotNull(), F.size("provenance")).cast("bigint").alias("searches"), F.get("provenance", F.lit(0))["query_text"].alias("newest"))
 
 
-@query("detail_description", "SELECT source, max(doc_id) AS newest, count(DISTINCT text) AS versions FROM documents GROUP BY source")
+@query(
+    "detail_description",
+    """WITH m AS (SELECT doc_id, doc_id - doc_id % 4 AS root FROM documents), t AS (SELECT root, arg_max(sha256(text), doc_id) AS text_sha256, count(DISTINCT text) AS versions FROM documents JOIN m USING (doc_id) GROUP BY root),
+    a AS (SELECT root, event_id, event_type, row_number() OVER (PARTITION BY root ORDER BY event_id DESC) AS nth FROM events JOIN m ON user_id = doc_id),
+    g AS (SELECT root, string_agg(event_type, ',' ORDER BY event_id DESC) AS attempts FROM a WHERE nth <= 8 GROUP BY root)
+    SELECT t.root, text_sha256, versions, coalesce(attempts, '') AS attempts, t.root IN (SELECT root FROM labels JOIN m USING (doc_id)) AS reparsable FROM t LEFT JOIN g USING (root)""",
+)
 def _(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.max("doc_id").alias("newest"), F.count_distinct(F.sha2("text", 256)).alias("versions"))
+    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "job_id")
+    member = docs.select("job_id", (F.col("job_id") - F.col("job_id") % 4).alias("canonical_job_id"))
+    tried = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("attempt_id"), F.col("event_type").alias("status"))
+    out = R.description_details(member, docs.select("job_id", "text", F.col("job_id").alias("saved_at")), tried, table(spark, d, "labels").select(F.col("doc_id").alias("job_id")))
+    return out.select(F.col("canonical_job_id").alias("root"), "text_sha256", "versions", F.array_join(F.transform("attempts", lambda x: x["status"]), ",").alias("attempts"), "reparsable")
 
 
-@query("list_runs", f"WITH {SIGHTINGS_SQL} SELECT run_id, count(*) AS sightings, count(DISTINCT job_id) AS jobs FROM sightings GROUP BY run_id ORDER BY run_id DESC LIMIT 20")
+@query(
+    "list_runs",
+    f"""WITH {SIGHTINGS_SQL}, {_REPORTS}, r AS (SELECT s.run_id, count(*) AS queries, sum(pages_attempted)::BIGINT AS pages, count(*) FILTER (st = 'O') AS incomplete FROM reports JOIN sightings s ON s.arrival = o_orderkey GROUP BY 1),
+    k AS (SELECT run_id, count(*) AS sightings, count(DISTINCT job_id) AS jobs, sum(job_id % 10)::BIGINT AS k FROM sightings GROUP BY run_id) SELECT run_id, sightings, jobs, k, queries, pages, incomplete FROM k LEFT JOIN r USING (run_id) ORDER BY run_id DESC LIMIT 20""",
+)
 def _(spark, d):
-    return sightings(spark, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("sightings"), F.count_distinct("job_id").alias("jobs")).orderBy(F.desc("run_id")).limit(20)
+    s = sightings(spark, d)
+    runs = s.groupBy("run_id").agg(F.count(F.lit(1)).alias("sightings"), F.count_distinct("job_id").alias("jobs"))
+    saved = s.select("run_id", F.to_json(F.struct((F.col("job_id") % 10).alias("k"))).alias("metrics"))
+    reports = _reports(spark, d).join(s.select("run_id", F.col("arrival").alias("o_orderkey")), "o_orderkey")
+    out = R.run_list(runs, R.key_sums(saved, "run_id", "metrics"), reports, 20, ["blocked"])
+    return out.select("run_id", "sightings", "jobs", F.col("metrics")["k"].alias("k"), "coverage.queries", F.col("coverage.pages_attempted").alias("pages"), "coverage.incomplete")
 
 
-@query("agg_distinct_options", f"WITH {POSTINGS_SQL} SELECT DISTINCT company FROM postings ORDER BY company LIMIT 200")
+@query("agg_distinct_options", f"WITH {_RECORDS}, {MATCHES_SQL} SELECT 'company' AS kind, company AS value FROM (SELECT DISTINCT company FROM records ORDER BY lower(company), company LIMIT 200) UNION ALL SELECT DISTINCT 'family', role_family FROM records WHERE role_family IS NOT NULL UNION ALL SELECT DISTINCT 'query_group', query_group FROM matches")
 def _(spark, d):
-    return postings(spark, d).select("company").distinct().orderBy("company").limit(200)
+    return R.options(roles(spark, d), matches(spark, d))
 
 
 _AS_OF = "TIMESTAMP '2001-06-01'"
@@ -470,15 +627,27 @@ def _as_of():
     return F.lit("2001-06-01").cast("timestamp_ntz")
 
 
-@query(
-    "rep_summary",
-    f"""WITH {_RECORDS}, w AS (SELECT *, split_part(location, ',', 1) AS place FROM records WHERE NOT is_archived AND last_seen >= {_AS_OF} - INTERVAL 900 DAY)
-    SELECT 'source' AS section, source AS name, count(*) AS "count" FROM w GROUP BY 2 UNION ALL SELECT 'company', company, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'place', place, count(*) FROM w GROUP BY 2
-    UNION ALL SELECT 'family', coalesce(role_family, 'unclassified'), count(*) FROM w GROUP BY 2 UNION ALL SELECT 'totals', 'total', count(*) FROM w HAVING count(*) > 0 UNION ALL SELECT 'totals', 'repeated', count(*) FROM w WHERE seen_count > 1 HAVING count(*) > 0
-    UNION ALL SELECT 'totals', 'new', count(*) FROM w WHERE first_seen >= {_AS_OF} - INTERVAL 7 DAY HAVING count(*) > 0""",
-)
+def _window_sql(name, days):
+    w = f"(SELECT *, split_part(location, ',', 1) AS place, CASE WHEN job_id % 4 = 0 THEN 'target' END AS outcome FROM records{'' if days is None else f' WHERE last_seen >= {_AS_OF} - INTERVAL {days} DAY'})"
+    a = f"(SELECT * FROM {w} WHERE NOT is_archived)"
+    part = lambda section, label, src, rest="": f"SELECT '{name}' AS \"window\", '{section}' AS section, {label} AS name, count(*)::BIGINT AS \"count\" FROM {src} {rest}"
+    return " UNION ALL ".join([
+        part("source", "source", a, "GROUP BY 3"), part("company", "company", a, "GROUP BY 3"), part("place", "place", a, "GROUP BY 3"), part("family", "coalesce(role_family, 'unclassified')", a, "GROUP BY 3"),
+        part("totals", "'total'", a, "HAVING count(*) > 0"), part("totals", "'repeated'", a, "WHERE seen_count > 1 HAVING count(*) > 0"), part("totals", "'new'", a, f"WHERE first_seen >= {_AS_OF} - INTERVAL 7 DAY HAVING count(*) > 0"),
+        part("query_group", "query_group", f"(SELECT DISTINCT job_id, query_group FROM matches WHERE job_id IN (SELECT job_id FROM {a}))", "GROUP BY 3"),
+        f"SELECT '{name}', 'recurring', job_id::VARCHAR, seen_count FROM (SELECT job_id, seen_count FROM {a} WHERE seen_count > 1 ORDER BY seen_count DESC, last_seen DESC NULLS LAST, job_id LIMIT 5)",
+        part("review", "CASE WHEN is_archived THEN 'archived' ELSE 'active' END", w, "GROUP BY 3"), part("review", "'favorite'", w, "WHERE is_favorite HAVING count(*) > 0"), part("review", "'outcome ' || outcome", w, "WHERE outcome IS NOT NULL GROUP BY 3"),
+        f"SELECT '{name}', 'freshness', CASE WHEN m IS NULL THEN 'empty' WHEN a <= 2 THEN 'fresh' WHEN a <= 7 THEN 'aging' ELSE 'stale' END, floor(a)::BIGINT FROM (SELECT max(last_seen) AS m, greatest(0, (date_part('epoch', {_AS_OF}) - date_part('epoch', max(last_seen))) / 86400) AS a FROM {a})",
+    ])
+
+
+_SPANS = {"all": None, "900d": 900, "1200d": 1200}
+
+
+@query("rep_summary", f"WITH {_RECORDS}, {MATCHES_SQL} " + " UNION ALL ".join(_window_sql(n, k) for n, k in _SPANS.items()))
 def _(spark, d):
-    return R.summary(roles(spark, d).filter("NOT is_archived"), _as_of(), 900)
+    r = roles(spark, d).withColumn("outcome", F.when(F.col("job_id") % 4 == 0, "target"))
+    return R.summaries(r, matches(spark, d), _as_of(), _SPANS)
 
 
 @query("top_counts", f"WITH {POSTINGS_SQL} SELECT title AS name, count(*) AS \"count\" FROM postings GROUP BY 1 ORDER BY 2 DESC, lower(title), title LIMIT 8")
@@ -522,9 +691,9 @@ def _(spark, d):
     return rep.join(listed, "name")
 
 
-@query("rep_role_mix", f"WITH {_RECORDS} SELECT role_family, count(*) AS n FROM records WHERE role_family IS NOT NULL GROUP BY role_family")
+@query("rep_role_mix", f"WITH {_RECORDS} SELECT role_family, count(*) AS n, round_even(100.0 * count(*) / (SELECT count(role_family) FROM records), 1)::DOUBLE AS share, (SELECT count(role_family) FROM records) AS recognised FROM records WHERE role_family IS NOT NULL GROUP BY role_family")
 def _(spark, d):
-    return roles(spark, d).filter("role_family IS NOT NULL").groupBy("role_family").agg(F.count(F.lit(1)).alias("n"))
+    return R.role_mix(roles(spark, d))
 
 
 @query("rep_skill_distribution", "SELECT p_type AS category, split_part(p_name, ' ', 2) AS term, count(DISTINCT l_orderkey) AS roles FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
@@ -592,10 +761,10 @@ def _(spark, d):
     return W.retry_batch(_attempts(spark, d).withColumnRenamed("attempt_id", "work_id"), roles(spark, d).filter("NOT is_archived")).select("job_id")
 
 
-@query("wl_status_latest", "SELECT event_id, c_mktsegment AS title FROM events JOIN customer ON c_custkey = user_id ORDER BY event_id DESC LIMIT 20")
+@query("wl_status_latest", "SELECT event_id, c_mktsegment AS title FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 20) JOIN customer ON c_custkey = user_id")
 def _(spark, d):
-    e = table(spark, d, "events").join(table(spark, d, "customer"), F.col("user_id") == F.col("c_custkey"))
-    return e.orderBy(F.desc("event_id")).limit(20).select("event_id", F.col("c_mktsegment").alias("title"))
+    work = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("work_id"))
+    return W.newest_work(work, postings(spark, d)).select(F.col("work_id").alias("event_id"), "title")
 
 
 @query("agg_status_counts", "WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS status, arg_max(json_extract_string(props, '$.k')::BIGINT, event_id) AS tokens FROM events GROUP BY user_id) SELECT status, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM l GROUP BY status")

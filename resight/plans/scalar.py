@@ -16,9 +16,9 @@ _SITE_SQL = """u AS (SELECT page_id, url, regexp_replace(url, '^[A-Za-z][A-Za-z0
  x AS (SELECT *, CASE WHEN regexp_matches(host, '(^|\\.)example\\.(com|net|org)$') AND id IS NOT NULL THEN 'page:' || id ELSE host || regexp_replace(path, '/+$', '') END AS identity FROM w)"""
 
 
-@query("fn_clean_value", "SELECT doc_id, coalesce(nullif(trim(split_part(text, '.', 2), E' \\t\\r\\n'), ''), 'none') AS cleaned FROM documents")
+@query("fn_clean_value", "SELECT doc_id, md5(coalesce(nullif(trim(text, E' \\t\\r\\n'), ''), 'none')) AS cleaned FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.clean_value(F.split_part("text", F.lit("."), F.lit(2)), "none").alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.clean_value(F.concat(F.lit(" \t"), "text", F.lit("\n ")), "none")).alias("cleaned"))
 
 
 @query("fn_clean_identity", "SELECT event_id, CASE WHEN event_type IN ('nan', 'none', 'null', 'nat', '<na>') OR event_id % 7 = 0 THEN '' ELSE event_type END AS identity FROM events")

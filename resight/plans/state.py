@@ -87,13 +87,16 @@ _UPSERT = f"""WITH {SIGHTINGS_SQL}, old AS (SELECT * FROM sightings WHERE observ
 
 @query(
     "dml_upsert_sightings",
-    f"""{_UPSERT} SELECT coalesce(s.job_id, l.job_id) AS job_id, coalesce(l.title, s.title) AS title, coalesce(l.company, s.company) AS company, strftime(least(s.first_seen, l.low), {_T}) AS first_seen,
-    strftime(greatest(s.last_seen, d.high), {_T}) AS last_seen, (coalesce(s.seen_count, 0) + coalesce(d.n, 0))::BIGINT AS seen_count FROM state s FULL JOIN lastb l ON s.job_id = l.job_id LEFT JOIN delta d ON d.job_id = l.job_id""",
+    f"""{_UPSERT}, pay AS (SELECT job_id, arg_max(CASE WHEN arrival % 3 = 0 THEN 'Not specified' ELSE arrival::VARCHAR END, arrival) AS salary FROM batch GROUP BY job_id), old_pay AS (SELECT job_id, max(arrival)::VARCHAR AS salary FROM old1 GROUP BY job_id)
+    SELECT coalesce(s.job_id, l.job_id) AS job_id, coalesce(l.title, s.title) AS title, coalesce(l.company, s.company) AS company, coalesce(nullif(p.salary, 'Not specified'), o.salary, p.salary) AS salary, strftime(least(s.first_seen, l.low), {_T}) AS first_seen,
+    strftime(greatest(s.last_seen, d.high), {_T}) AS last_seen, (coalesce(s.seen_count, 0) + coalesce(d.n, 0))::BIGINT AS seen_count
+    FROM state s FULL JOIN lastb l ON s.job_id = l.job_id LEFT JOIN delta d ON d.job_id = l.job_id LEFT JOIN pay p ON p.job_id = l.job_id LEFT JOIN old_pay o ON o.job_id = s.job_id""",
 )
 def _(spark, d):
     old, batch = _split(spark, d)
-    state = old.groupBy("job_id").agg(F.max_by("title", "arrival").alias("title"), F.max_by("company", "arrival").alias("company"), F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.count(F.lit(1)).alias("seen_count"))
-    out, _ = S.upsert(state, old, batch, ["title", "company"])
+    batch = batch.withColumn("salary", F.when(F.col("arrival") % 3 == 0, "Not specified").otherwise(F.col("arrival").cast("string")))
+    state = old.groupBy("job_id").agg(F.max_by("title", "arrival").alias("title"), F.max_by("company", "arrival").alias("company"), F.max("arrival").cast("string").alias("salary"), F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.count(F.lit(1)).alias("seen_count"))
+    out, _ = S.upsert(state, old, batch, ["title", "company", "salary"])
     return out.withColumn("first_seen", moment("first_seen")).withColumn("last_seen", moment("last_seen"))
 
 
@@ -280,16 +283,24 @@ def _(spark, d):
     return S.not_unique(table(spark, d, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("bigint")), ["l_orderkey", "l_linenumber"])
 
 
-@query("dq_readiness", "SELECT 'orders' AS name, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS active FROM orders UNION ALL SELECT 'part', count(*), count(*) FROM part")
+@query("dq_readiness", "SELECT 'orders' AS name, true AS present, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS active FROM orders UNION ALL SELECT 'part', true, count(*), count(*) FROM part UNION ALL SELECT 'attempts', false, NULL, NULL")
 def _(spark, d):
-    o, p = table(spark, d, "orders"), table(spark, d, "part")
-    return o.agg(F.lit("orders").alias("name"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("o_orderstatus") == "O").alias("active")).unionByName(p.agg(F.lit("part").alias("name"), F.count(F.lit(1)).alias("total"), F.count(F.lit(1)).alias("active")))
+    have = {n: table(spark, d, n) for n in ("orders", "part")}
+    return S.readiness(have, {"orders": F.col("o_orderstatus") == "O", "part": F.lit(True), "attempts": F.lit(True)})
 
 
-@query("dq_label_agreement", "SELECT quality::BIGINT AS quality, lang = 'en' AS predicted, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2")
+@query(
+    "dq_label_agreement",
+    """WITH o AS (SELECT p_partkey AS doc_id, CASE WHEN regexp_matches(p_name, 'anvil') THEN 'unrelated' WHEN regexp_matches(p_name, 'bolt|gear') THEN 'target' ELSE 'unmatched' END AS outcome FROM part)
+    SELECT quality::VARCHAR AS label, coalesce(outcome, 'none') AS outcome, count(*) AS n FROM labels LEFT JOIN o USING (doc_id) GROUP BY 1, 2""",
+)
 def _(spark, d):
-    j = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
-    return j.groupBy(F.col("quality").cast("bigint").alias("quality"), (F.col("lang") == "en").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    from ..operators.rules import RuleSets, classify
+
+    sets = RuleSets(target=[("t", "t", [r"\bbolt\b", r"\bgear\b"])], unrelated=[("u", "u", [r"\banvil\b"])])
+    found = classify(table(spark, d, "part").select(F.col("p_partkey").alias("job_id"), F.col("p_name").alias("title"), F.lit("").alias("company")), sets)
+    lab = table(spark, d, "labels").select(F.col("doc_id").alias("job_id"), F.col("quality").cast("string").alias("label"))
+    return S.label_agreement(lab, found)
 
 
 @query("agg_totals_by_state", "SELECT count(*) AS total, count(*) FILTER (o_orderstatus <> 'F') AS active, count(*) FILTER (o_orderstatus = 'F') AS archived FROM orders")
@@ -301,9 +312,7 @@ def _(spark, d):
 @query("agg_active_new", f"WITH {SIGHTINGS_SQL}, f AS (SELECT job_id, min(run_id) AS run_id FROM sightings GROUP BY 1) SELECT run_id, count(*) FILTER (job_id % 3 <> 0) AS active_new, count(*) FILTER (job_id % 3 <> 0) >= 5 AS worthwhile FROM f GROUP BY run_id")
 def _(spark, d):
     f = sightings(spark, d).groupBy("job_id").agg(F.min("run_id").alias("run_id"))
-    active = table(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("job_id"), F.lit(True).alias("a"))
-    out = f.join(active, "job_id", "left").groupBy("run_id").agg(F.count_if("a").alias("active_new"))
-    return out.withColumn("worthwhile", F.col("active_new") >= 5)
+    return S.active_new(f, table(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("job_id")))
 
 
 @query("win_latest_per_key", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
@@ -333,7 +342,13 @@ def _(spark, d):
     return read_snapshot(spark, root)
 
 
-@query("sink_json_report", """SELECT r_name, '{"region":"' || r_name || '","nations":' || count(*)::VARCHAR || '}' AS report FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""")
+@query(
+    "sink_json_report",
+    """SELECT c_mktsegment AS segment, json_object('segment', c_mktsegment, 'total', count(*), 'conflicts', list(c_custkey ORDER BY c_custkey)[1:10], 'conflicts_total', count(*))::VARCHAR AS report FROM customer GROUP BY c_mktsegment""",
+)
 def _(spark, d):
-    j = table(spark, d, "region").join(table(spark, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.groupBy("r_name").agg(F.count(F.lit(1)).alias("n")).select("r_name", F.to_json(F.struct(F.col("r_name").alias("region"), F.col("n").alias("nations"))).alias("report"))
+    from ..operators.reports import public_report
+
+    c = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_list("c_custkey")).alias("conflicts"))
+    report = F.struct(F.col("c_mktsegment").alias("segment"), "total", F.col("conflicts").alias("evaluations"), "conflicts")
+    return c.select(F.col("c_mktsegment").alias("segment"), public_report(report, ["evaluations"]).alias("report"))
\ No newline at end of file
