@@ -38,10 +38,6 @@ def normalized(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), start, end
 
 
-def _span(quote: str, source: str) -> tuple[int, int] | None:
-    return _span_in(quote, normalized(source))
-
-
 def _span_in(quote: str, source: tuple[str, list[int], list[int]]) -> tuple[int, int] | None:
     folded, start, end = source
     q = normalized(quote)[0].strip()
@@ -59,11 +55,11 @@ def _one_typo(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or (a[i + 2 :] == b[i + 2 :] and a[i : i + 2] == b[i : i + 2][::-1])
 
 
-def _typo_span(quote: str, source: str) -> tuple[int, int] | None:
+def _typo_span_in(quote: str, source: tuple[str, list[int], list[int]]) -> tuple[int, int] | None:
     q = normalized(quote)[0].split()
     if len(q) < 5:
         return None
-    folded, start, end = normalized(source)
+    folded, start, end = source
     words = [(m.start(), m.end()) for m in re.finditer(r"\S+", folded)]
     found = []
     for i in range(len(words) - len(q) + 1):
@@ -103,46 +99,60 @@ def _elsewhere(misses: DataFrame, sources: DataFrame) -> DataFrame:
 def resolve(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """quotes (doc, ref, quote) with start, end (code points), method, error and source_ref, against sources (doc, ref, text).
 
-    Exact hits are native; only the others go to Arrow batches, each with its own source: typography variants, then the only
-    other source of the document and family that holds the quote (method source_reference; source_ref tells which), then one
-    typo in a long word that is no qualifier, between unchanged words and in one place only.
+    Exact hits are native; only the others go to Arrow batches, brought together by source, which is folded once: typography variants,
+    then the only other source of the document and family that holds the quote (method source_reference; source_ref tells which), then one
+    typo in a long word that is no qualifier, between unchanged words and in one place only.  Equal quotes of one source are one row each.
     """
-    both = quotes.join(sources, ["doc", "ref"], "left").withColumn("at", F.expr("instr(text, quote)"))
+    both = quotes.join(sources.hint("merge"), ["doc", "ref"], "left").withColumn("at", F.expr("instr(text, quote)"))
     exact = both.filter("at > 0").select("doc", "ref", "quote", (F.col("at") - 1).cast("bigint").alias("start"), (F.col("at") - 1 + F.length("quote")).cast("bigint").alias("end"), F.lit("exact").alias("method"), F.lit(None).cast("string").alias("error"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for d, ref, quote, text in zip(b["doc"], b["ref"], b["quote"], b["text"], strict=True):
-                span, how, error = None, None, None
-                if text is None:
-                    error = "no source"
-                elif not quote:
-                    error = "no quote"
-                elif span := _span(quote, text):
-                    how = "typography"
-                elif span := _typo_span(quote, text):
-                    how = "typo"
-                else:
-                    error = "not found"
-                rows.append((d, ref, quote, *(span or (None, None)), how, error))
+            for d, ref, asked, text in zip(b["doc"], b["ref"], b["asked"], b["text"], strict=True):
+                folded = None if text is None else normalized(text)
+                for quote in asked:
+                    span, how, error = None, None, None
+                    if folded is None:
+                        error = "no source"
+                    elif not quote:
+                        error = "no quote"
+                    elif span := _span_in(quote, folded):
+                        how = "typography"
+                    elif span := _typo_span_in(quote, folded):
+                        how = "typo"
+                    else:
+                        error = "not found"
+                    rows.append((d, ref, quote, *(span or (None, None)), how, error))
             yield pd.DataFrame(rows, columns=["doc", "ref", "quote", "start", "end", "method", "error"]).astype({"start": "Int64", "end": "Int64"})
 
-    rest = both.filter("at IS NULL OR at = 0").select("doc", "ref", "quote", "text")
+    rest = both.filter("at IS NULL OR at = 0").withColumn("quote", F.coalesce("quote", F.lit("")))
+    rest = rest.groupBy("doc", "ref").agg(F.collect_list("quote").alias("asked"), F.first("text").alias("text"))
     kinds = f"doc {both.schema['doc'].dataType.simpleString()}, ref {both.schema['ref'].dataType.simpleString()}"
     tried = rest.mapInPandas(run, f"{kinds}, quote string, start bigint, end bigint, method string, error string")
     missed = (F.col("method").isNull() | (F.col("method") == "typo")) & (F.coalesce("quote", F.lit("")) != "")
-    own = tried.join(_elsewhere(tried.filter(missed).select("doc", "ref", "quote"), sources), ["doc", "ref", "quote"], "left")
+    own = tried.join(_elsewhere(tried.filter(missed).select("doc", "ref", "quote"), sources).hint("shuffle_hash"), ["doc", "ref", "quote"], "left")
     moved = F.col("found").isNotNull()
     put = {"start": F.col("found.start"), "end": F.col("found.end"), "method": F.lit("source_reference"), "error": F.lit(None).cast("string")}
     own = own.select("doc", "ref", "quote", *(F.when(moved, x).otherwise(F.col(c)).alias(c) for c, x in put.items()), F.coalesce("found.ref", F.when(F.col("method").isNotNull(), F.col("ref"))).alias("source_ref"))
     return exact.withColumn("source_ref", F.col("ref")).unionByName(own)
 
 
-def sources_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shortest: int = 80, longest: int = 500_000) -> DataFrame:
-    """(doc, ref, pos, text, quality): the lines of each document as description.<line>; short texts are skipped, too long ones refused."""
-    size = F.octet_length(text_col)
-    ok = docs.filter((F.length(text_col) >= shortest) & (size <= longest))
-    quality = F.when(F.length(text_col) >= 200, "full").otherwise("short")
-    lines = ok.select(F.col(id_col).alias("doc"), quality.alias("quality"), F.posexplode(F.split(text_col, "\n")).alias("pos", "text"))
-    return lines.filter(F.trim("text") != "").select("doc", F.concat(F.lit("description."), F.col("pos").cast("string")).alias("ref"), F.col("pos").cast("bigint").alias("pos"), "text", "quality")
+def sources_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", title: str | None = None, company: str | None = None, location: str | None = None, criteria: str | None = None, legacy: str | None = None, shortest: int = 80, longest: int = 500_000) -> DataFrame:
+    """(doc, ref, pos, text, quality), the sources of each document in order: title, company and location where any of them is named
+    (empty if null), its lines as description.<line> from 1, without blank ones, and criteria.<i> from 0 as `label: value`.
+
+    Texts that are shorter, trimmed, than `shortest`, or failure markers, are skipped; longer ones than `longest` bytes refused.  quality is
+    public_page, or legacy_completeness_unknown where the column `legacy` says so.  criteria is an array of (label, value).
+    """
+    ok = docs.filter((F.length(F.trim(text_col)) >= shortest) & (F.trim(text_col) != "FETCH_FAILED") & (F.octet_length(text_col) <= longest))
+    quality = F.when(F.coalesce(F.col(legacy), F.lit(False)), "legacy_completeness_unknown").otherwise("public_page") if legacy else F.lit("public_page")
+    source = lambda ref, text: F.struct(ref.alias("ref"), text.alias("text"))
+    lines = F.transform(F.split(text_col, "\r\n|[\n\r]"), lambda t, i: source(F.concat(F.lit("description."), (i + 1).cast("string")), t))
+    parts = [F.filter(lines, lambda x: F.trim(x["text"]) != "")]
+    heads = {"title": title, "company": company, "location": location}
+    if any(heads.values()):
+        parts.insert(0, F.array(*(source(F.lit(n), F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")) for n, c in heads.items())))
+    if criteria:
+        parts.append(F.transform(F.coalesce(F.col(criteria), F.array()), lambda x, i: source(F.concat(F.lit("criteria."), i.cast("string")), F.concat(x["label"], F.lit(": "), x["value"]))))
+    return ok.select(F.col(id_col).alias("doc"), quality.alias("quality"), F.posexplode(F.concat(*parts)).alias("pos", "s")).select("doc", "s.ref", F.col("pos").cast("bigint").alias("pos"), "s.text", "quality")

@@ -1,140 +1,253 @@
-"""Text, result cards and page sequences from saved HTML.  The reader runs in Arrow batches; errors are rows."""
+"""Text, result cards and page sequences from saved HTML.
+
+Text is made by Spark's own functions; only character references go to Arrow batches, and pages whose elements count (identity, criteria,
+cards) are read there as trees.  Errors are rows.
+"""
 
 from __future__ import annotations
 
+import html as entities
 import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Elements without text for a reader, and elements that stand on lines of their own.
-SKIPPED = {"script", "style", "noscript", "iframe", "button"}
-BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "aside", "ul", "ol", "li", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "nav"}
+SKIPPED = ["script", "style", "noscript", "iframe", "button"]
+BLOCKS = ["p", "div", "section", "article", "header", "footer", "main", "aside", "ul", "ol", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "nav"]
+# Elements that have no end tag; words in titles of pages that ask for a login; keys of criteria by their label.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+LOGIN = ("sign in", "login", "security", "verification", "authwall")
+CRITERIA = {
+    "seniority level": "seniority", "employment type": "employment_type", "job function": "job_function", "industries": "industries",
+    "karrierestufe": "seniority", "beschäftigungsverhältnis": "employment_type", "tätigkeitsbereich": "job_function", "branchen": "industries",
+}
+# Where a posting's page has its parts, and a result page its cards and their fields, the first that is found.
+POSTING = {"content": [".show-more-less-html__markup"], "title": [".topcard__title"], "item": [".description__job-criteria-item"], "label": [".description__job-criteria-subheader"], "value": [".description__job-criteria-text"]}
+CARDS = {
+    "card": ["div.job-search-card", "div.base-card", "div.jobs-search__results-list > li"],
+    "title": ["h3.base-search-card__title", "h3.base-search-card__title a", "h3.base-card__title", "h3.result-card__title", "h3.job-card-list__title", "h3"],
+    "company": ["h4.base-search-card__subtitle a", "h4.base-search-card__subtitle", "a.topcard__flavor--name", "span.topcard__flavor a", "h4"],
+    "location": ["span.job-search-card__location", "span.topcard__flavor--bullet", "span"],
+    "link": ["a.base-card__full-link", "a.job-card-container__link", "a.result-card__full-card-link", "a"],
+}
+_REST = r"""\b(?:[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+>|[^>]*>)"""
+
+
+@pandas_udf(StringType())
+def _unescaped(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else entities.unescape(t))
+
+
+def text_of(html: Column) -> Column:
+    """Paragraphs and list items on lines of their own, scripts, styles and the title left out, blanks squeezed; null for null."""
+    t = F.regexp_replace(html, "(?s)<!--.*?(?:-->|\\z)", "")
+    t = F.regexp_replace(t, f"(?is)<({'|'.join([*SKIPPED, 'title'])}){_REST}.*?(?:</\\1\\s*>|\\z)", "")
+    t = F.regexp_replace(t, f"(?i)<li{_REST}", "\n• ")
+    t = F.regexp_replace(t, f"(?i)</?(?:{'|'.join([*BLOCKS, 'br', 'li'])}){_REST}", "\n")
+    t = F.regexp_replace(t, f"</?[A-Za-z!][A-Za-z0-9-]*{_REST}", "")
+    plain = F.coalesce(_unescaped(F.when(t.contains("&"), t)), t)
+    lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, "[\\t\\r\\f\\x0B \\xA0]+", " ")))
+    return F.array_join(F.filter(lines, lambda x: (x != "") & (x != "•")), "\n")
+
+
+def html_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, text) of each page, as text_of() makes it."""
+    return pages.select(id_col, text_of(F.col(html_col)).alias("text"))
+
+
+class Node:
+    """An element: tag, attributes, and parts that are texts or elements."""
+
+    def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
+        self.tag, self.attrs, self.up, self.parts = tag, attrs, up, []
+
+    def all(self) -> Iterator[Node]:
+        todo = [self]
+        while todo:
+            n = todo.pop()
+            if n is not self:
+                yield n
+            todo.extend(reversed([p for p in n.parts if isinstance(p, Node)]))
 
+    def meets(self, step: str) -> bool:
+        tag, _, cls = step.partition(".")
+        return (not tag or self.tag == tag) and (not cls or cls in (self.attrs.get("class") or "").split())
 
-class _Reader(HTMLParser):
+    def select(self, selectors: list[str]) -> list[Node]:
+        """The elements below of the first selector that finds any: tag, .class, tag.class, `a b` and `a > b`."""
+        for s in selectors:
+            *above, last = s.replace(" > ", " >").split()
+            if found := [n for n in self.all() if n.meets(last.lstrip(">")) and n._under(above, last.startswith(">"))]:
+                return found
+        return []
+
+    def _under(self, above: list[str], direct: bool) -> bool:
+        if not above:
+            return True
+        n = self.up
+        while n is not None:
+            if n.meets(above[-1].lstrip(">")) and n._under(above[:-1], above[-1].startswith(">")):
+                return True
+            n = None if direct else n.up
+        return False
+
+    def text(self) -> str:
+        """All its text in one line."""
+        out, todo = [], [self]
+        while todo:
+            p = todo.pop()
+            if isinstance(p, str):
+                out.append(p)
+            elif p.tag not in SKIPPED:
+                todo.extend(reversed(p.parts))
+        return " ".join(" ".join(out).split())
+
+
+class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.title: list[str] = []
-        self.canonical: str | None = None
-        self.links: list[tuple[str, str]] = []
-        self.data: list[str] = []
-        self._quiet: list[str] = []
-        self._in: list[str] = []
-        self._json = False
+        self.root = self.at = Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "link" and a.get("rel") == "canonical":
-            self.canonical = a.get("href")
-        if tag == "script" and a.get("type") == "application/ld+json":
-            self._json = True
-        if tag in SKIPPED:
-            self._quiet.append(tag)
-        if tag in ("title", "a", "li"):
-            self._in.append(tag)
-        if tag == "a":
-            self.links.append((a.get("href") or "", ""))
-        if tag == "br" or tag in BLOCKS:
-            self.out.append("\n")
-        if tag == "li":
-            self.out.append("• ")
+        n = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.parts.append(n)
+        if tag not in VOID:
+            self.at = n
 
     def handle_endtag(self, tag):
-        if tag == "script":
-            self._json = False
-        if tag in self._quiet:
-            self._quiet.remove(tag)
-        if tag in self._in:
-            self._in.remove(tag)
-        if tag in BLOCKS:
-            self.out.append("\n")
+        n = self.at
+        while n.up is not None and n.tag != tag:
+            n = n.up
+        if n.up is not None:
+            self.at = n.up
 
     def handle_data(self, text):
-        if self._json:
-            self.data.append(text)
-        if self._quiet:
-            return
-        if "title" in self._in:
-            self.title.append(text)
-            return
-        if "a" in self._in and self.links:
-            self.links[-1] = (self.links[-1][0], self.links[-1][1] + text)
-        self.out.append(text)
+        self.at.parts.append(text)
 
-    def text(self) -> str:
-        lines = (" ".join(x.split()) for x in "".join(self.out).split("\n"))
-        return "\n".join(x for x in lines if x and x != "•")
 
+def tree(html: str) -> Node:
+    t = _Tree()
+    t.feed(html)
+    t.close()
+    return t.root
 
-def _read(html: str) -> _Reader:
-    r = _Reader()
-    r.feed(html)
-    r.close()
-    return r
 
+def text_lines(node: Node) -> str:
+    """The text of an element as text_of() makes it, without recursion over deep pages."""
+    out, todo = [], [node]
+    while todo:
+        p = todo.pop()
+        if isinstance(p, str):
+            out.append(p)
+        elif p.tag not in SKIPPED and p.tag != "title":
+            own = p.tag in BLOCKS or p.tag in ("br", "li")
+            out.append("\n• " if p.tag == "li" else "\n" if own else "")
+            todo.extend([*(["\n"] if own else []), *reversed(p.parts)])
+    lines = (re.sub("[\t\r\f\v \xa0]+", " ", x).strip() for x in "".join(out).split("\n"))
+    return "\n".join(x for x in lines if x and x != "•")
 
-def html_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, text): paragraphs and list items on lines of their own, scripts and styles left out; null for null."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({id_col: b[id_col], "text": [None if h is None else _read(h).text() for h in b[html_col]]})
+def _postings(root: Node) -> Iterator[dict]:
+    """JSON-LD objects of type JobPosting, in lists and graphs too; what is no JSON is passed over."""
+    for script in root.select(["script"]):
+        if script.attrs.get("type") != "application/ld+json":
+            continue
+        try:
+            doc = json.loads("".join(p for p in script.parts if isinstance(p, str)))
+        except ValueError:
+            continue
+        for obj in doc if isinstance(doc, list) else [doc]:
+            graph = obj.get("@graph", [obj]) if isinstance(obj, dict) else []
+            yield from (x for x in (graph if isinstance(graph, list) else []) if isinstance(x, dict) and x.get("@type") == "JobPosting")
 
-    return pages.select(id_col, html_col).mapInPandas(run, f"{id_col} {pages.schema[id_col].dataType.simpleString()}, text string")
 
+def _page(page_id: str, html: str | None, identity: re.Pattern, urn: str, where: dict[str, list[str]]) -> tuple:
+    """title, text, locator, criteria, error_kind"""
+    if html is None:
+        return None, None, None, [], "parse"
+    root = tree(html)
+    first = lambda node, name: next(iter(node.select(where.get(name, []))), None)
+    head = first(root, "title") or next(iter(root.select(["title"])), None)
+    title = head.text() if head else None
+    confirmed = False
+    link = next((n for n in root.select(["link"]) if n.attrs.get("rel") == "canonical" and n.attrs.get("href")), None)
+    if link:
+        m = identity.search(link.attrs["href"])
+        if not m or m[1] != page_id:
+            return title, None, None, [], "identity_mismatch"
+        confirmed = True
+    named = next((n.attrs["data-semaphore-content-urn"] for n in root.all() if n.attrs.get("data-semaphore-content-urn", "").startswith(urn)), None)
+    if named is not None:
+        if named != urn + page_id:
+            return title, None, None, [], "identity_mismatch"
+        confirmed = True
+    node, locator = first(root, "content"), (where.get("content") or [""])[0]
+    text = text_lines(node) if node else ""
+    if not text:
+        for obj in _postings(root):
+            own = obj.get("identifier")
+            own = own.get("value") if isinstance(own, dict) else own
+            m = identity.search(str(obj.get("url", "")))
+            if (str(own) == page_id or m and m[1] == page_id) and isinstance(obj.get("description"), str):
+                text, locator, confirmed = text_lines(tree(obj["description"])), "JobPosting.description", True
+                break
+    if not text:
+        asks = next(iter(root.select(["title"])), None)
+        blocked = asks is not None and any(w in asks.text().casefold() for w in LOGIN)
+        return title, None, None, [], "blocked" if blocked else "parse"
+    if not confirmed:
+        return title, None, None, [], "identity_mismatch"
+    criteria = []
+    for item in root.select(where.get("item", [])):
+        label, value = first(item, "label"), first(item, "value")
+        if label and value and value.text():
+            criteria.append({"key": CRITERIA.get(label.text().casefold(), "other"), "label": label.text(), "value": value.text()})
+    return title, text, locator, criteria, None
 
-def parse_pages(pages: DataFrame, identity_pattern: str, *, id_col: str = "page_id", html_col: str = "html", shortest: int = 80) -> DataFrame:
-    """(id, title, text, locator, error_kind) of each page.
 
-    The page must name itself, by a canonical link or JSON-LD url whose first group of identity_pattern is the id, else
-    identity_mismatch; a page without either is taken as it is.  Too little text is blocked, no text parse.
+def parse_pages(pages: DataFrame, identity_pattern: str, *, id_col: str = "page_id", name_col: str | None = None, html_col: str = "html", urn: str = "urn:li:jobPosting:", where: dict[str, list[str]] | None = None) -> DataFrame:
+    """(id, title, text, locator, criteria, error_kind) of each page.
+
+    A page must name itself (by its id, or what name_col holds): by a canonical link whose first group of identity_pattern is the name, by an urn, or by the JSON-LD posting that its text
+    is taken from, else identity_mismatch.  The text is that of the first content element (where: selectors by part, POSTING by default), else of a
+    JSON-LD posting of this id.  Without any the page is blocked, if its title asks for a login, or parse.  criteria are (key, label, value), with keys by label.
     """
-    pattern = re.compile(identity_pattern)
-
-    def one(page_id, html):
-        if html is None:
-            return None, None, None, "parse"
-        r = _read(html)
-        title, text, locator = " ".join("".join(r.title).split()), r.text(), "body"
-        named = r.canonical
-        for raw in r.data:
-            try:
-                doc = json.loads(raw)
-            except ValueError:
-                continue
-            if isinstance(doc, dict) and doc.get("@type") == "JobPosting":
-                named = named or doc.get("url")
-                if doc.get("description") and not text:
-                    text, locator = _read(doc["description"]).text(), "json-ld"
-        if named and (m := pattern.search(named)) and m[1] != str(page_id):
-            return title, None, None, "identity_mismatch"
-        if not text:
-            return title, None, None, "parse"
-        return (title, text, locator, None) if len(text) >= shortest else (title, None, None, "blocked")
+    pattern, places = re.compile(identity_pattern), POSTING if where is None else where
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *one(i, h)) for i, h in zip(b[id_col], b[html_col], strict=True)]
-            yield pd.DataFrame(rows, columns=[id_col, "title", "text", "locator", "error_kind"])
+            rows = [(i, *_page(str(n), h, pattern, urn, places)) for i, n, h in zip(b[id_col], b["_name"], b[html_col], strict=True)]
+            yield pd.DataFrame(rows, columns=[id_col, "title", "text", "locator", "criteria", "error_kind"])
+
+    found = "title string, text string, locator string, criteria array<struct<key:string,label:string,value:string>>, error_kind string"
+    return pages.select(id_col, F.col(name_col or id_col).alias("_name"), html_col).mapInPandas(run, f"{id_col} {pages.schema[id_col].dataType.simpleString()}, {found}")
 
-    return pages.select(id_col, html_col).mapInPandas(run, f"{id_col} {pages.schema[id_col].dataType.simpleString()}, title string, text string, locator string, error_kind string")
 
+def result_cards(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", where: dict[str, list[str]] | None = None) -> DataFrame:
+    """(id, pos, href, title, company, location) of the cards of a result page, in order: containers and fields by the first selector
+    that finds any (CARDS by default), fields that are not found empty."""
+    places = CARDS if where is None else where
 
-def result_cards(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, pos, href, title): the links of a result page with a text, in order."""
+    def field(card: Node, name: str) -> str:
+        return next((t for s in places.get(name, []) for n in card.select([s]) if (t := n.text())), "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, n, href, " ".join(t.split())) for i, h in zip(b[id_col], b[html_col], strict=True) if h for n, (href, t) in enumerate(_read(h).links) if t.strip()]
-            yield pd.DataFrame(rows, columns=[id_col, "pos", "href", "title"])
+            rows = []
+            for i, h in zip(b[id_col], b[html_col], strict=True):
+                for pos, card in enumerate(tree(h).select(places["card"]) if h else []):
+                    link = next((n.attrs["href"].strip() for s in places.get("link", []) for n in card.select([s]) if n.attrs.get("href")), card.attrs.get("href", ""))
+                    rows.append((i, pos, link, field(card, "title") or (card.text() if "title" not in places else ""), field(card, "company"), field(card, "location")))
+            yield pd.DataFrame(rows, columns=[id_col, "pos", "href", "title", "company", "location"])
 
-    return pages.select(id_col, html_col).mapInPandas(run, f"{id_col} {pages.schema[id_col].dataType.simpleString()}, pos bigint, href string, title string")
+    return pages.select(id_col, html_col).mapInPandas(run, f"{id_col} {pages.schema[id_col].dataType.simpleString()}, pos bigint, href string, title string, company string, location string")
 
 
 def page_sequence(cards: DataFrame, *, short: int = 10, pages_at_most: int = 4) -> DataFrame:
@@ -149,5 +262,5 @@ def page_sequence(cards: DataFrame, *, short: int = 10, pages_at_most: int = 4)
     why = F.when(F.col("n") == 0, "empty_page").when(F.col("again"), "repeated_page").when(F.col("new_ids") == 0, "no_new_jobs").when(F.col("n") < short, "short_page").when(F.col("nth") >= pages_at_most, "page_limit")
     page = page.withColumn("why", why)
     stop = page.filter("why IS NOT NULL").groupBy("query").agg(F.min(F.struct("offset", "why")).alias("s"))
-    kept = page.join(stop, "query", "left").filter("s IS NULL OR offset <= s.offset")
+    kept = page.join(stop.hint("shuffle_hash"), "query", "left").filter("s IS NULL OR offset <= s.offset")
     return kept.groupBy("query").agg(F.max("offset").alias("stop_offset"), F.coalesce(F.first("s.why"), F.lit("end")).alias("reason"), F.sum("new_ids").alias("new_ids"))

@@ -10,21 +10,43 @@ from ..operators import pages as G
 from .base import SIGHTINGS_SQL, moment, query, sightings, table
 
 
-@query("ext_html_text")
+def _text_sql(html: str) -> str:
+    """The text of pages as the given ones are: their elements, and four character references."""
+    t = f"regexp_replace(regexp_replace({html}, '<!--.*?-->', '', 'gs'), '<(script>.*?</script|style>.*?</style|title>.*?</title)>', '', 'gs')"
+    t = f"regexp_replace({t}, '<li>', chr(10) || '• ', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '</?(p|div|article|footer|ul|li|nav|h1|br)( [^>]*)?>', chr(10), 'g'), '</?[A-Za-z!][^>]*>', '', 'g')"
+    t = f"replace(replace(replace(replace({t}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')"
+    return f"array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(regexp_replace(x, '[\\t\\r ]+', ' ', 'g'))), lambda x: x <> '' AND x <> '•'), chr(10))"
+
+
+@query("ext_html_text", f"SELECT page_id, length(t) AS n_chars, sha256(t) AS sha256 FROM (SELECT page_id, {_text_sql('html')} AS t FROM pages)")
 def _(spark, d):
     t = G.html_text(table(spark, d, "pages"))
     return t.select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
 
 
-@query("ext_page")
+_PLACES = {"content": ["article"], "title": ["h1"], "item": ["nav li"], "label": ["a"], "value": ["a"]}
+
+
+@query(
+    "ext_page",
+    f"""WITH p AS (SELECT *, regexp_extract(url, '/[a-z]{{2}}/([0-9]+)', 1) AS n, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS article FROM pages)
+    SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'identity_mismatch' WHEN n = '' THEN 'identity_mismatch' WHEN n <> page_id::VARCHAR AND page_id % 4 = 1 THEN 'identity_mismatch' END AS error_kind,
+    CASE WHEN page_id % 4 = 0 OR n = '' OR (n <> page_id::VARCHAR AND page_id % 4 = 1) THEN NULL ELSE sha256({_text_sql("article")}) END AS sha256 FROM p""",
+)
 def _(spark, d):
-    p = G.parse_pages(table(spark, d, "pages"), r"/(?:[a-z]{2})/([0-9]+)")
-    return p.select("page_id", "title", "locator", "error_kind", F.length("text").cast("bigint").alias("n_chars"))
+    # a canonical link of the url in each page but every fourth; the name is the page's own id in every fourth, else the number in the url
+    p, own = table(spark, d, "pages"), F.col("page_id").cast("string")
+    number = F.regexp_extract("url", "/[a-z]{2}/([0-9]+)", 1)
+    link = F.when(F.col("page_id") % 4 != 0, F.concat(F.lit('<link rel="canonical" href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('">'))).otherwise("")
+    p = p.select("page_id", F.when((F.col("page_id") % 4 == 1) | (number == ""), own).otherwise(number).alias("name"), F.concat(link, "html").alias("html"))
+    out = G.parse_pages(p, r"/[a-z]{2}/([0-9]+)", name_col="name", where=_PLACES)
+    return out.select("page_id", "error_kind", F.sha2("text", 256).alias("sha256"))
 
 
-@query("ext_result_cards", """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS t FROM pages) SELECT page_id, count(*) AS cards FROM l WHERE trim(t) <> '' GROUP BY page_id""")
+@query("ext_result_cards", """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<li>(<a href="[^"]*">[^<]*</a>)</li>', 1)) AS a, generate_subscripts(regexp_extract_all(html, '<li>(<a href="[^"]*">[^<]*</a>)</li>', 1), 1) - 1 AS pos FROM pages) SELECT page_id, pos::BIGINT AS pos, replace(regexp_extract(a, 'href="([^"]*)"', 1), '&amp;', '&') AS href, trim(replace(regexp_extract(a, '>([^<]*)<', 1), '&amp;', '&')) AS title FROM l""")
 def _(spark, d):
-    return G.result_cards(table(spark, d, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("cards"))
+    return G.result_cards(table(spark, d, "pages"), where={"card": ["div.job-search-card", "nav li"], "title": ["h3", "a"], "link": ["a"]}).select("page_id", "pos", "href", "title")
 
 
 @query("ext_page_sequence", "WITH p AS (SELECT o_custkey AS q, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders) SELECT q AS query, max(o) AS stop_offset FROM p WHERE nth <= 4 GROUP BY q")
@@ -34,26 +56,35 @@ def _(spark, d):
     return G.page_sequence(cards).select("query", "stop_offset")
 
 
-@query("ext_reparse")
+@query("ext_reparse", f"SELECT page_id, 'v2' AS version, sha256({_text_sql('html')}) AS sha256 FROM pages WHERE page_id % 2 = 1")
 def _(spark, d):
-    from ..sources.tables import save_versions
+    from ..sources.tables import save_versions, scratch
 
-    p = G.html_text(table(spark, d, "pages")).select("page_id", F.lit("v2").alias("version"), F.sha2("text", 256).alias("sha256"))
+    path = scratch(spark, "parsed")
+    G.html_text(table(spark, d, "pages")).select("page_id", F.lit("v2").alias("version"), F.sha2("text", 256).alias("sha256")).write.parquet(path)
+    p = spark.read.parquet(path)
     return save_versions(p, p.filter("page_id % 2 = 0"), ["page_id", "version"])
 
 
 def _quotes(spark, d):
-    """Every 50th document's second line as it is, re-spaced, or cut from elsewhere."""
+    """A quote of each line of over 40 characters: as it is, re-cased and re-spaced, or from nowhere, by the document's id; and the lines."""
     src = E.sources_of(table(spark, d, "documents"))
-    q = src.filter("doc % 5 = 0 AND length(text) > 40")
     n = F.col("doc") % 3
     quote = F.when(n == 0, F.substring("text", 5, 30)).when(n == 1, F.replace(F.upper(F.substring("text", 5, 30)), F.lit(" "), F.lit("  "))).otherwise("no such words anywhere")
-    return q.select("doc", "ref", quote.alias("quote")), src.select("doc", "ref", "text")
+    return src.filter("length(text) > 40").select("doc", "ref", quote.alias("quote")), src.select("doc", "ref", "text")
 
 
-@query("ev_build_sources", "WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, text FROM documents WHERE length(text) >= 80 AND strlen(text) <= 500000) SELECT doc, 'description.' || pos::VARCHAR AS ref, md5(t) AS line FROM l WHERE trim(t) <> ''")
+@query(
+    "ev_build_sources",
+    """WITH k AS (SELECT * FROM documents WHERE length(trim(text, ' ')) >= 80 AND strlen(text) <= 500000), q AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'public_page' ELSE 'legacy_completeness_unknown' END AS quality FROM k),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM k)
+    SELECT doc_id AS doc, ref, md5(t) AS line, quality FROM (SELECT doc_id, 'title' AS ref, 'Title ' || lang AS t FROM k UNION ALL SELECT doc_id, 'company', source FROM k UNION ALL SELECT doc_id, 'location', '' FROM k
+      UNION ALL SELECT doc_id, 'description.' || pos::VARCHAR, t FROM l WHERE trim(t) <> '' UNION ALL SELECT doc_id, 'criteria.0', 'Language: ' || lang FROM k UNION ALL SELECT doc_id, 'criteria.1', 'Size: ' || n_chars::VARCHAR FROM k) JOIN q USING (doc_id)""",
+)
 def _(spark, d):
-    return E.sources_of(table(spark, d, "documents")).select("doc", "ref", F.md5("text").alias("line"))
+    label = lambda name, c: F.struct(F.lit(name).alias("label"), F.col(c).cast("string").alias("value"))
+    docs = table(spark, d, "documents").withColumn("title", F.concat(F.lit("Title "), "lang")).withColumn("criteria", F.array(label("Language", "lang"), label("Size", "n_chars"))).withColumn("legacy", F.col("doc_id") % 2 == 1)
+    return E.sources_of(docs, title="title", company="source", criteria="criteria", legacy="legacy").select("doc", "ref", F.md5("text").alias("line"), "quality")
 
 
 @query("ev_fingerprint", "SELECT doc_id, sha256('{\"contract\":\"c1\",\"lang\":\"' || lang || '\"}') AS fingerprint FROM documents")
@@ -66,7 +97,7 @@ def _(spark, d):
 @query("ev_normalized_span")
 def _(spark, d):
     q, s = _quotes(spark, d)
-    return E.resolve(q.filter("doc % 3 = 1"), s)
+    return E.resolve(q.withColumn("quote", F.when(F.col("doc") % 3 == 0, F.lower("quote")).otherwise(F.col("quote"))), s)
 
 
 @query("ev_resolve")
@@ -76,35 +107,56 @@ def _(spark, d):
 
 @query(
     "ev_resolve_exact",
-    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE length(text) >= 80 AND doc_id % 15 = 0)
-    SELECT doc_id AS doc, 'description.' || pos::VARCHAR AS ref, (instr(t, substr(t, 5, 30)) - 1)::BIGINT AS start FROM l WHERE length(t) > 40""",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE length(trim(text, ' ')) >= 80 AND strlen(text) <= 500000),
+    q AS (SELECT doc_id, pos, t, CASE WHEN doc_id % 3 = 0 THEN substr(t, 5, 30) WHEN doc_id % 3 = 1 THEN replace(upper(substr(t, 5, 30)), ' ', '  ') ELSE 'no such words anywhere' END AS quote FROM l WHERE length(t) > 40 AND trim(t) <> '')
+    SELECT doc_id AS doc, 'description.' || pos::VARCHAR AS ref, (instr(t, quote) - 1)::BIGINT AS start FROM q WHERE instr(t, quote) > 0""",
 )
 def _(spark, d):
-    q, s = _quotes(spark, d)
-    return E.resolve(q.filter("doc % 3 = 0"), s).filter("method = 'exact'").select("doc", "ref", "start")
+    return E.resolve(*_quotes(spark, d)).filter("method = 'exact'").select("doc", "ref", "start")
+
 
+def _claims(spark, d):
+    """Claims as JSON from the lines of orders: right ones, and ones with an unknown value, a missing part, a key too many or no evidence."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    one = F.lit('[{"source_ref":"description.1","quote":"x"}]')
+    fields = [("term", F.when(n == 2, '" "').otherwise('"Python"')), ("category", F.lit('"skill"')), ("proficiency", F.lit("null")), ("strength", F.when(n == 3, '"maybe"').otherwise('"required"')), ("condition", F.lit("null"))]
+    fields += [("alternative_group", F.when(n == 4, '"a"').otherwise("null")), ("alternative_option", F.lit("null")), ("evidence", F.when(n == 5, "[]").otherwise(one))]
+    text = F.concat(F.lit("{"), *(x for i, (f, v) in enumerate(fields) for x in (F.lit(f'{"," if i else ""}"{f}":'), v)), F.when(n == 6, ',"more":1}').otherwise("}"))
+    return table(spark, d, "lineitem").select(k.alias("l_orderkey"), n.cast("bigint").alias("l_linenumber"), F.when(n == 7, F.replace(text, F.lit('"category":"skill",'), F.lit(""))).otherwise(text).alias("claim"))
 
-@query("val_schema", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS issues, (event_id % 2 = 1)::BIGINT AS extra FROM events")
+
+@query("val_schema", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE l_linenumber WHEN 2 THEN 'term: is too short' WHEN 3 THEN 'strength: is unknown' WHEN 4 THEN 'alternative: needs group and option' WHEN 5 THEN 'evidence: has too few entries' WHEN 6 THEN 'more: is not allowed' WHEN 7 THEN 'category: is missing' ELSE '' END AS found FROM lineitem")
 def _(spark, d):
-    e = F.col("event_id")
-    draft = F.when(e % 2 == 1, F.lit('{"term":"a","more":1}')).otherwise('{"term":"a"}')
-    found = X.check_claim(F.when(e % 4 == 0, F.lit(" ")).otherwise("x"), F.when(e % 5 == 0, F.lit("maybe")).otherwise("required"), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    return table(spark, d, "events").select("event_id", F.size(found).alias("issues"), F.size(X.unknown_keys(draft, ["term", "strength"])).cast("bigint").alias("extra"))
+    c = _claims(spark, d)
+    return c.select("l_orderkey", "l_linenumber", F.array_join(F.transform(X.check_json(F.col("claim"), "requirement"), lambda x: F.concat(x["field"], F.lit(": "), x["message"])), "; ").alias("found"))
 
 
-@query("val_rules", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_size % 3 = 0 WHEN p_size % 4 = 1 THEN true WHEN p_size % 4 = 2 THEN p_size % 3 <> 0 ELSE true END AS bad FROM part")
+@query("val_rules", "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN p_size % 3 = 0 WHEN 1 THEN true WHEN 2 THEN p_size % 3 <> 0 WHEN 3 THEN true WHEN 4 THEN p_size % 3 <> 0 ELSE true END AS bad FROM part")
 def _(spark, d):
     s = F.col("p_size")
-    kind = F.get(F.array(*map(F.lit, ("minimum", "maximum", "range", "other"))), s % 4)
-    upper = F.when((s % 4 == 0) & (s % 3 != 0), F.lit(None).cast("double")).when((s % 4 == 2) & (s % 3 != 0), s - 1.0).otherwise(s + 1.0)
+    kind = F.get(F.array(*map(F.lit, ("minimum", "maximum", "target_range", "other", "ambiguous_minimum", "exact"))), s % 6)
+    upper = F.when((s % 6 == 0) & (s % 3 != 0), F.lit(None).cast("double")).when(s % 6 == 5, s + 1.0).when(s % 3 != 0, s - 1.0).otherwise(s + 1.0)
     return table(spark, d, "part").select("p_partkey", (F.size(X.check_years(kind, s.cast("double"), upper)) > 0).alias("bad"))
 
 
-@query("val_normalize_terms", "SELECT p_partkey, CASE WHEN p_name = 'red bolt' THEN 'Bolt, red' ELSE p_name END AS term, CASE WHEN p_name = 'red bolt' THEN 'fastener' ELSE p_type END AS category FROM part")
+@query("val_coherence", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'description_languages: duplicate code; ' ELSE '' END || CASE WHEN o_orderkey % 7 = 0 THEN 'description_languages: evidence is no description text; ' ELSE '' END ||
+    CASE o_orderkey % 4 WHEN 0 THEN 'education: has values but is marked not_stated' WHEN 1 THEN 'education: is marked without values' WHEN 2 THEN 'education: conflicts and state differ' ELSE '' END AS found FROM orders""")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    lang = lambda code, ref: F.struct(F.lit(code).alias("code"), F.array(F.struct(ref.alias("source_ref"), F.lit("x").alias("quote"))).alias("evidence"))
+    ref = F.when(k % 7 == 0, "title").otherwise("description.2")
+    langs = F.when(k % 5 == 0, F.array(lang("de", F.lit("description.1")), lang("de", ref))).otherwise(F.array(lang("de", F.lit("description.1")), lang("en", ref)))
+    state = F.when(k % 4 == 0, "not_stated").when(k % 4 == 1, "stated").when(k % 4 == 2, "conflicting").otherwise("stated")
+    found = X.check_coherence(langs, {"education": (state, F.when(k % 4 == 1, 0).otherwise(1))}, F.expr("cast(array() AS array<string>)"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(found, lambda x: F.concat(x["field"], F.lit(": "), x["message"])), "; ").alias("f")).select("o_orderkey", F.concat("f", F.when((k % 4 == 3) & (F.col("f") != ""), "; ").otherwise("")).alias("found"))
+
+
+@query("val_normalize_terms", "SELECT p_partkey, CASE WHEN p_name = 'red bolt' THEN 'Bolt, red' WHEN p_partkey % 3 = 0 THEN 'Power BI' ELSE p_name END AS term, CASE WHEN p_name = 'red bolt' THEN 'fastener' WHEN p_partkey % 3 = 0 THEN 'tool' ELSE p_type END AS category, CASE WHEN p_partkey % 2 = 0 THEN 'de/en' ELSE 'und' END AS language FROM part")
 def _(spark, d):
-    claims = table(spark, d, "part").select("p_partkey", F.concat(F.lit(" "), "p_name").alias("term"), F.col("p_type").alias("category"))
-    aliases = spark.createDataFrame([("Red Bolt", "Bolt, red", "fastener")], "alias string, name string, category string")
-    return X.normal_terms(claims, aliases).select("p_partkey", "term", "category")
+    bolt = F.col("p_name") == "red bolt"
+    claims = table(spark, d, "part").select("p_partkey", F.when(~bolt & (F.col("p_partkey") % 3 == 0), " PowerBI").otherwise(F.concat(F.lit(" "), "p_name")).alias("term"), F.col("p_type").alias("category"), F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("de"), F.lit("en"))).otherwise(F.expr("cast(array() AS array<string>)")).alias("codes"))
+    aliases = X.term_aliases(spark).unionByName(spark.createDataFrame([("Red Bolt", "Bolt, red", "fastener")], "alias string, name string, category string"))
+    return X.normal_terms(claims, aliases).select("p_partkey", "term", "category", X.language_code(F.col("codes")).alias("language"))
 
 
 def _drafts(spark, d):
@@ -118,23 +170,31 @@ def _(spark, d):
     return X.publish(a, done, a.filter("job_id % 2 = 0").select("job_id").distinct()).select("job_id", "attempt_id")
 
 
-@query("val_best_result", "SELECT conv_id AS job_id, coalesce(max(CASE WHEN turn % 4 = 1 THEN turn END), max(turn)) AS result_id, max(CASE WHEN turn % 4 = 1 THEN turn END) IS NULL AS stale FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+@query("val_best_result", "SELECT conv_id AS job_id, CASE WHEN conv_id % 3 = 0 THEN max(turn) ELSE coalesce(max(CASE WHEN turn % 4 = 1 THEN turn END), max(turn)) END AS result_id, conv_id % 3 = 0 OR max(CASE WHEN turn % 4 = 1 THEN turn END) IS NULL AS stale FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def _(spark, d):
     r = _drafts(spark, d).select("job_id", F.col("attempt_id").alias("result_id"), (F.col("attempt_id") % 4).cast("string").alias("fingerprint"), F.lit(True).alias("has_data"))
-    return X.best_result(r, r.select("job_id", F.lit("1").alias("fingerprint")).distinct())
+    return X.best_result(r, r.filter("job_id % 3 <> 0").select("job_id", F.lit("1").alias("fingerprint")).distinct())
 
 
-@query("val_legacy_result", "SELECT user_id, arg_max(json_extract_string(props, '$.k')::BIGINT, event_id) AS k FROM events WHERE json_valid(props) AND event_type <> 'view' GROUP BY user_id")
+@query(
+    "val_legacy_result",
+    """WITH e AS (SELECT *, user_id - user_id % 2 AS root FROM events), l AS (SELECT root, arg_max(json_extract_string(props, '$.k')::BIGINT, event_id) AS k FROM e WHERE json_valid(props) AND event_type <> 'view' AND event_id % 5 <> 0 GROUP BY root),
+    n AS (SELECT root, arg_max(event_type, event_id) AS review FROM e GROUP BY root) SELECT root, k, review FROM l LEFT JOIN n USING (root)""",
+)
 def _(spark, d):
-    e = table(spark, d, "events").filter("event_type <> 'view'").withColumn("v", F.try_parse_json("props")).filter("v IS NOT NULL")
-    return e.groupBy("user_id").agg(F.max_by(F.try_variant_get("v", "$.k", "bigint"), "event_id").alias("k"))
+    e = table(spark, d, "events").withColumnRenamed("user_id", "job_id")
+    member = e.select("job_id", (F.col("job_id") - F.col("job_id") % 2).alias("canonical_job_id")).distinct()
+    payload = F.when(F.col("event_type") == "view", "{broken").when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"dry_run":1,'), F.expr("substr(props, 2)"))).otherwise(F.col("props"))
+    old = e.select("job_id", F.col("event_id").alias("created_at"), payload.alias("payload"))
+    notes = e.select("job_id", F.col("event_type").alias("status"), F.col("event_id").alias("noted_at"))
+    out = X.legacy_result(old, notes, member)
+    return out.select(F.col("canonical_job_id").alias("root"), F.get_json_object("payload", "$.k").cast("bigint").alias("k"), F.col("status").alias("review"))
 
 
-@query("val_apply_corrections", "SELECT conv_id AS id, 2::BIGINT AS version, md5('fixed ' || substr(text, 2)) AS text FROM conversations WHERE turn = 0 AND conv_id % 7 = 0 AND len(string_split(text, substr(text, 1, 60))) = 2")
+@query("val_apply_corrections", "SELECT conv_id AS id, 2::BIGINT AS version, md5('fixed ' || text) AS text FROM conversations WHERE turn = 0 AND length(text) > 0")
 def _(spark, d):
     c = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("id"), F.lit(1).cast("bigint").alias("version"), "text", F.lit(None).cast("array<string>").alias("applied"))
-    head = F.substring("text", 1, 60)
-    plan = c.filter("id % 7 = 0").filter((F.length("text") - F.length(F.replace(F.col("text"), head, F.lit("")))) / F.length(head) == 1).select("id", head.alias("original"), F.concat(F.lit("fixed "), F.substring("text", 2, 59)).alias("replacement"), F.sha2("text", 256).alias("draft_sha256"))
+    plan = c.filter("length(text) > 0").select("id", F.col("text").alias("original"), F.concat(F.lit("fixed "), "text").alias("replacement"), F.sha2("text", 256).alias("draft_sha256"))
     return X.corrected(c, plan, "p1").select("id", "version", F.md5("text").alias("text"))
 
 

@@ -218,12 +218,52 @@ def test_page_sequence_stops(spark):
     assert r == {"q": (20, "repeated_page"), "r": (0, "short_page"), "s": (0, "empty_page")}
 
 
-def test_html_reader(spark):
-    html = "<title>T</title><link rel='canonical' href='/en/7'><body><p>One<br>two</p><ul><li>a&amp;b<li>c</ul><script>x</script></body>" + "<p>word word word word word word word word word word word word word word word</p>"
-    df = spark.createDataFrame([(7, html), (8, html), (9, None), (10, "<p>x")], "page_id bigint, html string")
-    r = {x.page_id: x for x in G.parse_pages(df, "/en/([0-9]+)").collect()}
-    assert r[7].text.split("\n")[:4] == ["One", "two", "• a&b", "• c"] and r[7].error_kind is None
-    assert [r[i].error_kind for i in (8, 9, 10)] == ["identity_mismatch", "parse", "blocked"]
+POSTING = """<html><head><title>Sign in</title><link rel="canonical" href="https://www.linkedin.com/jobs/view/data-analyst-{id}/?x=1"></head><body><div data-semaphore-content-urn="urn:li:jobPosting:{urn}"></div>
+<h1 class="topcard__title a">Data &amp; BI</h1><section><div class="show-more-less-html__markup b"><p>One<br>two <b>bo</b>ld</p><ul><li>a&amp;b<li>c</ul><script>x("<p>")</script><button>More</button></div></section>
+<ul><li class="description__job-criteria-item"><h3 class="description__job-criteria-subheader">Karrierestufe</h3><span class="description__job-criteria-text"> Entry  level </span></li>
+<li class="description__job-criteria-item"><h3 class="description__job-criteria-subheader">Pay</h3><span class="description__job-criteria-text">a lot</span></li></ul><aside>other</aside></body></html>"""
+JSON_LD = """<title>Security Verification</title><script type="application/ld+json">{"@graph": [{"@type": "JobPosting", "identifier": {"value": "8"}, "description": 5}, {"@type": "JobPosting", "url": "https://x/jobs/view/9", "description": "<p>From JSON</p>"}]}</script>"""
+
+
+def test_posting_pages(spark):
+    pages = [(7, POSTING.format(id=7, urn=7)), (8, POSTING.format(id=7, urn=8)), (6, POSTING.format(id=6, urn=7)), (9, JSON_LD), (8, JSON_LD), (1, None), (2, "<p>x"), (3, "<div class=show-more-less-html__markup>no name"), (4, '<script type="application/ld+json">[1, {"@type": "JobPosting", "identifier": 4, "description": {}}, {broken</script>')]
+    r = G.parse_pages(spark.createDataFrame(pages, "page_id bigint, html string"), r"/jobs/view/(?:[^/]*-)?([0-9]+)/?").collect()
+    assert [x.error_kind for x in r] == [None, "identity_mismatch", "identity_mismatch", None, "blocked", "parse", "parse", "identity_mismatch", "parse"]
+    assert (r[0].title, r[0].text, r[0].locator) == ("Data & BI", "One\ntwo bold\n• a&b\n• c", ".show-more-less-html__markup")
+    assert [tuple(c) for c in r[0].criteria] == [("seniority", "Karrierestufe", "Entry level"), ("other", "Pay", "a lot")]
+    assert (r[3].text, r[3].locator) == ("From JSON", "JobPosting.description")
+
+
+def test_text_of_pages_equals_that_of_their_tree(spark):
+    pages = ["<title>T</title><!-- a <p> -->A&lt;b&gt; &amp;lt; &#233;&nbsp;x<br/>y<P CLASS='a>b'>z<script>if (a<b) {}</script>q", "a\tb \r\n c<li><li>d", "<div title=\"x>y\">in</div>out<style>p{}", "", "<b>no</b>n-block", "<button>x</button><iframe>y</iframe>z", "1 < 2 and 3 > 2"]
+    got = G.html_text(spark.createDataFrame(list(enumerate([*pages, None])), "page_id bigint, html string")).collect()
+    assert [r.text for r in got] == [*(G.text_lines(G.tree(p)) for p in pages), None]
+
+
+def test_result_cards(spark):
+    html = """<div class="base-card"><a class="base-card__full-link" href=" /jobs/1 ">l</a><h3 class="base-search-card__title"> Data  Analyst </h3><h4 class="base-search-card__subtitle"><a>ACME</a></h4><span>x</span><span class="job-search-card__location">Zürich</span></div>
+    <div class="base-card"><a href="/jobs/2"></a><h3>Other</h3></div>"""
+    r = G.result_cards(spark.createDataFrame([(1, html), (2, "<li>no card"), (3, None), (4, "<div class='jobs-search__results-list'><li><h3>A</h3></li><p><li>deep</li></p></div>")], "page_id bigint, html string")).collect()
+    assert [tuple(x) for x in r] == [(1, 0, "/jobs/1", "Data Analyst", "ACME", "Zürich"), (1, 1, "/jobs/2", "Other", "", ""), (4, 0, "", "A", "", "")]
+
+
+def test_claims_against_their_schema(spark):
+    import json
+
+    from resight.operators import extraction as X
+
+    ok = [{"source_ref": "description.1", "quote": "x"}]
+    claims = {
+        "education": [({"qualification": "BSc", "level": "bachelor", "fields_of_study": ["a"], "strength": "required", "condition": None, "alternative_group": None, "alternative_option": None, "evidence": ok}, []), ({"qualification": "", "level": "phd", "fields_of_study": "a", "strength": "required", "condition": 5, "alternative_group": "a", "alternative_option": None, "evidence": []}, ["alternative", "condition", "evidence", "fields_of_study", "level", "qualification"])],
+        "language": [({"language": "German", "proficiency": None, "cefr": None, "strength": "mentioned", "condition": None, "alternative_group": None, "alternative_option": None, "evidence": ok}, []), ({"language": 5, "proficiency": None, "cefr": "D1", "strength": None, "condition": None, "alternative_group": None, "alternative_option": None, "evidence": [{"source_ref": "a", "quote": ""}], "x": 1}, ["cefr", "evidence", "language", "strength", "x"])],
+        "description_language": [({"code": "de", "evidence": ok}, []), ({"code": "DE", "evidence": ok}, ["code"])],
+        "conflict": [({"field": "education", "explanation": "x", "evidence": ok * 2}, []), ({"field": "other", "explanation": "x", "evidence": ok}, ["evidence", "field"])],
+        "experience": [({"wording": "x", "years": {"kind": "exact"}, "scope": None, "strength": "unclear", "condition": None, "alternative_group": None, "alternative_option": None, "evidence": ok}, []), ({"wording": "x", "years": 5, "scope": None}, ["alternative_group", "alternative_option", "condition", "evidence", "strength", "years"])],
+    }
+    for kind, rows in claims.items():
+        got = spark.createDataFrame([(i, json.dumps(c)) for i, (c, _) in enumerate(rows)], "i int, c string").select("i", X.check_json(F.col("c"), kind).alias("f")).orderBy("i").collect()
+        assert [sorted({x.field for x in r.f}) for r in got] == [want for _, want in rows], kind
+    assert [x.message for x in spark.createDataFrame([("[1]",)], "c string").select(X.check_json(F.col("c"), "claim").alias("f")).first().f][:1] == ["is no object"]
 
 
 @pytest.mark.parametrize(
