@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: What str.split() treats as white space, as a Java character class.
 BLANKS = "[\\s\\x1C-\\x1F\\x85\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
+_BLANK_CHARS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # Dashes that count as a hyphen, and words that stand for a missing identity.
 DASHES = "‐‑‒–—−"
 NO_IDENTITY = ["<na>", "nan", "nat", "none", "null"]
@@ -51,10 +52,10 @@ def clean_identity(c: Column) -> Column:
 
 def folded(c: Column) -> Column:
     """ASCII lower case without accents: dashes as hyphens, other characters dropped, white space squeezed."""
-    t = F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), BLANKS, " "), DASHES, "-" * len(DASHES))
-    plain = F.regexp_replace(F.translate(t, _ACCENTED, _PLAIN), "[^\\x00-\\x7F]", "")
+    t = F.translate(F.coalesce(c, F.lit("")), _BLANK_CHARS + DASHES, " " * len(_BLANK_CHARS) + "-" * len(DASHES))
+    plain = F.regexp_replace(F.translate(t, _ACCENTED, _PLAIN), "[^\\x00-\\x7F]+", "")
     t = F.when(t.rlike("[^\\x00-\\x7F]"), plain).otherwise(t)
-    return F.trim(F.regexp_replace(F.lower(t), " +", " "))
+    return F.trim(F.regexp_replace(F.lower(t), " {2,}", " "))
 
 
 def ascii_lower(c: Column) -> Column:

@@ -225,10 +225,10 @@ def _(spark, d):
 
 @query("stream_sighting_state", f"WITH {SIGHTINGS_SQL} SELECT job_id, strftime(min(observed_at), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(observed_at), '%Y-%m-%d %H:%M:%S') AS last_seen, count(DISTINCT run_id) AS runs FROM sightings GROUP BY job_id")
 def _(spark, d):
-    from ..sources.tables import read_snapshot, scratch, write_snapshot
-    from ..streaming.sightings import running_rollup
+    from ..sources.tables import scratch
+    from ..streaming.sightings import rolled_up, running_rollup
 
     root = scratch(spark, "rollup")
-    out = running_rollup(_streamed(spark, d)).writeStream.outputMode("complete").foreachBatch(lambda b, _: write_snapshot(b, f"{root}/state") and None)
+    out = running_rollup(_streamed(spark, d)).writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{root}/updates/batch={n}"))
     out.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return read_snapshot(spark, f"{root}/state").select("job_id", moment("first_seen").alias("first_seen"), moment("last_seen").alias("last_seen"), "runs")
+    return rolled_up(spark.read.parquet(f"{root}/updates")).select("job_id", moment("first_seen").alias("first_seen"), moment("last_seen").alias("last_seen"), "runs")

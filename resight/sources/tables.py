@@ -11,9 +11,14 @@ from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; in a temporary one only where it is unset."""
+    """A new path in the folder that spark.checkpoint.dir names.
+
+    Where it is unset: in a temporary one if driver and executors are one process (tests), else an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/{name}-{uuid.uuid4().hex}"

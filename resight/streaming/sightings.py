@@ -11,49 +11,72 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.sightings import upsert
 
+#: Parts by a hash of the id that state and sightings are kept in: a micro-batch reads and writes those that it touches.
+BUCKETS = 16
 
-def _last(spark: SparkSession, root: str, before: int | None = None) -> int | None:
-    """The newest batch that was finished (before a given one)."""
+
+def _done(spark: SparkSession, root: str, before: int | None = None) -> dict[int, int]:
+    """The newest finished batch of each bucket (before a given one): a number for each bucket."""
     try:
-        done = spark.read.schema("batch bigint").parquet(f"{root}/done")
-        return (done if before is None else done.filter(F.col("batch") < before)).agg(F.max("batch")).first()[0]
+        done = spark.read.schema("batch bigint, bucket int").parquet(f"{root}/done")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return None
+        return {}
+    done = done if before is None else done.filter(F.col("batch") < before)
+    return {r["bucket"]: r["batch"] for r in done.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()}
+
+
+def _parts(newest: dict[int, int]) -> F.Column:
+    """The state's partitions that hold the newest version of each bucket, as a condition on partition columns."""
+    by: dict[int, list[int]] = {}
+    for bucket, batch in newest.items():
+        by.setdefault(batch, []).append(bucket)
+    out = F.lit(False)
+    for batch, buckets in by.items():
+        out = out | ((F.col("batch") == batch) & F.col("bucket").isin(buckets))
+    return out
 
 
 def read_state(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/state/b{_last(spark, root)}")
+    return spark.read.parquet(f"{root}/state").filter(_parts(_done(spark, root))).drop("batch", "bucket")
 
 
-def start_ingest(stream: DataFrame, root: str, attributes: list[str], checkpoint: str, *, id_col: str = "job_id") -> StreamingQuery:
+def start_ingest(stream: DataFrame, root: str, attributes: list[str], checkpoint: str, *, id_col: str = "job_id", buckets: int = BUCKETS) -> StreamingQuery:
     """Upserts each micro-batch (id, run_id, observed_at, arrival, attributes) into the state under root, and adds its sightings.
 
-    A batch reads the state and the sightings of the batches before it and writes its own by its number, so that one that is
-    replayed, after a loss at any point, writes the same again.
+    Both are kept by buckets of ids.  A batch reads the buckets that its ids fall into, as the batches before it left them, and
+    writes new versions of those alone, by its number, so that one that is replayed, after a loss at any point, writes the same again.
     """
     spark = stream.sparkSession
-    fields = {f.name: f.dataType for f in stream.schema.fields}
+    fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    kinds = {c: fields[c] for c in (id_col, "run_id", "observed_at", *attributes)}
+    empty = lambda cols: spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in cols.items()))
+    figures = {id_col: kinds[id_col]} | {a: kinds[a] for a in attributes} | {"first_seen": kinds["observed_at"], "last_seen": kinds["observed_at"], "seen_count": "bigint"}
+    bucket = F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int").alias("bucket")
 
     def apply(batch: DataFrame, number: int) -> None:
-        last = _last(spark, root, number)
-        if last is None:
-            kinds = {c: fields[c].simpleString() for c in (id_col, "run_id", "observed_at", *attributes)}
-            empty = lambda cols: spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in cols.items()))
-            seen = empty({c: kinds[c] for c in (id_col, "run_id", "observed_at")})
-            state = empty({id_col: kinds[id_col]} | {a: kinds[a] for a in attributes} | {"first_seen": kinds["observed_at"], "last_seen": kinds["observed_at"], "seen_count": "bigint"})
-        else:
-            seen = spark.read.parquet(f"{root}/sightings").filter(F.col("batch") <= last)
-            state = spark.read.parquet(f"{root}/state/b{last}")
+        touched = sorted(r["bucket"] for r in batch.select(bucket).distinct().collect())  # numbers of buckets
+        newest = {k: v for k, v in _done(spark, root, number).items() if k in touched}
+        seen, state = empty({c: kinds[c] for c in (id_col, "run_id", "observed_at")}), empty(figures)
+        if newest:
+            kept = F.col("bucket").isin(list(newest)) & (F.col("batch") < number)
+            seen = spark.read.parquet(f"{root}/sightings").filter(kept).select(*seen.columns)
+            state = spark.read.parquet(f"{root}/state").filter(_parts(newest)).select(*state.columns)
         new_state, new = upsert(state, seen, batch, attributes, id_col=id_col)
-        new_state.write.mode("overwrite").parquet(f"{root}/state/b{number}")
-        new.write.mode("overwrite").parquet(f"{root}/sightings/batch={number}")
-        spark.createDataFrame([(number,)], "batch bigint").coalesce(1).write.mode("append").parquet(f"{root}/done")
+        new_state.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/state/batch={number}")
+        new.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/sightings/batch={number}")
+        spark.createDataFrame([(number, k) for k in touched], "batch bigint, bucket int").coalesce(1).write.mode("append").parquet(f"{root}/done")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_rollup(stream: DataFrame, *, id_col: str = "job_id") -> DataFrame:
-    """First and last seen and the number of different runs, for update or complete mode."""
-    return stream.groupBy(id_col).agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.size(F.collect_set("run_id")).cast("bigint").alias("runs"))
+    """(id, run_id, first_seen, last_seen) of each id and run so far, for update mode: a row of fixed size for each in Spark's state."""
+    return stream.groupBy(id_col, "run_id").agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"))
+
+
+def rolled_up(updates: DataFrame, *, id_col: str = "job_id") -> DataFrame:
+    """(id, first_seen, last_seen, runs) from all updates of running_rollup() that were written: later ones only widen earlier ones."""
+    per_run = updates.groupBy(id_col, "run_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    return per_run.groupBy(id_col).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.count(F.lit(1)).alias("runs"))
