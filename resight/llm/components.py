@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from ._spark import written
 
 
+#: Links of a file of a written table, about.
+LINKS_OF_FILE = 200_000
+
+
+def _written(df: DataFrame, name: str, links: int) -> DataFrame:
+    """A table in as many files as its links ask for: small ones don't cost a task for each shuffle partition."""
+    return written(df.coalesce(1 + links // LINKS_OF_FILE), name)
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -23,15 +32,16 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges, "links")
     state = _state(edges)
     while state[0]:
+        n = state[0]
         both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
         # written, so that both sides of the join are dealt by an exchange of their own and Spark can split a hot root
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m"), "least")
+        least = _written(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m"), "least", 2 * n)
         large = edges.selectExpr("b AS a", "a AS v").join(least.hint("merge"), "a").selectExpr("v AS a", "m AS b").distinct()
         # every remaining link of a points downwards; its targets are linked to the smallest of them
-        large = written(large, "links")
-        down = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = _written(large, "links", n)
+        down = _written(large.groupBy("a").agg(F.min("b").alias("m")), "least", n)
         small = large.join(down.hint("merge"), "a").filter("b <> m").selectExpr("b AS a", "m AS b").unionByName(down.selectExpr("a", "m AS b")).distinct()
-        edges = written(small, "links")
+        edges = _written(small, "links", n)
         before, state = state, _state(edges)
         if state == before:
             break
