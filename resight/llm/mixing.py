@@ -21,7 +21,7 @@ SHARD_BLOCKS = 4096
 #: Sources up to which their table is broadcast (a row each); beyond it is joined by sorting.
 BROADCAST_SOURCES = 100_000
 #: Documents that are put in order at once, about.
-ORDER_ROWS = 20_000
+ORDER_ROWS = 2_000
 #: Sources whose quotas are in one row of the tree.
 CHUNK = 256
 _PRIME = 2654435761
