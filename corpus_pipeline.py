@@ -2,6 +2,9 @@
 
 Language ID drops documents without a language, SimHash keeps one document of each group of near copies, decontamination drops
 those that hold benchmark passages, personal data is masked, and sources are mixed to target weights.
+
+In every stage null texts count as empty, an empty table gives an empty result, rows of equal ids are rows of their own, columns of any name are kept, and
+whole texts are read, however long they are.
 """
 
 from __future__ import annotations
@@ -18,22 +21,22 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are null, have no letter, or of whose n-grams no language has a tenth."""
+    """Rejects documents that are null, have no letter, or of whose n-grams no language has a tenth; repeated rows share their fate."""
     return langid.keep_known(docs, langid.learn(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document, by id, of each group of near copies."""
+    """Keeps the first document, by id, of each group of near copies; of equal ids one row."""
     return simhash.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents with one word in twenty or more inside a benchmark window."""
+    """Rejects documents with one word in twenty or more inside a benchmark window; without benchmark items none."""
     return decontaminate.clean_only(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data in the texts; n_chars follows."""
+    """Masks personal data in the texts; n_chars follows; null texts stay null."""
     hidden = pii.mask_text(docs)
     return hidden.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else hidden
 

@@ -154,7 +154,8 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", ke
     """The columns `keep` of docs (all by default, but those named as a result) with `_lang`, a learned language or `und`, and `_lang_score` from 0 to 1.
 
     `und` is for texts that are null or without a letter, and for all where nothing was learned; ties go to the first
-    language by name.  The score is the share of the text's n-grams that the language contains.  Whole texts are read.
+    language by name.  The score is the share of the text's n-grams that the language contains.  Whole texts are read, of any length;
+    repeated rows and ids are rows of their own, and an empty table gives an empty result.
     """
     keep = [c for c in docs.columns if c not in ("_lang", "_lang_score")] if keep is None else keep
     sent = docs.sparkSession.sparkContext.broadcast(model)

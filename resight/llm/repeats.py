@@ -429,8 +429,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256) of every document, as UTF-8 bytes.
 
     A byte is removed if it lies in a string of `length` bytes that also starts earlier: in a document with a smaller id, or in
-    the same one before.  Strings may overlap, and don't go over the end of a document.  A null text counts as empty; rows of equal ids
-    follow each other in a fixed order, null ids first.  Strings are compared byte by byte where stretches differ; stretches
+    the same one before.  Strings may overlap, and don't go over the end of a document.  A null text counts as empty, an
+    empty table gives an empty result, and long texts are cut into pieces that overlap; rows of equal ids follow each other in a fixed order, null ids first.  Strings are compared byte by byte where stretches differ; stretches
     that are equal as a whole are recognised by two 64-bit hashes.
     """
     rows, _ = ordered(docs, id_col, text_col)

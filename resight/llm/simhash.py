@@ -188,7 +188,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component is the smallest id the document reaches over links, itself included; _root the same as `_ord`, a unique
     order of the rows, so that `_ord = _root` holds for one row of each group.  Texts without words, empty or null, have
     fingerprint zero and are linked like any other.  Rows of equal ids count as rows of their own; null ids come
-    first in the order.  An empty table gives an empty result.  Other columns are not looked at.
+    first in the order.  An empty table gives an empty result.  Other columns are not looked at.  Whole texts are read, a slice of texts
+    at a time or one that is longer.
     """
     return _groups(*ordered(docs, id_col, text_col), id_col, text_col, shingle, radius)
 
