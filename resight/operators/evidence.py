@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,20 +14,40 @@ from pyspark.sql import functions as F
 QUALIFIERS = {"minimum", "maximum", "required", "preferred", "optional", "desirable", "mandatory", "without", "excluding", "including"}
 
 
-def normalized(text: str) -> tuple[str, list[int], list[int]]:
+_QUOTES = str.maketrans('"`', "''")
+_RUN = re.compile(r"[\s\x1c-\x1f]+", re.ASCII)
+_folds: dict[str, str] = {}
+
+
+def _folded(piece: str) -> str:
+    """A character with its marks: case, compatibility forms, dashes, quotation marks and spaces folded.  Different ones are few, and kept."""
+    if (found := _folds.get(piece)) is None:
+        out = []
+        for c in unicodedata.normalize("NFKC", piece).casefold():
+            kind = unicodedata.category(c)
+            out.append("-" if kind == "Pd" else "'" if kind in ("Pi", "Pf") or c in "'\"`" else " " if c.isspace() else c)
+        if len(_folds) >= 1 << 16:
+            _folds.clear()
+        found = _folds[piece] = "".join(out)
+    return found
+
+
+def normalized(text: str) -> tuple[str, Sequence[int], Sequence[int]]:
     """Case, compatibility forms, punctuation and spaces folded; the source start and end of each character."""
+    if text.isascii():
+        low = text.lower().translate(_QUOTES)
+        runs = list(_RUN.finditer(low))
+        if all(m.end() == m.start() + 1 for m in runs):  # as long as the text
+            return _RUN.sub(" ", low), range(len(low)), range(1, len(low) + 1)
     out: list[str] = []
     start: list[int] = []
     end: list[int] = []
-    i = 0
-    while i < len(text):
+    i, n = 0, len(text)
+    while i < n:
         j = i + 1
-        while j < len(text) and unicodedata.combining(text[j]):
+        while j < n and text[j] >= "\u0300" and unicodedata.combining(text[j]):
             j += 1
-        piece = unicodedata.normalize("NFKC", text[i:j]).casefold()
-        for c in piece:
-            kind = unicodedata.category(c)
-            c = "-" if kind == "Pd" else "'" if kind in ("Pi", "Pf") or c in "'\"`" else " " if c.isspace() else c
+        for c in _folded(text[i:j]):
             if c == " " and out and out[-1] == " ":
                 end[-1] = j
                 continue
@@ -38,7 +58,7 @@ def normalized(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), start, end
 
 
-def _span_in(quote: str, source: tuple[str, list[int], list[int]]) -> tuple[int, int] | None:
+def _span_in(quote: str, source: tuple[str, Sequence[int], Sequence[int]]) -> tuple[int, int] | None:
     folded, start, end = source
     q = normalized(quote)[0].strip()
     for v in (q, q.lstrip("•*- ").strip(), q.rstrip(".")):
@@ -55,7 +75,7 @@ def _one_typo(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or (a[i + 2 :] == b[i + 2 :] and a[i : i + 2] == b[i : i + 2][::-1])
 
 
-def _typo_span_in(quote: str, source: tuple[str, list[int], list[int]]) -> tuple[int, int] | None:
+def _typo_span_in(quote: str, source: tuple[str, Sequence[int], Sequence[int]]) -> tuple[int, int] | None:
     q = normalized(quote)[0].split()
     if len(q) < 5:
         return None

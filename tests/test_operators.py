@@ -364,3 +364,18 @@ def test_ingest_touches_only_the_buckets_of_a_batch(spark, tmp_path):
     assert len(state) == 13 and state[3] == ("newest", dt(2023, 1, 1), dt(2024, 1, 4), 2) and state[5] == ("t5", dt(2024, 1, 6), dt(2024, 1, 6), 1)
     done = spark.read.parquet(f"file://{tmp_path}/out/done").collect()
     assert len({r.bucket for r in done if r.batch == 0}) == 4 and len({r.bucket for r in done if r.batch == 1}) <= 2
+
+
+def test_folding_of_quotes_keeps_places():
+    import random
+    import unicodedata
+
+    rng = random.Random(9)
+    bits = ["a", "B", " ", "  ", "\t", "\x1c", "e\u0301", "é", "ß", "ﬁ", "–", "“", "`", "\u00a0", "x", "-", "'", "东"]
+    for _ in range(2000):
+        text = "".join(rng.choices(bits, k=rng.randrange(12)))
+        folded, start, end = E.normalized(text)
+        assert len(folded) == len(start) == len(end) and "  " not in folded
+        for c, a, b in zip(folded, start, end, strict=True):
+            piece = unicodedata.normalize("NFKC", text[a:b]).casefold()
+            assert c in piece or c == " " and not piece.strip() or c in "-'"
