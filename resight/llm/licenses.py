@@ -71,8 +71,19 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def _branches(words: set[str]) -> str:
+    """A regular expression for any of the words, branching by one character after the other."""
+    by: dict[str, set[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], set()).add(w[1:])
+    inner = [re.escape(c) + _branches(rest) for c, rest in sorted(by.items()) if c]
+    if not inner or (len(inner) == 1 and "" not in by):
+        return "".join(inner)
+    return f"(?:{'|'.join(inner)})" + ("?" if "" in by else "")
+
+
 def _any_of(words: list[str], tail: str = "") -> str:
-    return f"(?<![{_W}])(?:{'|'.join(re.escape(w) for w in sorted(words))}){tail}(?![{_W}])"
+    return f"(?<![{_W}]){_branches(set(words))}{tail}(?![{_W}])"
 
 
 def _bases(phrases: dict[str, str], vocabulary: list[str]) -> str:
@@ -86,7 +97,7 @@ def _bases(phrases: dict[str, str], vocabulary: list[str]) -> str:
     return f"named_struct('n', cast(size(w) AS bigint), 'places', CASE WHEN hit THEN array({', '.join(places)}) ELSE array() END, 'known', array_intersect(w, array({listed})))"
 
 
-def _wrapped(rows: DataFrame, index: list[tuple], known: Column, first: str) -> DataFrame:
+def _wrapped(rows: DataFrame, index: list[tuple], known: Column) -> DataFrame:
     """(_ord, label, both, size) of the runs of words over the end of a line (or of any block, for templates of several) that meet a template,
     around each of its prefix words."""
     table = rows.sparkSession.createDataFrame([(rank, width, several, label, need, own) for rank, _, label, need, own, width, several in index], "rank int, width int, several boolean, label string, need int, own array<int>")
@@ -94,7 +105,7 @@ def _wrapped(rows: DataFrame, index: list[tuple], known: Column, first: str) ->
     prefix, reach = ", ".join(map(str, sorted(most))), f"element_at(map({', '.join(f'{r}, {w}' for r, w in sorted(most.items()))}), w[i].rank)"
     word = lambda k, j: lambda v: F.struct(F.coalesce(F.try_element_at(known, v), F.lit(-1)).alias("rank"), k.alias("line"), (k * 1000000 + j).alias("block"))
     line = F.transform(F.split("t", "\n"), lambda b, k: F.flatten(F.transform(F.split(b, SENTENCE_END), lambda c, j: F.transform(_words(c), word(k, j)))))
-    found = rows.filter(F.col("t").rlike(BLOCK_END) & F.col("t").rlike(first)).select("_ord", F.flatten(line).alias("w"))
+    found = rows.filter(F.col("t").rlike(BLOCK_END)).select("_ord", F.flatten(line).alias("w"))
     # of the words, only those that a run with the prefix word can hold go on; a one-element array binds w
     near = f"slice(w, greatest(i - {reach} + 1, 0) + 1, least(i, {reach} - 1) + {reach})"
     found = found.select("_ord", F.expr(f"inline(flatten(transform(array(w), w -> transform(filter(sequence(0, size(w) - 1), i -> w[i].rank IN ({prefix})), i -> struct(w[i].rank AS rank, least(i, {reach} - 1) AS at, {near} AS near)))))"))
@@ -159,13 +170,14 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
         first = _any_of([v for v, i in order.items() if i in prefix])
         least = min(x[3] for x in index)
         known = F.create_map(*(F.lit(x) for v, i in order.items() for x in (v, i)))
-        blocks = rows.filter(F.col("t").rlike(first)).select("_ord", F.explode(F.filter(F.split("t", BLOCK_END), lambda b: b.rlike(first))).alias("b"))
+        rows = written(rows.filter(F.col("t").rlike(first)).select("_ord", "t"), "candidates")  # texts with a prefix word
+        blocks = rows.select("_ord", F.explode(F.filter(F.split("t", BLOCK_END), lambda b: b.rlike(first))).alias("b"))
         blocks = blocks.select("_ord", F.array_sort(F.filter(F.transform(F.array_distinct(_words(F.col("b"))), lambda v: F.try_element_at(known, v)), lambda r: r.isNotNull())).alias("ranks"))
         tokens = blocks.filter(F.size("ranks") >= least).select("_ord", "ranks", F.posexplode("ranks").alias("at", "rank"))
         table = spark.createDataFrame([x[:5] for x in index], "rank int, place int, label string, need int, own array<int>")
         pairs = tokens.join(F.broadcast(table), "rank").filter("size(ranks) >= need AND least(at, place) + 1 + least(size(ranks) - at, size(own) - place) - 1 >= need")
         pairs = pairs.select("_ord", "label", "need", F.expr("size(array_intersect(ranks, own))").alias("both"), F.size("own").alias("size")).filter("both >= need")
-        pairs = pairs.drop("need").unionByName(_wrapped(rows, index, known, first))
+        pairs = pairs.drop("need").unionByName(_wrapped(rows, index, known))
         met = pairs.groupBy("_ord").agg(F.collect_set("label").alias("found"), F.max(F.col("both") / F.col("size")).alias("share"))
     out = figures.join(met.hint("shuffle_hash"), "_ord", "left")
     return out.select(
