@@ -65,6 +65,19 @@ def test_mixing_shards_are_disjoint_and_even(spark):
     assert max(size.values()) - min(size.values()) <= 3
 
 
+def test_mixing_is_the_same_by_broadcast_and_by_sorting(spark, monkeypatch):
+    rows = lambda: key(map(tuple, mixing.taken(cases.frame(spark)).collect()))
+    before = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert rows() == before
+    monkeypatch.setattr(mixing, "MAX_BLOCK", 16)  # the smallest blocks: other pieces, the same targets
+    by = defaultdict(lambda: [0, 0.0])
+    for r in mixing.taken(cases.frame(spark)).collect():
+        by[r.source][0] += r.taken
+        by[r.source][1] = r.target
+    assert all(abs(a - b) <= 1 for a, b in by.values())
+
+
 def test_mixing_many_sources(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK", 4)  # several chunks of sources
     want = {k: (k * 37) % 90 for k in range(1, 31)}
@@ -172,6 +185,19 @@ def test_decontaminate(spark, unique, pass_bytes):
     assert decontaminate.clean_only(cases.frame(spark), b).columns == cases.frame(spark).columns
 
 
+def test_decontaminate_in_blocks_of_the_default_size(spark):
+    import random
+
+    rng = random.Random(7)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst"]
+    items = [(i, " ".join(rng.choices(words, k=8000))) for i in range(280)]
+    assert sum(len(t) for _, t in items) > decontaminate.PASS_BYTES
+    docs = [(i, "x " * 50 + " ".join(items[i][1].split()[100 * i % 7000 :][:20]) + " y" * (20 if i % 2 else 800)) for i in range(0, 280, 10)] + [(1000, "nothing of it")]
+    b = spark.createDataFrame(items, "item_id bigint, text string").repartition(4)
+    got = {r.doc_id: (r._items, r.hit) for r in decontaminate.find_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), b).withColumn("hit", F.expr(decontaminate.N_HIT)).collect()}
+    assert got == {i: ([str(i)], 20) for i in range(0, 280, 10)} | {1000: ([], 0)}
+
+
 @both
 def test_sketch(spark, unique):
     rows = cases.rows(unique)
