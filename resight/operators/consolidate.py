@@ -15,6 +15,11 @@ def picked_text(texts: DataFrame, *, id_col: str = "job_id") -> DataFrame:
     return texts.groupBy(id_col).agg(F.max_by("text", F.struct("is_modern", "fetched_at", "source_id", "extraction_id")).alias("text"))
 
 
+def identity_groups(postings: DataFrame) -> DataFrame:
+    """(identity, n): how many records share an identity."""
+    return postings.groupBy("identity").agg(F.count(F.lit(1)).alias("n"))
+
+
 def role_keys(postings: DataFrame, *, id_col: str = "job_id", shortest: int = SHORTEST_TEXT) -> DataFrame:
     """postings (id, identity, source, title, company, text, last_seen) with role_key.
 

@@ -114,6 +114,13 @@ def unknown_keys(json: Column, known: list[str]) -> Column:
     return F.array_except(F.coalesce(F.json_object_keys(json), F.expr("cast(array() AS array<string>)")), F.array(*map(F.lit, known)))
 
 
+def alternatives_text(claims: DataFrame, id_col: str, option: str, term: str) -> DataFrame:
+    """(id, words): what belongs to one option joined by +, options by OR, both in order; repeated claims count once."""
+    one = claims.select(id_col, option, term).distinct().groupBy(id_col, option).agg(F.array_sort(F.collect_list(term)).alias("_l"))
+    together = one.select(id_col, F.struct(option, F.array_join(F.transform("_l", lambda x: x.cast("string")), " + ").alias("t")).alias("_s"))
+    return together.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda x: x["t"]), " OR ").alias("words"))
+
+
 def term_aliases(spark: SparkSession) -> DataFrame:
     """(alias, name, category) of ALIASES."""
     return spark.createDataFrame([(a, n, "programming_language" if n in LANGUAGES else "tool") for a, n in ALIASES.items()], "alias string, name string, category string")

@@ -151,6 +151,22 @@ def role_mix(roles: DataFrame, family: str = "role_family") -> DataFrame:
     return groups.crossJoin(F.broadcast(total)).select("role_family", "n", F.bround(100.0 * F.col("n") / F.col("recognised"), 1).alias("share"), "recognised")
 
 
+def totals_by_state(df: DataFrame, active: Column) -> DataFrame:
+    """One row: all rows, active and archived ones; a null condition counts as archived."""
+    a = F.coalesce(active, F.lit(False))
+    return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(a).alias("active"), F.count_if(~a).alias("archived"))
+
+
+def by_query_group(matches: DataFrame, id_col: str = "job_id") -> DataFrame:
+    """(query_group, roles): a record counts once in each group that found it."""
+    return matches.select(id_col, "query_group").distinct().groupBy("query_group").agg(F.count(F.lit(1)).alias("roles"))
+
+
+def new_and_repeated(roles: DataFrame, by: str, since: Column) -> DataFrame:
+    """(by, new, repeated): rows first seen since then, and rows seen more than once."""
+    return roles.groupBy(by).agg(F.count_if(F.col("first_seen") >= since).alias("new"), F.count_if(F.col("seen_count") > 1).alias("repeated"))
+
+
 def top_counts(df: DataFrame, name: str, n: int = 8) -> DataFrame:
     """The n largest groups with their share of all rows in percent."""
     groups = df.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("count"))

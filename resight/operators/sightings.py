@@ -24,6 +24,12 @@ def rollup(sightings: DataFrame, id_col: str = "job_id", time_col: str = "observ
     return sightings.groupBy(id_col).agg(F.min(time_col).alias("first_seen"), F.max(time_col).alias("last_seen"), F.count(F.lit(1)).alias("seen_count"))
 
 
+def distinct_sightings(sightings: DataFrame, id_col: str = "job_id") -> DataFrame:
+    """(id, n): different runs, or seconds where a sighting has no run."""
+    when = F.coalesce(F.concat(F.lit("run:"), "run_id"), F.concat(F.lit("time:"), F.date_format("observed_at", "yyyy-MM-dd HH:mm:ss")))
+    return sightings.groupBy(id_col).agg(F.count_distinct(when).alias("n"))
+
+
 def backfilled(postings: DataFrame, sightings: DataFrame, id_col: str = "job_id", time_col: str = "observed_at", start_col: str = "scraped_at") -> DataFrame:
     """Sightings with one more for each posting that has none, at its start."""
     missing = postings.join(sightings.select(id_col).distinct(), id_col, "left_anti").select(id_col, F.col(start_col).alias(time_col))

@@ -409,7 +409,7 @@ def _members(spark, d):
 
 @query("con_identity_groups", "SELECT doc_id - doc_id % 2 AS identity, count(*) AS n FROM documents GROUP BY 1")
 def _(spark, d):
-    return doc_postings(spark, d).groupBy(F.substring("identity", 4, 20).cast("bigint").alias("identity")).agg(F.count(F.lit(1)).alias("n"))
+    return C.identity_groups(doc_postings(spark, d)).select(F.substring("identity", 4, 20).cast("bigint").alias("identity"), "n")
 
 
 @query("con_description_pick", "SELECT doc_id // 4 AS job_id, sha256(arg_max(text, (doc_id % 2 = 0, n_chars, doc_id))) AS sha256 FROM documents GROUP BY 1")
@@ -487,9 +487,9 @@ def _(spark, d):
 
 @query("agg_distinct_sightings", f"WITH {SIGHTINGS_SQL} SELECT job_id, count(DISTINCT CASE WHEN arrival % 2 = 0 THEN 'run:' || run_id ELSE 'time:' || strftime(observed_at, {_T}) END) AS n FROM sightings GROUP BY job_id")
 def _(spark, d):
-    s = sightings(spark, d)
-    when = F.when(F.col("arrival") % 2 == 0, F.concat(F.lit("run:"), "run_id")).otherwise(F.concat(F.lit("time:"), moment("observed_at")))
-    return s.groupBy("job_id").agg(F.count_distinct(when).alias("n"))
+    from ..operators.sightings import distinct_sightings
+
+    return distinct_sightings(sightings(spark, d).withColumn("run_id", F.when(F.col("arrival") % 2 == 0, F.col("run_id"))))
 
 
 @query("win_representative", f"WITH {_RECORDS} SELECT company, job_id FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY is_archived, last_seen DESC NULLS LAST, job_id DESC) AS n FROM records) WHERE n = 1")
@@ -670,12 +670,12 @@ def _(spark, d):
 
 @query("rep_query_groups", f"WITH {MATCHES_SQL} SELECT query_group, count(DISTINCT job_id) AS roles FROM matches GROUP BY query_group")
 def _(spark, d):
-    return matches(spark, d).select("job_id", "query_group").distinct().groupBy("query_group").agg(F.count(F.lit(1)).alias("roles"))
+    return R.by_query_group(matches(spark, d))
 
 
 @query("rep_new_vs_repeat", f"WITH {_RECORDS} SELECT company, count(*) FILTER (first_seen >= TIMESTAMP '1997-01-01') AS new, count(*) FILTER (seen_count > 1) AS repeated FROM records GROUP BY company")
 def _(spark, d):
-    return roles(spark, d).groupBy("company").agg(F.count_if(F.col("first_seen") >= F.lit("1997-01-01").cast("timestamp_ntz")).alias("new"), F.count_if(F.col("seen_count") > 1).alias("repeated"))
+    return R.new_and_repeated(roles(spark, d), "company", F.lit("1997-01-01").cast("timestamp_ntz"))
 
 
 @query("rep_freshness", f"WITH {SIGHTINGS_SQL}, n AS (SELECT max(observed_at) AS m FROM sightings) SELECT strftime(m, {_T}) AS newest, floor(greatest(0, date_part('epoch', {_AS_OF}) - date_part('epoch', m)) / 86400)::BIGINT AS age_days, CASE WHEN m IS NULL THEN 'empty' WHEN greatest(0, date_part('epoch', {_AS_OF}) - date_part('epoch', m)) / 86400 <= 2 THEN 'fresh' WHEN greatest(0, date_part('epoch', {_AS_OF}) - date_part('epoch', m)) / 86400 <= 7 THEN 'aging' ELSE 'stale' END AS status FROM n")

@@ -206,9 +206,9 @@ def _(spark, d):
     SELECT l_orderkey, string_agg(t, ' OR ' ORDER BY l_returnflag) AS words FROM g GROUP BY 1""",
 )
 def _(spark, d):
-    one = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber").distinct().groupBy("l_orderkey", "l_returnflag").agg(F.array_sort(F.collect_list("l_linenumber")).alias("l"))
-    together = one.select("l_orderkey", F.struct("l_returnflag", F.array_join(F.transform("l", lambda x: x.cast("string")), " + ").alias("t")).alias("s"))
-    return together.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]), " OR ").alias("words"))
+    from ..operators.extraction import alternatives_text
+
+    return alternatives_text(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", "l_linenumber")
 
 
 @query(

@@ -305,8 +305,9 @@ def _(spark, d):
 
 @query("agg_totals_by_state", "SELECT count(*) AS total, count(*) FILTER (o_orderstatus <> 'F') AS active, count(*) FILTER (o_orderstatus = 'F') AS archived FROM orders")
 def _(spark, d):
-    f = F.col("o_orderstatus") == "F"
-    return table(spark, d, "orders").agg(F.count(F.lit(1)).alias("total"), F.count_if(~f).alias("active"), F.count_if(f).alias("archived"))
+    from ..operators.reports import totals_by_state
+
+    return totals_by_state(table(spark, d, "orders"), F.col("o_orderstatus") != "F")
 
 
 @query("agg_active_new", f"WITH {SIGHTINGS_SQL}, f AS (SELECT job_id, min(run_id) AS run_id FROM sightings GROUP BY 1) SELECT run_id, count(*) FILTER (job_id % 3 <> 0) AS active_new, count(*) FILTER (job_id % 3 <> 0) >= 5 AS worthwhile FROM f GROUP BY run_id")
