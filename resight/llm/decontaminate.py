@@ -33,14 +33,14 @@ def words_of(text: str | None) -> list[str]:
 
 
 class WuManber:
-    """Shift table and buckets for patterns of at least `shortest` bytes, which are ranges [start, end) of one byte string."""
+    """Shift table and buckets for patterns of at least `shortest` bytes, which are ranges [start, end) of one byte string with eight bytes more."""
 
     def __init__(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, bits: int = 18):
         self.text, self.start, self.end = text, start, end
         self.shortest = m = int((end - start).min())
         self.block = min(8, max(1, m // 2))
         self.bits = bits
-        eight, mask = _eight(text), _mask(self.block)
+        eight, mask = _view(text), _mask(self.block)
         self.shift = np.full(1 << bits, m - self.block + 1, np.int32)
         for last in range(self.block, m + 1):
             code = eight[start + last - self.block] & mask
@@ -88,7 +88,7 @@ class WuManber:
         begin, size = self.start[which].astype(np.int64), (self.end[which] - self.start[which]).astype(np.int64)
         fits = start + size <= len(text)
         start, which, begin, size = start[fits], which[fits], begin[fits], size[fits]
-        own, live, d = _eight(self.text), np.arange(len(start)), 0
+        own, live, d = _view(self.text), np.arange(len(start)), 0
         equal = np.zeros(len(start), bool)
         while len(live):
             left = size[live] - d
@@ -105,10 +105,14 @@ def _mask(n: int) -> np.uint64:
     return _MASKS[n]
 
 
+def _view(padded: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on."""
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+
+
 def _eight(text: np.ndarray) -> np.ndarray:
     """Eight bytes from each place on, zeros after the end."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    return np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))
+    return _view(np.concatenate([text, np.zeros(8, np.uint8)]))
 
 
 @dataclass
@@ -139,7 +143,7 @@ class Windows:
             done += len(line)
         if not texts:
             return cls([], names)
-        text = np.frombuffer(b"".join(texts), np.uint8)
+        text = np.frombuffer(b"".join([*texts, bytes(8)]), np.uint8)
         start, end, count, owner = (np.concatenate(x).astype(np.int32) for x in (start, end, count, owner))
         # equal windows are one pattern with all their items
         h = B.RollingHash(text).ranges(start, end)
