@@ -29,7 +29,8 @@ def latest(*c: Column) -> Column:
 
 def active_days(first: Column, last: Column) -> Column:
     """Calendar days from first to last, both counted, one at least; null if either is missing."""
-    return F.greatest(F.lit(0), F.datediff(last, first)) + 1
+    days = F.datediff(last, first)
+    return F.when(days.isNotNull(), F.greatest(F.lit(0), days) + 1)
 
 
 def digest(*c: Column) -> Column:

@@ -48,9 +48,12 @@ def issues(*found: Column) -> Column:
 def check_json(json: Column, kind: str) -> Column:
     """Issues (field, message) of a claim as JSON against SCHEMAS[kind]: no JSON object, keys that miss or are too many, unknown values, texts that are
     too short or of another form, too little evidence, quotes without words or source, and an alternative without its other half."""
-    fields = SCHEMAS[kind]
-    keys = F.json_object_keys(json)
-    v = F.try_parse_json(json)
+    # an array of one binds what is parsed: each claim is parsed once
+    parsed = F.array(F.struct(F.json_object_keys(json).alias("keys"), F.try_parse_json(json).alias("v"), json.alias("json")))
+    return F.flatten(F.transform(parsed, lambda x: _checked(x["keys"], x["v"], x["json"], SCHEMAS[kind])))
+
+
+def _checked(keys: Column, v: Column, json: Column, fields: dict) -> Column:
     at = lambda f: F.try_variant_get(v, f"$.{f}", "string")
     type_of = lambda f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
     out = [issue(keys.isNull(), "claim", "is no object")]
@@ -78,7 +81,7 @@ def check_json(json: Column, kind: str) -> Column:
             out.append(issue(there & ~F.coalesce(value.rlike(rule), F.lit(False)), f, "has another form"))
     if "alternative_group" in fields:
         out.append(issue(at("alternative_group").isNull() != at("alternative_option").isNull(), "alternative", "needs group and option"))
-    extra = F.transform(unknown_keys(json, list(fields)), lambda k: F.struct(k.alias("field"), F.lit("is not allowed").alias("message")))
+    extra = F.transform(F.array_except(F.coalesce(keys, F.expr("cast(array() AS array<string>)")), F.array(*map(F.lit, fields))), lambda k: F.struct(k.alias("field"), F.lit("is not allowed").alias("message")))
     return F.concat(issues(*out), extra)
 
 

@@ -15,7 +15,8 @@ def _text_sql(html: str) -> str:
     t = f"regexp_replace(regexp_replace({html}, '<!--.*?-->', '', 'gs'), '<(script>.*?</script|style>.*?</style|title>.*?</title)>', '', 'gs')"
     t = f"regexp_replace({t}, '<li>', chr(10) || '• ', 'g')"
     t = f"regexp_replace(regexp_replace({t}, '</?(p|div|article|footer|ul|li|nav|h1|br)( [^>]*)?>', chr(10), 'g'), '</?[A-Za-z!][^>]*>', '', 'g')"
-    t = f"replace(replace(replace(replace({t}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')"
+    for name, c in (("copy", "'©'"), ("middot", "'·'"), ("quot", "chr(34)"), ("amp", "'&'")):  # the semicolon may be missing
+        t = f"regexp_replace({t}, '&{name};?', {c}, 'g')"
     return f"array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(regexp_replace(x, '[\\t\\r ]+', ' ', 'g'))), lambda x: x <> '' AND x <> '•'), chr(10))"
 
 
