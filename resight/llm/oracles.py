@@ -50,4 +50,16 @@ OP9 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(
  sums AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM runs GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op5_licenses": OP5, "op7_warc": OP7, "op9_remove_repeats": OP9}
+OP11 = f"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_low("text")}, '[a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+ t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+ kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 3), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+ g AS (SELECT DISTINCT lang, source FROM d), c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+ shares AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) + v)::HUGEINT AS p FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+ sums AS (SELECT lang, term, sum(n) AS n FROM shares GROUP BY lang, term), whole AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)::HUGEINT) // (sum(n) OVER (PARTITION BY lang) + v)::HUGEINT AS q FROM sums JOIN v USING (lang)),
+ far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+ terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op5_licenses": OP5, "op7_warc": OP7, "op9_remove_repeats": OP9, "op11_source_divergence": OP11}

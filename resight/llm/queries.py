@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lm, mixing, pii, repeats, simhash, sketch, warc
+from . import alignment, decontaminate, divergence, langid, licenses, lm, mixing, neighbours, pii, repeats, simhash, sketch, warc
 from ._spark import new_path, table
 from .oracles import ORACLES  # noqa: F401
 
+#: Where the vocabulary files of the public tokenizers are.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
 
 def _crc(col: str) -> F.Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
@@ -79,6 +83,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+    return alignment.compare(table(spark, sf_dir, "documents"), f"{folder}/byte_bpe_50k.json", f"{folder}/piece_bpe_32k.model")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
@@ -90,5 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_remove_repeats": op9_remove_repeats,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 

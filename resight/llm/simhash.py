@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._spark import ordered, schema_of, written
-from .components import components
+from .components import components, forest
 
 #: Fingerprints of a tile that is at home in a task, about (they are dealt by hash), and of a piece of a tile.
 HOME, PIECE = 1 << 18, 1 << 13
@@ -71,22 +71,6 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> D
     return docs.mapInArrow(run, schema_of(rest, "_fp bigint"))
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index that each of n nodes reaches over the links a-b."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
 def _near(home: np.ndarray, guest: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in home and guest of pairs within the radius, a block of pairs at a time."""
     a, b = [], []
@@ -101,14 +85,6 @@ def _near(home: np.ndarray, guest: np.ndarray, radius: int) -> tuple[np.ndarray,
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the links a-b of fingerprints connect, fewer of them than fingerprints."""
-    prints, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root = local_roots(len(prints), place[: len(a)], place[len(a) :])
-    moved = np.flatnonzero(root != np.arange(len(prints)))
-    return prints[moved], prints[root[moved]]
-
-
 def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, home = None, []  # the home tile of the key, which may come in pieces
@@ -131,7 +107,7 @@ def _compare(radius: int):
                     home.append(part.copy())
             a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, B.U64),) * 2
             if len(a):
-                a, b = _forest(a, b)
+                a, b = forest(a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return run
