@@ -43,7 +43,9 @@ def ordered(docs: DataFrame, id_col: str, *keep: str) -> tuple[DataFrame, bool]:
     """docs with a unique bigint `_ord` that sorts as id_col does (null first; equal ids in any fixed order).
 
     Where the ids are unique whole numbers, they are the order, and nothing is shuffled but the ids; the second
-    result tells whether that is so.  Ids of other types are put in their own order, by ranges.
+    result tells whether that is so.  Ids of other types, null or repeated ones are put in their own order, by ranges that Spark draws
+    anew in each call: two calls number the rows differently.  The table that is returned is written and stays as it is, so
+    whoever needs rows and numbers twice must use it twice.
     """
     docs = docs.select(id_col, *keep)
     whole = isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))

@@ -20,10 +20,10 @@ from ._spark import schema_of, written
 
 #: Labelled documents of each language to learn from, about.
 DOCS_PER_LANGUAGE = 2000
-#: A language contains an n-gram that makes up more than this share of its n-grams, so 1 / share n-grams at most.
+#: A language contains an n-gram that makes up more than this share of its n-grams, so 1 / share n-grams at most; one rule for all languages.
 LEAST_SHARE = 1e-5
-#: Of languages with so few documents, n-grams that occur once are kept too.
-FEW_DOCS = 20
+#: It doesn't contain one that another language uses so many times as often.
+MOST_TIMES = 20.0
 #: Slots of the filter for each n-gram of the language that contains most, a power of two in all.
 SLOTS_PER_GRAM = 8
 PROBES = 3
@@ -108,11 +108,14 @@ class LanguageModel:
         return [names[i] for i in best], np.clip(score, 0, 1)
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> LanguageModel:
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, least_share: float = LEAST_SHARE, most_times: float = MOST_TIMES) -> LanguageModel:
     """A model from labelled documents: about `docs_per_language` of each language, chosen by a hash of the id.
 
+    A language contains the n-grams that make up more than `least_share` of its n-grams, but for those that another language uses
+    more than `most_times` times as often; with 0 and infinity, all that it has.
+
     Rows without a label or a text are left out; every label is learned, from all n-grams of the chosen documents.  The counting
-    is Spark's; what comes to the driver are two counts and, of each language, the n-grams above LEAST_SHARE, fewer than 1 / LEAST_SHARE.
+    is Spark's; what comes to the driver are two counts and, of each language, the n-grams above `least_share`, fewer than its inverse.
     """
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).filter("lang IS NOT NULL")
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -138,15 +141,14 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     total = np.ones(len(languages))
     for r in counted.groupBy("l").agg(F.sum("n").alias("n")).collect():
         total[r.l] = r.n
-    few = [i for l, i in number.items() if counts[l] <= FEW_DOCS]
-    least = docs.sparkSession.createDataFrame([(i, LEAST_SHARE * t, i in few) for i, t in enumerate(total.tolist())], "l bigint, least double, few boolean")
-    rows = counted.join(F.broadcast(least), "l").filter("n > least AND (n > 1 OR few)").select("l", "g", "n").toPandas()
+    least = docs.sparkSession.createDataFrame([(i, least_share * t) for i, t in enumerate(total.tolist())], "l bigint, least double")
+    rows = counted.join(F.broadcast(least), "l").filter("n > least").select("l", "g", "n").toPandas()
     lang = rows.l.to_numpy().astype(np.int64)
     key, of = np.unique(rows.g.to_numpy().astype(np.int64).view(B.U64), return_inverse=True)
     rate, most = rows.n.to_numpy() / total[lang], np.zeros(len(key))
     np.maximum.at(most, of, rate)
     # not where another language uses the n-gram far more often
-    has = rate >= most[of] / 20
+    has = rate >= most[of] / most_times
     return LanguageModel.build(languages, key[of[has]], lang[has])
 
 

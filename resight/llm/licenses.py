@@ -103,7 +103,7 @@ def _wrapped(rows: DataFrame, index: list[tuple], known: Column) -> DataFrame:
     table = rows.sparkSession.createDataFrame([(rank, width, several, label, need, own) for rank, _, label, need, own, width, several in index], "rank int, width int, several boolean, label string, need int, own array<int>")
     most = {r: max(x[5] for x in index if x[0] == r) for r in {x[0] for x in index}}
     prefix, reach = ", ".join(map(str, sorted(most))), f"element_at(map({', '.join(f'{r}, {w}' for r, w in sorted(most.items()))}), w[i].rank)"
-    word = lambda k, j: lambda v: F.struct(F.coalesce(F.try_element_at(known, v), F.lit(-1)).alias("rank"), k.alias("line"), (k * 1000000 + j).alias("block"))
+    word = lambda k, j: lambda v: F.struct(F.coalesce(F.try_element_at(known, v), F.lit(-1)).alias("rank"), k.alias("line"), (F.shiftleft(k.cast("bigint"), 32) + j).alias("block"))
     line = F.transform(F.split("t", "\n"), lambda b, k: F.flatten(F.transform(F.split(b, SENTENCE_END), lambda c, j: F.transform(_words(c), word(k, j)))))
     found = rows.filter(F.col("t").rlike(BLOCK_END)).select("_ord", F.flatten(line).alias("w"))
     # of the words, only those that a run with the prefix word can hold go on; a one-element array binds w

@@ -98,7 +98,13 @@ def split(quotas: DataFrame, depth: int, seed: int = 1) -> DataFrame:
     return out.withColumn("before", F.expr("coalesce(sum(drawn) OVER (PARTITION BY k ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def _numbered(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(_row, id, source, text) for each row: the one table in which numbers and texts belong together."""
+    rows, _ = ordered(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "id", "source", "text")
+    return rows.select(F.col("_ord").alias("_row"), "id", "source", "text")
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> tuple[DataFrame, DataFrame]:
     """The documents with their targets, and the mix.
 
     Documents: (_row, id_col, source_col, size, source_size, target), one for each row of docs; _row is its place in the order of
@@ -109,9 +115,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     a source of its own, after the others.  Rows of equal ids are rows of their own.  An empty table gives empty results.
     Words taken from a source are its target, rounded.
     """
-    spark = docs.sparkSession
-    rows, _ = ordered(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "id", "source", "text")
-    rows = written(rows.select(F.col("_ord").alias("_row"), "id", "source", size_of(F.col("text")).alias("size")), "sizes")
+    return _mix(_numbered(docs, id_col, text_col, source_col), id_col, source_col, **how)
+
+
+def _mix(texts: DataFrame, id_col: str, source_col: str, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    rows = written(texts.select("_row", "id", "source", size_of(F.col("text")).alias("size")), "sizes")
     goal = written(targets(rows, weights, share, most), "targets")
     seen = goal.agg(F.count(F.lit(1)).alias("n"), F.sum("source_size").alias("size"), F.sum("target").alias("target")).first()
     w = min(MAX_BLOCK, max(MIN_BLOCK, (seen["size"] or 0) // BLOCKS))
@@ -123,13 +131,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     plan = plan.withColumn("quota", F.expr(f"passes * blocks + cast(ceil((words - passes * source_size) / {w}) AS bigint)"))
     shards = split(plan.select("k", "quota"), depth, seed)
     draws = shards.filter("drawn > 0").withColumn("d", F.explode(F.expr("sequence(before, before + drawn - 1L)"))).select("shard", "k", "d")
-    draws = draws.join(plan.hint("shuffle_hash"), "k").withColumn("pass", F.expr("d div blocks")).withColumn("j", F.expr("d % blocks"))
+    small = seen["n"] <= BROADCAST_SOURCES
+    draws = draws.join(F.broadcast(plan) if small else plan.hint("shuffle_hash"), "k").withColumn("pass", F.expr("d div blocks")).withColumn("j", F.expr("d % blocks"))
     # full blocks change places, the last and shorter one stays the last of its pass
     draws = draws.withColumn("block", F.expr(f"CASE WHEN j = blocks - 1L THEN j ELSE (j * {_PRIME}L + pmod(xxhash64({seed}L, k, pass), blocks - 1L)) % (blocks - 1L) END"))
     draws = draws.withColumn("n", F.expr(f"least({w}L, source_size - block * {w}L, words - pass * source_size - j * {w}L)"))
     draws = draws.select("shard", "k", "d", "block", "n")
 
-    small = seen["n"] <= BROADCAST_SOURCES
     placed = rows.join(F.broadcast(goal) if small else goal.hint("merge"), rows["source"].eqNullSafe(goal["source"])).drop(goal["source"])
     placed = placed.withColumn("h", F.xxhash64(F.lit(seed), "id", "size")).withColumn("part", F.expr(f"pmod(h, greatest(1L, docs div {ORDER_ROWS}L))"))
     sums = placed.groupBy("k", "part").agg(F.sum("size").alias("s"))
@@ -144,36 +152,36 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return out, pieces
 
 
-def shuffled(pieces: DataFrame, shards: int) -> DataFrame:
-    """The mix with the pieces of a shard together and in their shuffled order, to be written as it is."""
-    return pieces.repartition(shards, "shard").sortWithinPartitions("shard", "slot", "place", "_row")
-
-
 def with_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """(id_col, source_col, size, source_size, target, taken, pieces, text_col) for each row of docs, in the order of ids.
 
     pieces is an array of (shard, slot, place, first_word, n_words), sorted: which words of the text each shard takes, and where they
     stand in the shard's shuffled order.  taken is their sum, 0 for a text that the mix doesn't take.
+
+    Rows of equal or null ids are rows of their own and keep their own texts; null texts stay null, with size 0; a null source is a source; an empty
+    table gives an empty result; other columns, whatever their names, aren't looked at.
     """
-    rows, pieces = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    texts = _numbered(docs, id_col, text_col, source_col)
+    rows, pieces = _mix(texts, id_col, source_col, **how)
     took = pieces.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("shard", "slot", "place", "first_word", "n_words"))).alias("pieces"))
-    texts, _ = ordered(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "id", "source", "text")
     out = rows.join(took.hint("shuffle_hash"), "_row", "left").withColumn("pieces", F.coalesce("pieces", F.expr("cast(array() AS array<struct<shard:bigint,slot:bigint,place:bigint,first_word:bigint,n_words:bigint>>)")))
     out = out.withColumn("taken", F.expr("aggregate(pieces, 0L, (a, x) -> a + x.n_words)"))
-    joined = texts.select(F.col("_ord").alias("_row"), F.col("text").alias(text_col)).join(out.hint("shuffle_hash"), "_row")
+    joined = texts.select("_row", F.col("text").alias(text_col)).join(out.hint("shuffle_hash"), "_row")
     return joined.select(id_col, source_col, "size", "source_size", "target", "taken", "pieces", text_col)
 
 
-def written_mix(mixed: DataFrame, path: str, shards: int, *, id_col: str = "doc_id", text_col: str = "text") -> None:
+def written_mix(mixed: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the result of with_pieces() as Parquet files of (shard, slot, place, id_col, text_col), a row for each piece, with the words and
-    blanks of the text that it takes: each shard is together and in its shuffled order."""
+    blanks of the text that it takes.  Files are ranges of (shard, slot): one after the other, they hold each shard in its shuffled order, and none grows with
+    a shard.  Rows of equal or null ids stay apart; a null text has no pieces; an empty table gives no rows."""
     one = mixed.select(id_col, F.col(text_col).alias("_text"), "size", F.explode("pieces").alias("_p"))
     words = F.split("_text", "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])")
     lead = F.when(F.col("_text").rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0)  # blanks before the first word
     part = F.array_join(F.slice(words, (F.col("_p.first_word") + lead + 1).cast("int"), F.col("_p.n_words").cast("int")), "")
     text = F.when(F.col("_p.n_words") == F.col("size"), F.col("_text")).otherwise(part)
     out = one.select("_p.shard", "_p.slot", "_p.place", id_col, text.alias(text_col))
-    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot", "place").write.parquet(path)
+    n = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 12)
+    out.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot", "place").write.parquet(path)
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:

@@ -17,14 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._spark import written
+
 #: Bytes of a record's block, beyond which it is cut into segments.
 SEGMENT_BYTES = 16 << 10
-#: Records in a file at most: with the segment size it bounds what a reading task holds.
-RECORDS_PER_FILE = 1000
+#: Records in a file at most: with the segment size, 64 MB before packing, which a reading task holds.
+RECORDS_PER_FILE = 4000
+_PARTS = 1000
+#: Repeated payloads up to which their table (a digest and an id each) is broadcast; beyond it is joined.
+BROADCAST_DIGESTS = 500_000
 #: Payloads shorter than that are written again each time.
 SHORTEST_REVISITED = 1000
 _CHUNK = 8 << 10
-_GZIP_STEP = 1 << 16
+_GZIP_STEP = 1 << 14
 _DATE = "2020-01-01T00:00:00Z"
 _END = b"\r\n"
 _ID = re.compile(r"<urn:row:(-?[0-9]*):([0-9]+)>")
@@ -116,23 +121,23 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str] | None, bytes | int]]:
 
 
 def _unpacked(content: bytes) -> tuple[bytes, bool]:
-    """The bytes of a file, gzipped (one member or many) or not, and whether it is whole."""
+    """The bytes of a file, gzipped (one member or many) or not, and whether it is whole.  Each byte is read once, however many members there are."""
     if content[:2] != b"\x1f\x8b":
         return content, True
-    out = []
-    while content[:2] == b"\x1f\x8b":
+    out, view, at = [], memoryview(content), 0
+    while content[at : at + 2] == b"\x1f\x8b":
         d = zlib.decompressobj(31)
         try:
-            for i in range(0, len(content), _GZIP_STEP):
-                out.append(d.decompress(content[i : i + _GZIP_STEP]))
-                if d.eof:
-                    break
+            while not d.eof and at < len(content):
+                part = view[at : at + _GZIP_STEP]
+                out.append(d.decompress(part))
+                at += len(part)
         except zlib.error:
             return b"".join(out), False
         if not d.eof:
             return b"".join(out), False
-        content = d.unused_data + content[i + _GZIP_STEP :]
-    return b"".join(out), not content.strip(b"\0\r\n")
+        at -= len(d.unused_data)  # no more than a step
+    return b"".join(out), not content[at:].strip(b"\0\r\n")
 
 
 def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment: int = SEGMENT_BYTES, shortest: int = SHORTEST_REVISITED) -> None:
@@ -144,8 +149,10 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     long = rows.filter(F.octet_length("payload") >= shortest)
-    first = long.groupBy("digest").agg(F.max("id").alias("to"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "to")
-    rows = rows.join(first.hint("shuffle_hash"), "digest", "left")
+    first = written(long.groupBy("digest").agg(F.max("id").alias("to"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "to"), "repeated")
+    # short payloads, many of which are empty, meet nothing; both sides of the other join are dealt anew, so that Spark can split a frequent one
+    long = long.join(F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first.hint("merge"), "digest", "left")
+    rows = long.unionByName(rows.filter(F.octet_length("payload") < shortest), allowMissingColumns=True)
     rows = rows.withColumn("to", F.expr("CASE WHEN NOT id <=> to THEN to END")).select("id", "url", "payload", "digest", "to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +267,7 @@ def _parts(with_payload: bool):
                 rows = []
                 for row in _parts_of(path.as_py(), content.as_py(), with_payload):
                     rows.append(row)
-                    if len(rows) >= RECORDS_PER_FILE:
+                    if len(rows) >= _PARTS:
                         yield _columns(rows, _PART)
                         rows = []
                 yield _columns(rows, _PART)
