@@ -13,6 +13,9 @@ _BLANK_CHARS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr,
 # Dashes that count as a hyphen, and words that stand for a missing identity.
 DASHES = "‐‑‒–—−"
 NO_IDENTITY = ["<na>", "nan", "nat", "none", "null"]
+# Titles that say nothing, and company names (folded) that name none.
+NO_TITLE = "(?iU)archived[\\s/-]+placeholder|\\bjobs (?:in|near)\\b"
+NO_COMPANY = ["", "unknown", "not specified", "n/a"]
 
 
 def _accents() -> tuple[str, str]:
@@ -69,9 +72,8 @@ def ascii_contains(c: Column, part: Column) -> Column:
 
 
 def valid_title(c: Column) -> Column:
-    """A title that says something: not blank, no placeholder, not a search heading."""
-    t = squeezed(F.coalesce(c, F.lit("")))
-    return (t != "") & ~t.rlike("(?i)^(unknown|n/?a|untitled|untitled job|no title|jobs? (in|near)\\b.*|.* jobs (in|near)\\b.*)$")
+    """A title that says something: not blank, no placeholder of an archived record, not the heading of a search."""
+    return (clean_value(c) != "") & ~F.coalesce(c, F.lit("")).rlike(NO_TITLE)
 
 
 def primary_location(c: Column, aliases: dict[str, str] | None = None) -> Column:

@@ -8,15 +8,26 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from .text import squeezed
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold())
 
 
+@pandas_udf(StringType())
+def _composed(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def normal_text(c: Column) -> Column:
+    """NFC and squeezed: the same words in the same letters."""
+    return _composed(squeezed(F.coalesce(c, F.lit(""))))
+
+
 def text_key(c: Column) -> Column:
     """NFC, squeezed and case-folded: equal keys mean equal texts to a reader."""
     return _folded(squeezed(F.coalesce(c, F.lit(""))))

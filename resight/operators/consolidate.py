@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_identity, valid_title
+from ..functions.text import NO_COMPANY, valid_title
+from ..functions.unicode import normal_text, text_key
 
 SHORTEST_TEXT = 200
 
@@ -23,14 +24,17 @@ def identity_groups(postings: DataFrame) -> DataFrame:
 def role_keys(postings: DataFrame, *, id_col: str = "job_id", shortest: int = SHORTEST_TEXT) -> DataFrame:
     """postings (id, identity, source, title, company, text, last_seen) with role_key.
 
-    Of each identity the latest record with a valid title speaks: with a long enough text, a valid title and a company the
-    key is (source, company, title, text), else the identity.
+    Of each identity the latest record with a valid title speaks, or the latest if none has one: with a text of at least `shortest`
+    characters, squeezed, a valid title and a company that names one, the key is (source, company, title, text), else the identity.
+    Source, company and title are compared as text_key() folds them, texts as normal_text() leaves them.  A null is as good as an empty value.
     """
     speaks = F.struct("source", "title", "company", "text")
-    latest = postings.groupBy("identity").agg(F.max_by(speaks, F.struct(valid_title(F.col("title")), "last_seen", id_col)).alias("s"))
-    long = (F.length("s.text") >= shortest) & valid_title(F.col("s.title")) & (clean_identity(F.col("s.company")) != "")
-    text_key = F.sha2(F.concat_ws("\x1f", F.lower("s.source"), F.lower(F.trim("s.company")), F.lower(F.trim("s.title")), F.sha2("s.text", 256)), 256)
-    return postings.join(latest.select("identity", F.when(F.coalesce(long, F.lit(False)), text_key).otherwise(F.col("identity")).alias("role_key")), "identity")
+    order = F.struct(valid_title(F.col("title")), "last_seen", id_col)
+    latest = postings.groupBy("identity").agg(F.max_by(speaks, order).alias("s")).select("identity", "s.*")
+    said = latest.select("identity", valid_title(F.col("title")).alias("valid"), *(text_key(F.col(c)).alias(c) for c in ("source", "company", "title")), normal_text(F.col("text")).alias("text"))
+    proven = F.col("valid") & (F.length("text") >= shortest) & ~F.col("company").isin(NO_COMPANY)
+    key = F.sha2(F.concat_ws("\x1f", "source", "company", "title", F.sha2("text", 256)), 256)
+    return postings.join(said.select("identity", F.when(proven, key).otherwise(F.col("identity")).alias("role_key")), "identity")
 
 
 def canonical(keyed: DataFrame, previous: DataFrame, *, id_col: str = "job_id", standard: Column | None = None) -> DataFrame:

@@ -9,36 +9,81 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_contains, primary_location
 from ..functions.values import active_days
+from .decisions import auto_archived
 from .provenance import detail
 
 
-def predicates(*, archived: str = "exclude", favorite: bool | None = None, search: str | None = None, source: str | None = None, company: str | None = None, company_exact: bool = False, family: str | None = None, seen_since=None, repeated: bool | None = None, outcome: str | None = None, location: str | None = None) -> Column:
-    """One condition from the named filters; Catalyst pushes its parts down."""
+def predicates(
+    *, archived: str = "exclude", favorite: bool | None = None, flagged: bool | None = None, search: str | None = None, scope: str | None = None, source: str | None = None, company: str | None = None, company_exact: bool = False,
+    family: str | None = None, seen_since=None, date_from=None, date_to=None, repeated: bool | None = None, outcome: str | None = None, seen: Column | None = None, collected: Column | None = None,
+) -> Column:
+    """One condition from the named filters that look at a role's own columns; Catalyst pushes its parts down.
+
+    Searches fold A-Z and take % and _ as they are; scope folds the source, source doesn't.  A company is matched by a part of its name, or exactly, where a blank
+    one is called Unknown.  The family unclassified is none.  Bounds of time hold for whole seconds: seen_since for `seen` (last_seen by
+    default), date_from and date_to for `collected` (first_seen by default).
+    """
     c: list[Column] = [F.lit(True)]
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    seconds = lambda x: F.date_trunc("second", x)
     if archived != "include":
         c.append(F.col("is_archived") if archived == "only" else ~F.col("is_archived"))
     if favorite is not None:
         c.append(F.col("is_favorite") == favorite)
+    if flagged is not None:
+        c.append(F.col("flagged_at").isNotNull() == flagged)
     if search:
         c.append(reduce(lambda a, b: a | b, (ascii_contains(F.col(x), F.lit(search)) for x in ("title", "company", "location"))))
+    if scope:
+        c.append(F.lower("source") == scope.lower())
     if source:
-        c.append(F.lower("source") == source.lower())
+        c.append(F.col("source") == source)
     if company:
-        name = F.coalesce(F.nullif(F.trim("company"), F.lit("")), F.lit("Unknown"))
-        c.append(name == company if company_exact else ascii_contains(name, F.lit(company)))
+        c.append(F.coalesce(F.nullif("company", F.lit("")), F.lit("Unknown")) == company if company_exact else ascii_contains(F.col("company"), F.lit(company)))
     if family:
-        c.append(F.col("role_family").isNull() if family == "unclassified" else F.col("role_family") == family)
+        c.append(F.coalesce("role_family", F.lit("")) == ("" if family == "unclassified" else family))
     if seen_since is not None:
-        c.append(F.date_trunc("second", "last_seen") >= F.lit(seen_since).cast("timestamp_ntz"))
-    if repeated is not None:
-        c.append((F.col("seen_count") > 1) == repeated)
+        c.append(seconds(F.col("last_seen") if seen is None else seen) >= at(seen_since))
+    for bound, after in ((date_from, True), (date_to, False)):
+        if bound is not None:
+            when = seconds(F.col("first_seen") if collected is None else collected)
+            c.append(when >= at(bound) if after else when <= at(bound))
+    if repeated:
+        c.append(F.coalesce("seen_count", F.lit(1)) > 1)
     if outcome:
         c.append(F.col("outcome") == outcome)
-    if location:
-        c.append(primary_location(F.col("location")) == location)
     return reduce(lambda a, b: a & b, c)
 
 
+def filtered(
+    roles: DataFrame, *, membership: DataFrame | None = None, postings: DataFrame | None = None, matches: DataFrame | None = None, log: DataFrame | None = None, location: str | None = None, location_primary: bool = False,
+    query_group: str | None = None, outcome: str | None = None, aliases: dict[str, str] | None = None, id_col: str = "job_id", **filters,
+) -> DataFrame:
+    """The roles that meet all filters: conditions on their own columns, then a semi join for each filter that asks whether something else exists.
+
+    location: some member of the role (membership: id, canonical_job_id; postings: id, location) holds it, or with location_primary has the
+    same primary one.  query_group: some member was found by a search of that group (matches: id, query_group).  outcome auto_archived: the role
+    stands archived by a rule (log: decisions), whatever `archived` says.  Each side is cut to the ids asked for before it is joined; a role is given once however many members meet
+    a filter.  Without membership each role is its own only member.  Nulls meet no filter; no filter at all leaves all active roles.
+    """
+    root = "canonical_job_id"
+    own = roles.select(id_col, F.col(id_col).alias(root)) if membership is None else membership.select(id_col, root)
+    if outcome == "auto_archived":
+        out = auto_archived(roles.filter(predicates(**{**filters, "archived": "include"})), log, id_col=id_col)
+    else:
+        out = roles.filter(predicates(outcome=outcome, **filters))
+    asked: list[DataFrame] = []
+    if location:
+        place = F.col("location")
+        same = primary_location(place, aliases) == primary_location(F.lit(location), aliases) if location_primary else ascii_contains(place, F.lit(location))
+        asked.append((roles if postings is None else postings).filter(same).select(id_col))
+    if query_group:
+        asked.append(matches.filter(F.col("query_group") == query_group).select(id_col))
+    for ids in asked:
+        out = out.join(ids.join(own, id_col).select(F.col(root).alias(id_col)), id_col, "left_semi")
+    return out
+
+
 def sort_orders(id_col: str = "job_id") -> dict[str, list[Column]]:
     """Named orders; the id makes each of them total."""
     i = F.col(id_col).asc()
@@ -73,8 +118,8 @@ def observation() -> Column:
 
 
 def job_list(roles: DataFrame, matches: DataFrame, *, order: str = "newest", limit: int = 50, offset: int = 0, id_col: str = "job_id", **filters) -> DataFrame:
-    """A page of the rows that meet the named filters, with total, query_groups (sorted) and observation."""
-    top = page_with_total(roles.filter(predicates(**filters)), order, limit, offset, id_col)
+    """A page of the rows that meet the filters of filtered(), with total, query_groups (sorted) and observation."""
+    top = page_with_total(filtered(roles, matches=matches, id_col=id_col, **filters), order, limit, offset, id_col)
     groups = matches.join(F.broadcast(top.select(id_col)), id_col, "left_semi").groupBy(id_col).agg(F.array_sort(F.collect_set("query_group")).alias("query_groups"))  # 200 ids at most
     orders = sort_orders(id_col)
     out = top.join(groups, id_col, "left").withColumn("query_groups", F.coalesce("query_groups", F.expr("cast(array() AS array<string>)")))

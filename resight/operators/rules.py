@@ -244,19 +244,6 @@ def examples(classified: DataFrame, group: str, n: int, *order: Column) -> DataF
     return classified.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("nth") <= n)
 
 
-def reconcile(df: DataFrame) -> DataFrame:
-    """action for a classified row (archived, archived_reason, outcome): excluded first, duplicates stay, then restores and archives."""
-    restore = F.col("archived") & F.col("outcome").isin("manual_keep", "target", "unmatched")
-    action = (
-        F.when(F.col("outcome") == "excluded", "archive")
-        .when(F.col("archived") & F.lower("archived_reason").startswith("duplicate"), "shadow")
-        .when(restore, "restore")
-        .when(F.col("outcome") == "unrelated", "archive")
-        .otherwise("shadow")
-    )
-    return df.withColumn("action", action)
-
-
 def preview_decisions(classified: DataFrame, *, include_unmatched: bool = False, reconcile_archive: bool = False, batch_id: str = "preview") -> DataFrame:
     """Decisions that applying the classification would record, for stored rows (archived, archived_reason, ... as classify() gives them).
 

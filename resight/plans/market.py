@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import consolidate as C
@@ -9,7 +11,7 @@ from ..operators import provenance as P
 from ..operators import reports as R
 from ..operators import rules as U
 from ..operators import worklist as W
-from .base import MATCHES_SQL, POSTINGS_SQL, ROLLUP_SQL, SIGHTINGS_SQL, matches, moment, postings, query, sightings, table
+from .base import DECISIONS_SQL, MATCHES_SQL, POSTINGS_SQL, ROLLUP_SQL, SIGHTINGS_SQL, decisions, matches, moment, postings, query, sightings, table
 
 _T = "'%Y-%m-%d %H:%M:%S'"
 
@@ -382,24 +384,36 @@ def _(spark, d):
 # --- consolidation: documents as postings
 
 
+# Companies are named in several ways or not at all, titles differ in case and blanks or are placeholders, texts differ in blanks or are short.
+_DOC_COMPANY = "CASE doc_id % 9 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'N/A' WHEN 2 THEN 'Not  specified' WHEN 3 THEN ' Stra\u00dfe  AG' WHEN 4 THEN 'STRASSE AG' ELSE concat('Company ', lang) END"
+_DOC_TITLE = "CASE WHEN doc_id % 11 = 5 THEN 'Archived-placeholder' WHEN doc_id % 11 = 7 THEN concat('Jobs in ', lang) WHEN doc_id % 2 = 1 THEN concat('TITLE   ', lang) ELSE concat('Title ', lang) END"
+_DOC_TEXT = "CASE WHEN doc_id % 13 = 6 THEN concat('a', repeat(' ', 300)) WHEN doc_id % 4 = 1 THEN concat('  ', replace(text, ' ', '  ')) ELSE text END"
+
+
 def doc_postings(spark, d):
     docs = table(spark, d, "documents")
     return docs.select(
         F.col("doc_id").alias("job_id"),
         F.concat(F.lit("id:"), (F.col("doc_id") - F.col("doc_id") % 2).cast("string")).alias("identity"),
         "source",
-        F.concat(F.lit("Title "), "lang").alias("title"),
-        F.concat(F.lit("Company "), "lang").alias("company"),
-        "text",
+        F.expr(_DOC_TITLE).alias("title"),
+        F.expr(_DOC_COMPANY).alias("company"),
+        F.expr(_DOC_TEXT).alias("text"),
         F.col("doc_id").alias("last_seen"),
         F.col("doc_id").alias("first_seen"),
         (F.col("doc_id") % 3 == 0).alias("is_modern"),
     )
 
 
-_ROLE = """p AS (SELECT doc_id, doc_id - doc_id % 2 AS ident, source, lang, text FROM documents), s AS (SELECT ident, arg_max(source || '/' || lang || '/' || text, doc_id) AS k, arg_max(length(text), doc_id) AS n FROM p GROUP BY ident),
- keyed AS (SELECT doc_id, p.ident, CASE WHEN n >= 200 THEN k ELSE 'id:' || p.ident::VARCHAR END AS role FROM p JOIN s ON s.ident = p.ident),
- root AS (SELECT role, arg_min(doc_id, (doc_id % 3 <> 0, doc_id)) AS root, count(*) AS n FROM keyed GROUP BY role),
+_SQUEEZED = "nfc_normalize(trim(regexp_replace({}, '\\s+', ' ', 'g')))".format
+_FOLDED = lambda c: f"replace(lower({_SQUEEZED(c)}), '\u00df', 'ss')"
+# Of each identity the latest record with a valid title, else the latest; what it says is a role's key if title, company and text are good enough.
+_ROLE = f"""p AS (SELECT doc_id, doc_id - doc_id % 2 AS ident, source, {_DOC_TITLE} AS title, {_DOC_COMPANY} AS company, {_DOC_TEXT} AS text FROM documents),
+ v AS (SELECT *, title NOT LIKE 'Archived-placeholder' AND title NOT LIKE 'Jobs in %' AS valid FROM p),
+ newest AS (SELECT *, row_number() OVER (PARTITION BY ident ORDER BY valid DESC, doc_id DESC) AS nth FROM v),
+ said AS (SELECT ident, valid, {_FOLDED("source")} AS source, {_FOLDED("company")} AS company, {_FOLDED("title")} AS title, {_SQUEEZED("text")} AS text FROM newest WHERE nth = 1),
+ keyed AS (SELECT doc_id, v.ident, v.valid, CASE WHEN said.valid AND length(said.text) >= 200 AND said.company NOT IN ('', 'unknown', 'not specified', 'n/a') THEN concat_ws('/', said.source, said.company, said.title, said.text) ELSE 'id:' || v.ident::VARCHAR END AS role FROM v JOIN said ON v.ident = said.ident),
+ root AS (SELECT role, arg_min(doc_id, (NOT valid, doc_id % 3 <> 0, doc_id)) AS root, count(*) AS n FROM keyed GROUP BY role),
  members AS (SELECT doc_id, root, ident FROM keyed JOIN root USING (role) WHERE n > 1)"""
 
 
@@ -501,7 +515,7 @@ def _(spark, d):
 
 @query("flt_active_scope", f"WITH {_RECORDS} SELECT job_id FROM records WHERE NOT is_archived AND lower(source) = 'board'")
 def _(spark, d):
-    return roles(spark, d).filter(R.predicates(source="Board")).select("job_id")
+    return roles(spark, d).filter(R.predicates(scope="Board")).select("job_id")
 
 
 @query("flt_processable", f"WITH {_RECORDS} SELECT job_id FROM records r WHERE (job_id - job_id % 2) IN (SELECT job_id - job_id % 2 FROM records WHERE NOT is_archived) AND job_id % 5 NOT IN (1, 2, 3)")
@@ -511,9 +525,48 @@ def _(spark, d):
     return W.processable(r, r.select("job_id", (F.col("job_id") - F.col("job_id") % 2).alias("canonical_job_id"))).select("job_id")
 
 
-@query("flt_list_predicates", f"WITH {_RECORDS} SELECT job_id FROM records WHERE NOT is_archived AND (contains(lower(title), 'mach') OR contains(lower(company), 'mach') OR contains(lower(location), 'mach')) AND seen_count > 1 AND last_seen >= TIMESTAMP '1999-01-01' AND role_family = 'machinery'")
-def _(spark, d):
-    return roles(spark, d).filter(R.predicates(search="MACH", repeated=True, seen_since="1999-01-01 00:00:00", family="machinery")).select("job_id")
+# Roles are pairs of records: the first, with what is stored of it.  Each filter is one part of the result.
+_LISTED = f"""{_RECORDS}, {MATCHES_SQL}, {DECISIONS_SQL}, cur AS (SELECT job_id, arg_max(decision_source || ' ' || decision_action, (decided_at, decision_id)) AS last FROM decisions WHERE decision_action <> 'shadow' GROUP BY job_id),
+ members AS (SELECT job_id, location, job_id - (job_id - 1) % 2 AS root FROM records),
+ roles AS (SELECT * REPLACE (CASE WHEN job_id % 10 = 3 THEN '' WHEN job_id % 10 = 7 THEN NULL ELSE company END AS company), job_id % 4 = 1 AS flagged, CASE job_id % 6 WHEN 1 THEN 'target' WHEN 3 THEN 'manual_keep' ELSE 'unmatched' END AS outcome FROM records WHERE job_id % 2 = 1)"""
+_FILTERS: dict[str, tuple[dict, str]] = {
+    "none": ({}, "NOT is_archived"),
+    "archived only": ({"archived": "only"}, "is_archived"),
+    "archived too": ({"archived": "include"}, "true"),
+    "auto-archived": ({"outcome": "auto_archived"}, "is_archived AND outcome <> 'manual_keep' AND job_id IN (SELECT job_id FROM cur WHERE last = 'rule archive')"),
+    "favorite": ({"favorite": True}, "NOT is_archived AND is_favorite"),
+    "flagged": ({"flagged": True}, "NOT is_archived AND flagged"),
+    "search": ({"search": "MACH"}, "NOT is_archived AND (contains(lower(title), 'mach') OR contains(lower(company), 'mach') OR contains(lower(location), 'mach'))"),
+    "location": ({"location": "nation_1, "}, "NOT is_archived AND job_id IN (SELECT root FROM members WHERE contains(lower(location), 'nation_1, '))"),
+    "primary location": ({"location": "NATION_3 , elsewhere", "location_primary": True}, "NOT is_archived AND job_id IN (SELECT root FROM members WHERE trim(split_part(location, ',', 1)) = 'NATION_3')"),
+    "source": ({"source": "board"}, "NOT is_archived AND source = 'board'"),
+    "scope": ({"scope": "BOARD"}, "NOT is_archived AND lower(source) = 'board'"),
+    "company": ({"company": "ployer 1"}, "NOT is_archived AND contains(lower(company), 'ployer 1')"),
+    "exact company": ({"company": "Unknown", "company_exact": True}, "NOT is_archived AND coalesce(nullif(company, ''), 'Unknown') = 'Unknown'"),
+    "family": ({"family": "machinery"}, "NOT is_archived AND role_family = 'machinery'"),
+    "no family": ({"family": "unclassified"}, "NOT is_archived AND (role_family IS NULL OR role_family = '')"),
+    "seen since": ({"seen_since": "1998-01-01 00:00:00"}, "NOT is_archived AND last_seen >= TIMESTAMP '1998-01-01'"),
+    "repeated": ({"repeated": True}, "NOT is_archived AND seen_count > 1"),
+    "outcome": ({"outcome": "target"}, "NOT is_archived AND outcome = 'target'"),
+    "query group": ({"query_group": "ASIA"}, "NOT is_archived AND job_id IN (SELECT job_id - (job_id - 1) % 2 FROM matches WHERE query_group = 'ASIA')"),
+    "dates": ({"date_from": "1992-02-01 00:00:00", "date_to": "1993-06-01 00:00:00"}, "NOT is_archived AND first_seen BETWEEN TIMESTAMP '1992-02-01' AND TIMESTAMP '1993-06-01'"),
+    "many": (
+        {"archived": "include", "repeated": True, "location": "a", "query_group": "EUROPE", "seen_since": "1996-01-01 00:00:00", "family": "building"},
+        "seen_count > 1 AND job_id IN (SELECT root FROM members WHERE contains(lower(location), 'a')) AND job_id IN (SELECT job_id - (job_id - 1) % 2 FROM matches WHERE query_group = 'EUROPE') AND last_seen >= TIMESTAMP '1996-01-01' AND role_family = 'building'",
+    ),
+}
+
+
+@query("flt_list_predicates", f"WITH {_LISTED} " + " UNION ALL ".join(f"SELECT '{name}' AS filter, job_id FROM roles WHERE {where}" for name, (_, where) in _FILTERS.items()))
+def _(spark, d):
+    r, j = roles(spark, d), F.col("job_id")
+    members = r.select("job_id", (j - (j - 1) % 2).alias("canonical_job_id"))
+    listed = r.filter(j % 2 == 1).withColumns({
+        "company": F.when(j % 10 == 3, "").when(j % 10 != 7, F.col("company")), "flagged_at": F.when(j % 4 == 1, F.lit("2000-01-01").cast("timestamp_ntz")),
+        "outcome": F.when(j % 6 == 1, "target").when(j % 6 == 3, "manual_keep").otherwise("unmatched"),
+    })
+    found = [R.filtered(listed, membership=members, postings=r, matches=matches(spark, d), log=decisions(spark, d), **how).select(F.lit(name).alias("filter"), "job_id") for name, (how, _) in _FILTERS.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 _CARDS_SQL = "cards AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '  ' ELSE c_mktsegment END AS title, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'feed' END AS source, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS company, CASE WHEN c_custkey % 2 = 0 THEN ' ' ELSE c_acctbal::BIGINT::VARCHAR END AS salary FROM customer)"

@@ -77,11 +77,12 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text_key(F.col("text"))).alias("key"))
 
 
-@query("fn_valid_title", "SELECT p_partkey, p_partkey % 4 <> 0 AS valid FROM part")
+_TITLES = "CASE p_partkey % 8 WHEN 0 THEN 'Jobs in ' || p_name WHEN 1 THEN 'unknown' WHEN 2 THEN p_name || ' - Archived / placeholder' WHEN 3 THEN '  ' WHEN 4 THEN 'n/a' WHEN 5 THEN 'all jobs NEAR ' || p_name WHEN 6 THEN 'jobs inside ' || p_name ELSE p_name END"
+
+
+@query("fn_valid_title", f"SELECT p_partkey, trim(t) <> '' AND NOT regexp_matches(t, '(?i)archived[\\s/-]+placeholder|\\bjobs (in|near)\\b') AS valid FROM (SELECT p_partkey, {_TITLES} AS t FROM part)")
 def _(spark, d):
-    n = F.col("p_partkey") % 8
-    title = F.when(n == 0, F.concat(F.lit("Jobs in "), "p_name")).when(n == 4, F.lit(" unknown ")).otherwise(F.col("p_name"))
-    return table(spark, d, "part").select("p_partkey", T.valid_title(title).alias("valid"))
+    return table(spark, d, "part").select("p_partkey", F.expr(_TITLES).alias("t")).select("p_partkey", T.valid_title(F.col("t")).alias("valid"))
 
 
 @query("fn_primary_location", "SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN 'Unknown' WHEN n_name = 'NATION_3' THEN 'Zurich' ELSE n_name END AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey")

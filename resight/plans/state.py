@@ -148,10 +148,28 @@ def _(spark, d):
     return part(a.intersect(b), "both").unionByName(part(a.subtract(b), "first")).unionByName(part(b.subtract(a), "second"))
 
 
-@query("dml_record_decisions", f"WITH {DECISIONS_SQL} SELECT decision_id FROM decisions d WHERE decision_id % 2 = 1 AND (job_id, filter_name, decision_action, batch_id) NOT IN (SELECT (job_id, filter_name, decision_action, batch_id) FROM decisions WHERE decision_id % 2 = 0)")
+# A batch as it comes in: blank sources, actions, filters and reasons, confidences that are no numbers.
+_INCOMING = {
+    "decision_source": "CASE WHEN decision_id % 3 = 0 THEN ' ' ELSE decision_source END", "decision_action": "CASE WHEN decision_id % 5 = 0 THEN NULL ELSE decision_action END", "filter_name": "CASE WHEN decision_id % 7 = 0 THEN '  ' ELSE filter_name END",
+    "reason": "CASE WHEN decision_id % 11 = 0 THEN NULL ELSE concat(' because of ', filter_name) END", "confidence": "CASE decision_id % 4 WHEN 1 THEN '0.5' WHEN 2 THEN '' ELSE 'high' END",
+}
+_INCOMING_SQL = "SELECT decision_id, job_id, decided_at, batch_id, " + ", ".join(f"{sql} AS {c}" for c, sql in _INCOMING.items()) + " FROM decisions"
+_VALID_SQL = f"""incoming AS ({_INCOMING_SQL}), valid AS (SELECT decision_id, job_id, decided_at, batch_id, coalesce(nullif(trim(decision_source), ''), 'rule') AS decision_source, coalesce(nullif(trim(decision_action), ''), 'archive') AS decision_action, trim(filter_name) AS filter_name, trim(reason) AS reason,
+ TRY_CAST(confidence AS DOUBLE) AS confidence FROM incoming WHERE coalesce(trim(filter_name), '') <> '' AND coalesce(trim(reason), '') <> '')"""
+
+
+def _incoming(spark, d):
+    return decisions(spark, d).select("decision_id", "job_id", "decided_at", "batch_id", *(F.expr(sql).alias(c) for c, sql in _INCOMING.items()))
+
+
+@query(
+    "dml_record_decisions",
+    f"""WITH {DECISIONS_SQL}, {_VALID_SQL} SELECT decision_id, decision_source, decision_action, filter_name, reason, confidence FROM valid WHERE decision_id % 2 = 1
+    AND (job_id, filter_name, decision_action, batch_id) NOT IN (SELECT (job_id, filter_name, decision_action, batch_id) FROM decisions WHERE decision_id % 2 = 0)""",
+)
 def _(spark, d):
-    log = decisions(spark, d).withColumn("confidence", F.lit("0.5"))
-    return D.recorded(log.filter("decision_id % 2 = 1"), log.filter("decision_id % 2 = 0")).select("decision_id")
+    new = D.recorded(_incoming(spark, d).filter("decision_id % 2 = 1"), decisions(spark, d).filter("decision_id % 2 = 0"), F.lit("2024-02-01").cast("timestamp_ntz"))
+    return new.select("decision_id", "decision_source", "decision_action", "filter_name", "reason", "confidence")
 
 
 _OVERRIDES = f"""{DECISIONS_SQL}, overrides AS (SELECT job_id, arg_max(CASE WHEN decision_action = 'archive' THEN 'archive' ELSE 'keep' END, (decided_at, decision_id)) AS action FROM decisions WHERE decision_source = 'manual' GROUP BY job_id)"""
@@ -193,12 +211,29 @@ def _(spark, d):
     return D.archived(s, chosen).select("job_id", "archived_reason", "outcome")
 
 
-@query("dml_archive_with_decisions", f"WITH {DECISIONS_SQL} SELECT job_id, max(filter_name) AS reason, bool_or(decision_source = 'manual') AS manual FROM decisions WHERE decision_action = 'archive' AND job_id % 2 = 1 GROUP BY job_id")
+_STATE_SQL = "state AS (SELECT DISTINCT user_id AS job_id, user_id % 2 = 0 AS archived, CASE WHEN user_id % 2 = 0 THEN 'rule' END AS archived_reason, CASE WHEN user_id % 5 = 0 THEN 'manual_archive' ELSE 'unmatched' END AS outcome, 'family ' || (user_id % 3)::VARCHAR AS role_family FROM events)"
+
+
+def _with_family(spark, d):
+    return _state(spark, d).withColumn("role_family", F.concat(F.lit("family "), (F.col("job_id") % 3).cast("string")))
+
+
+def _both(result):
+    """State and decisions of a change as one table."""
+    state = result["state"].select(F.lit("state").alias("part"), "job_id", F.col("archived_at").isNotNull().cast("string").alias("a"), F.col("archived_reason").alias("b"), F.concat_ws(" ", "outcome", F.coalesce("role_family", F.lit("-"))).alias("c"))
+    made = result["decisions"].select(F.lit("decision").alias("part"), "job_id", F.concat_ws(" ", "decision_source", "decision_action").alias("a"), F.col("filter_name").alias("b"), F.col("reason").alias("c"))
+    return state.unionByName(made)
+
+
+@query(
+    "dml_archive_with_decisions",
+    f"""WITH {DECISIONS_SQL}, {_STATE_SQL}, {_VALID_SQL},
+    acts AS (SELECT job_id, arg_min(coalesce(nullif(trim(reason), ''), 'Archived by filter'), decision_id) AS why, bool_or(lower(trim(coalesce(decision_source, ''))) = 'manual' AND lower(coalesce(decision_action, '')) = 'archive') AS hand FROM incoming WHERE lower(coalesce(nullif(trim(decision_action), ''), 'archive')) = 'archive' GROUP BY job_id)
+    SELECT 'state' AS part, job_id, (archived OR why IS NOT NULL)::VARCHAR AS a, CASE WHEN archived THEN archived_reason ELSE why END AS b, CASE WHEN hand THEN 'manual_archive -' ELSE outcome || ' ' || role_family END AS c FROM state LEFT JOIN acts USING (job_id)
+    UNION ALL SELECT 'decision', job_id, decision_source || ' ' || decision_action, filter_name, reason FROM valid""",
+)
 def _(spark, d):
-    chosen = decisions(spark, d).filter("decision_action = 'archive'").groupBy("job_id").agg(F.max("filter_name").alias("reason"), F.max("decided_at").alias("at"), F.bool_or(F.col("decision_source") == "manual").alias("manual"))
-    s = _state(spark, d).withColumn("outcome", F.lit(None).cast("string"))
-    done = D.archived(s, chosen).filter("job_id % 2 = 1 AND archived_at IS NOT NULL")
-    return done.select("job_id", F.col("archived_reason").alias("reason"), F.coalesce(F.col("outcome") == "manual_archive", F.lit(False)).alias("manual"))
+    return _both(D.archived_with_decisions(_with_family(spark, d), _incoming(spark, d), F.lit("2024-02-01").cast("timestamp_ntz")))
 
 
 def _groups(spark, d):
@@ -206,18 +241,27 @@ def _groups(spark, d):
     return _state(spark, d).select("job_id", (F.col("job_id") - F.col("job_id") % 4).alias("canonical_job_id"))
 
 
-@query("dml_restore", "SELECT DISTINCT user_id AS job_id, CASE WHEN user_id // 4 % 3 = 0 THEN false ELSE user_id % 2 = 0 END AS archived, CASE WHEN user_id // 4 % 3 = 0 THEN 'manual_keep' WHEN user_id % 5 = 0 THEN 'manual_archive' ELSE 'unmatched' END AS outcome FROM events WHERE user_id // 4 * 4 + 1 IN (SELECT user_id FROM events) OR user_id // 4 % 3 <> 0")
+_ASKED_SQL = "asked AS (SELECT DISTINCT job_id - job_id % 4 AS root FROM state WHERE job_id % 8 = 3), members AS (SELECT job_id, job_id - job_id % 4 IN (SELECT root FROM asked) AS hit FROM state)"
+
+
+@query(
+    "dml_restore",
+    f"""WITH {_STATE_SQL}, {_ASKED_SQL} SELECT 'state' AS part, job_id, (archived AND NOT hit)::VARCHAR AS a, CASE WHEN NOT hit THEN archived_reason END AS b, CASE WHEN hit THEN 'manual_keep -' ELSE outcome || ' ' || role_family END AS c FROM state JOIN members USING (job_id)
+    UNION ALL SELECT 'decision', job_id, 'manual restore', 'manual_restore', 'Restored for reconsideration' FROM members WHERE hit""",
+)
 def _(spark, d):
-    ids = _state(spark, d).filter("job_id % 4 = 1 AND floor(job_id / 4) % 3 = 0").select("job_id")
-    out = D.restored(_state(spark, d), ids, _groups(spark, d)).select("job_id", F.col("archived_at").isNotNull().alias("archived"), "outcome")
-    has = _state(spark, d).filter("job_id % 4 = 1").select((F.col("job_id") - 1).alias("g"), F.lit(True).alias("has"))
-    return out.join(has, F.col("job_id") - F.col("job_id") % 4 == F.col("g"), "left").filter("has OR floor(job_id / 4) % 3 <> 0").select("job_id", "archived", "outcome")
+    s = _with_family(spark, d)
+    return _both(D.restored(s, s.filter("job_id % 8 = 3").select("job_id"), _groups(spark, d), F.lit("2024-02-01").cast("timestamp_ntz")))
 
 
-@query("dml_manual_archive", "SELECT DISTINCT user_id AS job_id FROM events WHERE user_id - user_id % 4 IN (SELECT user_id - user_id % 4 FROM events WHERE user_id % 8 = 3)")
+@query(
+    "dml_manual_archive",
+    f"""WITH {_STATE_SQL}, {_ASKED_SQL} SELECT 'state' AS part, job_id, (archived OR hit)::VARCHAR AS a, CASE WHEN NOT archived AND hit THEN 'Archived manually' ELSE archived_reason END AS b, CASE WHEN hit THEN 'manual_archive -' ELSE outcome || ' ' || role_family END AS c FROM state JOIN members USING (job_id)
+    UNION ALL SELECT 'decision', job_id, 'manual archive', 'manual_archive', 'Archived manually' FROM members WHERE hit""",
+)
 def _(spark, d):
-    s = _state(spark, d)
-    return D.members_of(s.filter("job_id % 8 = 3").select("job_id"), _groups(spark, d)).select("job_id")
+    s = _with_family(spark, d)
+    return _both(D.manually_archived(s, s.filter("job_id % 8 = 3").select("job_id"), _groups(spark, d), F.lit("2024-02-01").cast("timestamp_ntz")))
 
 
 @query("dml_flag", "SELECT DISTINCT user_id AS job_id, CASE WHEN user_id - user_id % 4 IN (SELECT user_id - user_id % 4 FROM events WHERE user_id % 8 = 3) THEN 'odd' END AS flag_reason FROM events")
