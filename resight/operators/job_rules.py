@@ -1,6 +1,10 @@
-"""Rule values for titles of job postings, for use with rules.RuleSets; larger sets come as a table (rules.rule_tables)."""
+"""Rule values for titles of job postings, for use with rules.RuleSets.  The personal, scope and unrelated sets are files in rule_values."""
 
-from .rules import RuleSets
+from importlib.resources import files
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .rules import Rule, RuleSets, in_table
 
 # Title patterns of student and trainee posts, in order.
 STUDY = [
@@ -121,10 +125,33 @@ EMPLOYERS = ["university positions"]
 AT_EMPLOYERS = [(["bucherer", "bucherer ag", "prada group"], ("retail_client_advisor", "retail_hospitality", [r"\bclient[\s/-]+advis(?:or|er)\w*\b"]))]
 
 
+def read_rules(text: str) -> list[Rule]:
+    """Rules from a file's text: lines `rule: family`, each followed by its patterns, indented; lines that begin with # are remarks."""
+    out: list[Rule] = []
+    for line in text.splitlines():
+        if line[:1].isspace() and line.strip():
+            out[-1][2].append(line.strip())
+        elif line.strip() and not line.startswith("#"):
+            rule, _, family = line.partition(":")
+            out.append((rule.strip(), family.strip(), []))
+    return out
+
+
+def file_rules(name: str) -> list[Rule]:
+    """The rules of one of this package's files: personal, scope or unrelated."""
+    return read_rules((files(__package__) / "rule_values" / f"{name}.txt").read_text(encoding="utf-8"))
+
+
 def job_rules(more: RuleSets | None = None) -> RuleSets:
-    """The rule sets of this file, with the personal, scope and unrelated ones of another (rules.rule_tables)."""
-    more = more or RuleSets()
+    """All rule sets for titles of job postings; with `more`, its personal, scope and unrelated ones instead of the files'."""
+    own = more or RuleSets(personal=file_rules("personal"), scope=file_rules("scope"), unrelated=file_rules("unrelated"))
     return RuleSets(
-        target=TARGET, adjacent=ADJACENT, personal=more.personal, scope=more.scope, unrelated=more.unrelated, study=STUDY, keywords=more.keywords, stems=more.stems,
-        employers=EMPLOYERS, at_employers=AT_EMPLOYERS, consulting=CONSULTING, implementation=IMPLEMENTATION, version=more.version,
+        target=TARGET, adjacent=ADJACENT, personal=own.personal, scope=own.scope, unrelated=own.unrelated, study=STUDY, keywords=own.keywords, stems=own.stems,
+        employers=EMPLOYERS, at_employers=AT_EMPLOYERS, consulting=CONSULTING, implementation=IMPLEMENTATION, version=own.version,
     )
+
+
+def rules_table(spark: SparkSession) -> DataFrame:
+    """The five sets of rules and the lists of study and academic patterns as a table for rules.rule_tables()."""
+    sets = job_rules()
+    return in_table(spark, {**{s: getattr(sets, s) for s in ("target", "adjacent", "personal", "scope", "unrelated")}, **{s: [(s, s, getattr(sets, s))] for s in ("study", "academic")}})

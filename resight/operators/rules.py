@@ -1,15 +1,18 @@
 """Explainable classification by ordered rule sets.
 
-Rules are data: lists of (rule, family, patterns), or a table of them.  They compile to literal column expressions, one
-regular expression after the other, so that the first pattern in order wins whatever its place in the text.
+Rules are data: lists of (rule, family, patterns), or a table of them.  They compile to literal column expressions, in which the first pattern
+in order wins whatever its place in the text.  An index of literals, taken from the patterns themselves, says which of them a text can meet at all: only those
+are tried as regular expressions.
 """
 
 from __future__ import annotations
 
 import re
+import re._parser as parser  # the tree of a pattern
 from dataclasses import dataclass, field
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import folded
@@ -51,6 +54,12 @@ class RuleSets:
     version: str = "1"
 
 
+def in_table(spark: SparkSession, sets: dict[str, list[Rule]]) -> DataFrame:
+    """Rule sets as a table (set, rule_pos, rule, family, pat_pos, pattern), which rule_table() reads back."""
+    rows = [(s, i, rule, family, j, p) for s, rules in sets.items() for i, (rule, family, patterns) in enumerate(rules) for j, p in enumerate(patterns)]
+    return spark.createDataFrame(rows, "set string, rule_pos int, rule string, family string, pat_pos int, pattern string")
+
+
 def rule_table(df: DataFrame) -> dict[str, list[Rule]]:
     """Rule sets from a table (set, rule_pos, rule, family, pat_pos, pattern): a rule file is small and comes to the driver."""
     out: dict[str, dict] = {}
@@ -70,9 +79,87 @@ def _none(kind: str = "string") -> Column:
     return F.lit(None).cast(kind)
 
 
+#: Literals of a pattern shorter than that say too little.
+SHORTEST_LITERAL = 2
+#: Lists of so many patterns and more are asked through the index.
+INDEXED = 8
+
+
+def _best(found: list[frozenset[str]]) -> frozenset[str]:
+    """Of several requirements that all hold, the one that says most: its shortest literal is longest."""
+    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=frozenset())
+
+
+def _required(items) -> frozenset[str]:
+    """Literals of which a match of a parsed sequence holds at least one; empty where nothing is sure."""
+    run, found = "", []
+    for kind, value in items:
+        if kind == parser.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            found.append(frozenset([run]))
+        run = ""
+        if kind == parser.SUBPATTERN:
+            inner = _required(value[-1])
+        elif kind in (parser.MAX_REPEAT, parser.MIN_REPEAT) and value[0] > 0:
+            inner = _required(value[2])
+        elif kind == parser.BRANCH:
+            each = [_required(x) for x in value[1]]
+            inner = frozenset().union(*each) if all(each) else frozenset()
+        else:
+            inner = frozenset()
+        if inner:
+            found.append(inner)
+    return _best([*found, frozenset([run])] if run else found)
+
+
+@lru_cache(maxsize=4096)
+def literals(pattern: str) -> frozenset[str]:
+    """Literals of which every match of the pattern holds one; empty if there are none that are worth a look."""
+    found = _required(parser.parse(pattern))
+    return found if found and min(map(len, found)) >= SHORTEST_LITERAL else frozenset()
+
+
+def _branches(words: set[str]) -> str:
+    """A regular expression for the longest of the words that stands at a place."""
+    by: dict[str, set[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], set()).add(w[1:])
+    inner = [re.escape(c) + _branches(rest) for c, rest in sorted(by.items()) if c]
+    if not inner or (len(inner) == 1 and "" not in by):
+        return "".join(inner)
+    return f"(?:{'|'.join(inner)})" + ("?" if "" in by else "")
+
+
+def candidates(text: Column, patterns: list[str]) -> Column:
+    """The numbers of the patterns that a text can meet, in order: one pass looks up, at each place, the literals that stand there.
+
+    The index is a tree of all literals as one expression, and for the longest at a place the patterns that need it or a beginning of it.  Patterns
+    that need none are always among the candidates; a null text has none.
+    """
+    needs = [literals(p) for p in patterns]
+    known = set().union(*needs)
+    always = F.array(*(F.lit(i) for i, n in enumerate(needs) if not n)).cast("array<int>")
+    if not known:
+        return F.when(text.isNotNull(), always)
+    of = {x: [i for i, n in enumerate(needs) if any(x.startswith(y) for y in n)] for x in sorted(known)}
+    index = F.create_map(*(c for x, ids in of.items() for c in (F.lit(x), F.array(*map(F.lit, ids)))))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({_branches(known)}))"), F.lit(1)))
+    return F.array_sort(F.array_distinct(F.concat(always, F.flatten(F.transform(found, lambda x: F.try_element_at(index, x))))))
+
+
+def _met(text: Column, patterns: list[str]) -> Column:
+    """The numbers of the patterns that a text meets, in order."""
+    every = F.array(*map(F.lit, patterns))
+    return F.filter(candidates(text, patterns), lambda i: F.rlike(text, F.get(every, i)))
+
+
 def first_pattern(text: Column, patterns: list[str]) -> Column:
     """The first pattern, in the order of the list, that is found; null if none is."""
-    return F.coalesce(*(F.when(text.rlike(p), F.lit(p)) for p in patterns), _none()) if patterns else _none()
+    if len(patterns) < INDEXED:
+        return F.coalesce(*(F.when(text.rlike(p), F.lit(p)) for p in patterns), _none())
+    return F.get(F.array(*map(F.lit, patterns)), F.get(_met(text, patterns), F.lit(0)))
 
 
 def keyword_pattern(keyword: str, stems: tuple[str, ...] = ()) -> str:
@@ -106,14 +193,22 @@ _MATCH = "struct<rule:string,family:string,pattern:string,text:string>"
 
 def all_matches(text: Column, rules: list[Rule]) -> Column:
     """Array of (rule, family, pattern, text): for each rule that matches, its first pattern and what it found, in rule order."""
-    if not rules:
-        return F.expr(f"cast(array() AS array<{_MATCH}>)")
-
-    def found(rule: str, family: str, patterns: list[str]) -> Column:
-        fits = (F.when(text.rlike(p), F.struct(F.lit(rule).alias("rule"), F.lit(family).alias("family"), F.lit(p).alias("pattern"), F.regexp_extract(text, p, 0).alias("text"))) for p in patterns)
-        return F.coalesce(*fits, _none(_MATCH))
-
-    return F.filter(F.array(*(found(*r) for r in rules)), lambda x: x.isNotNull())
+    flat = [(rule, family, p, k) for k, (rule, family, patterns) in enumerate(rules) for p in patterns]
+    none = F.expr(f"cast(array() AS array<{_MATCH}>)")
+    if not flat:
+        return none
+    if len(flat) < INDEXED:
+
+        def found(rule: str, family: str, patterns: list[str]) -> Column:
+            fits = (F.when(text.rlike(p), F.struct(F.lit(rule).alias("rule"), F.lit(family).alias("family"), F.lit(p).alias("pattern"), F.regexp_extract(text, p, 0).alias("text"))) for p in patterns)
+            return F.coalesce(*fits, _none(_MATCH))
+
+        return F.filter(F.array(*(found(*r) for r in rules)), lambda x: x.isNotNull())
+    every = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(family).alias("family"), F.lit(p).alias("pattern"), F.lit(k).alias("nth")) for rule, family, p, k in flat))
+    met = F.transform(_met(text, [p for _, _, p, _ in flat]), lambda i: F.get(every, i))
+    # of a rule's patterns, which stand together, the first
+    first = F.aggregate(met, F.slice(every, 1, 0), lambda out, x: F.when((F.size(out) > 0) & (F.get(out, F.size(out) - 1)["nth"] == x["nth"]), out).otherwise(F.concat(out, F.array(x))))
+    return F.coalesce(F.transform(first, lambda x: F.struct(x["rule"].alias("rule"), x["family"].alias("family"), x["pattern"].alias("pattern"), F.regexp_extract_all(text, x["pattern"], F.lit(0))[0].alias("text"))), none)
 
 
 def classify(df: DataFrame, sets: RuleSets, *, title: str = "title", company: str = "company", manual: str | None = None) -> DataFrame:

@@ -61,10 +61,13 @@ def _stored(spark, d):
     return c, U.preview_decisions(c, reconcile_archive=True, batch_id="b1")
 
 
-# A rule table that Spark derives from part names: their last words, each a rule.
-def _word_rules(spark, d):
-    words = table(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("word")).distinct()
-    return words.select(F.lit("unrelated").alias("set"), F.ascii("word").alias("rule_pos"), F.col("word").alias("rule"), F.concat(F.lit("family "), "word").alias("family"), F.lit(0).alias("pat_pos"), F.concat(F.lit("\\b"), "word", F.lit("\\b")).alias("pattern"))
+# Titles made of part names, with what the rule files say of them: outcome, first rule, value.
+_TITLED = [
+    ("{} data scientist", "target", "data_science", "data scientist"), ("Lead {} Data Scientist", "excluded", "data_science", "lead"), ("{} SAP Analytics", "excluded", "analytics_bi", "sap"), ("Analytics Engineer {}", "target", "analytics_bi", "analytics"),
+    ("{} Backend Developer", "excluded", "personal_software", "backend"), ("{} developer", "excluded", "engineering_role", "developer"), ("Business Developer {}", "unmatched", None, None), ("{} Masterclass", "excluded", "training_recruitment", "masterclass"),
+    ("Sachbearbeiter:in {}", "unrelated", "clerical_processing", "clerical_processing"), ("LKW-Fahrer {}", "unrelated", "driving_delivery", "driving_delivery"), ("{} Payroll Buyer", "unrelated", "purchasing_procurement", "purchasing_procurement"), ("{} Verk\u00e4ufer", "unrelated", "retail_hospitality", "retail_hospitality"),
+    ("Snowflake Consultant {}", "excluded", "consulting_implementation", "snowflake"), ("Strategieberater {}", "unrelated", "general_consulting", "general_consulting"), ("Intern {}", "excluded", "study_role", "\\bintern(?:ship)?\\b"), ("{}", "unmatched", None, None),
+]
 
 
 @query("flt_keyword", "SELECT p_partkey AS job_id, CASE WHEN regexp_matches(p_name, '\\bred widget\\b') THEN 'red widget' WHEN contains(p_name, 'blu') THEN 'blu' WHEN regexp_matches(p_name, '\\bgear\\b') THEN 'gear' END AS keyword FROM part")
@@ -101,10 +104,18 @@ def _(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("job_id"), U.academic_match(title, company, U.ACADEMIC).alias("pattern"))
 
 
-@query("cls_rule_tables", "SELECT p_partkey AS job_id, split_part(p_name, ' ', 2) AS rule, 'family ' || split_part(p_name, ' ', 2) AS matched_value, 'unrelated' AS outcome FROM part")
+_TITLED_SQL = ", ".join(f"({i}, '{o}', {'NULL' if r is None else repr(r)}, {'NULL' if v is None else repr(v).replace(chr(92) * 2, chr(92))})" for i, (_, o, r, v) in enumerate(_TITLED))
+
+
+@query("cls_rule_tables", f"SELECT p_partkey AS job_id, outcome, rule, matched_value FROM part JOIN (VALUES {_TITLED_SQL}) t(i, outcome, rule, matched_value) ON i = p_partkey % {len(_TITLED)}")
 def _(spark, d):
-    c = U.classify(titles(spark, d), U.rule_tables(_word_rules(spark, d)))
-    return c.select("job_id", F.get("matches", F.lit(0)).alias("rule"), "matched_value", "outcome")
+    from ..operators.job_rules import AT_EMPLOYERS, CONSULTING, EMPLOYERS, IMPLEMENTATION, rules_table
+
+    sets = U.rule_tables(rules_table(spark))
+    sets.employers, sets.at_employers, sets.consulting, sets.implementation = EMPLOYERS, AT_EMPLOYERS, CONSULTING, IMPLEMENTATION
+    form = F.get(F.array(*(F.lit(t[0]) for t in _TITLED)), (F.col("job_id") % len(_TITLED)).cast("int"))
+    c = U.classify(titles(spark, d).withColumn("title", F.replace(form, F.lit("{}"), F.col("title"))), sets)
+    return c.select("job_id", "outcome", F.get("matches", F.lit(0)).alias("rule"), "matched_value")
 
 
 @query("cls_all_matches", "SELECT p_partkey AS job_id, concat_ws('|', CASE WHEN regexp_matches(p_name, 'bolt') THEN 'fasteners:bolt' WHEN regexp_matches(p_name, 'rod') THEN 'fasteners:rod' END, CASE WHEN regexp_matches(p_name, 'plate') THEN 'sheet:plate' WHEN regexp_matches(p_name, 'small') THEN 'sheet:' || p_name END) AS found FROM part")
