@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resight.llm import decontaminate, langid, mixing, pii, simhash
-from resight.llm._spark import new_path, table, written
+from resight.llm._spark import new_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -44,11 +44,9 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their texts, how many words of each the mix takes, and which ones go to which shard and place in it.
 
-    The shuffled shards themselves are written beside it, to a new folder `shards-...` of the shared one.
+    mixing.written_mix() writes the shuffled shards from this; with a third copy of the texts, the disk of this stage would pass its limit.
     """
-    mixed = written(mixing.with_pieces(docs), "mixed")
-    mixing.written_mix(mixed, new_path(spark, "shards"))
-    return mixed
+    return mixing.with_pieces(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
