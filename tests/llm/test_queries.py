@@ -30,6 +30,9 @@ COLUMNS = {
     "op8_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op9_remove_repeats": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op10_simhash_near_dedup": "doc_id fingerprint component_id",
+    "op11_source_divergence": "lang source part item value rank",
+    "op12_embedding_near_dedup": "vec_id n_links component_id kept",
+    "op13_tokenizer_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 
 
@@ -122,3 +125,21 @@ def test_personal_data(spark, docs):
 def test_near_duplicates(spark, docs):
     got = sorted((r.doc_id, int(r.fingerprint, 16), r.component_id) for r in result(spark, "op10_simhash_near_dedup"))
     assert got == groups([(d, r.text) for d, r in docs.items()])
+
+
+def test_near_duplicate_embeddings(spark):
+    from .test_neighbours import plain
+
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in result(spark, "op12_embedding_near_dedup"))
+    assert got == plain([(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()])
+
+
+def test_alignments(spark, docs):
+    from .test_alignment import FILES, plain
+
+    if not all(map(os.path.exists, FILES)):
+        pytest.skip("no vocabulary files here")
+    names = COLUMNS["op13_tokenizer_alignment"].split()
+    some = sorted(docs)
+    got = sorted(tuple(r[n] for n in names) for r in result(spark, "op13_tokenizer_alignment"))
+    assert got == plain([(d, docs[d].text) for d in some])
