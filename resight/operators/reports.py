@@ -183,10 +183,22 @@ def options(roles: DataFrame, matches: DataFrame, n: int = 200) -> DataFrame:
     return kind(roles, "company", "company").orderBy(F.lower("value"), "value").limit(n).unionByName(kind(roles, "family", "role_family")).unionByName(kind(matches, "query_group", "query_group"))
 
 
-def public_report(report: Column, dropped: list[str], listed: str = "conflicts", n: int = 10) -> Column:
-    """A report (struct) as JSON without its bulky fields; of the listed field only the first n entries, and their number as <listed>_total."""
+def first_of_groups(df: DataFrame, by: str, item: str, n: int = 10) -> DataFrame:
+    """(by, items, total): the first n items of each group in order, and how many rows it has.
+
+    No task holds a group: the number is summed before the shuffle, and all but the first n of each task are dropped there too.  Null items count and are not listed.
+    """
+    totals = df.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.col(item).asc_nulls_last()))
+    top = df.select(by, item).withColumn("_n", nth).filter(F.col("_n") <= n).groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return totals.join(top, totals[by].eqNullSafe(top[by])).select(totals[by], "items", "total")
+
+
+def public_report(report: Column, dropped: list[str], listed: str = "conflicts", n: int = 10, total: Column | None = None) -> Column:
+    """A report (struct) as JSON without its bulky fields; of the listed field only the first n entries, and their number as <listed>_total: `total`, where the
+    field doesn't hold all of them."""
     out = report.dropFields(*dropped) if dropped else report
-    return F.to_json(out.withField(f"{listed}_total", F.size(report[listed])).withField(listed, F.slice(report[listed], 1, n)))
+    return F.to_json(out.withField(f"{listed}_total", F.size(report[listed]) if total is None else total).withField(listed, F.slice(report[listed], 1, n)))
 
 
 def role_mix(roles: DataFrame, family: str = "role_family") -> DataFrame:

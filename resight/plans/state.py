@@ -392,8 +392,8 @@ def _(spark, d):
     """SELECT c_mktsegment AS segment, json_object('segment', c_mktsegment, 'total', count(*), 'conflicts', list(c_custkey ORDER BY c_custkey)[1:10], 'conflicts_total', count(*))::VARCHAR AS report FROM customer GROUP BY c_mktsegment""",
 )
 def _(spark, d):
-    from ..operators.reports import public_report
+    from ..operators.reports import first_of_groups, public_report
 
-    c = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_list("c_custkey")).alias("conflicts"))
-    report = F.struct(F.col("c_mktsegment").alias("segment"), "total", F.col("conflicts").alias("evaluations"), "conflicts")
-    return c.select(F.col("c_mktsegment").alias("segment"), public_report(report, ["evaluations"]).alias("report"))
\ No newline at end of file
+    c = first_of_groups(table(spark, d, "customer"), "c_mktsegment", "c_custkey")
+    report = F.struct(F.col("c_mktsegment").alias("segment"), "total", F.col("items").alias("evaluations"), F.col("items").alias("conflicts"))
+    return c.select(F.col("c_mktsegment").alias("segment"), public_report(report, ["evaluations"], total=F.col("total")).alias("report"))

@@ -145,3 +145,10 @@ def test_filters_that_ask_for_others_are_semi_joins(listed):
 def test_roles_without_memberships_are_their_own_members(spark):
     roles = spark.createDataFrame([(1, "Bern"), (2, "Basel")], "job_id int, location string").withColumn("is_archived", F.lit(False))
     assert [r.job_id for r in R.filtered(roles, location="bas").collect()] == [2]
+
+
+def test_first_of_groups_holds_no_group(spark):
+    df = spark.createDataFrame([("a", i) for i in range(30, 0, -1)] + [("b", None), ("b", 2), (None, 5)], "g string, x int")
+    out = R.first_of_groups(df, "g", "x", 3)
+    assert {r.g: (r["items"], r.total) for r in out.collect()} == {"a": ([1, 2, 3], 30), "b": ([2], 2), None: ([5], 1)}
+    assert out._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2  # before and after the shuffle
