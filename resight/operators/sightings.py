@@ -62,15 +62,16 @@ def valid_records(cards: DataFrame, *, default_salary: str = "Not specified") ->
     return good, out.filter("_why IS NOT NULL").withColumnRenamed("_why", "reason")
 
 
-def upsert(state: DataFrame, seen: DataFrame, batch: DataFrame, attributes: list[str], *, id_col: str = "job_id", keep_old: tuple[str, ...] = ("salary",)) -> tuple[DataFrame, DataFrame]:
+def upsert(state: DataFrame, seen: DataFrame, batch: DataFrame, attributes: list[str], *, id_col: str = "job_id", keep_old: tuple[str, ...] = ("salary",), times: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """New state and new sightings after a batch (id, run_id, observed_at, arrival, attributes).
 
     A row of the batch counts unless its (id, run) or (id, time) was seen, before or earlier in the batch.  Attributes are those of the
     last arrival; first and last seen are minimum and maximum, the count grows by the sightings that count.  Applying a batch twice
     changes nothing more.  Of the attributes in keep_old the stored one stays where the incoming one says nothing (UNSPECIFIED).
+    seen has the (id, run) and (id, time) of earlier sightings; with `times` (id, observed_at) it needs to have the first alone.
     """
     by_run = keep_first(keep_first(batch, [id_col, "run_id"], "arrival"), [id_col, "observed_at"], "arrival")
-    fresh = by_run.join(seen.select(id_col, "run_id"), [id_col, "run_id"], "left_anti").join(seen.select(id_col, "observed_at"), [id_col, "observed_at"], "left_anti")
+    fresh = by_run.join(seen.select(id_col, "run_id"), [id_col, "run_id"], "left_anti").join((seen if times is None else times).select(id_col, "observed_at"), [id_col, "observed_at"], "left_anti")
     last = batch.groupBy(id_col).agg(F.max_by(F.struct(*attributes), "arrival").alias("_new"), F.min("observed_at").alias("_low"))
     delta = fresh.groupBy(id_col).agg(F.max("observed_at").alias("_high"), F.count(F.lit(1)).alias("_n"))
     change = last.join(delta, id_col, "left")

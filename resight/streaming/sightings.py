@@ -7,66 +7,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.sightings import upsert
+from .parts import PART_ROWS, PartTables
 
-#: Parts by a hash of the id that state and sightings are kept in: a micro-batch reads and writes those that it touches.
-BUCKETS = 16
 
-
-def _done(spark: SparkSession, root: str, before: int | None = None) -> dict[int, int]:
-    """The newest finished batch of each bucket (before a given one): a number for each bucket."""
-    try:
-        done = spark.read.schema("batch bigint, bucket int").parquet(f"{root}/done")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return {}
-    done = done if before is None else done.filter(F.col("batch") < before)
-    return {r["bucket"]: r["batch"] for r in done.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()}
-
-
-def _parts(newest: dict[int, int]) -> F.Column:
-    """The state's partitions that hold the newest version of each bucket, as a condition on partition columns."""
-    by: dict[int, list[int]] = {}
-    for bucket, batch in newest.items():
-        by.setdefault(batch, []).append(bucket)
-    out = F.lit(False)
-    for batch, buckets in by.items():
-        out = out | ((F.col("batch") == batch) & F.col("bucket").isin(buckets))
-    return out
+def _tables(spark: SparkSession, root: str, schema: T.StructType, attributes: list[str], id_col: str, part_rows: int = PART_ROWS) -> PartTables:
+    """The state by id; which (id, run) and which (id, time) were seen, each by its own key, so that an id seen very often is spread too."""
+    kind = {f.name: f.dataType.simpleString() for f in schema.fields}
+    ddl = lambda cols: ", ".join(f"`{c}` {t}" for c, t in cols.items())
+    time = kind["observed_at"]
+    figures = {c: kind[c] for c in (id_col, *attributes)} | {"first_seen": time, "last_seen": time, "seen_count": "bigint"}
+    keyed = lambda c: ([id_col, c], ddl({id_col: kind[id_col], c: kind[c]}))
+    return PartTables(spark, root, {"state": ([id_col], ddl(figures)), "runs": keyed("run_id"), "times": keyed("observed_at")}, part_rows)
 
 
 def read_state(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/state").filter(_parts(_done(spark, root))).drop("batch", "bucket")
+    """The state after the newest batch that was finished; empty where none was."""
+    last = spark.read.schema("batches bigint, schema string, attributes array<string>, id_col string").parquet(f"{root}/done").orderBy(F.desc("batches")).first()
+    tables = _tables(spark, root, T._parse_datatype_json_string(last["schema"]), last["attributes"], last["id_col"])
+    return tables.read("state", last["batches"])
 
 
-def start_ingest(stream: DataFrame, root: str, attributes: list[str], checkpoint: str, *, id_col: str = "job_id", buckets: int = BUCKETS) -> StreamingQuery:
-    """Upserts each micro-batch (id, run_id, observed_at, arrival, attributes) into the state under root, and adds its sightings.
+def start_ingest(stream: DataFrame, root: str, attributes: list[str], checkpoint: str, *, id_col: str = "job_id", part_rows: int = PART_ROWS) -> StreamingQuery:
+    """Upserts each micro-batch (id, run_id, observed_at, arrival, attributes) into the state under root, and adds its sightings (id, run_id,
+    observed_at, is_new) as root/sightings/batch=<number>.
 
-    Both are kept by buckets of ids.  A batch reads the buckets that its ids fall into, as the batches before it left them, and
-    writes new versions of those alone, by its number, so that one that is replayed, after a loss at any point, writes the same again.
+    A batch reads and writes the parts that its keys fall into (see PartTables): its cost follows its own size, not the history's.  One
+    that is run again, after a loss at any point, writes the same again.  Null runs are never the same run; rows
+    without an id are passed over.
     """
     spark = stream.sparkSession
-    fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    kinds = {c: fields[c] for c in (id_col, "run_id", "observed_at", *attributes)}
-    empty = lambda cols: spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in cols.items()))
-    figures = {id_col: kinds[id_col]} | {a: kinds[a] for a in attributes} | {"first_seen": kinds["observed_at"], "last_seen": kinds["observed_at"], "seen_count": "bigint"}
-    bucket = F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int").alias("bucket")
+    tables = _tables(spark, root, stream.schema, attributes, id_col, part_rows)
+    columns = [id_col, "run_id", "observed_at", "arrival", *attributes]
 
     def apply(batch: DataFrame, number: int) -> None:
-        touched = sorted(r["bucket"] for r in batch.select(bucket).distinct().collect())  # numbers of buckets
-        newest = {k: v for k, v in _done(spark, root, number).items() if k in touched}
-        seen, state = empty({c: kinds[c] for c in (id_col, "run_id", "observed_at")}), empty(figures)
-        if newest:
-            kept = F.col("bucket").isin(list(newest)) & (F.col("batch") < number)
-            seen = spark.read.parquet(f"{root}/sightings").filter(kept).select(*seen.columns)
-            state = spark.read.parquet(f"{root}/state").filter(_parts(newest)).select(*state.columns)
-        new_state, new = upsert(state, seen, batch, attributes, id_col=id_col)
-        new_state.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/state/batch={number}")
-        new.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/sightings/batch={number}")
-        spark.createDataFrame([(number, k) for k in touched], "batch bigint, bucket int").coalesce(1).write.mode("append").parquet(f"{root}/done")
+        path = f"{root}/incoming/batch-{number}"
+        batch = batch.filter(F.col(id_col).isNotNull()).select(*columns)
+        batch.write.mode("overwrite").parquet(path)
+        batch = spark.read.schema(batch.schema).parquet(path)
+        held = tables.fetch(batch, number)
+        state, new = upsert(held["state"].rows, held["runs"].rows, batch, attributes, id_col=id_col, times=held["times"].rows)
+        sightings = f"{root}/sightings/batch={number}"
+        new.write.mode("overwrite").parquet(sightings)
+        new = spark.read.schema(new.schema).parquet(sightings)
+        rows = {"state": state} | {t: held[t].rows.unionByName(new.select(id_col, c).filter(F.col(c).isNotNull())) for t, c in (("runs", "run_id"), ("times", "observed_at"))}
+        tables.put(held, rows, number)
+        done = [(number + 1, stream.schema.json(), attributes, id_col)]
+        spark.createDataFrame(done, "batches bigint, schema string, attributes array<string>, id_col string").coalesce(1).write.mode("append").parquet(f"{root}/done")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -348,24 +348,6 @@ def test_job_rules(spark, title, outcome, family):
     assert (r.outcome, r.role_family) == (outcome, family)
 
 
-def test_ingest_touches_only_the_buckets_of_a_batch(spark, tmp_path):
-    from resight.streaming.sightings import read_state, start_ingest
-
-    kind = "job_id int, run_id string, observed_at timestamp_ntz, arrival bigint, title string"
-    from datetime import datetime as dt
-
-    put = lambda rows: spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
-    run = lambda: start_ingest(spark.readStream.schema(kind).parquet(f"file://{tmp_path}/in"), f"file://{tmp_path}/out", ["title"], f"file://{tmp_path}/check", buckets=4).awaitTermination()
-    put([(i, "r1", dt(2024, 1, 1 + i), i, f"t{i}") for i in range(12)])
-    run()
-    put([(3, "r2", dt(2023, 1, 1), 100, "new"), (3, "r1", dt(2024, 5, 1), 101, "newest"), (50, "r2", dt(2024, 2, 1), 102, "x")])
-    run()
-    state = {r.job_id: (r.title, r.first_seen, r.last_seen, r.seen_count) for r in read_state(spark, f"file://{tmp_path}/out").collect()}
-    assert len(state) == 13 and state[3] == ("newest", dt(2023, 1, 1), dt(2024, 1, 4), 2) and state[5] == ("t5", dt(2024, 1, 6), dt(2024, 1, 6), 1)
-    done = spark.read.parquet(f"file://{tmp_path}/out/done").collect()
-    assert len({r.bucket for r in done if r.batch == 0}) == 4 and len({r.bucket for r in done if r.batch == 1}) <= 2
-
-
 def test_folding_of_quotes_keeps_places():
     import random
     import unicodedata
