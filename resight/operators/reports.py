@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_contains, primary_location
 from ..functions.values import active_days
+from ..sources.tables import scratch
 from .decisions import auto_archived
 from .provenance import detail
 
@@ -236,22 +237,45 @@ def recurring(df: DataFrame, n: int = 5, id_col: str = "job_id") -> DataFrame:
     return df.filter("seen_count > 1").orderBy(F.desc("seen_count"), F.desc("last_seen"), id_col).limit(n)
 
 
-def freshness(seen: DataFrame, as_of: Column, stale_after: int = 7, time_col: str = "observed_at") -> DataFrame:
-    """One row: newest sighting, its age in whole days, and empty, fresh, aging or stale."""
-    newest = seen.agg(F.max(time_col).alias("newest"))
-    age = F.greatest(F.lit(0.0), (F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(F.col("newest").cast("timestamp"))) / 86400.0)
-    status = F.when(F.col("newest").isNull(), "empty").when(age <= min(2, stale_after), "fresh").when(age <= stale_after, "aging").otherwise("stale")
-    return newest.select("newest", F.floor(age).alias("age_days"), status.alias("status"))
+def _age(newest: Column, as_of: Column, stale_after: int = 7) -> tuple[Column, Column]:
+    """Age in days, never negative, and what it is called."""
+    age = F.greatest(F.lit(0.0), (F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(newest.cast("timestamp"))) / 86400.0)
+    age = F.when(newest.isNotNull(), age)
+    return age, F.when(newest.isNull(), "empty").when(age <= min(2, stale_after), "fresh").when(age <= stale_after, "aging").otherwise("stale")
+
+
+def freshness(seen: DataFrame, as_of: Column, stale_after: int = 7, time_col: str = "observed_at", *, roles: DataFrame | None = None) -> DataFrame:
+    """One row: newest sighting, its age in whole days, empty, fresh, aging or stale, and the source of the figure.
+
+    Without any sighting the newest active role counts, by its last_seen, first_seen or created_at (those of them that roles has): source is observation, record, or null where
+    nothing tells.
+    """
+    newest = seen.agg(F.max(time_col).cast("timestamp_ntz").alias("newest"), F.max(F.when(F.col(time_col).isNotNull(), "observation")).alias("source"))
+    if roles is not None:
+        when = F.coalesce(*(F.col(c).cast("timestamp_ntz") for c in ("last_seen", "first_seen", "created_at") if c in roles.columns))
+        other = roles.filter("NOT is_archived").agg(F.max(when).alias("_role"))
+        newest = newest.crossJoin(F.broadcast(other)).select(F.coalesce("newest", "_role").alias("newest"), F.coalesce("source", F.when(F.col("_role").isNotNull(), "record")).alias("source"))  # one row each
+    age, status = _age(F.col("newest"), as_of, stale_after)
+    return newest.select("newest", F.floor(age).alias("age_days"), status.alias("status"), "source")
+
+
+_SECTIONS = ["source", "company", "location", "role_family"]
+_STATE = ["seen_count", "first_seen"]
+
+
+def _items(as_of: Column) -> list[Column]:
+    """(section, name) of all that a role counts for in a summary; null where it doesn't."""
+    kinds = [("source", F.col("source")), ("company", F.col("company")), ("place", primary_location(F.col("location"))), ("family", F.coalesce("role_family", F.lit("unclassified")))]
+    state = [("total", F.lit(True)), ("repeated", F.col("seen_count") > 1), ("new", F.col("first_seen") >= as_of - F.expr("INTERVAL 7 DAYS"))]
+    pair = lambda section, name: F.named_struct(F.lit("section"), F.lit(section), F.lit("name"), name)
+    return [pair(k, c) for k, c in kinds] + [F.when(c, pair("totals", F.lit(k))) for k, c in state]
 
 
 def summary(roles: DataFrame, as_of: Column, days: int | None = None) -> DataFrame:
     """(section, name, count): totals, sources, companies, places and families of the roles seen in the window."""
     r = roles if days is None else roles.filter(F.col("last_seen") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
-    r = r.select("source", "company", primary_location(F.col("location")).alias("place"), F.coalesce("role_family", F.lit("unclassified")).alias("family"), "seen_count", "first_seen")
-    kinds = [("source", F.col("source")), ("company", F.col("company")), ("place", F.col("place")), ("family", F.col("family"))]
-    state = [("total", F.lit(True)), ("repeated", F.col("seen_count") > 1), ("new", F.col("first_seen") >= as_of - F.expr("INTERVAL 7 DAYS"))]
-    items = F.array(*(F.struct(F.lit(k).alias("section"), c.alias("name")) for k, c in kinds), *(F.when(c, F.struct(F.lit("totals").alias("section"), F.lit(k).alias("name"))) for k, c in state))
-    return r.select(F.explode(F.filter(items, lambda x: x.isNotNull())).alias("x")).groupBy("x.section", "x.name").agg(F.count(F.lit(1)).alias("count"))
+    items = F.filter(F.array(*_items(as_of)), lambda x: x.isNotNull())
+    return r.select(F.explode(items).alias("x")).groupBy("x.section", "x.name").agg(F.count(F.lit(1)).alias("count"))
 
 
 def status_counts(work: DataFrame, id_col: str = "job_id") -> DataFrame:
@@ -270,22 +294,32 @@ WINDOWS = {"all": None, "7d": 7, "30d": 30}
 
 def summaries(roles: DataFrame, matches: DataFrame, as_of: Column, windows: dict[str, int | None] | None = None, *, id_col: str = "job_id") -> DataFrame:
     """(window, section, name, count) of each window: what summary() tells, roles by query group, the five seen most often, and review counts
-    (active and archived rows, favourites, rows by outcome) of the roles in it; freshness is the age in days of the newest one."""
-    out = None
-    for name, days in (WINDOWS if windows is None else windows).items():
-        r = roles if days is None else roles.filter(F.col("last_seen") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
-        active = r.filter("NOT is_archived")
-        parts = [summary(active, as_of)]
-        found = matches.select(id_col, "query_group").distinct().join(active.select(id_col), id_col, "left_semi")
-        parts.append(found.groupBy(F.col("query_group").alias("name")).agg(F.count(F.lit(1)).alias("count")).select(F.lit("query_group").alias("section"), "name", "count"))
-        parts.append(recurring(active, 5, id_col).select(F.lit("recurring").alias("section"), F.col(id_col).cast("string").alias("name"), F.col("seen_count").alias("count")))
-        review = [F.when(~F.col("is_archived"), "active").otherwise("archived"), F.when(F.col("is_favorite"), "favorite"), F.concat(F.lit("outcome "), "outcome")]
-        parts.append(r.select(F.explode(F.array(*review)).alias("name")).filter("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("count")).select(F.lit("review").alias("section"), "name", "count"))
-        age = freshness(active, as_of, time_col="last_seen")
-        parts.append(age.select(F.lit("freshness").alias("section"), F.col("status").alias("name"), F.col("age_days").alias("count")))
-        one = parts[0]
-        for p in parts[1:]:
-            one = one.unionByName(p)
-        one = one.select(F.lit(name).alias("window"), "section", "name", "count")
-        out = one if out is None else out.unionByName(one)
-    return out
+    (active and archived rows, favourites, rows by outcome) of the roles in it; freshness is the age in days of the newest one.
+
+    Roles and matches are read once: each role, with its query groups, is written with the windows that it falls into, and gives
+    one row for each of its windows and section names to one aggregate.  A window without active roles has its freshness row alone.
+    """
+    spans = WINDOWS if windows is None else windows
+    within = [F.lit(True) if days is None else F.coalesce(F.col("last_seen") >= as_of - F.expr(f"INTERVAL {days} DAYS"), F.lit(False)) for days in spans.values()]
+    names = F.filter(F.array(*(F.when(w, F.lit(n)) for n, w in zip(spans, within, strict=True))), lambda x: x.isNotNull())
+    found = matches.select(id_col, "query_group").distinct().groupBy(id_col).agg(F.collect_list("query_group").alias("_groups"))
+    path = scratch(roles.sparkSession, "summaries")
+    cut = roles.select(id_col, *_SECTIONS, *_STATE, "last_seen", "is_archived", "is_favorite", "outcome", names.alias("_windows")).filter(F.size("_windows") > 0)
+    cut.join(found, id_col, "left").write.parquet(path)
+    r = roles.sparkSession.read.parquet(path)
+    item = lambda section, name: F.named_struct(F.lit("section"), F.lit(section), F.lit("name"), name.cast("string"))
+    review = [item("review", F.when(~F.col("is_archived"), "active").otherwise("archived")), F.when(F.col("is_favorite"), item("review", F.lit("favorite"))), F.when(F.col("outcome").isNotNull(), item("review", F.concat(F.lit("outcome "), "outcome")))]
+    none = F.expr("cast(array() AS array<struct<section:string,name:string>>)")
+    groups = F.transform(F.coalesce("_groups", F.expr("cast(array() AS array<string>)")), lambda g: item("query_group", g))
+    of_active = F.concat(F.array(item("freshness", F.lit(None)), *_items(as_of)), groups)
+    items = F.filter(F.concat(F.array(*review), F.when(~F.col("is_archived"), of_active).otherwise(none)), lambda x: x.isNotNull())
+    counted = r.select(F.explode("_windows").alias("window"), items.alias("_items"), "last_seen").select("window", F.explode("_items").alias("x"), F.when(F.col("x.section") == "freshness", F.col("last_seen")).alias("at"))
+    seed = roles.sparkSession.createDataFrame([(n,) for n in spans], "window string").select("window", F.struct(F.lit("freshness").alias("section"), F.lit(None).cast("string").alias("name")).alias("x"), F.lit(None).cast(r.schema["last_seen"].dataType).alias("at"))
+    sums = counted.unionByName(seed).groupBy("window", "x.section", "x.name").agg(F.count(F.lit(1)).alias("count"), F.max("at").alias("at"))
+    age, status = _age(F.col("at"), as_of)
+    fresh = F.col("section") == "freshness"
+    sums = sums.select("window", "section", F.when(fresh, status).otherwise(F.col("name")).alias("name"), F.when(fresh, F.floor(age)).otherwise(F.col("count")).alias("count"))
+    again = r.filter("NOT is_archived AND seen_count > 1").select(F.explode("_windows").alias("window"), id_col, "seen_count", "last_seen")
+    nth = F.row_number().over(Window.partitionBy("window").orderBy(F.desc("seen_count"), F.desc("last_seen"), id_col))
+    top = again.withColumn("_n", nth).filter("_n <= 5").select("window", F.lit("recurring").alias("section"), F.col(id_col).cast("string").alias("name"), F.col("seen_count").alias("count"))
+    return sums.unionByName(top)

@@ -62,31 +62,39 @@ def valid_records(cards: DataFrame, *, default_salary: str = "Not specified") ->
     return good, out.filter("_why IS NOT NULL").withColumnRenamed("_why", "reason")
 
 
-def upsert(state: DataFrame, seen: DataFrame, batch: DataFrame, attributes: list[str], *, id_col: str = "job_id", keep_old: tuple[str, ...] = ("salary",), times: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """New state and new sightings after a batch (id, run_id, observed_at, arrival, attributes).
-
-    A row of the batch counts unless its (id, run) or (id, time) was seen, before or earlier in the batch.  Attributes are those of the
-    last arrival; first and last seen are minimum and maximum, the count grows by the sightings that count.  Applying a batch twice
-    changes nothing more.  Of the attributes in keep_old the stored one stays where the incoming one says nothing (UNSPECIFIED).
-    seen has the (id, run) and (id, time) of earlier sightings; with `times` (id, observed_at) it needs to have the first alone.
-    """
+def fresh(batch: DataFrame, runs: DataFrame, times: DataFrame, *, id_col: str = "job_id") -> DataFrame:
+    """The rows of a batch that count: neither their (id, run) nor their (id, time) was seen, before or earlier in the batch."""
     by_run = keep_first(keep_first(batch, [id_col, "run_id"], "arrival"), [id_col, "observed_at"], "arrival")
-    fresh = by_run.join(seen.select(id_col, "run_id"), [id_col, "run_id"], "left_anti").join((seen if times is None else times).select(id_col, "observed_at"), [id_col, "observed_at"], "left_anti")
+    return by_run.join(runs.select(id_col, "run_id"), [id_col, "run_id"], "left_anti").join(times.select(id_col, "observed_at"), [id_col, "observed_at"], "left_anti")
+
+
+def merged(state: DataFrame, batch: DataFrame, counted: DataFrame, attributes: list[str], *, id_col: str = "job_id", keep_old: tuple[str, ...] = ("salary",)) -> DataFrame:
+    """The state after a batch of which the rows `counted` (id, observed_at) count; see upsert()."""
     last = batch.groupBy(id_col).agg(F.max_by(F.struct(*attributes), "arrival").alias("_new"), F.min("observed_at").alias("_low"))
-    delta = fresh.groupBy(id_col).agg(F.max("observed_at").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    delta = counted.groupBy(id_col).agg(F.max("observed_at").alias("_high"), F.count(F.lit(1)).alias("_n"))
     change = last.join(delta, id_col, "left")
     blank = lambda c: F.lower(F.trim(c.cast("string"))).isin(UNSPECIFIED)
     says = lambda a: F.when(~blank(F.col(f"_new.{a}")), F.col(f"_new.{a}")) if a in keep_old else F.col(f"_new.{a}")
-    out = state.join(change, id_col, "full_outer").select(
+    return state.join(change, id_col, "full_outer").select(
         id_col,
         *(F.coalesce(says(a), F.col(a), F.col(f"_new.{a}")).alias(a) for a in attributes),
         F.least("first_seen", "_low").alias("first_seen"),
         F.greatest("last_seen", "_high").alias("last_seen"),
         (F.coalesce("seen_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("bigint").alias("seen_count"),
     )
+
+
+def upsert(state: DataFrame, seen: DataFrame, batch: DataFrame, attributes: list[str], *, id_col: str = "job_id", keep_old: tuple[str, ...] = ("salary",)) -> tuple[DataFrame, DataFrame]:
+    """New state and new sightings after a batch (id, run_id, observed_at, arrival, attributes).
+
+    A row of the batch counts unless its (id, run) or (id, time) was seen, before or earlier in the batch.  Attributes are those of the
+    last arrival; first and last seen are minimum and maximum, the count grows by the sightings that count.  Applying a batch twice
+    changes nothing more.  Of the attributes in keep_old the stored one stays where the incoming one says nothing (UNSPECIFIED).
+    """
+    counted = fresh(batch, seen, seen, id_col=id_col)
     known = state.select(id_col, F.lit(True).alias("_known"))
-    new = fresh.select(id_col, "run_id", "observed_at").join(known, id_col, "left").withColumn("is_new", F.col("_known").isNull()).drop("_known")
-    return out, new
+    new = counted.select(id_col, "run_id", "observed_at").join(known, id_col, "left").withColumn("is_new", F.col("_known").isNull()).drop("_known")
+    return merged(state, batch, counted, attributes, id_col=id_col, keep_old=keep_old), new
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:

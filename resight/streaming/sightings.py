@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.sightings import upsert
+from ..operators.sightings import fresh, merged
 from .parts import PART_ROWS, PartTables
 
 
@@ -49,10 +49,13 @@ def start_ingest(stream: DataFrame, root: str, attributes: list[str], checkpoint
         batch.write.mode("overwrite").parquet(path)
         batch = spark.read.schema(batch.schema).parquet(path)
         held = tables.fetch(batch, number)
-        state, new = upsert(held["state"].rows, held["runs"].rows, batch, attributes, id_col=id_col, times=held["times"].rows)
+        known = held["state"].rows.select(id_col, F.lit(True).alias("_known"))
+        new = fresh(batch, held["runs"].rows, held["times"].rows, id_col=id_col).join(known, id_col, "left")
+        new = new.select(id_col, "run_id", "observed_at", F.col("_known").isNull().alias("is_new"))
         sightings = f"{root}/sightings/batch={number}"
         new.write.mode("overwrite").parquet(sightings)
         new = spark.read.schema(new.schema).parquet(sightings)
+        state = merged(held["state"].rows, batch, new, attributes, id_col=id_col)
         rows = {"state": state} | {t: held[t].rows.unionByName(new.select(id_col, c).filter(F.col(c).isNotNull())) for t, c in (("runs", "run_id"), ("times", "observed_at"))}
         tables.put(held, rows, number)
         done = [(number + 1, stream.schema.json(), attributes, id_col)]
