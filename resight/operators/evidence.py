@@ -7,9 +7,11 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
+
 # Words that change a claim, which no typo repair may touch.
 QUALIFIERS = {"minimum", "maximum", "required", "preferred", "optional", "desirable", "mandatory", "without", "excluding", "including"}
 
@@ -76,18 +78,73 @@ def _one_typo(a: str, b: str) -> bool:
 
 
 def _typo_span_in(quote: str, source: tuple[str, Sequence[int], Sequence[int]]) -> tuple[int, int] | None:
+    """Where the quote stands but for one typo.  As one word differs at most, its first or its last half of words is unchanged, so
+    only places where one of these runs stands are looked at."""
     q = normalized(quote)[0].split()
-    if len(q) < 5:
+    if (n := len(q)) < 5:
         return None
     folded, start, end = source
-    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", folded)]
-    found = []
-    for i in range(len(words) - len(q) + 1):
-        other = [folded[a:b] for a, b in words[i : i + len(q)]]
-        odd = [(x, y) for x, y in zip(q, other, strict=True) if x != y]
-        if len(odd) == 1 and len(odd[0][0]) >= 7 and not {odd[0][0], odd[0][1]} & QUALIFIERS and _one_typo(*odd[0]):
-            found.append((start[words[i][0]], end[words[i + len(q) - 1][1] - 1]))
-    return found[0] if len(found) == 1 else None
+    text = f" {folded} "  # words stand between blanks; places in it are one further
+    found = set()
+    for first, last in ((0, n // 2), (n - n // 2, n)):
+        run = " " + " ".join(q[first:last]) + " "
+        at = text.find(run)
+        while at >= 0:
+            begin = at
+            for _ in range(first):  # back to where the quote's first word would stand
+                begin = text.rfind(" ", 0, begin) if begin > 0 else -1
+            words = text[begin + 1 : begin + 1 + 2 * sum(map(len, q)) + 2 * n].split(" ", n)[:n] if begin >= 0 else []
+            odd = [(x, y) for x, y in zip(q, words, strict=False) if x != y]
+            if len(words) == n and all(words) and len(odd) == 1 and len(odd[0][0]) >= 7 and not {*odd[0]} & QUALIFIERS and _one_typo(*odd[0]):
+                found.add((begin, begin + len(" ".join(words))))
+            at = text.find(run, at + 1)
+    if len(found) != 1:
+        return None
+    ((a, b),) = found
+    return start[a], end[b - 1]
+
+
+def _runs(start: Sequence[int], end: Sequence[int]) -> list[dict[str, int]]:
+    """The offsets of normalized() as runs: of characters that stand for one source character each (step 1), or for a piece together (step 0)."""
+    if isinstance(start, range):
+        return [{"at": 0, "n": len(start), "start": 0, "end": len(start), "step": 1}] if len(start) else []
+    out: list[dict[str, int]] = []
+    for k, (a, b) in enumerate(zip(start, end, strict=True)):
+        last = out[-1] if out else None
+        step = int(b - a == 1)
+        if last and last["step"] and step and a == last["end"]:
+            last["n"], last["end"] = last["n"] + 1, b
+        elif last and (a, b) == (last["start"], last["end"]):
+            last["n"], last["step"] = last["n"] + 1, 0
+        else:
+            out.append({"at": k, "n": 1, "start": a, "end": b, "step": step})
+    return out
+
+
+def folded_sources(sources: DataFrame, text_col: str = "text") -> DataFrame:
+    """sources with `folded`, the text as quotes are compared, and `offsets`, which lead from it back to the source.
+
+    offsets are runs (at, n, start, end, step): the folded characters at to at + n - 1 stand for the source's start to end - 1, one by
+    one (step 1) or all of them together (step 0).  A null text has null in both, an empty one an empty text and no runs.
+    """
+
+    @F.pandas_udf("struct<folded:string,offsets:array<struct<at:int,n:int,start:int,end:int,step:int>>>")
+    def fold(texts: pd.Series) -> pd.DataFrame:
+        rows = [(None, None) if t is None else ((f := normalized(t))[0], _runs(*f[1:])) for t in texts]
+        return pd.DataFrame(rows, columns=["folded", "offsets"])
+
+    out = sources.withColumn("_f", fold(F.col(text_col)))
+    return out.select(*sources.columns, F.col("_f.folded").alias("folded"), F.col("_f.offsets").alias("offsets"))
+
+
+def source_span(offsets: Column, start: Column, end: Column) -> Column:
+    """(start, end) in the source of the folded characters start to end - 1; null where there are none such."""
+    run = lambda k: F.get(offsets, F.array_size(F.filter(F.transform(offsets, lambda x: x["at"]), lambda at: at <= k)) - 1)
+    first, last = run(start), run(end - 1)
+    a = first["start"] + first["step"] * (start - first["at"])
+    b = F.when(last["step"] == 1, last["start"] + end - last["at"]).otherwise(last["end"])
+    within = (start >= 0) & (start < end) & (end <= F.get(offsets, F.array_size(offsets) - 1)["at"] + F.get(offsets, F.array_size(offsets) - 1)["n"])
+    return F.when(within, F.struct(a.cast("bigint").alias("start"), b.cast("bigint").alias("end")))
 
 
 def _elsewhere(misses: DataFrame, sources: DataFrame) -> DataFrame:
@@ -113,7 +170,7 @@ def _elsewhere(misses: DataFrame, sources: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc", "ref", "quote", "found"])
 
     doc, ref = (misses.schema[c].dataType.simpleString() for c in ("doc", "ref"))
-    return asked.join(held, ["doc", "family"]).mapInPandas(run, f"doc {doc}, ref {ref}, quote string, found struct<ref:{ref},start:bigint,end:bigint>")
+    return asked.join(held.hint("merge"), ["doc", "family"]).mapInPandas(run, f"doc {doc}, ref {ref}, quote string, found struct<ref:{ref},start:bigint,end:bigint>")
 
 
 def resolve(quotes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -122,6 +179,7 @@ def resolve(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     Exact hits are native; only the others go to Arrow batches, brought together by source, which is folded once: typography variants,
     then the only other source of the document and family that holds the quote (method source_reference; source_ref tells which), then one
     typo in a long word that is no qualifier, between unchanged words and in one place only.  Equal quotes of one source are one row each.
+    What was tried is written once, so that the texts are folded once for it.
     """
     both = quotes.join(sources.hint("merge"), ["doc", "ref"], "left").withColumn("at", F.expr("instr(text, quote)"))
     exact = both.filter("at > 0").select("doc", "ref", "quote", (F.col("at") - 1).cast("bigint").alias("start"), (F.col("at") - 1 + F.length("quote")).cast("bigint").alias("end"), F.lit("exact").alias("method"), F.lit(None).cast("string").alias("error"))
@@ -150,6 +208,9 @@ def resolve(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     rest = rest.groupBy("doc", "ref").agg(F.collect_list("quote").alias("asked"), F.first("text").alias("text"))
     kinds = f"doc {both.schema['doc'].dataType.simpleString()}, ref {both.schema['ref'].dataType.simpleString()}"
     tried = rest.mapInPandas(run, f"{kinds}, quote string, start bigint, end bigint, method string, error string")
+    path = scratch(quotes.sparkSession, "tried")
+    tried.write.parquet(path)
+    tried = quotes.sparkSession.read.parquet(path)
     missed = (F.col("method").isNull() | (F.col("method") == "typo")) & (F.coalesce("quote", F.lit("")) != "")
     own = tried.join(_elsewhere(tried.filter(missed).select("doc", "ref", "quote"), sources).hint("shuffle_hash"), ["doc", "ref", "quote"], "left")
     moved = F.col("found").isNotNull()

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from ..sources.tables import save_versions, scratch
+
 # Elements without text for a reader, and elements that stand on lines of their own.
 SKIPPED = ["script", "style", "noscript", "iframe", "button"]
 BLOCKS = ["p", "div", "section", "article", "header", "footer", "main", "aside", "ul", "ol", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "nav"]
@@ -264,3 +266,25 @@ def page_sequence(cards: DataFrame, *, short: int = 10, pages_at_most: int = 4)
     stop = page.filter("why IS NOT NULL").groupBy("query").agg(F.min(F.struct("offset", "why")).alias("s"))
     kept = page.join(stop.hint("shuffle_hash"), "query", "left").filter("s IS NULL OR offset <= s.offset")
     return kept.groupBy("query").agg(F.max("offset").alias("stop_offset"), F.coalesce(F.first("s.why"), F.lit("end")).alias("reason"), F.sum("new_ids").alias("new_ids"))
+
+
+def reparse(snapshots: DataFrame, saved: DataFrame, version: str, identity_pattern: str, *, id_col: str = "page_id", body_col: str = "body", name_col: str | None = None, where: dict[str, list[str]] | None = None) -> DataFrame:
+    """Results to append after stored pages (id, body: bytes, and name_col if given) are parsed again under a version: (id, source_sha256, version, title,
+    text, locator, criteria, error_kind, sha256), those that `saved` (id, source_sha256, version, sha256) doesn't have.
+
+    Bytes are read as UTF-8, bad ones replaced; null ones are an empty page.  Equal snapshots of an id are one.  A result meets the saved one of the same bytes and version; if
+    its content (sha256 of all its fields) is another, the job fails: a parser that changed needs a new version.
+    """
+    names = [id_col, *([name_col] if name_col else [])]
+    body = F.coalesce(F.col(body_col), F.lit(b""))
+    s = snapshots.select(*names, F.sha2(body, 256).alias("source_sha256"), F.make_valid_utf8(body.cast("string")).alias("_html")).dropDuplicates([id_col, "source_sha256"])
+    # the parser gets one row for each snapshot, under a key that leads back to it
+    key = F.to_json(F.struct("source_sha256", F.col(id_col).cast("string").alias("id")))
+    s = s.select(*(F.col(c) for c in names), "source_sha256", key.alias("_key"), F.col(name_col or id_col).cast("string").alias("_named"), "_html")
+    found = parse_pages(s.select("_key", "_named", "_html"), identity_pattern, id_col="_key", name_col="_named", html_col="_html", where=where)
+    path = scratch(snapshots.sparkSession, "reparsed")
+    fields = ["title", "text", "locator", "criteria", "error_kind"]
+    found.select("*", F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256).alias("sha256")).write.parquet(path)
+    found = snapshots.sparkSession.read.parquet(path)
+    out = s.select(id_col, "source_sha256", "_key").join(found.hint("merge"), "_key").select(id_col, "source_sha256", F.lit(version).alias("version"), *fields, "sha256")
+    return save_versions(out, saved, [id_col, "source_sha256", "version"])

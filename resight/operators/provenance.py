@@ -61,7 +61,7 @@ def query_coverage(reports: DataFrame, order: str) -> DataFrame:
 
 def coverage(reports: DataFrame, failures: list[str]) -> DataFrame:
     """Totals over query reports; incomplete ones stopped for one of the failures."""
-    sums = ["pages_attempted", "pages_completed", "raw_cards", "valid_jobs", "duplicate_cards", "request_attempts"]
+    sums = ["pages_attempted", "pages_completed", "raw_cards", "valid_jobs", "duplicate_cards", "request_attempts", "request_failures", "rate_limit_responses"]
     return reports.agg(F.count(F.lit(1)).alias("queries"), *(F.sum(c).alias(c) for c in sums), F.count_if(F.col("stop_reason").isin(failures)).alias("incomplete"))
 
 
@@ -82,28 +82,53 @@ def overlap(matches: DataFrame, id_col: str = "job_id", scope_col: str = "scope"
     return out.filter("first_ids > 0 AND second_ids > 0").withColumn("second_covered", F.bround(100.0 * F.col("shared") / F.col("second_ids"), 1))
 
 
-def comparison(queries: DataFrame, matches: DataFrame, *, id_col: str = "job_id", first: str = "countrywide", second: str = "cities") -> DataFrame:
-    """(section, name, value) of how two search scopes compare.
+def comparisons(queries: DataFrame, matches: DataFrame, by: str = "run_id", *, id_col: str = "job_id", first: str = "countrywide", second: str = "cities") -> DataFrame:
+    """(by, comparison) of each run in which both scopes were searched: for `first` and `second` queries, pages attempted and completed, failed requests,
+    different ids and completion in percent; ids shared, only in one, the share of the second's that the first covers; and `places`, sorted,
+    with ids, those shared and only there.
 
-    For each scope its queries, pages attempted and completed, failed queries, completion in percent and different ids; in section overlap
-    what overlap() tells; for each city of the second scope its ids, those shared with the first, and those only there.
-    queries: (scope, pages_attempted, pages_completed, failures); matches: (id, scope, location).  No row unless both scopes found something.
+    queries: (by, scope, pages_attempted, pages_completed, failures, and location if places without a match are wanted); matches: (by, id, scope,
+    location).  The matches are read once for all runs: the scopes of an id are merged as bits.  Places are the locations of the second scope; null
+    ones, and null ids, count for none; null figures are 0.
     """
-    value = lambda section, name, c: F.struct(F.lit(section).cast("string").alias("section") if isinstance(section, str) else section.alias("section"), F.lit(name).alias("name"), c.cast("double").alias("value"))
-    rows = lambda df, *items: df.select(F.explode(F.array(*items)).alias("x")).select("x.*")
     scopes = [first, second]
-    q = queries.filter(F.col("scope").isin(scopes)).groupBy("scope").agg(F.count(F.lit(1)).alias("queries"), F.sum("pages_attempted").alias("pages"), F.sum("pages_completed").alias("done"), F.count_if(F.col("failures") > 0).alias("failed"))
-    s = F.col("scope")
-    searched = rows(q, value(s, "queries", F.col("queries")), value(s, "pages", F.col("pages")), value(s, "completed", F.col("done")), value(s, "failures", F.col("failed")), value(s, "completion", F.bround(100.0 * F.col("done") / F.greatest(F.lit(1), F.col("pages")), 1)))
-    m = matches.filter(F.col("scope").isin(scopes))
-    both = overlap(m, id_col, "scope", first, second)
-    names = ["shared", "first_only", "second_only", "second_covered"]
-    over = rows(both, value(first, "ids", F.col("first_ids")), value(second, "ids", F.col("second_ids")), *(value("overlap", n, F.col(n)) for n in names))
-    at = m.filter(s == second).select(id_col, "location").distinct().join(m.filter(s == first).select(id_col).distinct().withColumn("_first", F.lit(True)), id_col, "left")
-    city = at.groupBy("location").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_first")).alias("both"))
-    place = F.concat(F.lit("city "), F.col("location"))
-    cities = rows(city, value(place, "ids", F.col("n")), value(place, "shared", F.col("both")), value(place, "only", F.col("n") - F.col("both")))
-    return searched.unionByName(over).unionByName(cities).join(F.broadcast(both.select(F.lit(1).alias("_ran"))), how="left_semi", on=F.lit(True))
+    zero = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))
+    q = queries.filter(F.col("scope").isin(scopes))
+    figures = {"queries": F.lit(1), "pages_attempted": zero("pages_attempted"), "pages_completed": zero("pages_completed"), "failures": zero("failures")}
+    ran = q.groupBy(by).agg(*(F.sum(F.when(F.col("scope") == s, c).otherwise(0)).alias(f"{s}_{n}") for s in scopes for n, c in figures.items())).filter(" AND ".join(f"`{s}_queries` > 0" for s in scopes))
+    bit = F.when(F.col("scope") == first, 1).otherwise(2)
+    place = F.when(F.col("scope") == second, F.col("location"))
+    ids = matches.filter(F.col("scope").isin(scopes) & F.col(id_col).isNotNull()).groupBy(by, id_col).agg(F.bit_or(bit).alias("bits"), F.collect_set(place).alias("at"))  # an entry for each place searched
+    spot = lambda c: F.struct(c.isNull().alias("all"), c.alias("location"))
+    spread = ids.select(by, "bits", F.explode(F.concat(F.array(spot(F.lit(None).cast("string"))), F.transform("at", lambda c: spot(c)))).alias("x"))
+    counts = spread.groupBy(by, "x.all", "x.location").agg(F.count_if(F.col("bits") != 2).alias("a"), F.count_if(F.col("bits") != 1).alias("b"), F.count_if(F.col("bits") == 3).alias("both"))
+    places = counts.filter("NOT all").select(by, "location", F.col("b").alias("ids"), F.col("both").alias("shared"))
+    if "location" in queries.columns:
+        places = q.filter((F.col("scope") == second) & F.col("location").isNotNull()).select(by, "location").distinct().join(places, [by, "location"], "left")
+    item = F.struct("location", F.coalesce("ids", F.lit(0)).alias("ids"), F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce(F.col("ids") - F.col("shared"), F.lit(0)).alias("only"))
+    places = places.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("places"))
+    out = ran.join(counts.filter("all"), by, "left").join(places, by, "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    percent = lambda x, of: F.when(of > 0, F.bround(100.0 * x / of, 1)).otherwise(0.0)
+    scope = lambda s, ids: F.struct(*(F.col(f"{s}_{f}").alias(f) for f in figures), ids.alias("ids"), percent(F.col(f"{s}_pages_completed"), F.col(f"{s}_pages_attempted")).alias("completion"))
+    none = F.expr("cast(array() AS array<struct<location:string,ids:bigint,shared:bigint,only:bigint>>)")
+    parts = [scope(first, n("a")).alias("first"), scope(second, n("b")).alias("second"), n("both").alias("shared"), (n("a") - n("both")).alias("first_only"), (n("b") - n("both")).alias("second_only"), percent(n("both"), n("b")).alias("second_covered"), F.coalesce("places", none).alias("places")]
+    return out.select(by, F.struct(*parts).alias("comparison"))
+
+
+def comparison(queries: DataFrame, matches: DataFrame, *, id_col: str = "job_id", first: str = "countrywide", second: str = "cities") -> DataFrame:
+    """(section, name, value) of how two search scopes compare: comparisons() of all searches taken as one run, a figure a row.
+
+    Sections are the two scopes, overlap, and `city <location>` for each place.  No row unless both scopes were searched.
+    """
+    one = lambda df: df.withColumn("_run", F.lit(1))
+    c = comparisons(one(queries), one(matches), "_run", id_col=id_col, first=first, second=second).select("comparison.*")
+    value = lambda section, name, x: F.named_struct(F.lit("section"), section, F.lit("name"), F.lit(name), F.lit("value"), x.cast("double"))
+    names = {"queries": "queries", "pages": "pages_attempted", "completed": "pages_completed", "failures": "failures", "completion": "completion", "ids": "ids"}
+    items = [value(F.lit(s), n, F.col(f"{side}.{f}")) for s, side in ((first, "first"), (second, "second")) for n, f in names.items()]
+    items += [value(F.lit("overlap"), n, F.col(n)) for n in ("shared", "first_only", "second_only", "second_covered")]
+    city = F.flatten(F.transform("places", lambda p: F.array(*(value(F.concat(F.lit("city "), p["location"]), k, p[k]) for k in ("ids", "shared", "only")))))
+    return c.select(F.explode(F.concat(F.array(*items), city)).alias("x")).select("x.*")
 
 
 def capped(rows: DataFrame, per_query: int, overall: int) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.text import ascii_contains, primary_location
 from ..functions.values import active_days
 from ..sources.tables import scratch
 from .decisions import auto_archived
-from .provenance import detail
+from .provenance import comparisons, detail
 
 
 def predicates(
@@ -165,17 +165,23 @@ def coverage_sums(df: DataFrame, by: str, json_col: str, fields: list[str]) -> D
     return df.select(by, F.explode(F.from_json(json_col, kind)).alias("x")).groupBy(by).agg(F.count(F.lit(1)).alias("entries"), *(F.sum(f"x.{f}").alias(f) for f in fields))
 
 
-def run_list(runs: DataFrame, metrics: DataFrame, reports: DataFrame, n: int = 20, failures: list[str] | None = None) -> DataFrame:
-    """The newest n runs (run_id, ...) with their metrics as a map and the coverage of their searches; null where a run has none.
+def run_list(runs: DataFrame, metrics: DataFrame, reports: DataFrame, n: int = 20, failures: list[str] | None = None, *, queries: DataFrame | None = None, matches: DataFrame | None = None) -> DataFrame:
+    """The newest n runs (run_id, ...) with their metrics as a map, the coverage of their searches, and with queries and matches (see
+    comparisons()) how their search scopes compare; null where a run has none.
 
     metrics: (run_id, key, total); reports: (run_id, pages_attempted, pages_completed, valid_jobs, stop_reason).
     """
     top = runs.orderBy(F.desc("run_id")).limit(n)
-    m = metrics.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "total")))).alias("metrics"))
+    newest = F.broadcast(top.select("run_id"))  # n ids
+    m = metrics.join(newest, "run_id", "left_semi").groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "total")))).alias("metrics"))
     sums = [F.sum(c).alias(c) for c in ("pages_attempted", "pages_completed", "valid_jobs")]
-    c = reports.groupBy("run_id").agg(F.count(F.lit(1)).alias("queries"), *sums, F.count_if(F.col("stop_reason").isin(failures or [])).alias("incomplete"))
+    c = reports.join(newest, "run_id", "left_semi").groupBy("run_id").agg(F.count(F.lit(1)).alias("queries"), *sums, F.count_if(F.col("stop_reason").isin(failures or [])).alias("incomplete"))
     c = c.select("run_id", F.struct(*(x for x in c.columns if x != "run_id")).alias("coverage"))
-    return top.join(m, "run_id", "left").join(c, "run_id", "left").orderBy(F.desc("run_id"))
+    out = top.join(m, "run_id", "left").join(c, "run_id", "left")
+    if queries is not None:
+        asked, found = (df.join(newest, "run_id", "left_semi") for df in (queries, matches))
+        out = out.join(comparisons(asked, found), "run_id", "left")
+    return out.orderBy(F.desc("run_id"))
 
 
 def options(roles: DataFrame, matches: DataFrame, n: int = 200) -> DataFrame:
@@ -302,7 +308,7 @@ def summaries(roles: DataFrame, matches: DataFrame, as_of: Column, windows: dict
     spans = WINDOWS if windows is None else windows
     within = [F.lit(True) if days is None else F.coalesce(F.col("last_seen") >= as_of - F.expr(f"INTERVAL {days} DAYS"), F.lit(False)) for days in spans.values()]
     names = F.filter(F.array(*(F.when(w, F.lit(n)) for n, w in zip(spans, within, strict=True))), lambda x: x.isNotNull())
-    found = matches.select(id_col, "query_group").distinct().groupBy(id_col).agg(F.collect_list("query_group").alias("_groups"))
+    found = matches.groupBy(id_col).agg(F.collect_set("query_group").alias("_groups"))  # one entry for each query group
     path = scratch(roles.sparkSession, "summaries")
     cut = roles.select(id_col, *_SECTIONS, *_STATE, "last_seen", "is_archived", "is_favorite", "outcome", names.alias("_windows")).filter(F.size("_windows") > 0)
     cut.join(found, id_col, "left").write.parquet(path)

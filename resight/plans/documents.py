@@ -57,14 +57,20 @@ def _(spark, d):
     return G.page_sequence(cards).select("query", "stop_offset")
 
 
-@query("ext_reparse", f"SELECT page_id, 'v2' AS version, sha256({_text_sql('html')}) AS sha256 FROM pages WHERE page_id % 2 = 1")
+@query(
+    "ext_reparse",
+    f"""WITH p AS (SELECT *, regexp_extract(url, '/[a-z]{{2}}/([0-9]+)', 1) AS n, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS article FROM pages)
+    SELECT page_id, 'v2' AS version, CASE WHEN n <> '' THEN sha256({_text_sql("article")}) END AS sha256, CASE WHEN n = '' THEN 'identity_mismatch' END AS error_kind FROM p WHERE page_id % 2 = 1""",
+)
 def _(spark, d):
-    from ..sources.tables import save_versions, scratch
-
-    path = scratch(spark, "parsed")
-    G.html_text(table(spark, d, "pages")).select("page_id", F.lit("v2").alias("version"), F.sha2("text", 256).alias("sha256")).write.parquet(path)
-    p = spark.read.parquet(path)
-    return save_versions(p, p.filter("page_id % 2 = 0"), ["page_id", "version"])
+    # stored bytes of all pages; those with even ids were parsed under this version before
+    p = table(spark, d, "pages")
+    number = F.regexp_extract("url", "/[a-z]{2}/([0-9]+)", 1)
+    link = F.concat(F.lit('<link rel="canonical" href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('">'))
+    stored = p.select("page_id", F.when(number == "", F.col("page_id").cast("string")).otherwise(number).alias("name"), F.encode(F.concat(link, "html"), "utf-8").alias("body"))
+    parse = lambda pages, saved: G.reparse(pages, saved, "v2", r"/[a-z]{2}/([0-9]+)", name_col="name", where=_PLACES)
+    saved = parse(stored.filter("page_id % 2 = 0"), spark.createDataFrame([], "page_id bigint, source_sha256 string, version string, sha256 string"))
+    return parse(stored, saved).select("page_id", "version", F.sha2("text", 256).alias("sha256"), "error_kind")
 
 
 def _quotes(spark, d):
@@ -95,10 +101,21 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", digest(F.lit("c1").alias("contract"), F.col("lang")).alias("fingerprint"))
 
 
-@query("ev_normalized_span")
+@query(
+    "ev_normalized_span",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE length(trim(text, ' ')) >= 80 AND strlen(text) <= 500000),
+    s AS (SELECT *, strlen(t) = length(t) AS plain, regexp_extract(t, '([^\x09-\x0D\x1C-\x20]+)[\x09-\x0D\x1C-\x20]*$', 1) AS word, regexp_extract(t, '([\x09-\x0D\x1C-\x20]*)$', 1) AS rest FROM l WHERE trim(t) <> '')
+    SELECT doc_id AS doc, 'description.' || pos::VARCHAR AS ref, length(t)::BIGINT AS covered, CASE WHEN plain THEN md5(regexp_replace(replace(replace(lower(t), chr(34), chr(39)), chr(96), chr(39)), '[\x09-\x0D\x1C-\x20]+', ' ', 'g')) END AS folded,
+      CASE WHEN plain THEN (length(t) - length(rest) - length(word))::BIGINT END AS word_start, CASE WHEN plain THEN (length(t) - length(rest))::BIGINT END AS word_end FROM s""",
+)
 def _(spark, d):
-    q, s = _quotes(spark, d)
-    return E.resolve(q.withColumn("quote", F.when(F.col("doc") % 3 == 0, F.lower("quote")).otherwise(F.col("quote"))), s)
+    # each line folded; its whole length, and the place of its last folded word, led back to the line
+    s = E.folded_sources(E.sources_of(table(spark, d, "documents")).select("doc", "ref", "text"))
+    plain = F.octet_length("text") == F.length("text")
+    end = F.length(F.rtrim("folded"))
+    word = F.length(F.substring_index(F.rtrim("folded"), " ", -1))
+    whole, last = E.source_span(F.col("offsets"), F.lit(0), F.length("folded")), E.source_span(F.col("offsets"), end - word, end)
+    return s.select("doc", "ref", (whole["end"] - whole["start"]).alias("covered"), F.when(plain, F.md5("folded")).alias("folded"), F.when(plain, last["start"]).alias("word_start"), F.when(plain, last["end"]).alias("word_end"))
 
 
 @query("ev_resolve")

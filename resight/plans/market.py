@@ -297,14 +297,14 @@ def _reports(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("pages_attempted"), F.count_if(F.col("l_linestatus") == "F").alias("pages_completed"), F.sum("l_quantity").cast("bigint").alias("raw_cards"), F.count_if(F.col("l_discount") > 0.05).alias("duplicate_cards"))
     o = table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
     stop = F.when(F.col("o_orderstatus") == "F", "page_limit").when(F.col("o_orderstatus") == "O", "blocked").otherwise("short_page")
-    return o.select("o_orderkey", "pages_attempted", "pages_completed", "raw_cards", (F.col("raw_cards") - F.col("duplicate_cards")).alias("valid_jobs"), "duplicate_cards", (F.col("pages_attempted") + 1).alias("request_attempts"), (F.col("o_orderkey") % 11 == 0).cast("int").alias("failures"), stop.alias("stop_reason"))
+    return o.select("o_orderkey", "pages_attempted", "pages_completed", "raw_cards", (F.col("raw_cards") - F.col("duplicate_cards")).alias("valid_jobs"), "duplicate_cards", (F.col("pages_attempted") + 1).alias("request_attempts"), (F.col("o_orderkey") % 11 == 0).cast("int").alias("failures"), (F.col("o_orderkey") % 11 == 0).cast("int").alias("request_failures"), (F.col("o_orderkey") % 33 == 0).cast("int").alias("rate_limit_responses"), stop.alias("stop_reason"))
 
 
 _REPORTS = """reports AS (SELECT o_orderkey, count(*) AS pages_attempted, count(*) FILTER (l_linestatus = 'F') AS pages_completed, sum(l_quantity)::BIGINT AS raw_cards, count(*) FILTER (l_discount > 0.05) AS duplicate_cards,
   any_value(o_orderstatus) AS st FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)"""
 
 
-@query("agg_run_coverage", f"WITH {_REPORTS} SELECT count(*) AS queries, sum(pages_attempted)::BIGINT AS pages_attempted, sum(pages_completed)::BIGINT AS pages_completed, sum(raw_cards)::BIGINT AS raw_cards, sum(raw_cards - duplicate_cards)::BIGINT AS valid_jobs, sum(duplicate_cards)::BIGINT AS duplicate_cards, sum(pages_attempted + 1)::BIGINT AS request_attempts, count(*) FILTER (st = 'O') AS incomplete FROM reports")
+@query("agg_run_coverage", f"WITH {_REPORTS} SELECT count(*) AS queries, sum(pages_attempted)::BIGINT AS pages_attempted, sum(pages_completed)::BIGINT AS pages_completed, sum(raw_cards)::BIGINT AS raw_cards, sum(raw_cards - duplicate_cards)::BIGINT AS valid_jobs, sum(duplicate_cards)::BIGINT AS duplicate_cards, sum(pages_attempted + 1)::BIGINT AS request_attempts, count(*) FILTER (o_orderkey % 11 = 0) AS request_failures, count(*) FILTER (o_orderkey % 33 = 0) AS rate_limit_responses, count(*) FILTER (st = 'O') AS incomplete FROM reports")
 def _(spark, d):
     return P.coverage(_reports(spark, d), ["blocked", "error"])
 
@@ -668,15 +668,30 @@ def _(spark, d):
 @query(
     "list_runs",
     f"""WITH {SIGHTINGS_SQL}, {_REPORTS}, r AS (SELECT s.run_id, count(*) AS queries, sum(pages_attempted)::BIGINT AS pages, count(*) FILTER (st = 'O') AS incomplete FROM reports JOIN sightings s ON s.arrival = o_orderkey GROUP BY 1),
-    k AS (SELECT run_id, count(*) AS sightings, count(DISTINCT job_id) AS jobs, sum(job_id % 10)::BIGINT AS k FROM sightings GROUP BY run_id) SELECT run_id, sightings, jobs, k, queries, pages, incomplete FROM k LEFT JOIN r USING (run_id) ORDER BY run_id DESC LIMIT 20""",
+    k AS (SELECT run_id, count(*) AS sightings, count(DISTINCT job_id) AS jobs, sum(job_id % 10)::BIGINT AS k FROM sightings GROUP BY run_id),
+    {MATCHES_SQL}, m AS (SELECT *, CASE WHEN query_group = 'ASIA' THEN 'a' WHEN query_group IN ('EUROPE', 'AFRICA') THEN 'b' END AS scope FROM matches),
+    ran AS (SELECT run_id, count(DISTINCT query_id) FILTER (scope = 'a') AS aq, count(DISTINCT query_id) FILTER (scope = 'b') AS bq FROM m WHERE query_id % 4 = 0 GROUP BY run_id HAVING aq > 0 AND bq > 0),
+    fl AS (SELECT run_id, job_id, bool_or(scope = 'a') AS a, bool_or(scope = 'b') AS b FROM m WHERE scope IS NOT NULL GROUP BY ALL),
+    ov AS (SELECT run_id, count(*) FILTER (a AND b) AS shared, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (b AND NOT a) AS only_b FROM fl GROUP BY run_id),
+    pl AS (SELECT run_id, string_agg(location || ':' || n || ':' || sh, ',' ORDER BY location) AS places FROM (SELECT m.run_id, location, count(DISTINCT job_id) AS n, count(DISTINCT CASE WHEN a THEN job_id END) AS sh FROM m JOIN fl USING (run_id, job_id) WHERE scope = 'b'
+      AND (run_id, location) IN (SELECT (run_id, location) FROM m WHERE scope = 'b' AND query_id % 4 = 0) GROUP BY ALL) GROUP BY run_id)
+    SELECT k.run_id, sightings, jobs, k, queries, pages, incomplete, bq AS second_queries, shared, only_a AS first_only, only_b AS second_only, places
+    FROM k LEFT JOIN r USING (run_id) LEFT JOIN (SELECT * FROM ran LEFT JOIN ov USING (run_id) LEFT JOIN pl USING (run_id)) x USING (run_id) ORDER BY run_id DESC LIMIT 20""",
 )
 def _(spark, d):
     s = sightings(spark, d)
     runs = s.groupBy("run_id").agg(F.count(F.lit(1)).alias("sightings"), F.count_distinct("job_id").alias("jobs"))
     saved = s.select("run_id", F.to_json(F.struct((F.col("job_id") % 10).alias("k"))).alias("metrics"))
     reports = _reports(spark, d).join(s.select("run_id", F.col("arrival").alias("o_orderkey")), "o_orderkey")
-    out = R.run_list(runs, R.key_sums(saved, "run_id", "metrics"), reports, 20, ["blocked"])
-    return out.select("run_id", "sightings", "jobs", F.col("metrics")["k"].alias("k"), "coverage.queries", F.col("coverage.pages_attempted").alias("pages"), "coverage.incomplete")
+    # a run's searches are known by what they found; every fourth supplier's are on record
+    m = _scoped(matches(spark, d), "query_group")
+    asked = m.filter("query_id % 4 = 0").select("run_id", "query_id", "scope", "location").distinct()
+    asked = asked.select("run_id", "scope", "location", F.lit(1).alias("pages_attempted"), F.lit(1).alias("pages_completed"), F.lit(0).alias("failures"))
+    out = R.run_list(runs, R.key_sums(saved, "run_id", "metrics"), reports, 20, ["blocked"], queries=asked, matches=m)
+    c = F.col("comparison")
+    places = F.array_join(F.transform(c["places"], lambda p: F.concat_ws(":", p["location"], p["ids"].cast("string"), p["shared"].cast("string"))), ",")
+    compared = [c["second"]["queries"].alias("second_queries"), *(c[x].alias(x) for x in ("shared", "first_only", "second_only")), places.alias("places")]
+    return out.select("run_id", "sightings", "jobs", F.col("metrics")["k"].alias("k"), "coverage.queries", F.col("coverage.pages_attempted").alias("pages"), "coverage.incomplete", *compared)
 
 
 @query("agg_distinct_options", f"WITH {_RECORDS}, {MATCHES_SQL} SELECT 'company' AS kind, company AS value FROM (SELECT DISTINCT company FROM records ORDER BY lower(company), company LIMIT 200) UNION ALL SELECT DISTINCT 'family', role_family FROM records WHERE role_family IS NOT NULL UNION ALL SELECT DISTINCT 'query_group', query_group FROM matches")
