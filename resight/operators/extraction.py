@@ -1,4 +1,4 @@
-"""Structured drafts: strict checks, normal terms, publication and reviewed corrections."""
+"""Structured drafts: strict checks, normal terms and publication."""
 
 from __future__ import annotations
 
@@ -166,19 +166,3 @@ def legacy_result(old: DataFrame, notes: DataFrame, membership: DataFrame, id_co
     newest = good.groupBy("canonical_job_id").agg(F.max_by("payload", "created_at").alias("payload"), F.max("created_at").alias("created_at"))
     said = notes.join(membership, id_col).groupBy("canonical_job_id").agg(F.max_by("status", "noted_at").alias("status"))
     return newest.join(said, "canonical_job_id", "left")
-
-
-def corrected(drafts: DataFrame, plan: DataFrame, plan_hash: str) -> DataFrame:
-    """New versions of drafts (id, version, text, applied) after a plan (id, original, replacement, draft_sha256).
-
-    Every row of the plan must fit: the draft as it was, the original in it once.  If any does not, nothing is applied; a plan
-    that a draft has applied is not applied again.
-    """
-    j = plan.join(drafts, "id", "left")
-    once = (F.length("text") - F.length(F.replace(F.col("text"), F.col("original"), F.lit("")))) / F.length("original")
-    fits = F.col("text").isNotNull() & (F.sha2("text", 256) == F.col("draft_sha256")) & (once == 1)
-    known = F.array_contains(F.coalesce("applied", F.expr("cast(array() AS array<string>)")), plan_hash)
-    j = j.withColumn("_known", known).withColumn("_bad", ~F.coalesce(fits, F.lit(False)) & ~F.coalesce(F.col("_known"), F.lit(False)))
-    bad = j.agg(F.count_if("_bad").alias("_all_bad"))
-    ok = j.crossJoin(F.broadcast(bad)).filter("_all_bad = 0 AND NOT _known")
-    return ok.select("id", (F.col("version") + 1).alias("version"), F.replace("text", "original", "replacement").alias("text"), F.concat(F.coalesce("applied", F.expr("cast(array() AS array<string>)")), F.array(F.lit(plan_hash))).alias("applied"))

@@ -209,11 +209,64 @@ def _(spark, d):
     return out.select(F.col("canonical_job_id").alias("root"), F.get_json_object("payload", "$.k").cast("bigint").alias("k"), F.col("status").alias("review"))
 
 
-@query("val_apply_corrections", "SELECT conv_id AS id, 2::BIGINT AS version, md5('fixed ' || text) AS text FROM conversations WHERE turn = 0 AND length(text) > 0")
+def _reviewed(spark, d, faults: bool):
+    """The report of a plan for drafts of orders: with faults by order key, and older orders, or without both."""
+    from ..operators import corrections as C
+
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("work_id"), F.col("o_custkey").alias("job_id"), "o_orderpriority")
+    fault = F.col("work_id") % 7 if faults else F.lit(6)
+    quote = lambda ref, words: F.struct(F.lit(ref).alias("source_ref"), words.alias("quote"))
+    said, prio = F.concat(F.lit("order number "), F.col("work_id").cast("string")), F.concat(F.lit("Priority "), "o_orderpriority")
+    rest = ",".join([f'"{f}":[]' for f in C.CLAIMS if f not in ("description_languages", "requirements")] + ['"states":{' + ",".join(f'"{f}":"{"stated" if f == "requirements" else "not_stated"}"' for f in X.FIELDS) + "}"])
+    gone = '{"evidence": [{"quote": "gone", "source_ref": "description.2"}], "code": "xx"}'
+    qualified = '"category":"skill","proficiency":null,"strength":"required","condition":null,"alternative_group":null,"alternative_option":null'
+    output = F.concat(F.lit('{"description_languages":[{"code":"en","evidence":[{"source_ref":"description.1","quote":"Order"}]},' + gone + '],"requirements":[{"term":"Python",' + qualified + ',"evidence":[{"source_ref":"description.1","quote":"'), said, F.lit('"}]}],' + rest + "}"))
+    work = o.select("work_id", "job_id", F.when(fault == 5, "succeeded").otherwise("failed").alias("status"), F.lit("output").alias("error_kind"), F.lit(None).cast("string").alias("repaired_by"))
+    attempts = o.select("work_id", (F.col("work_id") * 2).alias("attempt_id"), output.alias("output"))
+    texts = F.array(quote("description.1", F.concat(F.lit("Order "), F.col("work_id").cast("string"))), quote("description.2", prio))
+    sources = o.select("work_id", F.explode(texts).alias("s")).select("work_id", F.col("s.source_ref").alias("ref"), F.col("s.quote").alias("text"))
+    active = table(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("job_id"))
+    fix = F.struct(
+        F.array(*map(F.lit, ("requirements", "0", "evidence", "0"))).alias("path"),
+        quote("description.1", F.when(fault == 1, "other words").otherwise(said)).alias("original"),
+        quote("description.2", F.when(fault == 2, F.upper(prio)).otherwise(prio)).alias("replacement"),
+    )
+    cut = F.struct(F.lit(gone).alias("original"), F.when(fault == 3, " ").otherwise("not in the text").alias("reason"))
+    sha = F.when(fault == 0, "none").otherwise(F.sha2(C.normal_json(output), 256))
+    plan = o.select("work_id", "job_id", (F.col("work_id") * 2).alias("attempt_id"), sha.alias("output_sha256"), F.array(fix).alias("corrections"), F.when(fault != 4, F.array(cut)).alias("removals"))
+    if not faults:
+        newest = o.groupBy("job_id").agg(F.max("work_id").alias("work_id"))
+        plan = plan.join(active, "job_id", "left_semi").join(newest, ["job_id", "work_id"], "left_semi")
+    return C.reviewed(plan, work, attempts, sources, active)
+
+
+# what the corrected draft of an order is, its keys in order
+_CORRECTED = """'{"conflicts":[],"description_languages":[{"code":"en","evidence":[{"end":5,"quote":"Order","source_ref":"description.1","start":0}]}],"education":[],"employment_type":[],"experience":[],"languages":[],'
+    || '"requirements":[{"alternative_group":null,"alternative_option":null,"category":"skill","condition":null,"evidence":[{"end":' || (9 + length(o_orderpriority))::VARCHAR || ',"quote":"Priority ' || o_orderpriority || '","source_ref":"description.2","start":0}],'
+    || '"proficiency":null,"strength":"required","term":"Python"}],"responsibilities":[],"seniority":[],"states":{"education":"not_stated","employment_type":"not_stated","experience":"not_stated","languages":"not_stated",'
+    || '"requirements":"stated","responsibilities":"not_stated","seniority":"not_stated","work_arrangement":"not_stated"},"work_arrangement":[]}'"""
+
+
+@query(
+    "val_apply_corrections",
+    f"""WITH n AS (SELECT *, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS newest FROM orders)
+    SELECT o_orderkey AS work_id, o_custkey AS job_id, o_orderkey * 2 AS attempt_id, sha256({_CORRECTED}) AS content_sha256 FROM n WHERE newest AND o_custkey % 3 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer)""",
+)
+def _(spark, d):
+    from ..operators import corrections as C
+
+    return C.repairs(_reviewed(spark, d, faults=False)).select("work_id", "job_id", "attempt_id", "content_sha256")
+
+
+@query(
+    "val_review_corrections",
+    f"""WITH n AS (SELECT *, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS newest, o_orderkey % 7 AS fault FROM orders),
+    p AS (SELECT *, CASE WHEN o_custkey % 3 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer) THEN 'no active job' WHEN NOT newest THEN 'changed since review' WHEN fault = 0 THEN 'draft changed since review' WHEN fault = 1 THEN 'evidence is not as reviewed' WHEN fault = 2 THEN 'replacement is no exact span'
+      WHEN fault = 3 THEN 'removal has no reason or no such language' WHEN fault = 4 THEN 'evidence is not in its source' WHEN fault = 5 THEN 'no failed output' END AS problem FROM n)
+    SELECT o_orderkey AS work_id, problem, CASE WHEN problem IS NULL THEN 'ready' ELSE 'rejected' END AS status, CASE WHEN fault = 4 THEN 0 ELSE 1 END::BIGINT AS n_removed, CASE WHEN problem IS NULL THEN sha256({_CORRECTED}) END AS draft FROM p""",
+)
 def _(spark, d):
-    c = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("id"), F.lit(1).cast("bigint").alias("version"), "text", F.lit(None).cast("array<string>").alias("applied"))
-    plan = c.filter("length(text) > 0").select("id", F.col("text").alias("original"), F.concat(F.lit("fixed "), "text").alias("replacement"), F.sha2("text", 256).alias("draft_sha256"))
-    return X.corrected(c, plan, "p1").select("id", "version", F.md5("text").alias("text"))
+    return _reviewed(spark, d, faults=True).select("work_id", "problem", "status", "n_removed", F.sha2("draft", 256).alias("draft"))
 
 
 def _streamed(spark, d):

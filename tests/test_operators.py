@@ -292,18 +292,6 @@ def test_evidence_in_the_only_other_line_of_the_family(spark):
     assert {r.error for r in got if r.method is None} == {"not found"}
 
 
-def test_corrections_apply_all_or_nothing_and_once(spark):
-    import hashlib
-
-    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    drafts = spark.createDataFrame([(1, 1, "one bad word", None), (2, 1, "fine", ["p0"])], "id int, version int, text string, applied array<string>")
-    plan = spark.createDataFrame([(1, "bad", "good", sha("one bad word"))], "id int, original string, replacement string, draft_sha256 string")
-    assert X.corrected(drafts, plan, "p1").first().text == "one good word"
-    bad = plan.unionByName(spark.createDataFrame([(2, "gone", "x", sha("fine"))], plan.schema))
-    assert X.corrected(drafts, bad, "p1").count() == 0
-    assert X.corrected(drafts, spark.createDataFrame([(2, "gone", "x", sha("fine"))], plan.schema), "p0").count() == 0
-
-
 def test_worklist_fails_on_unknown_ids(spark):
     p = spark.createDataFrame([(1, None)], "job_id int, archived_at timestamp_ntz")
     none = p.select("job_id").limit(0)
