@@ -84,7 +84,7 @@ def reviewed(plan: DataFrame, work: DataFrame, attempts: DataFrame, sources: Dat
 
     draft is normal JSON, its evidence as found: source_ref, quote, start and end, and repair where that isn't what the draft had; null unless ready.
     Null corrections and removals are none; rows of null work ids are rejected; an empty plan gives no rows; other columns don't matter.
-    Cost follows the plan: drafts and sources of other works are dropped before anything is parsed.
+    Cost follows the plan: drafts and sources of other works are dropped before anything is parsed.  The report is a written table.
     """
     spark = plan.sparkSession
     p = plan.select("work_id", "attempt_id", "output_sha256", *(F.coalesce(c, F.array().cast(plan.schema[c].dataType)).alias(c) for c in ("corrections", "removals")))
@@ -176,20 +176,18 @@ def _with_spans(j: DataFrame, sources: DataFrame) -> DataFrame:
     problem = F.coalesce("problem", F.when(F.col("_inexact") > 0, F.lit("replacement is no exact span")), F.when(F.col("_lost") > 0, F.lit("evidence is not in its source")))
     out = j.withColumn("problem", problem).withColumn("status", F.when(F.col("problem").isNotNull(), "rejected").when(F.col("_done"), "already_repaired").otherwise("ready"))
     draft = F.when(F.col("status") == "ready", F.to_json(each_evidence(F.try_parse_json("_draft"), span)))
-    return out.select("work_id", "job_id", "attempt_id", "status", "problem", "n_corrections", "n_removed", draft.alias("draft"), "plan_sha256")
+    path = scratch(spark, "report")
+    out.select("work_id", "job_id", "attempt_id", "status", "problem", "n_corrections", "n_removed", draft.alias("draft"), "plan_sha256").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def repairs(report: DataFrame) -> DataFrame:
     """(work_id, job_id, attempt_id, draft, content_sha256, plan_sha256), the results to append after reviewed(): none if any row was rejected.
 
-    The report is written once, as it is read for the gate and for the results.
+    report is to be a written table, as reviewed() gives it: it is read for the gate and for the results.
     """
-    spark = report.sparkSession
-    path = scratch(spark, "report")
-    report.write.parquet(path)
-    rows = spark.read.parquet(path)
-    gate = rows.agg(F.count_if(F.col("status") == "rejected").alias("_rejected"))
-    ok = rows.crossJoin(F.broadcast(gate)).filter("_rejected = 0 AND status = 'ready'")
+    gate = report.agg(F.count_if(F.col("status") == "rejected").alias("_rejected"))
+    ok = report.crossJoin(F.broadcast(gate)).filter("_rejected = 0 AND status = 'ready'")
     return ok.select("work_id", "job_id", "attempt_id", "draft", F.sha2("draft", 256).alias("content_sha256"), "plan_sha256")
 
 
