@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import NO_COMPANY, valid_title
-from ..functions.unicode import normal_text, text_key
+from ..functions.text import NO_COMPANY, squeezed, valid_title
+from ..functions.unicode import case_folded, composed
+from ..sources.tables import scratch
 
 SHORTEST_TEXT = 200
 
@@ -27,14 +28,19 @@ def role_keys(postings: DataFrame, *, id_col: str = "job_id", shortest: int = SH
     Of each identity the latest record with a valid title speaks, or the latest if none has one: with a text of at least `shortest`
     characters, squeezed, a valid title and a company that names one, the key is (source, company, title, text), else the identity.
     Source, company and title are compared as text_key() folds them, texts as normal_text() leaves them.  A null is as good as an empty value.
+    The keys are written once by identity, and read by whoever uses the result more than once.
     """
     speaks = F.struct("source", "title", "company", "text")
     order = F.struct(valid_title(F.col("title")), "last_seen", id_col)
     latest = postings.groupBy("identity").agg(F.max_by(speaks, order).alias("s")).select("identity", "s.*")
-    said = latest.select("identity", valid_title(F.col("title")).alias("valid"), *(text_key(F.col(c)).alias(c) for c in ("source", "company", "title")), normal_text(F.col("text")).alias("text"))
+    names, blank = ("source", "company", "title"), F.lit("")
+    said = latest.select("identity", valid_title(F.col("title")).alias("valid"), *(squeezed(F.coalesce(c, blank)).alias(c) for c in (*names, "text")))
+    said = said.select("identity", "valid", *(case_folded(F.col(c)).alias(c) for c in names), composed(F.col("text")).alias("text"))
     proven = F.col("valid") & (F.length("text") >= shortest) & ~F.col("company").isin(NO_COMPANY)
-    key = F.sha2(F.concat_ws("\x1f", "source", "company", "title", F.sha2("text", 256)), 256)
-    return postings.join(said.select("identity", F.when(proven, key).otherwise(F.col("identity")).alias("role_key")), "identity")
+    key = F.sha2(F.concat_ws("\x1f", *names, F.sha2("text", 256)), 256)
+    path = scratch(postings.sparkSession, "roles")
+    said.select("identity", F.when(proven, key).otherwise(F.col("identity")).alias("role_key")).write.parquet(path)
+    return postings.join(postings.sparkSession.read.parquet(path), "identity")
 
 
 def canonical(keyed: DataFrame, previous: DataFrame, *, id_col: str = "job_id", standard: Column | None = None) -> DataFrame:

@@ -349,3 +349,23 @@ def test_folding_of_quotes_keeps_places():
         for c, a, b in zip(folded, start, end, strict=True):
             piece = unicodedata.normalize("NFKC", text[a:b]).casefold()
             assert c in piece or c == " " and not piece.strip() or c in "-'"
+
+
+def test_only_what_normal_form_can_change_goes_to_python(spark):
+    import re
+    import unicodedata
+
+    from resight.functions import unicode as U
+
+    settled = re.compile(f"[{U.SETTLED}]")
+    inner = {int(x, 16) for i in range(0x110000) if (d := unicodedata.decomposition(chr(i))) and d[0] != "<" for x in d.split()[1:]}
+    inner |= {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    for c in (chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000):
+        assert not settled.match(c) or (unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) and ord(c) not in inner), ascii(c)
+    texts = ["Grüße – „Ну“ 東京", "étÉ ́x ậ", "각 각", "Å ̈́ क़", "İßͅΣς Ꭰ", "T̈ ẗ", "", None, "́"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for got, t in zip(df.select(U.composed(F.col("t")), U.case_folded(F.col("t"))).collect(), texts, strict=True):
+        assert tuple(got) == ((None, None) if t is None else (unicodedata.normalize("NFC", t), unicodedata.normalize("NFC", t).casefold()))
+    # a long text with one accent of its own: the text stays in Spark
+    met = U.replaced(F.concat(F.repeat(F.lit("long \u00fc "), 1000), F.lit("A\u030a.")), f"[{U.SETTLED}]?[^{U.SETTLED}]++", lambda x: f"<{len(x)}>", F.lit(True))
+    assert df.limit(1).select(met).first()[0] == "long \u00fc " * 1000 + "<2>."
