@@ -12,12 +12,12 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
+from ..functions.batches import by_rows
+from ..functions.unicode import replaced
 from ..sources.tables import save_versions, scratch
 
 # Elements without text for a reader, and elements that stand on lines of their own.
@@ -39,29 +39,36 @@ CARDS = {
     "location": ["span.job-search-card__location", "span.topcard__flavor--bullet", "span"],
     "link": ["a.base-card__full-link", "a.job-card-container__link", "a.result-card__full-card-link", "a"],
 }
+_REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
 _REST = r"""\b(?:[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+>|[^>]*>)"""
 
 
-@pandas_udf(StringType())
-def _unescaped(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else entities.unescape(t))
+def _unescaped(t: Column) -> Column:
+    """Character references as html.unescape() reads them, which gets them one by one."""
+    return replaced(t, _REFERENCE, entities.unescape, t.contains("&"))
 
 
-def text_of(html: Column) -> Column:
-    """Paragraphs and list items on lines of their own, scripts, styles and the title left out, blanks squeezed; null for null."""
+def _marked(html: Column) -> Column:
+    """HTML without its elements: blocks on lines of their own, scripts, styles and the title left out."""
     t = F.regexp_replace(html, "(?s)<!--.*?(?:-->|\\z)", "")
     t = F.regexp_replace(t, f"(?is)<({'|'.join([*SKIPPED, 'title'])}){_REST}.*?(?:</\\1\\s*>|\\z)", "")
     t = F.regexp_replace(t, f"(?i)<li{_REST}", "\n• ")
     t = F.regexp_replace(t, f"(?i)</?(?:{'|'.join([*BLOCKS, 'br', 'li'])}){_REST}", "\n")
-    t = F.regexp_replace(t, f"</?[A-Za-z!][A-Za-z0-9-]*{_REST}", "")
-    plain = F.coalesce(_unescaped(F.when(t.contains("&"), t)), t)
+    return F.regexp_replace(t, f"</?[A-Za-z!][A-Za-z0-9-]*{_REST}", "")
+
+
+def _lines(plain: Column) -> Column:
     lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, "[\\t\\r\\f\\x0B \\xA0]+", " ")))
     return F.array_join(F.filter(lines, lambda x: (x != "") & (x != "•")), "\n")
 
 
 def html_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, text) of each page, as text_of() makes it."""
-    return pages.select(id_col, text_of(F.col(html_col)).alias("text"))
+    """(id, text) of each page: paragraphs and list items on lines of their own, scripts, styles and the title left out, blanks squeezed; null for null.
+
+    Only character references go to Python.
+    """
+    t = pages.select(id_col, _marked(F.col(html_col)).alias("_t")).select(id_col, _unescaped(F.col("_t")).alias("_t"))
+    return t.select(id_col, _lines(F.col("_t")).alias("text"))
 
 
 class Node:
@@ -142,7 +149,7 @@ def tree(html: str) -> Node:
 
 
 def text_lines(node: Node) -> str:
-    """The text of an element as text_of() makes it, without recursion over deep pages."""
+    """The text of an element as html_text() makes it, without recursion over deep pages."""
     out, todo = [], [node]
     while todo:
         p = todo.pop()
@@ -223,13 +230,12 @@ def parse_pages(pages: DataFrame, identity_pattern: str, *, id_col: str = "page_
     """
     pattern, places = re.compile(identity_pattern), POSTING if where is None else where
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, *_page(str(n), h, pattern, urn, places)) for i, n, h in zip(b[id_col], b["_name"], b[html_col], strict=True)]
-            yield pd.DataFrame(rows, columns=[id_col, "title", "text", "locator", "criteria", "error_kind"])
+    criteria = pa.list_(pa.struct([(c, pa.string()) for c in ("key", "label", "value")]))
+    fields = [*((c, pa.string()) for c in ("title", "text", "locator")), ("criteria", criteria), ("error_kind", pa.string())]
+    run = by_rows(lambda i, name, html: [(i, *_page(str(name), html, pattern, urn, places))], [id_col], fields)
 
     found = "title string, text string, locator string, criteria array<struct<key:string,label:string,value:string>>, error_kind string"
-    return pages.select(id_col, F.col(name_col or id_col).alias("_name"), html_col).mapInPandas(run, f"{id_col} {pages.schema[id_col].dataType.simpleString()}, {found}")
+    return pages.select(id_col, F.col(name_col or id_col).alias("_name"), html_col).mapInArrow(run, f"{id_col} {pages.schema[id_col].dataType.simpleString()}, {found}")
 
 
 def result_cards(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", where: dict[str, list[str]] | None = None) -> DataFrame:
@@ -240,16 +246,13 @@ def result_cards(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "
     def field(card: Node, name: str) -> str:
         return next((t for s in places.get(name, []) for n in card.select([s]) if (t := n.text())), "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, h in zip(b[id_col], b[html_col], strict=True):
-                for pos, card in enumerate(tree(h).select(places["card"]) if h else []):
-                    link = next((n.attrs["href"].strip() for s in places.get("link", []) for n in card.select([s]) if n.attrs.get("href")), card.attrs.get("href", ""))
-                    rows.append((i, pos, link, field(card, "title") or (card.text() if "title" not in places else ""), field(card, "company"), field(card, "location")))
-            yield pd.DataFrame(rows, columns=[id_col, "pos", "href", "title", "company", "location"])
+    def found(i, html: str | None) -> Iterator[tuple]:
+        for pos, card in enumerate(tree(html).select(places["card"]) if html else []):
+            link = next((n.attrs["href"].strip() for s in places.get("link", []) for n in card.select([s]) if n.attrs.get("href")), card.attrs.get("href", ""))
+            yield i, pos, link, field(card, "title") or (card.text() if "title" not in places else ""), field(card, "company"), field(card, "location")
 
-    return pages.select(id_col, html_col).mapInPandas(run, f"{id_col} {pages.schema[id_col].dataType.simpleString()}, pos bigint, href string, title string, company string, location string")
+    run = by_rows(found, [id_col], [("pos", pa.int64()), *((c, pa.string()) for c in ("href", "title", "company", "location"))])
+    return pages.select(id_col, html_col).mapInArrow(run, f"{id_col} {pages.schema[id_col].dataType.simpleString()}, pos bigint, href string, title string, company string, location string")
 
 
 def page_sequence(cards: DataFrame, *, short: int = 10, pages_at_most: int = 4) -> DataFrame:

@@ -369,3 +369,29 @@ def test_only_what_normal_form_can_change_goes_to_python(spark):
     # a long text with one accent of its own: the text stays in Spark
     met = U.replaced(F.concat(F.repeat(F.lit("long \u00fc "), 1000), F.lit("A\u030a.")), f"[{U.SETTLED}]?[^{U.SETTLED}]++", lambda x: f"<{len(x)}>", F.lit(True))
     assert df.limit(1).select(met).first()[0] == "long \u00fc " * 1000 + "<2>."
+
+
+def test_batches_are_python_objects_by_pieces(spark):
+    import pyarrow as pa
+
+    from resight.functions.batches import PIECE, by_rows
+
+    read: list[int] = []
+    run = by_rows(lambda i, t: read.append(i) or [(i, len(t))] * (i % 3), ["i"], [("n", pa.int64())])
+    batch = pa.RecordBatch.from_pydict({"i": list(range(100)), "t": ["x" * (PIECE // 10)] * 100})
+    out = run(iter([batch.slice(0, 0), batch]))
+    first = next(out).num_rows
+    assert len(read) < 20  # the rest of the batch is not read yet
+    assert first + sum(b.num_rows for b in out) == sum(i % 3 for i in range(100)) and len(read) == 100
+
+
+def test_only_character_references_go_to_python(spark):
+    import html
+
+    from resight.functions.unicode import replaced
+
+    texts = ["&amp;&AMP&copy2 a & b &; &#65;&#x42 &#32;&notit; &unknown; &#xD800;&#0;", "&&amp", "none", "", None, "&ThickSpace;|", "&" + "a" * 40]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(G._unescaped(F.col("t"))).collect()] == [t and html.unescape(t) for t in texts]
+    seen = df.limit(1).select(replaced(F.concat(F.repeat(F.lit("x"), 5000), F.lit("&amp;")), G._REFERENCE, lambda x: str(len(x)), F.lit(True)))
+    assert seen.first()[0] == "x" * 5000 + "5"
