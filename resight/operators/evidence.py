@@ -7,9 +7,11 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import by_rows
 from ..sources.tables import scratch
 
 # Words that change a claim, which no typo repair may touch.
@@ -156,21 +158,19 @@ def _elsewhere(misses: DataFrame, sources: DataFrame) -> DataFrame:
     asked = misses.distinct().groupBy("doc", family).agg(F.collect_list(F.struct("ref", "quote")).alias("asked"))
     held = sources.groupBy("doc", family).agg(F.collect_list(F.struct("ref", "text")).alias("held"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for d, asked, held in zip(b["doc"], b["asked"], b["held"], strict=True):
-                folded = [(x["ref"], normalized(x["text"])) for x in held if x["text"] is not None]
-                hits: dict[str, list] = {}
-                for a in asked:
-                    if (q := a["quote"]) not in hits:
-                        hits[q] = [(ref, span) for ref, f in folded if (span := _span_in(q, f))]
-                    if len(others := [h for h in hits[q] if h[0] != a["ref"]]) == 1:
-                        rows.append((d, a["ref"], q, {"ref": others[0][0], "start": others[0][1][0], "end": others[0][1][1]}))
-            yield pd.DataFrame(rows, columns=["doc", "ref", "quote", "found"])
+    def run(doc, _ref, _other, asked: list[dict], held: list[dict]) -> Iterator[tuple]:
+        folded = [(x["ref"], normalized(x["text"])) for x in held if x["text"] is not None]
+        hits: dict[str, list] = {}
+        for a in asked:
+            if (q := a["quote"]) not in hits:
+                hits[q] = [(ref, span) for ref, f in folded if (span := _span_in(q, f))]
+            if len(others := [h for h in hits[q] if h[0] != a["ref"]]) == 1:
+                yield doc, a["ref"], others[0][0], q, *others[0][1]
 
     doc, ref = (misses.schema[c].dataType.simpleString() for c in ("doc", "ref"))
-    return asked.join(held.hint("merge"), ["doc", "family"]).mapInPandas(run, f"doc {doc}, ref {ref}, quote string, found struct<ref:{ref},start:bigint,end:bigint>")
+    both = asked.join(held.hint("merge"), ["doc", "family"]).select("doc", *(F.lit(None).cast(ref).alias(c) for c in ("ref", "_other")), "asked", "held")
+    found = both.mapInArrow(by_rows(run, ["doc", "ref", "_other"], [("quote", pa.string()), ("start", pa.int64()), ("end", pa.int64())]), f"doc {doc}, ref {ref}, _other {ref}, quote string, start bigint, end bigint")
+    return found.select("doc", "ref", "quote", F.struct(F.col("_other").alias("ref"), "start", "end").alias("found"))
 
 
 def resolve(quotes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -184,30 +184,27 @@ def resolve(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     both = quotes.join(sources.hint("merge"), ["doc", "ref"], "left").withColumn("at", F.expr("instr(text, quote)"))
     exact = both.filter("at > 0").select("doc", "ref", "quote", (F.col("at") - 1).cast("bigint").alias("start"), (F.col("at") - 1 + F.length("quote")).cast("bigint").alias("end"), F.lit("exact").alias("method"), F.lit(None).cast("string").alias("error"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for d, ref, asked, text in zip(b["doc"], b["ref"], b["asked"], b["text"], strict=True):
-                folded = None if text is None else normalized(text)
-                for quote in asked:
-                    span, how, error = None, None, None
-                    if folded is None:
-                        error = "no source"
-                    elif not quote:
-                        error = "no quote"
-                    elif span := _span_in(quote, folded):
-                        how = "typography"
-                    elif span := _typo_span_in(quote, folded):
-                        how = "typo"
-                    else:
-                        error = "not found"
-                    rows.append((d, ref, quote, *(span or (None, None)), how, error))
-            yield pd.DataFrame(rows, columns=["doc", "ref", "quote", "start", "end", "method", "error"]).astype({"start": "Int64", "end": "Int64"})
+    def run(doc, ref, asked: list[str], text: str | None) -> Iterator[tuple]:
+        folded = None if text is None else normalized(text)
+        for quote in asked:
+            span, how, error = None, None, None
+            if folded is None:
+                error = "no source"
+            elif not quote:
+                error = "no quote"
+            elif span := _span_in(quote, folded):
+                how = "typography"
+            elif span := _typo_span_in(quote, folded):
+                how = "typo"
+            else:
+                error = "not found"
+            yield doc, ref, quote, *(span or (None, None)), how, error
 
     rest = both.filter("at IS NULL OR at = 0").withColumn("quote", F.coalesce("quote", F.lit("")))
     rest = rest.groupBy("doc", "ref").agg(F.collect_list("quote").alias("asked"), F.first("text").alias("text"))
     kinds = f"doc {both.schema['doc'].dataType.simpleString()}, ref {both.schema['ref'].dataType.simpleString()}"
-    tried = rest.mapInPandas(run, f"{kinds}, quote string, start bigint, end bigint, method string, error string")
+    fields = [("quote", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("method", pa.string()), ("error", pa.string())]
+    tried = rest.mapInArrow(by_rows(run, ["doc", "ref"], fields), f"{kinds}, quote string, start bigint, end bigint, method string, error string")
     path = scratch(quotes.sparkSession, "tried")
     tried.write.parquet(path)
     tried = quotes.sparkSession.read.parquet(path)
