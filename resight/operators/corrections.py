@@ -17,6 +17,7 @@ CLAIMS = {"description_languages": "description_language", "requirements": "requ
 _QUOTE = "struct<source_ref:string,quote:string>"
 #: What a plan has for each work.
 PLAN = f"work_id bigint, attempt_id bigint, output_sha256 string, corrections array<struct<path:array<string>,original:{_QUOTE},replacement:{_QUOTE}>>, removals array<struct<original:string,reason:string>>"
+_REPORT = ["work_id", "job_id", "attempt_id", "status", "problem", "n_corrections", "n_removed", "draft", "plan_sha256"]
 
 
 def normal_json(json: Column) -> Column:
@@ -24,6 +25,11 @@ def normal_json(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value worked out once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _list(v: Column) -> Column:
     return v.try_cast("array<variant>")
 
@@ -46,11 +52,20 @@ def each_evidence(draft: Column, change: Callable[[Column, Column], Column]) ->
     return F.coalesce(F.to_variant_object(F.transform_values(_object(draft), lambda k, v: F.coalesce(claims(k, v), v))), draft)
 
 
-def evidence_of(draft: Column) -> Column:
-    """(path, json) of the entries that each_evidence meets."""
+def _evidence(draft: Column) -> Column:
+    """(path, entry) of the entries that each_evidence meets."""
     none = F.expr("cast(array() AS array<variant>)")
     claims = F.flatten(F.transform(F.map_entries(_object(draft)), lambda f: F.transform(F.coalesce(_list(f["value"]), none), lambda c, i: F.struct(F.concat(f["key"], F.lit("."), i.cast("string"), F.lit(".evidence.")).alias("path"), F.coalesce(_list(_object(c)["evidence"]), none).alias("entries")))))
-    return F.flatten(F.transform(claims, lambda c: F.transform(c["entries"], lambda e, j: F.struct(F.concat(c["path"], j.cast("string")).alias("path"), F.to_json(e).alias("json")))))
+    return F.flatten(F.transform(claims, lambda c: F.transform(c["entries"], lambda e, j: F.struct(F.concat(c["path"], j.cast("string")).alias("path"), e.alias("entry")))))
+
+
+def evidence_of(draft: Column) -> Column:
+    """(path, json) of the entries that each_evidence meets."""
+    return F.transform(_evidence(draft), lambda x: F.struct(x["path"].alias("path"), F.to_json(x["entry"]).alias("json")))
+
+
+def _quote_of(entry: Column) -> Column:
+    return F.struct(*(F.try_variant_get(entry, f"$.{f}", "string").alias(f) for f in ("source_ref", "quote")))
 
 
 def check_draft(json: Column) -> Column:
@@ -84,76 +99,90 @@ def reviewed(plan: DataFrame, work: DataFrame, attempts: DataFrame, sources: Dat
 
     draft is normal JSON, its evidence as found: source_ref, quote, start and end, and repair where that isn't what the draft had; null unless ready.
     Null corrections and removals are none; rows of null work ids are rejected; an empty plan gives no rows; other columns don't matter.
-    Cost follows the plan: drafts and sources of other works are dropped before anything is parsed.  The report is a written table.
+    Cost follows the plan: drafts and sources of other works are dropped before anything is parsed, and of those in it only rows that pass what ids and
+    states tell are parsed.  The wide columns of the plan move once, by work.  The report is a written table.
     """
     spark = plan.sparkSession
     p = plan.select("work_id", "attempt_id", "output_sha256", *(F.coalesce(c, F.array().cast(plan.schema[c].dataType)).alias(c) for c in ("corrections", "removals")))
-    p = p.withColumn("plan_sha256", F.sha2(F.to_json(F.struct(*p.columns)), 256)).withColumn("_rows", F.count("*").over(Window.partitionBy("work_id")))
-    path = scratch(spark, "plan")
-    p.write.parquet(path)
-    p = spark.read.parquet(path)
+    p = _written(p.withColumn("plan_sha256", F.sha2(F.to_json(F.struct(*p.columns)), 256)), "plan")
     asked = p.select("work_id").distinct()
     own = work.join(asked, "work_id", "left_semi").select("work_id", "job_id", F.col("status").alias("_status"), "error_kind", "repaired_by")
     newest = work.join(own.select("job_id").distinct(), "job_id", "left_semi").groupBy("job_id").agg(F.max("work_id").alias("_newest"))
-    last = attempts.join(asked, "work_id", "left_semi").groupBy("work_id").agg(F.max_by(F.struct(F.col("attempt_id").alias("_attempt"), "output"), "attempt_id").alias("_a")).select("work_id", "_a.*")
-    j = p.join(own, "work_id", "left").join(newest, "job_id", "left").join(last, "work_id", "left").join(active.select("job_id", F.lit(True).alias("_active")).distinct(), "job_id", "left")
-    j = j.withColumn("_json", normal_json(F.col("output")))
+    own = own.join(newest, "job_id", "left").join(active.select("job_id", F.lit(True).alias("_active")).distinct(), "job_id", "left")
+    last = attempts.join(asked, "work_id", "left_semi").groupBy("work_id").agg(F.max("attempt_id").alias("_attempt"))
+    j = p.withColumn("_rows", F.count("*").over(Window.partitionBy("work_id"))).join(own, "work_id", "left").join(last, "work_id", "left")
+    is_not = lambda c: ~F.coalesce(c, F.lit(False))
+    first = lambda rules: F.coalesce(*(F.when(c, F.lit(m)) for c, m in rules))
+    before = [
+        (F.col("_rows") > 1, "work is in the plan twice"),
+        (is_not(F.col("_active")), "no active job"),
+        (is_not((F.col("work_id") == F.col("_newest")) & (F.col("attempt_id") == F.col("_attempt"))), "changed since review"),
+    ]
+    done = (F.col("_status") == "succeeded") & (F.col("repaired_by") == F.col("plan_sha256"))
+    j = j.withColumn("problem", first(before)).withColumn("_done", F.coalesce(done, F.lit(False))).withColumn("_failed", F.coalesce((F.col("_status") == "failed") & (F.col("error_kind") == "output"), F.lit(False)))
+    wide = (F.when(F.col("problem").isNull(), F.col(c)).alias(c) for c in ("output_sha256", "corrections", "removals"))
+    j = _written(j.select("work_id", "job_id", "attempt_id", "plan_sha256", F.size("corrections").cast("bigint").alias("n_corrections"), F.size("removals").cast("bigint").alias("n_removed"), "problem", "_done", "_failed", *wide), "opened")
+    settled = j.filter("problem IS NOT NULL").withColumn("_done", F.lit(False))
+    j = j.filter("problem IS NULL")
+    output = attempts.join(j.select("work_id", "attempt_id"), ["work_id", "attempt_id"], "left_semi").groupBy("work_id").agg(F.max("output").alias("output"))
+    # rows are few for what they cost: Spark would put them in few tasks by their size
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    j = _written(_edited(j.repartition(n, "work_id").join(output, "work_id")), "edited")
+    j = j.withColumn("_issue", F.when(F.col("_draft").isNotNull(), F.get(check_draft(F.col("_draft")), F.lit(0))))
+    j = j.withColumn("problem", F.coalesce("problem", F.concat("_issue.field", F.lit(" "), "_issue.message"))).drop("_issue")
+    j = _written(j.withColumn("_draft", F.when(F.col("problem").isNull(), F.col("_draft"))), "checked")
+    report = _with_spans(j, sources).unionByName(settled.select(*(F.lit(None).cast("string").alias(c) if c == "draft" else F.lit("rejected").alias(c) if c == "status" else F.col(c) for c in _REPORT)))
+    return _written(report, "report")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
+
+def _edited(j: DataFrame) -> DataFrame:
+    """Rows of a plan with their output: problem where they don't fit it, else _draft, what comes of it."""
     key = lambda c: F.array_join(c["path"], ".")
-    draft, fixes, removals = F.try_parse_json("_json"), F.col("corrections"), F.col("removals")
-    entries = F.col("_entries")
+    is_not = lambda c: ~F.coalesce(c, F.lit(False))
+    fixes, removals, entries = F.col("corrections"), F.col("removals"), F.col("_entries")
+    j = j.withColumn("_json", normal_json(F.col("output")))
+    same = F.coalesce(F.sha2("_json", 256) == F.col("output_sha256"), F.lit(False))
+    j = j.withColumn("_same", same).withColumn("_v", F.when(F.col("_same") & F.col("_failed") & ~F.col("_done"), F.try_parse_json("_json")))
     put = lambda at, e: F.coalesce(F.to_variant_object(F.get(F.filter(fixes, lambda c: key(c) == at), F.lit(0))["replacement"]), e)
-    j = j.withColumn("_entries", evidence_of(draft)).withColumn("_edited", F.to_json(each_evidence(draft, put)))
-    edited = F.try_parse_json("_edited")
-    spoken = F.transform(F.try_variant_get(edited, "$.description_languages", "array<variant>"), lambda x: F.to_json(x))
+    j = j.withColumn("_entries", _evidence(F.col("_v"))).withColumn("_edited", each_evidence(F.col("_v"), put))
+    spoken = F.transform(F.try_variant_get("_edited", "$.description_languages", "array<variant>"), lambda x: F.to_json(x))
 
     def without(left: Column, r: Column) -> Column:
-        at = F.array_position(left, normal_json(r["original"])).cast("int")
-        return F.when(at > 0, F.concat(F.slice(left, F.lit(1), at - 1), F.slice(left, at + 1, F.size(left))))
+        cut = lambda at: F.when(at > 0, F.concat(F.slice(left, F.lit(1), at - 1), F.slice(left, at + 1, F.size(left))))
+        return _bound(F.array_position(left, normal_json(r["original"])).cast("int"), cut)
 
     j = j.withColumn("_left", F.aggregate(removals, spoken, without))
     kept = F.to_variant_object(F.transform(F.col("_left"), lambda x: F.try_parse_json(x)))
-    final = F.to_json(F.to_variant_object(F.transform_values(_object(edited), lambda k, v: F.when(k == "description_languages", kept).otherwise(v))))
-    as_was = lambda c: F.exists(entries, lambda x: (x["path"] == key(c)) & (x["json"] == F.to_json(F.to_variant_object(c["original"]))))
+    final = F.when(F.size(removals) > 0, F.to_variant_object(F.transform_values(_object(F.col("_edited")), lambda k, v: F.when(k == "description_languages", kept).otherwise(v)))).otherwise(F.col("_edited"))
+    as_was = lambda c: _bound(F.struct(key(c).alias("path"), F.to_json(F.to_variant_object(c["original"])).alias("json")), lambda o: F.exists(entries, lambda x: (x["path"] == o["path"]) & (F.to_json(x["entry"]) == o["json"])))
     whole = lambda c: c["replacement"]["source_ref"].isNotNull() & (F.coalesce(F.length(c["replacement"]["quote"]), F.lit(0)) > 0)
-    is_not = lambda c: ~F.coalesce(c, F.lit(False))
-    before = [
-        (F.col("_rows") > 1, "work is in the plan twice"),
-        (is_not(F.col("_active")), "no active job"),
-        (is_not((F.col("work_id") == F.col("_newest")) & (F.col("attempt_id") == F.col("_attempt"))), "changed since review"),
-        (is_not(F.sha2("_json", 256) == F.col("output_sha256")), "draft changed since review"),
-    ]
-    after = [
-        (is_not((F.col("_status") == "failed") & (F.col("error_kind") == "output")), "no failed output"),
+    rules = [
+        (~F.col("_same"), "draft changed since review"),
+        (~F.col("_done") & ~F.col("_failed"), "no failed output"),
         (is_not(F.forall(fixes, as_was)), "evidence is not as reviewed"),
         (F.size(F.array_distinct(F.transform(fixes, key))) < F.size(fixes), "evidence is corrected twice"),
         (is_not(F.forall(fixes, whole)), "replacement has no source or words"),
         (is_not(F.forall(removals, lambda r: F.coalesce(F.length(F.trim(r["reason"])), F.lit(0)) > 0)) | ((F.size(removals) > 0) & F.col("_left").isNull()), "removal has no reason or no such language"),
     ]
-    first = lambda rules: F.coalesce(*(F.when(c, F.lit(m)) for c, m in rules))
-    done = (F.col("_status") == "succeeded") & (F.col("repaired_by") == F.col("plan_sha256"))
-    j = j.withColumn("_before", first(before)).withColumn("_done", F.coalesce(F.col("_before").isNull() & done, F.lit(False)))
-    j = j.withColumn("problem", F.coalesce("_before", F.when(~F.col("_done"), first(after)))).withColumn("_draft", F.when(F.col("problem").isNull() & ~F.col("_done"), F.when(F.size(removals) > 0, final).otherwise(F.col("_edited"))))
-    path = scratch(spark, "edited")
-    j.select("work_id", "job_id", "attempt_id", "plan_sha256", "corrections", F.size("corrections").cast("bigint").alias("n_corrections"), F.size("removals").cast("bigint").alias("n_removed"), "problem", "_done", "_draft").write.parquet(path)
-    j = spark.read.parquet(path).withColumn("_issue", F.when(F.col("_draft").isNotNull(), F.get(check_draft(F.col("_draft")), F.lit(0))))
-    j = j.withColumn("problem", F.coalesce("problem", F.concat("_issue.field", F.lit(" "), "_issue.message"))).drop("_issue")
-    path = scratch(spark, "checked")
-    j.withColumn("_draft", F.when(F.col("problem").isNull(), F.col("_draft"))).write.parquet(path)
-    return _with_spans(spark.read.parquet(path), sources)
+    found = lambda rules: F.coalesce(*(F.when(c, F.lit(m)) for c, m in rules))
+    j = j.withColumn("problem", F.coalesce(found(rules[:2]), F.when(~F.col("_done"), found(rules[2:])))).withColumn("_draft", F.when(F.col("problem").isNull() & ~F.col("_done"), F.to_json(final)))
+    return j.select("work_id", "job_id", "attempt_id", "plan_sha256", "corrections", "n_corrections", "n_removed", "problem", "_done", "_draft")
 
 
 def _with_spans(j: DataFrame, sources: DataFrame) -> DataFrame:
     """Looks for the quotes of the edited drafts, and puts what was found into them."""
-    spark = j.sparkSession
     open_ = j.filter("_draft IS NOT NULL")
-    quoted = F.transform(evidence_of(F.try_parse_json("_draft")), lambda x: F.from_json(x["json"], _QUOTE))
+    quoted = F.transform(_evidence(F.try_parse_json("_draft")), lambda x: _quote_of(x["entry"]))
     asked = open_.select("work_id", F.explode(quoted).alias("q"), F.lit(False).alias("exact"))
     asked = asked.unionByName(open_.select("work_id", F.explode("corrections").alias("c")).select("work_id", F.col("c.replacement").alias("q"), F.lit(True).alias("exact")))
-    path = scratch(spark, "asked")
-    asked.groupBy(F.col("work_id").alias("doc"), F.col("q.source_ref").alias("ref"), F.col("q.quote").alias("quote")).agg(F.bool_or("exact").alias("exact")).write.parquet(path)
-    asked = spark.read.parquet(path)
-    held = sources.select(F.col("work_id").alias("doc"), "ref", "text").join(asked.select("doc").distinct().hint("merge"), "doc", "left_semi")
+    asked = _written(asked.groupBy(F.col("work_id").alias("doc"), F.col("q.source_ref").alias("ref"), F.col("q.quote").alias("quote")).agg(F.bool_or("exact").alias("exact")), "asked")
+    held = _written(sources.select(F.col("work_id").alias("doc"), "ref", "text").join(asked.select("doc").distinct().hint("merge"), "doc", "left_semi"), "held")
     found = E.resolve(asked.select("doc", "ref", "quote"), held).select("doc", "ref", "quote", "start", "end", "method", "source_ref")
     found = found.join(asked.hint("merge"), ["doc", "ref", "quote"]).join(held.select("doc", F.col("ref").alias("source_ref"), "text").hint("merge"), ["doc", "source_ref"], "left")
     words = F.expr("substring(text, cast(start + 1 AS int), cast(end - start AS int))")
@@ -166,19 +195,17 @@ def _with_spans(j: DataFrame, sources: DataFrame) -> DataFrame:
     )
     j = j.join(spans.withColumnRenamed("doc", "work_id").hint("merge"), "work_id", "left")
 
-    def span(_: Column, e: Column) -> Column:
-        q = F.from_json(F.to_json(e), _QUOTE)
-        s = F.get(F.filter(F.col("_spans"), lambda x: (x["ref"] == q["source_ref"]) & (x["quote"] == q["quote"])), F.lit(0))
+    def put(s: Column) -> Column:
         at = [s["source_ref"].alias("source_ref"), s["found"].alias("quote"), s["start"].alias("start"), s["end"].alias("end")]
         how = F.struct(s["method"].alias("method"), s["ref"].alias("original_source_ref"), s["quote"].alias("original_quote"))
         return F.when(s["method"] == "exact", F.to_variant_object(F.struct(*at))).otherwise(F.to_variant_object(F.struct(*at, how.alias("repair"))))
 
+    of = lambda q: F.get(F.filter(F.col("_spans"), lambda x: (x["ref"] == q["source_ref"]) & (x["quote"] == q["quote"])), F.lit(0))
+    span = lambda _, e: _bound(_bound(_quote_of(e), of), put)
     problem = F.coalesce("problem", F.when(F.col("_inexact") > 0, F.lit("replacement is no exact span")), F.when(F.col("_lost") > 0, F.lit("evidence is not in its source")))
     out = j.withColumn("problem", problem).withColumn("status", F.when(F.col("problem").isNotNull(), "rejected").when(F.col("_done"), "already_repaired").otherwise("ready"))
     draft = F.when(F.col("status") == "ready", F.to_json(each_evidence(F.try_parse_json("_draft"), span)))
-    path = scratch(spark, "report")
-    out.select("work_id", "job_id", "attempt_id", "status", "problem", "n_corrections", "n_removed", draft.alias("draft"), "plan_sha256").write.parquet(path)
-    return spark.read.parquet(path)
+    return out.withColumn("draft", draft).select(*_REPORT)
 
 
 def repairs(report: DataFrame) -> DataFrame:

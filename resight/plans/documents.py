@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
@@ -220,7 +222,9 @@ def _reviewed(spark, d, faults: bool):
     rest = ",".join([f'"{f}":[]' for f in C.CLAIMS if f not in ("description_languages", "requirements")] + ['"states":{' + ",".join(f'"{f}":"{"stated" if f == "requirements" else "not_stated"}"' for f in X.FIELDS) + "}"])
     gone = '{"evidence": [{"quote": "gone", "source_ref": "description.2"}], "code": "xx"}'
     qualified = '"category":"skill","proficiency":null,"strength":"required","condition":null,"alternative_group":null,"alternative_option":null'
-    output = F.concat(F.lit('{"description_languages":[{"code":"en","evidence":[{"source_ref":"description.1","quote":"Order"}]},' + gone + '],"requirements":[{"term":"Python",' + qualified + ',"evidence":[{"source_ref":"description.1","quote":"'), said, F.lit('"}]}],' + rest + "}"))
+    draft = '{"description_languages":[{"code":"en","evidence":[{"source_ref":"description.1","quote":"Order"}]},' + gone + '],"requirements":[{"term":"Python",' + qualified + ',"evidence":[{"source_ref":"description.1","quote":"@"}]}],' + rest + "}"
+    filled = lambda text: F.concat(*(x for i, t in enumerate(text.split("@")) for x in ([said] if i else []) + [F.lit(t)]))
+    output = filled(draft)
     work = o.select("work_id", "job_id", F.when(fault == 5, "succeeded").otherwise("failed").alias("status"), F.lit("output").alias("error_kind"), F.lit(None).cast("string").alias("repaired_by"))
     attempts = o.select("work_id", (F.col("work_id") * 2).alias("attempt_id"), output.alias("output"))
     texts = F.array(quote("description.1", F.concat(F.lit("Order "), F.col("work_id").cast("string"))), quote("description.2", prio))
@@ -232,7 +236,8 @@ def _reviewed(spark, d, faults: bool):
         quote("description.2", F.when(fault == 2, F.upper(prio)).otherwise(prio)).alias("replacement"),
     )
     cut = F.struct(F.lit(gone).alias("original"), F.when(fault == 3, " ").otherwise("not in the text").alias("reason"))
-    sha = F.when(fault == 0, "none").otherwise(F.sha2(C.normal_json(output), 256))
+    # the plan's maker writes the draft's normal JSON; it isn't parsed for each order
+    sha = F.when(fault == 0, "none").otherwise(F.sha2(filled(json.dumps(json.loads(draft), sort_keys=True, separators=(",", ":"))), 256))
     plan = o.select("work_id", "job_id", (F.col("work_id") * 2).alias("attempt_id"), sha.alias("output_sha256"), F.array(fix).alias("corrections"), F.when(fault != 4, F.array(cut)).alias("removals"))
     if not faults:
         newest = o.groupBy("job_id").agg(F.max("work_id").alias("work_id"))

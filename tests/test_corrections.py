@@ -155,3 +155,16 @@ def test_edits_reach_every_list_and_leave_other_forms_alone(spark):
     want["a"][0]["evidence"] = [["a.0.evidence.0"], ["a.0.evidence.1"]]
     assert got == [normal(want), "[1]", None]
     assert [(x["path"], x["json"]) for x in row.select(C.evidence_of(v)).first()[0]] == [("a.0.evidence.0", "1"), ("a.0.evidence.1", '{"x":null}')]
+
+
+def test_a_draft_is_read_only_where_it_may_be_repaired(spark, tables):
+    from pyspark.sql import functions as F
+
+    # the outputs of works that ids and states reject are not even read
+    d = draft()
+    work, attempts, sources, active = tables([d] * 4, more=[(70, 102, "pending", None, None)])
+    unread = F.when(F.col("work_id") != 1, F.raise_error(F.lit("read")).cast("string")).otherwise(F.col("output"))
+    plan = [item(1, d), item(2, d), item(3, d), item(4, d), item(4, d)]
+    rows = run(spark, plan, (work, attempts.withColumn("output", unread), sources, active.filter("job_id <> 103"))).collect()
+    assert sorted((r.work_id, r.problem) for r in rows) == [(1, None), (2, "changed since review"), (3, "no active job"), (4, "work is in the plan twice"), (4, "work is in the plan twice")]
+    assert {(r.work_id, r.job_id, r.status, r.n_corrections, r.n_removed, r.draft is None) for r in rows} == {(k, k + 100, "rejected" if k > 1 else "ready", 1, 1, k > 1) for k in (1, 2, 3, 4)}
