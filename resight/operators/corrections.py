@@ -70,18 +70,27 @@ def _quote_of(entry: Column) -> Column:
 
 def check_draft(json: Column) -> Column:
     """Issues (field, message) of a whole draft as JSON: its lists, the claims in them, years of experience, states and conflicts."""
-    v = F.try_parse_json(json)
-    lists = {f: F.try_variant_get(v, f"$.{f}", "array<variant>") for f in CLAIMS}
-    extra = F.transform(X.unknown_keys(json, [*CLAIMS, "states"]), lambda k: F.struct(k.alias("field"), F.lit("is not allowed").alias("message")))
-    found = [extra, X.issues(*(X.issue(c.isNull(), f, "is no list") for f, c in lists.items()))]
-    claims = lambda f, kind: F.transform(F.coalesce(lists[f], F.expr("cast(array() AS array<variant>)")), lambda c: X.check_json(F.to_json(c), kind))
+    # the draft is parsed once, and each of its parts taken out once
+    part = lambda v, path, kind: F.try_variant_get(v, f"$.{path}", kind)
+    parts = lambda x: F.struct(
+        F.transform(X.unknown_keys(x["json"], [*CLAIMS, "states"]), lambda k: F.struct(k.alias("field"), F.lit("is not allowed").alias("message"))).alias("extra"),
+        F.struct(*(part(x["v"], f, "array<variant>").alias(f) for f in CLAIMS)).alias("lists"),
+        F.struct(*(part(x["v"], f"states.{f}", "string").alias(f) for f in X.FIELDS)).alias("states"),
+        part(x["v"], "description_languages", "array<struct<code:string,evidence:array<struct<source_ref:string,quote:string>>>>").alias("languages"),
+    )
+    return _bound(_bound(F.struct(json.alias("json"), F.try_parse_json(json).alias("v")), parts), _issues)
+
+
+def _issues(x: Column) -> Column:
+    lists = {f: x["lists"][f] for f in CLAIMS}
+    found = [x["extra"], X.issues(*(X.issue(c.isNull(), f, "is no list") for f, c in lists.items()))]
+    claims = lambda f, kind: F.transform(F.coalesce(lists[f], F.expr("cast(array() AS array<variant>)")), lambda c: _bound(F.to_json(c), lambda t: X.check_json(t, kind)))
     found += [F.flatten(claims(f, kind)) for f, kind in CLAIMS.items()]
     years = F.filter(F.transform(lists["experience"], lambda c: F.try_variant_get(c, "$.years", "struct<kind:string,lower:double,upper:double>")), lambda y: y.isNotNull())
     found.append(F.coalesce(F.flatten(F.transform(years, lambda y: X.check_years(y["kind"], y["lower"], y["upper"]))), F.array().cast("array<struct<field:string,message:string>>")))
-    states = {f: (F.try_variant_get(v, f"$.states.{f}", "string"), F.size(lists[f])) for f in X.FIELDS}
+    states = {f: (x["states"][f], F.size(lists[f])) for f in X.FIELDS}
     said = F.transform(lists["conflicts"], lambda c: F.try_variant_get(c, "$.field", "string"))
-    languages = F.try_variant_get(v, "$.description_languages", "array<struct<code:string,evidence:array<struct<source_ref:string,quote:string>>>>")
-    found.append(X.check_coherence(languages, states, said))
+    found.append(_bound(said, lambda fields: X.check_coherence(x["languages"], states, fields)))
     return F.flatten(F.array(*found))
 
 

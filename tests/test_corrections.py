@@ -157,9 +157,10 @@ def test_edits_reach_every_list_and_leave_other_forms_alone(spark):
     assert [(x["path"], x["json"]) for x in row.select(C.evidence_of(v)).first()[0]] == [("a.0.evidence.0", "1"), ("a.0.evidence.1", '{"x":null}')]
 
 
-def test_a_draft_is_read_only_where_it_may_be_repaired(spark, tables):
+def test_a_draft_is_parsed_once_and_only_where_it_may_be_repaired(spark, tables):
     from pyspark.sql import functions as F
 
+    assert str(C.check_draft(F.col("some_draft"))).count("try_parse_json(some_draft)") == 1
     # the outputs of works that ids and states reject are not even read
     d = draft()
     work, attempts, sources, active = tables([d] * 4, more=[(70, 102, "pending", None, None)])
